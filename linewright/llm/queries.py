@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linewright.llm import bpe, packing, simhash
+from linewright.llm import bpe, decontam, packing, quality, simhash, urls
 from linewright.llm.common import read_table
 
 
@@ -16,6 +17,27 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The contract's rules.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(read_table(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number ends its url's path; that document's label is the page's."""
+    pages, labels = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels")
+    number = F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?$", 1).try_cast("long")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labelled = pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", bad.alias("bad"))
+    return urls.filter_urls(pages, labelled, URL_RULES)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
 
@@ -31,8 +53,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op4_url_filters": op4_url_filters,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality.RATE_SQL,
+    "op7_benchmark_decontamination": decontam.CONTAMINATION_SQL,
+}
