@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import bpe, decontam, packing, quality, simhash, urls
+from linewright.llm import bpe, decontam, packing, quality, secrets, simhash, urls
 from linewright.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
