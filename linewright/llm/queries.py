@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import bpe, decontam, packing, quality, secrets, simhash, urls
+from linewright.llm import bpe, decontam, html, licenses, lm, packing, quality, secrets, simhash, urls
 from linewright.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,14 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, labelled, URL_RULES)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.fold_scores(read_table(spark, sf_dir, "documents"), folds=10)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
 
@@ -57,9 +69,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
