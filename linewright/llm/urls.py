@@ -1,8 +1,9 @@
 """URL filters: fixed host and path rules, then association rules from labels.
 
 FP-growth over the tokens of labelled URLs finds token combinations; rules that
-point to a bad label are kept if support, confidence and lift suffice, and a rule
-is dropped if a shorter one within it is as confident. URLs meet rules through
+point to a bad label are kept if support, confidence and lift suffice and the
+confidence's lower bound (Wilson, 95 %) stays over a half, and a rule is dropped
+if a shorter one within it is as confident. URLs meet rules through
 an inverted index on each rule's rarest token.
 
 Only DataFrame operations and the FP-growth of Spark's own ML library run.
@@ -19,6 +20,8 @@ from linewright.llm.common import ascii_lower, settle
 BAD = "label=bad"
 #: Mined rules of up to so many rows are broadcast; there are at most 1 / support single tokens.
 BROADCAST_ROWS = 50_000
+#: Square of the normal quantile of the confidence's lower bound, and the least such bound.
+Z2, LEAST_BOUND = 1.96**2, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -49,14 +52,17 @@ def tokens_of(host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, support: float, confidence: float, lift: float, most_tokens: int) -> DataFrame:
-    """(rule_id, tokens, confidence) from rows of (tokens, bad)."""
+    """(rule_id, tokens, confidence) from rows of (tokens, bad). The rows are read twice."""
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double")
     if labelled.isEmpty():
         return empty
     items = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
+    total = labelled.count()
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
     rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift) & (F.size("antecedent") <= most_tokens))
+    p, n = F.col("confidence"), F.round(F.col("support") * total / F.col("confidence"))
+    rules = rules.filter((p + Z2 / (2 * n) - F.sqrt(Z2 * (p * (1 - p) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n) >= LEAST_BOUND)
     rules = settle(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("rule_id", F.xxhash64("tokens")), "rules")
     # a longer rule goes if a shorter one within it is as confident: they share a token
     each = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("t"))
