@@ -8,10 +8,13 @@ special string, is not cut. The memory is emptied when it holds CACHE_ENTRIES.
 
 from __future__ import annotations
 
+import base64
+import functools
 import heapq
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 #: Longer chunks are encoded each time: they rarely come back.
 CACHE_CHARS = 64
 
@@ -48,19 +51,30 @@ class Remembered(dict):
 
 
 class IdEncoder:
-    """Little-endian unsigned 32-bit ids of a text, as bytes."""
+    """Little-endian unsigned 32-bit ids of a text, as bytes.
 
-    def __init__(self, path: str):
+    With ``ranks``, a file of the same vocabulary as ranks, and its ``pattern``,
+    chunks are encoded by the faster library; texts that cannot be cut into
+    chunks always go to the library of ``path``.
+    """
+
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.inner = Remembered(lambda chunk: self.whole(" " + chunk))
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.whole = lambda text: array("I", ids(text)).tobytes()
+        part = ids
+        if ranks:
+            import tiktoken
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            with open(ranks, "rb") as f:
+                held = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            part = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=held, special_tokens={}).encode_ordinary
+        self.inner = Remembered(lambda chunk: array("I", part(" " + chunk)).tobytes())
 
     def __call__(self, text: str) -> bytes:
         if _uncuttable(text) or any(s in text for s in self.special):
@@ -69,6 +83,12 @@ class IdEncoder:
         return self.whole(first) + b"".join(map(self.inner.__getitem__, rest))
 
 
+@functools.cache
+def id_encoder(path: str, ranks: str | None, pattern: str | None) -> IdEncoder:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return IdEncoder(path, ranks, pattern)
+
+
 def byte_symbols() -> list[str]:
     """The printable character by which a byte-level vocabulary writes each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -136,6 +156,11 @@ class MergeCounter:
         return self.plain(first) + sum(map(self.inner.__getitem__, rest))
 
 
+@functools.cache
+def merge_counter(path: str, pattern: str) -> MergeCounter:
+    return MergeCounter(path, pattern)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
@@ -148,7 +173,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = MergeCounter(vocabulary, pattern)
+        counter = merge_counter(vocabulary, pattern)
         for batch in batches:
             texts = texts_of(batch, "text")
             tokens = np.fromiter(map(counter, texts), dtype=np.int64, count=len(texts))
@@ -160,7 +185,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, with_ids: bool = False, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut each text's ids, closed by ``end_id``, into pieces of at most ``size``.
 
     Only the first piece may be shorter. Columns: id, piece, start, length,
@@ -168,7 +193,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, with_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = IdEncoder(vocabulary)
+        encode = id_encoder(vocabulary, ranks, pattern)
         closing = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []

@@ -159,8 +159,8 @@ def pack(pieces: DataFrame, capacity: int, keys: tuple[str, ...] = ("doc_id", "p
     return placed.select(*pieces.columns, (F.col("s_sequence") + F.floor(at / F.col("s_times"))).cast("long").alias("sequence_id"), (F.col("s_offset") + at % F.col("s_times") * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """Tokenize, cut and pack whole documents. Null texts count as empty: one closing id."""
     from linewright.llm.bpe import token_pieces
 
-    return pack(settle(token_pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)
+    return pack(settle(token_pieces(docs, vocabulary, capacity, end_id, ranks=ranks, pattern=pattern), "pieces"), capacity)

@@ -36,14 +36,14 @@ def test_counts_on_documents(spark, sf_dir):
 
 
 def test_cached_chunks_equal_whole_texts():
-    encode, count = bpe.IdEncoder(vocabulary()), bpe.MergeCounter(vocabulary(), public_tokenizers.PATTERN)
+    encode, plain, count = bpe.IdEncoder(vocabulary(), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), bpe.IdEncoder(vocabulary()), bpe.MergeCounter(vocabulary(), public_tokenizers.PATTERN)
     rng = np.random.default_rng(1)
     alphabet = list("ab'st 1.\n\t é ") + ["  ", " \n"]
     for _ in range(3000):
         text = "".join(rng.choice(alphabet, rng.integers(0, 12)))
         want = ids(text)
         assert np.frombuffer(encode(text), "<u4").tolist() == want, repr(text)
-        assert count(text) == len(want), repr(text)
+        assert plain(text) == encode(text) and count(text) == len(want), repr(text)
 
 
 def packed_right(rows, texts, capacity):
