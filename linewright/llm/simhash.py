@@ -179,7 +179,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 
 
 def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id is their component's least; of rows with one id, one is kept."""
+    """The rows whose id is their component's least, columns unchanged.
+
+    Of rows with one id, one is kept; rows without an id cannot be told apart and all stay.
+    """
     found = near_duplicates(docs, words, id_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(found, F.col(id_col) == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates([id_col])
+    kept = docs.join(found, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
