@@ -2,7 +2,7 @@
 
 Texts are cut before single spaces into chunks whose encodings do not depend on
 their surroundings, so a worker remembers the encodings of chunks it has seen.
-A text where a space stands between two white-space characters, or that holds a
+A text where a space stands between two white-space characters or ends a run of them, or that holds a
 special string, is not cut. The memory is emptied when it holds CACHE_ENTRIES.
 """
 
@@ -26,7 +26,7 @@ CACHE_ENTRIES = 800_000
 #: Longer chunks are encoded each time: they rarely come back.
 CACHE_CHARS = 64
 
-_uncuttable = re.compile(r"\s \s").search
+_uncuttable = re.compile(r"\s \s|\s \Z").search
 
 
 def cut(text: str) -> list[str]:
