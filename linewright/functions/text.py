@@ -220,3 +220,41 @@ def natural_key(path: Column) -> Column:
 
 def slug(name: Column, most: int = 96) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "_"), r"^[_.]+|[_.]+$", ""), F.lit(most))
+
+
+def seconds_of(part: Column) -> Column:
+    """Seconds of H:M:S, M:S or a plain number; null if it is none of them."""
+    pieces = F.split(strip(part), ":")
+    number = lambda k: F.get(pieces, F.lit(k)).try_cast("double")
+    return F.when(F.size(pieces) == 1, number(0)).when(F.size(pieces) == 2, number(0) * 60 + number(1)).when(F.size(pieces) == 3, number(0) * 3600 + number(1) * 60 + number(2))
+
+
+def time_range(text: Column) -> Column:
+    """struct(start, end) of two times with a dash of any kind between them, else nulls."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text, "--|[—–~]", "-"), "-"), strip), lambda p: p != "")
+    both = F.size(parts) == 2
+    return F.struct(F.when(both, seconds_of(F.get(parts, F.lit(0)))).alias("start"), F.when(both, seconds_of(F.get(parts, F.lit(1)))).alias("end"))
+
+
+def locale_problem(declared: Column, path: Column, expected: str, labels: dict[str, str], wanted_path: Column) -> Column:
+    """Why a fetched row cannot be the wanted line, null if it can.
+
+    The declared locale and a locale folder that leads the path must both be the
+    expected one, at least one of them must be there, and what follows the
+    locale folder must be the wanted path.
+    """
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    plain = lambda p: F.lower(F.translate(F.coalesce(p, F.lit("")), "\\", "/"))
+    said, folder = F.coalesce(blank(F.lower(declared)), F.lit("")), F.substring_index(plain(path), "/", 1)
+    told, led = F.when(said != "", F.coalesce(known[said], said)), known[folder]
+    rest = lambda p: F.when(known[F.substring_index(plain(p), "/", 1)].isNotNull(), F.regexp_replace(plain(p), "^[^/]*/", "")).otherwise(plain(p))
+    return F.when(told != expected, "declared_locale").when(led != expected, "path_locale").when(told.isNull() & led.isNull(), "no_locale").when((rest(path) == "") | (rest(wanted_path) == ""), "no_identity").when(rest(path) != rest(wanted_path), "other_line")
+
+
+def reconciled(confidence: Column, dominance: Column, matched: Column, total: Column) -> Column:
+    """The higher of a present confidence and that of index evidence: min(dominance, coverage) at 0.75 and 0.40."""
+    evidence = F.least(dominance, matched / F.greatest(total, F.lit(1)))
+    found = F.when(evidence >= 0.75, 3).when(evidence >= 0.40, 2).otherwise(1)
+    rank = F.when(confidence == "high", 3).when(confidence == "medium", 2).when(confidence == "low", 1).otherwise(0)
+    names = F.array(*map(F.lit, ("none", "low", "medium", "high")))
+    return F.when(matched <= 0, F.get(names, rank)).otherwise(F.get(names, F.greatest(found, rank)))

@@ -100,3 +100,19 @@ def containing_terms(texts: DataFrame, terms: DataFrame, text: str, term: str, m
         raise ValueError(f"a glossary holds at most {most_terms} terms")
     held = F.broadcast(terms.distinct())
     return texts.join(held, F.contains(F.lower(text), F.lower(term))).select(term).distinct()
+
+
+def by_routes(records: DataFrame, lines: DataFrame, record_id: str, line_id: str, routes: list[tuple[str, str]], order: str, only_alone: tuple[str, ...] = ()) -> DataFrame:
+    """record_id, line_id, route: each record by its first route that meets a line.
+
+    ``routes`` are (record column, line column). Of lines with one value the last in
+    order holds, but on the line columns of ``only_alone`` a repeated value meets none.
+    """
+    met = None
+    for k, (a, b) in enumerate(routes):
+        lookup = lines.filter(F.coalesce(F.col(b).cast("string"), F.lit("")) != "").groupBy(F.col(b).cast("string").alias("_v")).agg(F.max_by(line_id, order).alias(line_id), F.count("*").alias("_n"))
+        if b in only_alone:
+            lookup = lookup.filter("_n = 1")
+        one = records.select(record_id, F.col(a).cast("string").alias("_a")).join(lookup, F.col("_a") == F.col("_v")).select(record_id, F.struct(F.lit(k).alias("route"), line_id).alias("_x"))
+        met = one if met is None else met.unionByName(one)
+    return met.groupBy(record_id).agg(F.min("_x").alias("_x")).select(record_id, f"_x.{line_id}", "_x.route")

@@ -117,3 +117,78 @@ def source_audit(t):
     expected = F.when(k % 8 == 0, "").when(k % 7 == 0, F.sha2(F.concat("text", F.lit("?")), 256)).otherwise(F.upper(F.sha2("text", 256)))
     rows = t("documents").withColumn("o", source_outcome(expected, F.when(k % 9 != 0, data)))
     return summary.pivot(rows, "lang", "o", ["verified", "changed", "missing_file", "hash_missing", "empty_file"])
+
+
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY lang, b ORDER BY doc_id) * CASE WHEN b THEN 1 END AS number, b AS in_band FROM (SELECT doc_id, lang, n_chars / 100.0 BETWEEN 3 AND 10 AS b FROM documents WHERE doc_id % 3 = 0)""")
+def reference_pack(t):
+    from linewright.sources.exports import reference_pack as pack
+
+    return pack(t("documents"), "lang", F.col("doc_id") % 3 == 0, F.col("n_chars") / 100.0, ["doc_id"]).select("doc_id", "number", "in_band")
+
+
+@query("SELECT conv_id, turn, '[[' || conv_id || '.' || turn || ' ' || sha256(text) || ']]' || chr(10) || 'SOURCE: ' || replace(text, chr(10), ' ') || chr(10) || 'TARGET: ' || role || chr(10) AS block FROM conversations")
+def review_blocks(t):
+    from linewright.sources.exports import review_block
+
+    key = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return t("conversations").select("conv_id", "turn", review_block(key, F.col("text"), F.col("role")).alias("block"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, base64(encode(text)) AS data FROM documents WHERE lang = 'de'")
+def recovery_package(t):
+    from linewright.sources.exports import recovery_package as package
+
+    rows = package(t("documents").filter("lang = 'de'").select("doc_id", F.encode("text", "UTF-8").alias("c")), "doc_id", "c")
+    return rows.withColumn("data", F.regexp_replace("data", r"\s", ""))
+
+
+@query("""WITH l AS (SELECT p_partkey, p_name, p_brand || p_size AS logical, 'm' || p_partkey AS member FROM part), r AS (SELECT p_partkey AS rid, CASE WHEN p_partkey % 4 = 0 THEN 'm' || p_partkey * 3 ELSE '' END AS member, CASE WHEN p_partkey % 4 = 1 THEN p_brand || (p_size + 1) ELSE '' END AS logical, p_name FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 4 = 1),
+x AS (SELECT rid, 0 AS route, l.p_partkey FROM r JOIN l ON r.member = l.member UNION ALL SELECT rid, 1, v FROM r JOIN (SELECT logical, max(p_partkey) AS v FROM l GROUP BY logical) k ON r.logical = k.logical
+UNION ALL SELECT rid, 2, v FROM r JOIN (SELECT p_name, max(p_partkey) AS v FROM l GROUP BY p_name HAVING count(*) = 1) k ON r.p_name = k.p_name)
+SELECT rid, arg_min(p_partkey, route) AS p_partkey, CAST(min(route) AS INT) AS route FROM x GROUP BY rid""")
+def import_resolution(t):
+    from linewright.operators.matching import by_routes
+
+    k, s = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    lines = t("part").select("p_partkey", "p_name", F.concat("p_brand", F.col("p_size").cast("string")).alias("logical"), F.concat(F.lit("m"), s).alias("member"))
+    member = F.when(k % 4 == 0, F.concat(F.lit("m"), (k * 3).cast("string"))).otherwise("")
+    logical = F.when(k % 4 == 1, F.concat("p_brand", (F.col("p_size") + 1).cast("string"))).otherwise("")
+    records = t("part").filter("p_partkey % 2 = 0 or p_partkey % 4 = 1").select(k.alias("rid"), member.alias("member"), logical.alias("logical"), "p_name")
+    return by_routes(records, lines, "rid", "p_partkey", [("member", "member"), ("logical", "logical"), ("p_name", "p_name")], "p_partkey", ("p_name",))
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 60 * 60.0 + 5.5 WHEN 1 THEN 3600.0 + o_orderkey % 60 END AS DOUBLE) AS start, CAST(CASE o_orderkey % 3 WHEN 0 THEN 7300.0 WHEN 1 THEN 4000.0 END AS DOUBLE) AS \"end\" FROM orders")
+def time_ranges(t):
+    k, m = F.col("o_orderkey") % 3, (F.col("o_orderkey") % 60).cast("string")
+    text = F.when(k == 0, F.concat(m, F.lit(":5.5 — 2:01:40"))).when(k == 1, F.concat(F.lit("1:00:"), m, F.lit("~4000"))).otherwise("from 1 - to")
+    return t("orders").withColumn("r", tx.time_range(text)).select("o_orderkey", "r.start", "r.end")
+
+
+@query("""SELECT page_id, CASE WHEN d IS NOT NULL AND d <> 'en' THEN 'declared_locale' WHEN f IN ('de', 'fr', 'es') THEN 'path_locale' WHEN d IS NULL AND f IS NULL THEN 'no_locale' WHEN page_id % 5 = 0 THEN 'other_line' END AS problem
+FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN NULL ELSE 'en' END AS d, CASE WHEN page_id % 4 = 0 THEN NULL ELSE regexp_extract(url, '/([a-z][a-z])/[0-9]', 1) END AS f FROM pages)""")
+def locale_check(t):
+    k, lang = F.col("page_id"), F.regexp_extract("url", "/([a-z][a-z])/[0-9]", 1)
+    path = F.concat(F.when(k % 4 == 0, "voice").otherwise(lang), F.lit("\\line.wem"))
+    wanted = F.when(k % 5 == 0, "en/other.wem").otherwise(F.when(k % 4 == 0, "voice/line.wem").otherwise("EN/line.wem"))
+    return t("pages").select("page_id", tx.locale_problem(F.when(k % 3 == 1, "").otherwise(" English"), path, "en", {"english": "en", "en": "en", "de": "de", "fr": "fr", "es": "es"}, wanted).alias("problem"))
+
+
+@query("SELECT user_id, n, v, CASE greatest(CASE WHEN v = 0 THEN 0 WHEN least(0.9, v / greatest(n, 1)) >= 0.75 THEN 3 WHEN least(0.9, v / greatest(n, 1)) >= 0.40 THEN 2 ELSE 1 END, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 0 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS confidence FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS v FROM events GROUP BY user_id)")
+def evidence_reconciled(t):
+    rows = summary.counters(t("events"), ["user_id"], v=F.col("event_type") == "view")
+    present = F.when(F.col("user_id") % 3 == 0, "medium").otherwise("none")
+    return rows.select("user_id", F.col("total").alias("n"), "v", tx.reconciled(present, F.lit(0.9), F.col("v"), F.col("total")).alias("confidence"))
+
+
+def ass_scripts(t):
+    """Conversations as ASS scripts, texts broken to lines. Rows only: the breaking is Python's."""
+    from linewright.functions.layout import broken_lines
+    from linewright.plans.ordered import timed
+    from linewright.sources.exports import render_ass
+
+    lines = timed(t).withColumn("broken", broken_lines(2000)("text"))
+    start, end = F.col("start_sample") / 8000.0, F.col("end_sample") / 8000.0
+    return render_ass(lines, "conv_id", "turn", F.col("broken"), start, end, F.lit(200), F.lit(300))
+
+
+query()(ass_scripts)

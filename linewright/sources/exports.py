@@ -34,3 +34,61 @@ def write_training_set(judged: DataFrame, folder: str) -> None:
 def write_index(rows: DataFrame, folder: str, order: list[str]) -> None:
     """A CSV index with a header in range-sorted files."""
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+
+
+ASS_HEADER = "[Script Info]\nScriptType: v4.00+\nPlayResX: 1920\nPlayResY: 1080\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, Alignment\nStyle: Line,Arial,60,2\n\n[Events]\nFormat: Layer, Start, End, Style, Text\n"
+
+
+def ass_text(text: Column) -> Column:
+    """A text in which nothing reads as markup."""
+    return F.replace(F.regexp_replace(F.translate(text, "{}", "()"), r"\\", "/"), F.lit("\n"), F.lit("\\N"))
+
+
+def render_ass(lines: DataFrame, archive: str, ordinal: str, broken: Column, start: Column, end: Column, fade_in: Column, fade_out: Column) -> DataFrame:
+    """One row an archive: its cues as ASS text. ``broken`` is an array of lines; fades are milliseconds outside the voice."""
+    from linewright.functions.text import ass_clock
+
+    cue = F.concat(
+        F.lit("Dialogue: 0,"), ass_clock(F.greatest(F.lit(0.0), start - fade_in / 1000)), F.lit(","), ass_clock(end + fade_out / 1000), F.lit(",Line,{\\fad("),
+        fade_in.cast("string"), F.lit(","), fade_out.cast("string"), F.lit(")}"), F.array_join(F.transform(broken, ass_text), "\\N"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), cue.alias("cue"))))
+    spoken = lines.filter(F.size(broken) > 0)
+    return spoken.groupBy(archive).agg(F.concat(F.lit(ASS_HEADER), F.array_join(F.transform(listed, lambda x: x["cue"]), "\n"), F.lit("\n")).alias("ass"))
+
+
+def write_manifest(entries: DataFrame, report: DataFrame, folder: str) -> None:
+    """Entries as Parquet and the report as JSON, each under its own folder of a new version."""
+    entries.write.mode("errorifexists").parquet(f"{folder}/entries")
+    report.write.mode("errorifexists").json(f"{folder}/report")
+
+
+def reference_pack(lines: DataFrame, key: str, selected: Column, duration: Column, order: list[str], least: float = 3.0, most: float = 10.0) -> DataFrame:
+    """Selected lines with in_band (the duration fits) and, for those that do, number 1, 2, ... in each group."""
+    chosen = lines.filter(selected).withColumn("in_band", F.coalesce(duration.between(least, most), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(key, "in_band").orderBy(*order))
+    return chosen.withColumn("number", F.when(F.col("in_band"), place.cast("long")))
+
+
+def review_block(line_id: Column, source: Column, target: Column) -> Column:
+    """A line's block of a review file; the hash ties an answer to the source it was given for."""
+    return F.concat(F.lit("[["), line_id.cast("string"), F.lit(" "), F.sha2(source, 256), F.lit("]]\nSOURCE: "), F.replace(source, F.lit("\n"), F.lit(" ")), F.lit("\nTARGET: "), F.replace(target, F.lit("\n"), F.lit(" ")), F.lit("\n"))
+
+
+def read_review(blocks: DataFrame, text: str) -> DataFrame:
+    """line_id, source_hash, target of the blocks in a text column."""
+    grammar = r"\[\[(\S+) ([0-9a-f]{64})\]\]\nSOURCE: [^\n]*\nTARGET: ([^\n]*)"
+    found = blocks.select(F.explode(F.regexp_extract_all(text, F.lit(grammar), 0)).alias("block"))
+    return found.select(F.regexp_extract("block", grammar, 1).alias("line_id"), F.regexp_extract("block", grammar, 2).alias("source_hash"), F.regexp_extract("block", grammar, 3).alias("target"))
+
+
+def recovery_package(files: DataFrame, name: str, content: str) -> DataFrame:
+    """name, sha256 and base64 of each file: a package that text channels carry."""
+    return files.select(name, F.sha2(content, 256).alias("sha256"), F.base64(content).alias("data"))
+
+
+def recovered(package: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(files whose content has its recorded hash, names of the others)."""
+    opened = package.withColumn("content", F.try_to_binary("data", F.lit("base64")))
+    right = F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False))
+    return opened.filter(right).select(name, "content"), opened.filter(~right).select(name)
