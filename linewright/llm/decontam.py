@@ -122,8 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without an occurrence of a benchmark window, columns unchanged."""
     _, places = matches(docs, benchmark, window)
-    hit = settle(places.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).distinct(), "hit")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.xxhash64("text") == F.col("h2")), "left_anti")
+    hit = settle(places.select(F.col("doc_id").alias("_d2"), F.col("h").alias("_h2")).distinct(), "hit")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d2")) & (F.xxhash64("text") == F.col("_h2")), "left_anti")
 
 
 CONTAMINATION_SQL = r"""

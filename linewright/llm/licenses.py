@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewright.llm.common import WordHashes
+
 # License, form, text.
 TEMPLATES = [
     ("MIT", "line", "Released under the MIT License."),
@@ -64,27 +66,15 @@ TEMPLATES = [
     ("Unlicense", "grant", "This is free and unencumbered software released into the public domain."),
 ]
 SHINGLE, WINDOW, BAND, LEAST_COVERAGE = 3, 3, 8, 0.8
-#: Words hashed at a time, and words remembered by a worker.
-BLOCK, CACHE_WORDS = 1_000_000, 400_000
+#: Words hashed at a time.
+BLOCK = 1_000_000
 
 _keep = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 _word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _far = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        value = xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = value
-        return value
-
-
-_words = Words()
+_words = WordHashes()
 
 
 def words_of(text: str) -> list[bytes]:

@@ -23,33 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import new_path
+from linewright.llm.common import WordHashes, new_path
 
-#: Tokens counted or scored at a time, bytes of text a bucket, and words remembered by a worker.
-COUNT_BLOCK, SCORE_BLOCK, BUCKET_BYTES, CACHE_WORDS = 3_000_000, 500_000, 8 << 20, 400_000
+#: Tokens counted or scored at a time, and bytes of text a bucket.
+COUNT_BLOCK, SCORE_BLOCK, BUCKET_BYTES = 3_000_000, 500_000, 8 << 20
 SMALLEST = 0.1
 
 
-class Hashes(dict):
-    """word (bytes) -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        value = xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = value
-        return value
-
-
 def _ends() -> tuple[int, int]:
     """Hashes of the start and the end; no word holds a space."""
-    return Hashes()[b" start"], Hashes()[b" end"]
+    return WordHashes()[b" start"], WordHashes()[b" end"]
 
 
-def token_hashes(text: str | None, hashes: Hashes, end: int) -> np.ndarray:
+def token_hashes(text: str | None, hashes: WordHashes, end: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     out = np.empty(len(words) + 1, dtype=np.uint64)
     out[:-1] = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -163,7 +149,7 @@ def learn(train: DataFrame, text_col: str = "text") -> Model:
     start, end = _ends()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = Hashes(), [], 0
+        hashes, held, n = WordHashes(), [], 0
 
         def flush() -> pa.RecordBatch:
             right = np.concatenate(held)
@@ -307,7 +293,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, hashes = Scorer(model), Hashes()
+        scorer, hashes = Scorer(model), WordHashes()
         for batch in batches:
             texts, n, known, base, score, size = [], 0, [], [], [], []
 

@@ -56,7 +56,7 @@ def _windows(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Add the column q: counts, the base verdict, and features in thousandths.
+    """Add the column _q: counts, the base verdict, and features in thousandths.
 
     Null texts count as empty.
     """
@@ -76,7 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
         share = lambda a, b: F.floor(a * 1000 / F.greatest(b, F.lit(1).cast("long"))).cast("long")
         return F.struct(n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), d["dup"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), share(symbols, chars).alias("f_symbols"), share(upper, chars).alias("f_upper"), share(d["dup"], d["lines"]).alias("f_dup_lines"), share(chars, n).alias("f_word_length"))
 
-    return docs.withColumn("q", let(F.struct(let(words, of).alias("w"), let(lines, dup).alias("d")), lambda x: joined(x["w"], x["d"])))
+    return docs.withColumn("_q", let(F.struct(let(words, of).alias("w"), let(lines, dup).alias("d")), lambda x: joined(x["w"], x["d"])))
 
 
 def bucket_of(value: Column) -> Column:
@@ -90,8 +90,8 @@ def bucket_floor(bucket: Column) -> Column:
 
 def sketches(featured: DataFrame) -> DataFrame:
     """(lang, source, feature, bucket, n) of the documents that pass the base rules."""
-    each = F.array(*(F.struct(F.lit(f).alias("feature"), bucket_of(F.col(f"q.{f}")).alias("bucket")) for f in UNITS))
-    return featured.filter("not q.base_failed").select("lang", "source", F.inline(each)).groupBy("lang", "source", "feature", "bucket").agg(F.sum(F.lit(1).cast("long")).alias("n"))
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), bucket_of(F.col(f"_q.{f}")).alias("bucket")) for f in UNITS))
+    return featured.filter("not _q.base_failed").select("lang", "source", F.inline(each)).groupBy("lang", "source", "feature", "bucket").agg(F.sum(F.lit(1).cast("long")).alias("n"))
 
 
 def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -107,23 +107,23 @@ def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(featured: DataFrame) -> DataFrame:
-    """(t_lang, t_source, a limit for each feature), a row for each language and source."""
+    """(_t_lang, _t_source, a limit for each feature), a row for each language and source."""
     sketch = settle(sketches(featured), "sketches")
     own, lang, every = limits(sketch, ["lang", "source"]), limits(sketch, ["lang"]), limits(sketch.withColumn("all", F.lit(1)), ["all"])
     # a language has one row and everything one, so both sides are far smaller than the groups
     joined = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang"))).withColumn("all", F.lit(1)).join(F.broadcast(every.alias("e")), "all")
     pick = lambda f: F.when(F.col("o.docs") >= LEAST_DOCS, F.col(f"o.{f}")).when(F.col("l.docs") >= LEAST_DOCS, F.col(f"l.{f}")).otherwise(F.col(f"e.{f}"))
-    return settle(joined.select(F.col("o.lang").alias("t_lang"), F.col("o.source").alias("t_source"), *(pick(f).alias(f"t_{f}") for f in UNITS)), "thresholds")
+    return settle(joined.select(F.col("o.lang").alias("_t_lang"), F.col("o.source").alias("_t_source"), *(pick(f).alias(f"_t_{f}") for f in UNITS)), "thresholds")
 
 
 def judge(featured: DataFrame, table: DataFrame) -> DataFrame:
-    """Add kept: false if a base rule fails or a feature lies beyond its limit."""
+    """Add _kept: false if a base rule fails or a feature lies beyond its limit."""
     side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    joined = featured.join(side, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    joined = featured.join(side, F.col("lang").eqNullSafe(F.col("_t_lang")) & F.col("source").eqNullSafe(F.col("_t_source")), "left")
     within = F.lit(True)
     for f in UNITS:
-        within = within & F.coalesce(F.col(f"q.{f}") <= F.col(f"t_{f}"), F.lit(True))
-    return joined.withColumn("kept", ~F.col("q.base_failed") & within)
+        within = within & F.coalesce(F.col(f"_q.{f}") <= F.col(f"_t_{f}"), F.lit(True))
+    return joined.withColumn("_kept", ~F.col("_q.base_failed") & within)
 
 
 def rate(docs: DataFrame) -> DataFrame:
@@ -133,13 +133,13 @@ def rate(docs: DataFrame) -> DataFrame:
     their own. Repeated rows each give a row; an empty table gives none.
     """
     held = settle(features(docs.select("doc_id", "text", "lang", "source")).drop("text"), "features")
-    return judge(held, thresholds(held)).select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "kept")
+    return judge(held, thresholds(held)).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", F.col("_kept").alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The kept documents with their columns. Features are found again rather than texts written twice."""
     held = features(docs.select("text", "lang", "source")).drop("text")
-    return judge(features(docs), thresholds(held)).filter("kept").select(*docs.columns)
+    return judge(features(docs), thresholds(held)).filter("_kept").select(*docs.columns)
 
 
 RATE_CTES = r"""

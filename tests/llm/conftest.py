@@ -19,8 +19,10 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls, empty and very long texts, repeated rows, and a column with a clashing name."""
-    rows = [(i, t, "en", "src0", len(t or ""), 1, "k", "n") for i, t in enumerate(TEXTS)] + [(3, "one", "en", "src0", 3, 1, "k", "n"), (None, "no id here", None, None, None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id int, key string, n string").repartition(3)
+    clashing = ("id", "key", "n", "q", "kept", "s", "found", "h", "d2", "h2", "fp", "at", "term", "words", "length", "rank", "t_lang", "held_out", "piece")
+    rows = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(TEXTS)] + [(3, "one", "en", "src0", 3), (None, "no id here", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", *(f"'x' as {c}" for c in clashing)).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -72,7 +72,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_probabilities_sum_to_one(spark):
     docs = [(i, t) for i, t in enumerate(["a b c a b", "b b a c", "c a b b d e", "a a a", "d e f"] * 4)]
     model = lm.learn(spark.createDataFrame(docs, "doc_id long, text string"))
-    scorer, hashes = lm.Scorer(model), lm.Hashes()
+    scorer, hashes = lm.Scorer(model), lm.WordHashes()
     for first in ("a", "zz", "b"):
         total = 0.0
         for second in ("a", "b", "c", "d", "e", "f", "never seen"[:5]):

@@ -22,7 +22,7 @@ def same(spark, sf_dir, name):
 @pytest.fixture(scope="module")
 def odd_dir(spark, odd_docs, tmp_path_factory):
     root = tmp_path_factory.mktemp("odd")
-    docs = odd_docs.drop("id", "key", "n").toPandas()
+    docs = odd_docs.toPandas()
     docs.to_parquet(root / "documents.parquet")
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs"), (2, "One two"), (3, ""), (4, None), (5, "nothing of this kind is ever said in any document here"), (2, "One two"), (6, "fox jumps over the lazy dog and runs away from it all today"), (7, "lazy dog"), (8, "ONE")], "item_id long, text string")
     bench.toPandas().to_parquet(root / "benchmark.parquet")
