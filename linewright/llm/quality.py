@@ -109,10 +109,11 @@ def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
 def thresholds(featured: DataFrame) -> DataFrame:
     """(_t_lang, _t_source, a limit for each feature), a row for each language and source."""
     sketch = settle(sketches(featured), "sketches")
-    own, lang, every = limits(sketch, ["lang", "source"]), limits(sketch, ["lang"]), limits(sketch.withColumn("all", F.lit(1)), ["all"])
-    # a language has one row and everything one, so both sides are far smaller than the groups
-    joined = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang"))).withColumn("all", F.lit(1)).join(F.broadcast(every.alias("e")), "all")
-    pick = lambda f: F.when(F.col("o.docs") >= LEAST_DOCS, F.col(f"o.{f}")).when(F.col("l.docs") >= LEAST_DOCS, F.col(f"l.{f}")).otherwise(F.col(f"e.{f}"))
+    own, lang = limits(sketch, ["lang", "source"]), limits(sketch, ["lang"])
+    every = limits(sketch.withColumn("all", F.lit(1)), ["all"]).first()  # one row, none without documents
+    joined = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")))
+    last = lambda f: F.lit(every[f] if every else None).cast("long")
+    pick = lambda f: F.when(F.col("o.docs") >= LEAST_DOCS, F.col(f"o.{f}")).when(F.col("l.docs") >= LEAST_DOCS, F.col(f"l.{f}")).otherwise(last(f))
     return settle(joined.select(F.col("o.lang").alias("_t_lang"), F.col("o.source").alias("_t_source"), *(pick(f).alias(f"_t_{f}") for f in UNITS)), "thresholds")
 
 
