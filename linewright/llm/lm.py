@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from linewright.llm.common import WordHashes, new_path
 
 #: Tokens counted or scored at a time, and bytes of text a bucket.
-COUNT_BLOCK, SCORE_BLOCK, BUCKET_BYTES = 3_000_000, 500_000, 8 << 20
+COUNT_BLOCK, SCORE_BLOCK, BUCKET_BYTES = 2_000_000, 500_000, 8 << 20
 SMALLEST = 0.1
 
 
@@ -63,6 +63,14 @@ def distinct_sums(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return order[first], *(np.add.reduceat(s[order], first) if len(key) else s[:0] for s in sums)
 
 
+def distinct_counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the first of each distinct key in sorted order, how often each occurs)."""
+    order = np.argsort(key)
+    ordered = key[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return order[first], np.diff(np.append(first, len(key))).astype(np.uint32)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [str(i) for i in range(len(arrays))])
@@ -154,8 +162,9 @@ def learn(train: DataFrame, text_col: str = "text") -> Model:
         def flush() -> pa.RecordBatch:
             right = np.concatenate(held)
             starts = np.concatenate([[0], np.cumsum([len(h) for h in held])[:-1]]).astype(np.int64)
+            held.clear()
             left = left_of(right, starts, start)
-            first, times = distinct_sums(pair_key(left, right), np.ones(len(right), dtype=np.uint32))
+            first, times = distinct_counts(pair_key(left, right))
             left, right = left[first], right[first]
             edge = np.searchsorted(bucket_of(left, bits), np.arange((1 << bits) + 1))
             used = [b for b in range(1 << bits) if edge[b] < edge[b + 1]]
@@ -164,7 +173,7 @@ def learn(train: DataFrame, text_col: str = "text") -> Model:
                 v, w, c = (x[edge[b] : edge[b + 1]] for x in (left, right, times))
                 run = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                 # each left word once, with the number of its pairs
-                blobs.append(packed(v[run], np.diff(np.append(run, len(v))).astype(np.uint32)) + packed(w, c.astype(np.uint32)))
+                blobs.append(packed(v[run], np.diff(np.append(run, len(v))).astype(np.uint32)) + packed(w, c))
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -173,7 +182,7 @@ def learn(train: DataFrame, text_col: str = "text") -> Model:
                 n += len(held[-1])
                 if n >= COUNT_BLOCK:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield flush()
 
