@@ -1,5 +1,5 @@
 """Operators that prepare text for language-model training.
 
 Nothing else in the package imports this folder. ``queries`` holds the
-registered queries and ``oracles`` their DuckDB counterparts.
+registered queries, each operator module the SQL of its own.
 """

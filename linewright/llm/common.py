@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
 
+#: A side of a join is broadcast only if its rows hold no more bytes.
+BROADCAST_BYTES = 32 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,19 +40,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, local runs) is one made.
+    Only a local session that names none (tests) gets one made; elsewhere that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_folder[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables, to be removed when its results have been used."""
+    return f"{shared_folder(spark)}/linewright/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/linewright/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -63,6 +73,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames has, whatever its case: names made with it clash with none."""
+    names, prefix = [c.lower() for f in frames for c in f.columns], "_"
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """A frame's columns; names with dots too."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def bytes_of(table: DataFrame) -> int:
+    """Bytes of a settled table's rows, written out: a bound of what a broadcast of it holds."""
+    return table.agg(F.sum(F.octet_length(F.to_json(F.struct(*columns_of(table)))))).first()[0] or 0
+
+
+def small_side(table: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The table marked for broadcast if its size allows; if not, a join that Spark may split."""
+    return F.broadcast(table) if bytes_of(table) <= most_bytes else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; pure ASCII text takes the fast built-in."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -4,7 +4,9 @@ A sketch is a histogram over log-linear buckets of whole numbers: sixteen
 buckets for each power of two, so a quantile is within a sixteenth of its value,
 sketches merge by adding counts, and a group's sketch has a bounded size. They
 are made for each language and source, merged into sketches for each language
-and for everything, and a group of few documents takes the merged thresholds.
+and for everything. A group's limit is its own and its parent's, weighted by the
+group's documents against ``PRIOR`` documents of the parent, so that a small group
+leans on its language and a small language on everything, without a jump.
 A document is rejected where a feature lies beyond the upper quartile by
 ``spread`` times the distance between the quartiles, that distance being at
 least the feature's ``unit``.
@@ -17,15 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewright.llm.common import let, settle
+from linewright.llm.common import apart, columns_of, let, settle, small_side
 
 #: feature -> least distance between quartiles, in thousandths
 UNITS = {"f_symbols": 20, "f_upper": 60, "f_dup_lines": 150, "f_word_length": 1500}
 SPREAD = 3
-#: Groups of fewer documents take their language's thresholds, languages of fewer those of everything.
-LEAST_DOCS = 100
-#: Threshold tables of up to so many rows are broadcast (some 10 MB).
-BROADCAST_ROWS = 100_000
+#: Documents that a group's parent counts for in the group's limits.
+PRIOR = 100
 WINDOW = 5
 
 
@@ -55,8 +55,8 @@ def _windows(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Add the column _q: counts, the base verdict, and features in thousandths.
+def features(docs: DataFrame, to: str) -> DataFrame:
+    """Add the column ``to``: counts, the base verdict, and features in thousandths.
 
     Null texts count as empty.
     """
@@ -76,7 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
         share = lambda a, b: F.floor(a * 1000 / F.greatest(b, F.lit(1).cast("long"))).cast("long")
         return F.struct(n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), d["dup"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), share(symbols, chars).alias("f_symbols"), share(upper, chars).alias("f_upper"), share(d["dup"], d["lines"]).alias("f_dup_lines"), share(chars, n).alias("f_word_length"))
 
-    return docs.withColumn("_q", let(F.struct(let(words, of).alias("w"), let(lines, dup).alias("d")), lambda x: joined(x["w"], x["d"])))
+    return docs.withColumn(to, let(F.struct(let(words, of).alias("w"), let(lines, dup).alias("d")), lambda x: joined(x["w"], x["d"])))
 
 
 def bucket_of(value: Column) -> Column:
@@ -88,10 +88,10 @@ def bucket_floor(bucket: Column) -> Column:
     return F.when(bucket < 16, bucket).otherwise((bucket % 16 + 16) * F.pow(F.lit(2.0), F.floor(bucket / 16) - 1)).cast("long")
 
 
-def sketches(featured: DataFrame) -> DataFrame:
+def sketches(featured: DataFrame, q: str) -> DataFrame:
     """(lang, source, feature, bucket, n) of the documents that pass the base rules."""
-    each = F.array(*(F.struct(F.lit(f).alias("feature"), bucket_of(F.col(f"_q.{f}")).alias("bucket")) for f in UNITS))
-    return featured.filter("not _q.base_failed").select("lang", "source", F.inline(each)).groupBy("lang", "source", "feature", "bucket").agg(F.sum(F.lit(1).cast("long")).alias("n"))
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), bucket_of(F.col(f"{q}.{f}")).alias("bucket")) for f in UNITS))
+    return featured.filter(~F.col(f"{q}.base_failed")).select("lang", "source", F.inline(each)).groupBy("lang", "source", "feature", "bucket").agg(F.sum(F.lit(1).cast("long")).alias("n"))
 
 
 def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -106,41 +106,53 @@ def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
     return limit.groupBy(*by).agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("feature") == f, F.col("limit"))).alias(f) for f in UNITS))
 
 
-def thresholds(featured: DataFrame) -> DataFrame:
-    """(_t_lang, _t_source, a limit for each feature), a row for each language and source."""
-    sketch = settle(sketches(featured), "sketches")
+def thresholds(featured: DataFrame, q: str) -> DataFrame:
+    """(lang, source, a limit for each feature), a row for each language and source."""
+    sketch = settle(sketches(featured, q), "sketches")
     own, lang = limits(sketch, ["lang", "source"]), limits(sketch, ["lang"])
     every = limits(sketch.withColumn("all", F.lit(1)), ["all"]).first()  # one row, none without documents
     joined = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")))
-    last = lambda f: F.lit(every[f] if every else None).cast("long")
-    pick = lambda f: F.when(F.col("o.docs") >= LEAST_DOCS, F.col(f"o.{f}")).when(F.col("l.docs") >= LEAST_DOCS, F.col(f"l.{f}")).otherwise(last(f))
-    return settle(joined.select(F.col("o.lang").alias("_t_lang"), F.col("o.source").alias("_t_source"), *(pick(f).alias(f"_t_{f}") for f in UNITS)), "thresholds")
 
+    def leaning(side: str, f: str, parent: Column) -> Column:
+        n = F.col(f"{side}.docs")
+        return F.call_function("div", n * F.col(f"{side}.{f}") + PRIOR * parent, n + PRIOR)
 
-def judge(featured: DataFrame, table: DataFrame) -> DataFrame:
-    """Add _kept: false if a base rule fails or a feature lies beyond its limit."""
-    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    joined = featured.join(side, F.col("lang").eqNullSafe(F.col("_t_lang")) & F.col("source").eqNullSafe(F.col("_t_source")), "left")
+    pick = lambda f: leaning("o", f, leaning("l", f, F.lit(every[f] if every else None).cast("long")))
+    return settle(joined.select("o.lang", "o.source", *(pick(f).alias(f) for f in UNITS)), "thresholds")
+
+
+def judge(featured: DataFrame, q: str, to: str) -> DataFrame:
+    """Add the column ``to``: false if a base rule fails or a feature lies beyond its limit."""
+    table, p = thresholds(featured, q), apart(featured)
+    side = small_side(table).select(*(F.col(c).alias(p + c) for c in table.columns))
+    joined = featured.join(side, F.col("lang").eqNullSafe(F.col(f"{p}lang")) & F.col("source").eqNullSafe(F.col(f"{p}source")), "left")
     within = F.lit(True)
     for f in UNITS:
-        within = within & F.coalesce(F.col(f"_q.{f}") <= F.col(f"_t_{f}"), F.lit(True))
-    return joined.withColumn("_kept", ~F.col("_q.base_failed") & within)
+        within = within & F.coalesce(F.col(f"{q}.{f}") <= F.col(p + f), F.lit(True))
+    return joined.withColumn(to, ~F.col(f"{q}.base_failed") & within)
 
 
 def rate(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the counts, base_failed, kept.
 
     Null texts have no words and fail. Null languages and sources are groups of
-    their own. Repeated rows each give a row; an empty table gives none.
+    their own. Repeated rows each give a row; an empty table gives none. Columns
+    but doc_id, text, lang and source are not read. Very long texts are read whole.
     """
-    held = settle(features(docs.select("doc_id", "text", "lang", "source")).drop("text"), "features")
-    return judge(held, thresholds(held)).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", F.col("_kept").alias("kept"))
+    held = settle(features(docs.select("doc_id", "text", "lang", "source"), "_q").drop("text"), "features")
+    return judge(held, "_q", "_kept").select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", F.col("_kept").alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The kept documents with their columns. Features are found again rather than texts written twice."""
-    held = features(docs.select("text", "lang", "source")).drop("text")
-    return judge(features(docs), thresholds(held)).filter("_kept").select(*docs.columns)
+    """The kept documents with their columns, whatever those are called.
+
+    The documents are written once beside their features, so that features are
+    found once. Null texts go, null languages and sources are groups of their own,
+    repeated rows stay or go together, an empty table stays empty.
+    """
+    p = apart(docs)
+    held = settle(features(docs, f"{p}q"), "features")
+    return judge(held, f"{p}q", f"{p}kept").filter(F.col(f"{p}kept")).select(*columns_of(docs))
 
 
 RATE_CTES = r"""
@@ -164,7 +176,7 @@ qu AS (SELECT lv, lang, source, feature, max(total) AS docs, min(b) FILTER (WHER
 qv AS (SELECT *, CASE WHEN b1 < 16 THEN b1 ELSE (b1 % 16 + 16) << CAST(b1 // 16 - 1 AS INT) END AS v1, CASE WHEN b3 < 16 THEN b3 ELSE (b3 % 16 + 16) << CAST(b3 // 16 - 1 AS INT) END AS v3 FROM qu),
 li AS (SELECT lv, lang, source, docs, feature, v3 + 3 * greatest(v3 - v1, CASE feature WHEN 'f_symbols' THEN 20 WHEN 'f_upper' THEN 60 WHEN 'f_dup_lines' THEN 150 ELSE 1500 END) AS l FROM qv),
 th AS (SELECT lv, lang, source, max(docs) AS docs, max(l) FILTER (WHERE feature = 'f_symbols') AS a, max(l) FILTER (WHERE feature = 'f_upper') AS b, max(l) FILTER (WHERE feature = 'f_dup_lines') AS c, max(l) FILTER (WHERE feature = 'f_word_length') AS d FROM li GROUP BY ALL),
-pk AS (SELECT o.lang, o.source, CASE WHEN o.docs >= 100 THEN [o.a, o.b, o.c, o.d] WHEN l.docs >= 100 THEN [l.a, l.b, l.c, l.d] ELSE [e.a, e.b, e.c, e.d] END AS x
+pk AS (SELECT o.lang, o.source, list_transform([[o.a, l.a, e.a], [o.b, l.b, e.b], [o.c, l.c, e.c], [o.d, l.d, e.d]], lambda v: (o.docs * v[1] + 100 * ((l.docs * v[2] + 100 * v[3]) // (l.docs + 100))) // (o.docs + 100)) AS x
   FROM th o JOIN th l ON l.lv = 2 AND l.lang IS NOT DISTINCT FROM o.lang JOIN th e ON e.lv = 3 WHERE o.lv = 1),
 rated AS (SELECT q3.*, NOT base_failed AND coalesce(f_symbols <= x[1], TRUE) AND coalesce(f_upper <= x[2], TRUE) AND coalesce(f_dup_lines <= x[3], TRUE) AND coalesce(f_word_length <= x[4], TRUE) AS kept
   FROM q3 LEFT JOIN pk ON q3.lang IS NOT DISTINCT FROM pk.lang AND q3.source IS NOT DISTINCT FROM pk.source)

@@ -22,7 +22,8 @@ def odd_docs(spark):
     clashing = ("id", "key", "n", "q", "kept", "s", "found", "h", "d2", "h2", "fp", "at", "term", "words", "length", "rank", "t_lang", "held_out", "piece")
     rows = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(TEXTS)] + [(3, "one", "en", "src0", 3), (None, "no id here", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return docs.selectExpr("*", *(f"'x' as {c}" for c in clashing)).repartition(3)
+    internal = [f"_{c}" for c in (*clashing, "q", "kept", "s", "found", "l", "b", "k", "bucket", "before", "first", "end", "times", "sequence", "offset", "own", "stays", "row", "lang", "source")]
+    return docs.selectExpr("*", *(f"'{c}' as {c}" for c in (*clashing, *dict.fromkeys(internal))), "'dot' as `a.b`", "'_' as __q").repartition(3)
 
 
 @pytest.fixture(scope="session")
