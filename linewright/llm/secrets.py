@@ -1,15 +1,23 @@
 """Secret scans: fixed patterns, and a battery of randomness tests.
 
-Candidates for the tests are long runs of letters, digits and ``+/_-`` in which an
-encoding can be inferred: hexadecimal, base32, digits with letters of one case,
-or base64. Words (letters of one case only) are no candidates. Three tests look
-for signs that a candidate is not random: chi-squared uniformity of its
-alphabet (in cells of at least five expected symbols), runs above and below the
-alphabet's middle, and serial correlation. The least p-value, times three, is the
-candidate's. Within each encoding and length class, Benjamini and Hochberg's
-procedure then decides which candidates are told from random ones at a false
-discovery rate of ``RATE``; the others are reported. p-values are held as a
-histogram of a few hundred bins a class, so only bounded counts are gathered.
+Candidates are runs of letters, digits and ``+/_-`` of 20 characters or more, long
+ones in even pieces of 128 to 255, in which an encoding can be inferred:
+hexadecimal, base32, digits with letters of one case, or base64. Words (letters of
+one case only) are no candidates. Three tests look for signs that a candidate is
+not random: chi-squared uniformity of its alphabet (in cells of at least five
+expected symbols), runs above and below the alphabet's middle, and serial
+correlation. The least p-value, times three, is the candidate's.
+
+What is reported must look random where ordinary identifiers do not. The null is
+a model of ordinary identifiers: the plain words of texts with candidates, joined
+with a digit after every third, brought into the candidates' encodings and cut to
+their lengths, go through the same battery. A candidate's q is the share of those of its encoding
+and length class that look as random, and Benjamini and Hochberg's procedure at
+``RATE`` on the q of a class bounds the share of ordinary strings among its
+reported spans: short classes, in which the tests tell little, report little. A
+candidate that the battery itself rejects at ``LEAST_P`` is never reported. Both
+distributions are histograms of a few hundred bins a class, so only bounded counts
+are gathered. Reported pieces that touch make one span.
 
 Only built-in expressions and aggregates run.
 """
@@ -19,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import let, settle
+from linewright.llm.common import apart, columns_of, let, settle
 
 #: The contract's patterns, least lengths, and their order.
 ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -28,10 +36,14 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]+"
-LEAST_CANDIDATE = 20
-MOST_CANDIDATE = 512
-RATE = 0.05
-BINS = 400
+LEAST_CANDIDATE, PIECE = 20, 128
+RATE, LEAST_P = 0.05, 0.001
+#: Ordinary strings made for each class of each text that has candidates.
+ORDINARY = 20
+#: Bins of -20 log10(p); the last random enough to be reported.
+BINS, LAST_BIN = 400, 60
+#: A word of letters that stands alone.
+WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z]+(?![A-Za-z0-9+/_-])"
 #: encoding -> its alphabet in order
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -41,6 +53,8 @@ ALPHABETS = {
     "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
 }
+#: What stands for the letters g to z in hexadecimal ordinary strings, and for 0, 1, 8 and 9 in base32.
+AS_HEX, AS_BASE32 = ("ghijklmnopqrstuvwxyz", "0123456789abcdef0123"), ("0189", "2345")
 SPAN = "struct<start:long,end:long,hit:string>"
 
 
@@ -129,69 +143,116 @@ def _class_of(kind: Column, n: Column) -> Column:
     return F.concat_ws("/", kind, F.length(F.bin(n)).cast("string"))
 
 
+def bin_of(token: Column, kind: Column) -> Column:
+    """The battery's bin of a token in an encoding: 0 looks most random."""
+    alphabets = F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair))
+    p = let(F.element_at(alphabets, kind), lambda alphabet: battery(token, alphabet))
+    return F.least(F.lit(BINS), F.floor(-F.log10(p) * 20)).cast("int")
+
+
 def candidates(found: Column) -> Column:
-    """Spans of CANDIDATE -> struct(start, end, class, bin) of those with an encoding."""
+    """Spans of CANDIDATE -> struct(start, end, kind, class, bin) of their pieces that have an encoding."""
+
+    def pieces(x: Column) -> Column:
+        n = x["end"] - x["start"]
+        k = F.greatest(F.lit(1).cast("long"), F.floor(n / PIECE).cast("long"))
+        cut = lambda i: F.floor(n * i / k).cast("long")
+        return F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.struct((x["start"] + cut(i)).alias("start"), (x["start"] + cut(i + 1)).alias("end"), F.substring(x["hit"], (cut(i) + 1).cast("int"), (cut(i + 1) - cut(i)).cast("int")).alias("hit")))
+
+    def tested(x: Column, kind: Column) -> Column:
+        return F.when(kind.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), _class_of(kind, x["end"] - x["start"]).alias("class"), bin_of(x["hit"], kind).alias("bin")))
+
+    return F.array_compact(F.transform(F.flatten(F.transform(found, pieces)), lambda x: let(encoding(x["hit"]), lambda kind: tested(x, kind))))
 
-    alphabets = F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair))
 
-    def tested(x: Column, token: Column) -> Column:
-        def of(kind: Column) -> Column:
-            p = let(F.element_at(alphabets, kind), lambda alphabet: battery(token, alphabet))
-            return F.when(kind.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), _class_of(kind, x["end"] - x["start"]).alias("class"), F.least(F.lit(BINS), F.floor(-F.log10(p) * 20)).cast("int").alias("bin")))
+def ordinary(text: Column, tried: Column) -> Column:
+    """struct(class, bin) of ordinary strings made of a text's words, ORDINARY for each class tried."""
+    named = F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w, i: F.concat(F.initcap(w), F.when(i % 3 == 2, (F.length(w) % 10).cast("string")).otherwise("")))
 
-        return let(encoding(token), of)
+    def spell(x: Column, kind: Column) -> Column:
+        low, high = F.lower(x), F.upper(x)
+        return (
+            F.when(kind == "hex", F.translate(low, *AS_HEX))
+            .when(kind == "hex_upper", F.upper(F.translate(low, *AS_HEX)))
+            .when(kind == "base32", F.translate(high, *AS_BASE32))
+            .when(kind == "lower36", low)
+            .when(kind == "upper36", high)
+            .otherwise(x)
+        )
 
-    return F.array_compact(F.transform(found, lambda x: let(F.substring(x["hit"], 1, MOST_CANDIDATE), lambda token: tested(x, token))))
+    def of_class(base: Column, like: Column) -> Column:
+        size = F.length(base)
 
+        def one(r: Column) -> Column:
+            model = F.get(like, (r % F.size(like)).cast("int"))
+            n = (model["end"] - model["start"]).cast("int")
+            at = ((model["start"] + F.floor(r * size / ORDINARY)) % size).cast("int")
+            whole = F.repeat(base, (F.floor((at + n) / size) + 1).cast("int"))
+            return F.struct(model["class"].alias("class"), bin_of(spell(F.substring(whole, at + 1, n), model["kind"]), model["kind"]).alias("bin"))
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Add _s with assign, access, hex (arrays of spans) and tried (tested candidates). Null texts are empty."""
+        return F.transform(F.sequence(F.lit(0), F.lit(ORDINARY - 1)), one)
+
+    def of(base: Column) -> Column:
+        classes = F.array_distinct(F.transform(tried, lambda x: x["class"]))
+        return F.flatten(F.transform(classes, lambda c: let(F.filter(tried, lambda x: x["class"] == c), lambda like: of_class(base, like))))
+
+    none = F.array().cast("array<struct<class:string,bin:int>>")
+    return F.when(F.size(tried) > 0, let(F.array_join(named, ""), lambda base: F.when(base == "", none).otherwise(of(base)))).otherwise(none)
+
+
+def scan(docs: DataFrame, to: str) -> DataFrame:
+    """Add the column ``to``: assign, access and hex (arrays of spans), tried (tested candidates) and ordinary (bins of the null). Null texts are empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("_s", F.struct(
+    found = docs.withColumn(to, F.struct(
         spans(text, ASSIGN, 6, group=2).alias("assign"),
         spans(text, ACCESS, 20, filter_pattern=ACCESS[:4] + "[A-Z0-9]{16}").alias("access"),
         spans(text, HEX, 24, filter_pattern="[0-9a-f]{24}").alias("hex"),
-        spans(text, CANDIDATE, LEAST_CANDIDATE, filter_pattern=CANDIDATE[:-1] + "{20}").alias("long"),
+        let(spans(text, CANDIDATE, LEAST_CANDIDATE, filter_pattern=CANDIDATE[:-1] + "{20}"), candidates).alias("tried"),
     ))
-    return found.withColumn("_s", F.struct("_s.assign", "_s.access", "_s.hex", candidates(F.col("_s.long")).alias("tried")))
+    return found.withColumn(to, F.struct(f"{to}.assign", f"{to}.access", f"{to}.hex", f"{to}.tried", let(F.col(f"{to}.tried"), lambda tried: ordinary(text, tried)).alias("ordinary")))
 
 
-def discoveries(scanned: DataFrame) -> dict[str, int]:
-    """class -> least bin that Benjamini and Hochberg's procedure tells from random.
+def discoveries(scanned: DataFrame, s: str) -> dict[str, int]:
+    """class -> last bin that is reported.
 
-    Gathers at most BINS + 1 counts for each encoding and power of two of lengths.
+    Gathers at most BINS + 1 pairs of counts for each encoding and power of two of lengths.
     """
-    tried = scanned.select(F.explode("_s.tried").alias("t")).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
-    by_class: dict[str, dict[int, int]] = {}
-    for r in tried.collect():
-        by_class.setdefault(r["class"], {})[r["bin"]] = r["n"]
-    least = {}
+    side = lambda name, k: scanned.select(F.explode(f"{s}.{name}").alias("t")).select("t.class", "t.bin", F.lit(k).alias("null"))
+    counts = side("tried", 0).unionByName(side("ordinary", 1)).groupBy("class", "bin").agg(F.count_if(F.col("null") == 0).alias("n"), F.count_if(F.col("null") == 1).alias("o"))
+    by_class: dict[str, dict[int, tuple[int, int]]] = {}
+    for r in counts.collect():
+        by_class.setdefault(r["class"], {})[r["bin"]] = (r["n"], r["o"])
+    last = {}
     for name, bins in by_class.items():
-        total, so_far = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            so_far += bins[b]
-            if 10 ** (-b / 20) <= RATE * so_far / total:
-                least[name] = b
-    return least
+        total, null = (sum(x[k] for x in bins.values()) for k in (0, 1))
+        n = o = 0
+        for b in sorted(x for x in bins if x <= LAST_BIN):
+            n, o = n + bins[b][0], o + bins[b][1]
+            if (1 + o) * total <= RATE * n * (1 + null):
+                last[name] = b
+    return last
 
 
-def report(scanned: DataFrame, least: dict[str, int]) -> DataFrame:
-    """Add _found: all spans (start, order, end) of a row, by start and kind.
+def report(scanned: DataFrame, s: str, last: dict[str, int], to: str) -> DataFrame:
+    """Add the column ``to``: all spans (start, kind, end) of a row, by start and kind.
 
-    A random span that meets a fixed one is left out.
+    A random piece that meets a fixed span is left out; pieces that touch are one span.
     """
-    told = F.create_map(*(F.lit(x) for pair in least.items() for x in pair)) if least else F.create_map().cast("map<string,int>")
-
-    def of_kind(i: int) -> Column:
-        return F.transform(F.col(f"_s.{KINDS[i]}"), lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")))
-
-    fixed = [of_kind(i) for i in range(3)]
+    told = F.create_map(*(F.lit(x) for pair in last.items() for x in pair)) if last else F.create_map().cast("map<string,int>")
+    span = lambda start, kind, end: F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+    of_kind = lambda k: F.transform(F.col(f"{s}.{KINDS[k]}"), lambda x: span(x["start"], k, x["end"]))
+    fixed = [of_kind(k) for k in range(3)]
 
     def both(base: Column) -> Column:
-        alone = F.filter("_s.tried", lambda x: (x["bin"] < F.coalesce(F.element_at(told, x["class"]), F.lit(BINS + 1))) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.array_sort(F.concat(base, F.transform(alone, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))))
+        alone = F.filter(f"{s}.tried", lambda x: (x["bin"] <= F.coalesce(F.element_at(told, x["class"]), F.lit(-1))) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        return F.array_sort(F.concat(base, let(alone, whole)))
+
+    def whole(x: Column) -> Column:
+        opens = F.array_compact(F.transform(x, lambda y, i: F.when(~F.coalesce(F.get(x, i - 1)["end"] == y["start"], F.lit(False)), y["start"])))
+        ends = F.array_compact(F.transform(x, lambda y, i: F.when(~F.coalesce(F.get(x, i + 1)["start"] == y["end"], F.lit(False)), y["end"])))
+        return F.zip_with(opens, ends, lambda a, b: span(a, 3, b))
 
-    return scanned.withColumn("_found", let(F.concat(*fixed), both))
+    return scanned.withColumn(to, let(F.concat(*fixed), both))
 
 
 def joined(found: Column, most_kind: int) -> Column:
@@ -204,10 +265,11 @@ def find(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Null texts count as empty and have no spans. Repeated rows each give a row;
-    an empty table gives none. Columns but doc_id and text are not read.
+    an empty table gives none. Columns but doc_id and text are not read. A very
+    long run is tested in pieces, to its end.
     """
-    held = settle(scan(docs.select("doc_id", "text")).drop("text"), "secrets")
-    out = report(held, discoveries(held))
+    held = settle(scan(docs.select("doc_id", "text"), "_s").drop("text"), "secrets")
+    out = report(held, "_s", discoveries(held, "_s"), "_found")
     count = lambda i: F.size(F.filter("_found", lambda x: x["kind"] == i)).cast("long")
     return out.select("doc_id", *(count(i).alias(f"n_{KINDS[i]}") for i in range(3)), F.sha2(joined(F.col("_found"), 2), 256).alias("base_sha256"), joined(F.col("_found"), 3).alias("spans"), count(3).alias("n_random"))
 
@@ -215,20 +277,25 @@ def find(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by ``mark``, n_chars brought up to date.
 
-    Overlapping spans are masked as one. Texts without spans stay as they are.
+    Overlapping spans are masked as one. Null texts and texts without spans stay as
+    they are, repeated rows are masked alike, an empty table stays empty, and other
+    columns are kept whatever they are called. The documents are written once
+    beside their spans, so that they are scanned once.
     """
-    least = discoveries(scan(docs.select("text")).drop("text"))
-    found = report(scan(docs), least)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    p = apart(docs)
+    held = settle(scan(docs, f"{p}s"), "secrets")
+    found, spans_of = report(held, f"{p}s", discoveries(held, f"{p}s"), f"{p}found"), F.col(f"{p}found")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
+        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.lit(mark))).alias("out"))
         wider = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(x["start"] >= acc["at"], fresh).otherwise(wider)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    out = found.withColumn("text", F.when(F.size("_found") > 0, F.aggregate("_found", start, step, rest)).otherwise(F.col("text")))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+    hit = F.size(spans_of) > 0
+    out = found.withColumn("text", F.when(hit, F.aggregate(spans_of, start, step, rest)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_found") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*columns_of(docs))

@@ -1,6 +1,8 @@
 import hashlib
+import math
+import random
 import re
-import secrets as entropy
+import string
 
 import pytest
 
@@ -55,13 +57,112 @@ def test_base_spans(spark, sf_dir, odd_docs, hard):
     check(secrets.find(every).collect(), {r.doc_id: r.text for r in every.collect()})
 
 
+def normal_tail(z):
+    x = max(min(z, 30.0), -30.0)
+    return 1 / (1 + math.exp(min(700, 1.5976 * x + 0.07056 * x**3)))
+
+
+def bin_of(token, kind):
+    """The battery of one token, step by step."""
+    alphabet = secrets.ALPHABETS[kind]
+    v, size, n = [alphabet.index(c) for c in token.replace("-", "+").replace("_", "/")], len(alphabet), len(token)
+    cells = min(size, max(2, n // 5))
+    chi = 0.0
+    for k in range(cells):
+        e = (math.ceil((k + 1) * size / cells) - math.ceil(k * size / cells)) * n / size
+        chi += (sum(math.floor(y * cells / size) == k for y in v) - e) ** 2 / e
+    df = cells - 1
+    above = [y * 2 >= size for y in v]
+    ones, runs = sum(above), 1 + sum(a != b for a, b in zip(above, above[1:]))
+    expected = 2 * ones * (n - ones) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    mean = sum(v) / n
+    var = sum((y - mean) ** 2 for y in v)
+    z = [((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)), (runs - expected) / math.sqrt(spread) if spread > 0 else 30.0, sum((b - mean) * (a - mean) for a, b in zip(v, v[1:])) / var * math.sqrt(n) if var > 0 else 30.0]
+    p = min(1.0, 3 * min(normal_tail(z[0]), 2 * normal_tail(abs(z[1])), 2 * normal_tail(abs(z[2]))))
+    return min(secrets.BINS, math.floor(-math.log10(p) * 20))
+
+
+def encoding(x):
+    if not (re.search("[0-9]", x) and re.search("[A-Za-z]", x)):
+        return None
+    for kind, pattern in (("hex", "[0-9a-f]+"), ("hex_upper", "[0-9A-F]+"), ("base32", "[A-Z2-7]+"), ("lower36", "[0-9a-z]+"), ("upper36", "[0-9A-Z]+")):
+        if re.fullmatch(pattern, x):
+            return kind
+    return "base64" if re.search("[A-Z]", x) and re.search("[a-z]", x) else None
+
+
+def spelled(x, kind):
+    as_hex, as_32 = str.maketrans(*secrets.AS_HEX), str.maketrans(*secrets.AS_BASE32)
+    return {"hex": x.lower().translate(as_hex), "hex_upper": x.lower().translate(as_hex).upper(), "base32": x.upper().translate(as_32), "lower36": x.lower(), "upper36": x.upper()}.get(kind, x)
+
+
+def brute(texts):
+    """The spans of every text, from definitions."""
+    tried, counts = [], {}
+    for text in texts:
+        found = []
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text or ""):
+            n = len(m[0])
+            k = max(1, n // secrets.PIECE)
+            for i in range(k):
+                a, b = n * i // k, n * (i + 1) // k
+                if kind := encoding(m[0][a:b]):
+                    found.append((m.start() + a, m.start() + b, (kind, (b - a).bit_length()), bin_of(m[0][a:b], kind)))
+        tried.append(found)
+        words = "".join(w[:1].upper() + w[1:].lower() + str(len(w) % 10) * (i % 3 == 2) for i, w in enumerate(re.findall(secrets.WORD, text or "")))
+        for _, _, c, b in found:
+            counts.setdefault(c, ([], []))[0].append(b)
+        for c in {x[2] for x in found} if words else ():
+            like = [x for x in found if x[2] == c]
+            for r in range(secrets.ORDINARY):
+                a, b, _, _ = like[r % len(like)]
+                at = (a + r * len(words) // secrets.ORDINARY) % len(words)
+                counts[c][1].append(bin_of(spelled((words * (2 + (b - a) // len(words)))[at : at + b - a], c[0]), c[0]))
+    last = {}
+    for c, (own, null) in counts.items():
+        fit = [b for b in own if b <= secrets.LAST_BIN and (1 + sum(x <= b for x in null)) / (1 + len(null)) <= secrets.RATE * sum(x <= b for x in own) / len(own)]
+        last[c] = max(fit, default=-1)
+    for text, found in zip(texts, tried):
+        fixed, spans = base(text), []
+        for a, b, c, x in found:
+            if x <= last[c] and not any(s < b and a < e for s, _, e in fixed):
+                if spans and spans[-1][2] == a:
+                    spans[-1] = (spans[-1][0], 3, b)
+                else:
+                    spans.append((a, 3, b))
+        yield named(sorted(fixed + spans))
+
+
+def lines(rng, n, size=33):
+    return ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(size)) for _ in range(n)]
+
+
+def test_every_span_equals_brute_force(spark, sf_dir, odd_docs):
+    rng = random.Random(5)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for n in (22, 33, 60, 140):
+        texts += [f"the key of the house is {x} and more words follow it" for x in lines(rng, 12, n)]
+    texts += [f"{''.join(rng.choice('0123456789ABCDEF') for _ in range(40))} is upper case" for _ in range(12)] + [f"a plain sentence with some_identifier{i}_and_its_name and OtherName{i}InCamelCaseForAll" for i in range(30)]
+    texts += ["a1" * 256 + lines(rng, 1, 4000)[0] + " after a long run of the same", *(r.text for r in odd_docs.collect())]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.find(frame).collect()}
+    want = list(brute(texts))
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum("random" in x for x in want) >= 20
+
+
 def test_random_strings_are_found_and_names_are_not(spark):
-    named = ["aaaaaaaaaaaaaaaaaaaa1111111111", "very_long_identifier_name_without_digits", "abababababababababababab12121212", "Section0000000000000000000000001", "counterrevolutionariesandothers"]
-    random = [entropy.token_urlsafe(33) for _ in range(40)] + [entropy.token_hex(16).upper() for _ in range(40)]
-    rows = [(i, f"see {t} here") for i, t in enumerate(random + named)]
-    got = {r.doc_id: r.n_random for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] > 0 for i in range(80)) >= 60
-    assert not any(got[80 + i] for i in range(len(named)))
+    rng = random.Random(7)
+    names = ["aaaaaaaaaaaaaaaaaaaa1111111111", "very_long_identifier_name_without_digits", "abababababababababababab12121212", "Section0000000000000000000000001", "counterrevolutionariesandothers", "ReadTheWholeConfiguration2OfTheServer3", "page1of20page2of20page3of20page4of20"]
+    found = lines(rng, 80)
+    rows = [(i, f"see {t} here, the words around it are plain and there are some") for i, t in enumerate(found + names)]
+    rows.append((99, "x1" * 256 + lines(rng, 1, 4000)[0] + " in the middle of a sentence of words"))
+    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i].n_random > 0 for i in range(80)) >= 60
+    assert not any(got[80 + i].n_random for i in range(len(names)))
+    spans = [tuple(map(int, s.split(":")[1:])) for s in got[99].spans.split(",")]
+    assert sum(b - a for a, b in spans) >= 3000 and min(a for a, _ in spans) >= 500
 
 
 def test_masking(spark, odd_docs, hard):
@@ -79,4 +180,5 @@ def test_masking(spark, odd_docs, hard):
         assert r.text == out + text[at:]
     masked = secrets.mask(odd_docs)
     assert masked.columns == odd_docs.columns and masked.count() == odd_docs.count()
-    assert {r.found for r in masked.collect()} == {"x"}
+    for c in set(odd_docs.columns) - {"doc_id", "text", "lang", "source", "n_chars"}:
+        assert {r[c] for r in masked.collect()} == {r[c] for r in odd_docs.collect()}
