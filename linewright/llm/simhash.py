@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewright.llm.common import settle
+from linewright.llm.common import apart, columns_of, settle, small_side
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b110001110101
@@ -49,16 +49,16 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the fingerprint as a signed long). Texts without words have 0."""
+    """id, h (hash of the text) and fp (the fingerprint as a signed long). Texts without words have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             fps = np.fromiter((fingerprint(t or "", words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(fps.view(np.int64))], ["id", "h", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
 def _remainder(word: int) -> int:
@@ -132,15 +132,16 @@ def links(nodes: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for nodes that have links.
 
-    Alternating large-star and small-star rounds; each result is a table in the
-    shared folder, and only a count and a checksum reach the driver.
+    Alternating large-star and small-star rounds to the fixed point, which they
+    reach in a number of rounds that grows with the logarithm of the links; each
+    result is a table in the shared folder, and only a count and a checksum reach
+    the driver.
     """
-    edges = settle(edges.select("a", "b"), "edges")
-    seen = None
-    for _ in range(rounds):
+    edges, seen, now = settle(edges.select("a", "b"), "edges"), None, ()
+    while now != seen:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("m").alias("a"), "b")
@@ -150,39 +151,54 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, F.col("b") == F.col("u"))
         small = small.select(F.col("m").alias("a"), F.col("b")).unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
         edges = settle(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        seen, now = now, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
+def roots_of(fps: DataFrame) -> DataFrame:
+    """(node, root) of every distinct fingerprint of the column fp; a lone one is its own root."""
+    nodes = settle(fps.select("fp").distinct(), "nodes")
+    return nodes.join(components(links(nodes)), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (least id reachable).
 
     Fingerprints within two bits link. Null and wordless texts have fingerprint 0
     and link like any other. Repeated rows stay; a null id gets its component's
-    least id, null if none has one. An empty table gives an empty result.
+    least id, null if none has one. An empty table gives an empty result. Columns
+    but the id and the text are not read; very long texts are hashed in blocks.
     """
     fps = settle(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = settle(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "nodes")
-    roots = components(links(nodes))
-    labelled = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = labelled.filter("root <> fp").groupBy("root").agg(F.min("first").alias("m")).withColumnRenamed("root", "r")
-    # only members of linked groups need the group's least id
-    label = labelled.join(least, F.col("root") == F.col("r"), "left").select("fp", "first", "root", "m")
-    top = label.select(F.col("fp").alias("t"), F.least("first", "m").alias("component_id")).filter(F.col("component_id").isNotNull())
-    named = label.select("fp", "root").join(top, F.col("root") == F.col("t"), "left").select(F.col("fp").alias("n"), "component_id")
-    return fps.join(named, F.col("fp") == F.col("n"), "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id is their component's least, columns unchanged.
-
-    Of rows with one id, one is kept; rows without an id cannot be told apart and all stay.
+    first = fps.groupBy("fp").agg(F.min("id").alias("first"))
+    labelled = settle(roots_of(fps).join(first, F.col("node") == F.col("fp")).select("node", "root", "first"), "roots")
+    least = labelled.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
+    named = labelled.join(least, F.col("root") == F.col("r")).select("node", "component_id")
+    return fps.join(named, F.col("fp") == F.col("node")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked texts, columns unchanged, whatever they are called.
+
+    It is the row of the least id, a null one after all others, then of the least
+    hash of its text, then of the least of its columns as JSON: of rows equal in
+    all columns any one, which is the same. Rows of one id with other texts are
+    other documents. An empty table stays empty. Only the keys of rows that go are
+    joined with the documents; texts are not shuffled while those keys can be
+    broadcast.
     """
-    found = near_duplicates(docs, words, id_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(found, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    p = apart(docs)
+    fps = settle(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    # a document is an id with a text; whole copies of one are counted
+    keys = fps.groupBy("id", "h", "fp").agg(F.count("*").alias("n"))
+    keys = settle(keys.join(roots_of(fps), F.col("fp") == F.col("node")).select("id", "h", "n", "root"), "keys")
+    best = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")).withColumnRenamed("root", "r")
+    judged = keys.join(best, F.col("root") == F.col("r")).withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))
+    # the other documents, and those that stay once of several rows
+    marks = settle(judged.filter("n > 1 or not stays").select(F.col("id").alias(f"{p}id"), F.col("h").alias(f"{p}h"), F.col("stays").alias(f"{p}stays")), "marks")
+    hashed = docs.withColumn(f"{p}own", F.xxhash64(text_col))
+    met = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}own") == F.col(f"{p}h"))
+    single = hashed.join(small_side(marks), met, "left_anti").select(*columns_of(docs))
+    whole = F.struct(*columns_of(docs))
+    once = hashed.join(small_side(marks.filter(f"{p}stays")), met, "left_semi").groupBy(id_col, f"{p}own").agg(F.min_by(whole, F.to_json(whole)).alias(f"{p}row"))
+    return single.unionByName(once.select(f"{p}row.*").select(*columns_of(docs)))
