@@ -6,22 +6,30 @@ confidence's lower bound (Wilson, 95 %) stays over a half, and a rule is dropped
 if a shorter one within it is as confident. URLs meet rules through
 an inverted index on each rule's rarest token.
 
+Mining is bounded. No rule of fewer than ``LEAST_ROWS`` rows can pass the lower
+bound, so none is mined. Tokens of exactly the same rows are mined as one; each of
+them then stands for it in the rules. FP-growth lists combinations of any size, so
+where a row still has more than ``MOST_ITEMS`` items, combinations are counted level
+by level instead, up to the size that is used: the same rules, in polynomial time.
+
 Only DataFrame operations and the FP-growth of Spark's own ML library run.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewright.llm.common import ascii_lower, settle
+from linewright.llm.common import ascii_lower, settle, small_side
 
 BAD = "label=bad"
-#: Mined rules of up to so many rows are broadcast; there are at most 1 / support single tokens.
-BROADCAST_ROWS = 50_000
 #: Square of the normal quantile of the confidence's lower bound, and the least such bound.
 Z2, LEAST_BOUND = 1.96**2, 0.5
+#: Z2 / (1 / LEAST_BOUND - 1) rows at least: fewer cannot reach the bound even if all are bad.
+LEAST_ROWS, MOST_ITEMS = 4, 16
 
 
 def host_of(url: Column) -> Column:
@@ -51,24 +59,67 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(named("host:", labels), named("part:", parts), named("path:", steps)))
 
 
+def subsets(items: Column, most: int) -> Column:
+    """Sorted combinations of 1 to ``most`` of a sorted array's items."""
+    every = one = F.transform(items, lambda x: F.array(x))
+    for _ in range(most - 1):
+        one = F.flatten(F.transform(one, lambda c: F.transform(F.filter(items, lambda x: x > F.element_at(c, -1)), lambda x: F.array_append(c, x))))
+        every = F.concat(every, one)
+    return every
+
+
+def by_levels(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(items, n, bad) of the combinations of up to ``most`` items in ``least`` bad rows or more, level by level.
+
+    A combination is counted only if all its parts one item smaller are frequent.
+    """
+    found = None
+    grown = rows.select("row", "bad", F.explode("items").alias("x")).select("row", "bad", F.array("x").alias("c"))
+    single = None
+    for size in range(1, most + 1):
+        level = settle(grown.groupBy("c").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).filter(F.col("b") >= least), "level")
+        found = level if found is None else found.unionByName(level)
+        if size == most:
+            break
+        kept = settle(grown.join(small_side(level.select(F.col("c").alias("k"))), F.col("c") == F.col("k"), "left_semi"), "grown")
+        single = kept.select(F.col("row").alias("r"), F.col("c")[0].alias("x")) if single is None else single
+        grown = kept.join(single, (F.col("row") == F.col("r")) & (F.col("x") > F.element_at("c", -1))).select("row", "bad", F.array_append("c", F.col("x")).alias("c"))
+    return found.select(F.col("c").alias("items"), "n", F.col("b").alias("bad"))
+
+
 def mine(labelled: DataFrame, support: float, confidence: float, lift: float, most_tokens: int) -> DataFrame:
-    """(rule_id, tokens, confidence) from rows of (tokens, bad). The rows are read twice."""
+    """(rule_id, tokens, confidence) from rows of (tokens, bad)."""
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double")
-    if labelled.isEmpty():
+    rows = settle(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled")
+    total, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    least = max(LEAST_ROWS, math.ceil(support * total - 1e-9))
+    if bad < least:
         return empty
-    items = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-    total = labelled.count()
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift) & (F.size("antecedent") <= most_tokens))
-    p, n = F.col("confidence"), F.round(F.col("support") * total / F.col("confidence"))
-    rules = rules.filter((p + Z2 / (2 * n) - F.sqrt(Z2 * (p * (1 - p) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n) >= LEAST_BOUND)
-    rules = settle(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("rule_id", F.xxhash64("tokens")), "rules")
-    # a longer rule goes if a shorter one within it is as confident: they share a token
-    each = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("t"))
-    less = each.select(F.col("tokens").alias("short"), F.col("confidence").alias("c2"), F.col("t").alias("t2")).filter(F.col("t") == F.col("short")[0])
-    needless = each.join(less, (F.col("t") == F.col("t2")) & (F.size("short") < F.size("tokens")) & (F.size(F.array_except("short", "tokens")) == 0) & (F.col("c2") >= F.col("confidence"))).select("rule_id").distinct()
-    return rules.join(needless, "rule_id", "left_anti").select("rule_id", "tokens", "confidence")
+    # tokens of the same rows: equal counts, and equal sums of two hashes of the rows' numbers
+    seal = lambda k: F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}")
+    tokens = rows.select("row", "bad", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"), seal(1), seal(2)).filter(F.col("b") >= least)
+    tokens = settle(tokens.withColumn("item", F.min("t").over(Window.partitionBy("n", "s1", "s2"))).select("t", "item"), "tokens")
+    held = rows.select("row", "bad", F.explode("tokens").alias("t")).join(small_side(tokens.filter("t = item")), "t").groupBy("row", "bad").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    held = settle(held, "items")
+    if (held.agg(F.max(F.size("items"))).first()[0] or 0) > MOST_ITEMS:
+        sets = by_levels(held, least, most_tokens)
+    else:
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=confidence)
+        model = model.fit(rows.select("row", "bad").join(held.drop("bad"), "row", "left").select(F.when(F.col("bad"), F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.lit(BAD))).otherwise(F.coalesce("items", F.array().cast("array<string>"))).alias("items")))
+        p, s = F.col("confidence"), F.col("support")
+        rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= most_tokens))
+        sets = rules.select(F.array_sort("antecedent").alias("items"), F.round(s * total / p).cast("long").alias("n"), F.round(s * total).cast("long").alias("bad"))
+    n, p = F.col("n"), F.col("bad") / F.col("n")
+    bound = (p + Z2 / (2 * n) - F.sqrt(Z2 * (p * (1 - p) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n)
+    good = sets.filter((p >= confidence) & (p / (bad / total) >= lift) & (bound >= LEAST_BOUND))
+    rules = settle(good.select(F.col("items").alias("tokens"), p.alias("confidence")).withColumn("rule_id", F.xxhash64("tokens")), "rules")
+    # a longer rule goes if a part of it is a rule as confident: parts are looked up whole
+    parts = rules.select("rule_id", "confidence", F.explode(F.filter(subsets(F.col("tokens"), most_tokens - 1), lambda c: F.size(c) < F.size("tokens"))).alias("part")) if most_tokens > 1 else None
+    if parts is not None:
+        short = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c2"))
+        rules = rules.join(parts.join(short, "part").filter(F.col("c2") >= F.col("confidence")).select("rule_id").distinct(), "rule_id", "left_anti")
+    return rules.select("rule_id", "tokens", "confidence")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -78,7 +129,7 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     spread = rules.select("rule_id", F.col("tokens").alias("rule_tokens"), "confidence", F.explode("tokens").alias("t")).join(counts, "t")
     # the index has each rule under its rarest token only
     index = settle(spread.groupBy("rule_id", "rule_tokens", "confidence").agg(F.min(F.struct("n", "t"))["t"].alias("key")), "rule-index")
-    side = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
+    side = small_side(index)
     fit = urls.select("url", "tokens", F.explode("tokens").alias("t")).join(side, F.col("t") == F.col("key")).filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     best = fit.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("rule_tokens", " ").alias("rule_tokens"))).alias("best"))
     return best.select(F.col("url").alias("m_url"), F.col("best.rule_tokens").alias("rule_tokens"), F.col("best.confidence").alias("confidence"))
@@ -90,7 +141,8 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, st
     ``labelled``: url and bad (boolean). A page takes its fixed rule's verdict,
     else block if a mined rule fits it, else allow. Null urls and urls without
     "://" have an empty host and path and are allowed. Without labels nothing is
-    mined. Repeated rows each give a row.
+    mined. Repeated rows each give a row; an empty table gives none. Very long
+    urls are read whole. Columns but page_id and url are not read.
     """
     parts = lambda df: df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     mined = mine(parts(labelled).select(tokens_of(F.col("host"), F.col("path")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")), support, confidence, lift, most_tokens)

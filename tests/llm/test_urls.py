@@ -83,3 +83,22 @@ def test_rules_are_mined_and_odd_urls_pass(spark):
     check(got.collect(), pages, rules)
     empty = spark.createDataFrame([], "url string, bad boolean")
     check(urls.filter_urls(frame, empty, URL_RULES).collect(), pages, {})
+
+
+def test_long_urls_are_mined_in_bounded_time(spark):
+    """One labelled url of 200 path words, and six that share most of theirs."""
+    long = "http://long.example.org/" + "/".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    wide = [f"http://wide.example.org/" + "/".join(f"v{chr(97 + i)}" for i in range(24) if i % 8 != k) for k in range(8)]
+    labelled = [(long, True), *((u, True) for u in wide)] + [(f"https://www.site{i % 5}.example.org/news/{i}", False) for i in range(100)]
+    pages = list(enumerate([long, *wide, wide[0] + "/more", "http://other.example.org/va/vb"]))
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labelled, "url string, bad boolean"), URL_RULES)
+    check(got.collect(), pages, mined([x for x in labelled if x[0] != long] + [("x", True)], 0.002, 0.8, 2.0, 3))
+
+
+def test_levels_equal_growth(spark, monkeypatch):
+    rows = [(f"http://{'abc'[i % 3]}.x{'yz'[i % 2]}.example.org/{'klm'[i % 5 % 3]}/{'pq'[i % 7 % 2]}", i % 3 == 0) for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(u for u, _ in rows)), "page_id long, url string")
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    grown = sorted(map(tuple, urls.filter_urls(pages, labelled, URL_RULES).collect()))
+    monkeypatch.setattr(urls, "MOST_ITEMS", 1)
+    assert sorted(map(tuple, urls.filter_urls(pages, labelled, URL_RULES).collect())) == grown and any(r[-1] for r in grown)
