@@ -8,6 +8,9 @@ weight. The solution is rounded down, the rest is solved again, and a last small
 rest is filled sequence by sequence with the same knapsack. Only the histogram
 (at most one row for each length up to the capacity) reaches the driver; pieces
 are then placed by their rank within their length, in parallel.
+
+While more than ``last_rest`` pieces are left the program is solved again for
+them; the last ones are filled one sequence at a time. Both hold every piece.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewright.llm.common import settle
+from linewright.llm.common import BROADCAST_BYTES, apart, columns_of, settle, small_side
 
-#: Ranks are dealt in this many buckets for each length, so no length is one task.
-RANK_BUCKETS = 64
+#: Pieces of one length ranked by one task; a length of more is dealt over more tasks.
+RANK_ROWS = 100_000
 
 
 def knapsack(values: np.ndarray, capacity: int, most: np.ndarray) -> dict[int, int]:
@@ -142,25 +145,40 @@ def pack(pieces: DataFrame, capacity: int, keys: tuple[str, ...] = ("doc_id", "p
     """Add sequence_id and offset to pieces with a ``length`` of 1 to ``capacity``.
 
     ``pieces`` must be a table that is cheap to read twice. Every row is placed;
-    equal rows are placed apart; an empty table stays empty.
+    equal rows are placed apart; an empty table stays empty. A piece of the full
+    capacity is a sequence of its own and needs no rank. Other columns are kept,
+    whatever they are called.
     """
-    spark = pieces.sparkSession
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    table = spark.createDataFrame(slots(plan(histogram, capacity)), "s_length long, s_first long, s_end long, s_times long, s_sequence long, s_offset long")
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(RANK_BUCKETS)).cast("int"))
-    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("length").alias("b_length"), F.col("_bucket").alias("b_bucket"), F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b_before"))
+    spark, p = pieces.sparkSession, apart(pieces)
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # capacity rows at most
+    part = {k: n for k, n in histogram.items() if k < capacity}
+    planned = slots(plan(part, capacity))
+    names = [p + x for x in ("length", "first", "end", "times", "sequence", "offset")]
+    table = spark.createDataFrame(planned, ", ".join(f"`{n}` long" for n in names))
+    buckets = spark.createDataFrame([(k, n // RANK_ROWS + 1) for k, n in part.items()], f"`{p}l` long, `{p}k` long")
+    short = pieces.filter(F.col("length") < capacity)
+    # the one broadcast of capacity rows at most
+    dealt = short.join(F.broadcast(buckets), F.col("length") == F.col(f"{p}l")).withColumn(f"{p}bucket", F.pmod(F.xxhash64(*keys), F.col(f"{p}k"))).drop(f"{p}l", f"{p}k")
+    sizes = dealt.groupBy(F.col("length").alias(f"{p}l"), F.col(f"{p}bucket").alias(f"{p}b")).agg(F.count("*").alias(f"{p}n"))
+    before = F.coalesce(F.sum(f"{p}n").over(Window.partitionBy(f"{p}l").orderBy(f"{p}b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = settle(sizes.select(f"{p}l", f"{p}b", before.alias(f"{p}before")), "before")
     order = [F.col(c) for c in (*keys, "start", "ids_crc32") if c in pieces.columns]
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)) - 1)
-    # both broadcasts are bounded: capacity * RANK_BUCKETS rows, and the configurations of one capacity
-    placed = ranked.join(F.broadcast(before), (F.col("length") == F.col("b_length")) & (F.col("_bucket") == F.col("b_bucket"))).withColumn("_rank", F.col("_rank") + F.col("b_before"))
-    placed = placed.join(F.broadcast(table), (F.col("length") == F.col("s_length")) & (F.col("_rank") >= F.col("s_first")) & (F.col("_rank") < F.col("s_end")))
-    at = F.col("_rank") - F.col("s_first")
-    return placed.select(*pieces.columns, (F.col("s_sequence") + F.floor(at / F.col("s_times"))).cast("long").alias("sequence_id"), (F.col("s_offset") + at % F.col("s_times") * F.col("length")).cast("long").alias("offset"))
+    ranked = dealt.withColumn(f"{p}rank", F.row_number().over(Window.partitionBy("length", f"{p}bucket").orderBy(*order)) - 1)
+    placed = ranked.join(small_side(before), (F.col("length") == F.col(f"{p}l")) & (F.col(f"{p}bucket") == F.col(f"{p}b"))).withColumn(f"{p}rank", F.col(f"{p}rank") + F.col(f"{p}before"))
+    placed = placed.join(F.broadcast(table) if len(planned) * 48 <= BROADCAST_BYTES else table, (F.col("length") == F.col(names[0])) & (F.col(f"{p}rank") >= F.col(names[1])) & (F.col(f"{p}rank") < F.col(names[2])))
+    at, times, sequence, offset = F.col(f"{p}rank") - F.col(names[1]), F.col(names[3]), F.col(names[4]), F.col(names[5])
+    out = placed.select(*columns_of(pieces), (sequence + F.floor(at / times)).cast("long").alias("sequence_id"), (offset + at % times * F.col("length")).cast("long").alias("offset"))
+    full = pieces.filter(F.col("length") == capacity)
+    return out.unionByName(full.select(*columns_of(pieces), (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+
 
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, ranks: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Tokenize, cut and pack whole documents: a row a piece, with its ids as little-endian bytes if asked for.
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Tokenize, cut and pack whole documents. Null texts count as empty: one closing id."""
+    Null texts count as empty: one closing id. Repeated rows are packed each; an
+    empty table stays empty. Columns but doc_id and text are not read; a very long
+    text becomes many pieces. Full pieces have negative sequence numbers.
+    """
     from linewright.llm.bpe import token_pieces
 
-    return pack(settle(token_pieces(docs, vocabulary, capacity, end_id, ranks=ranks, pattern=pattern), "pieces"), capacity)
+    return pack(settle(token_pieces(docs, vocabulary, capacity, end_id, with_ids, ranks=ranks, pattern=pattern), "pieces"), capacity)

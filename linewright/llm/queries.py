@@ -54,10 +54,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
 
 
-def pack_1024(docs: DataFrame) -> DataFrame:
+def pack_1024(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(docs, vocabulary(), capacity=1024, end_id=2, ranks=vocabulary("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, vocabulary(), capacity=1024, end_id=2, ranks=vocabulary("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, with_ids=with_ids)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
