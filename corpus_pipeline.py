@@ -3,7 +3,7 @@
 Each stage takes all that its predecessor kept, as a Parquet table: documents
 that fail the quality rules go, one document of each group of near copies stays,
 documents with a benchmark passage go, secrets are masked, and what is left is
-tokenized and packed.
+tokenized and packed: a row a piece, with its ids, sequence and place.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_1024(docs)
+    return pack_1024(docs, with_ids=True)
 
 
 STAGES = [
