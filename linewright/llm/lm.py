@@ -50,9 +50,22 @@ def left_of(right: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
     return left
 
 
-def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The leading halves of both hashes: sorted by it, a left word's pairs lie together."""
-    return (left & np.uint64(0xFFFFFFFF00000000)) | (right >> np.uint64(32))
+def pair_key(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """The left word's leading ``bits``, which name the bucket, and a hash of both whole words behind them."""
+    mixed = (left ^ (left >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + right
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    return (left >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (mixed >> np.uint64(bits))
+
+
+def distinct_pairs(left: np.ndarray, right: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(left, right) of each distinct pair by left, then right, and sums over each; without sums, how often each occurs."""
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+    if not sums:
+        return left[first], right[first], np.diff(np.append(first, len(left))).astype(np.uint32)
+    return left[first], right[first], *(np.add.reduceat(s[order], first) for s in sums)
 
 
 def distinct_sums(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -63,14 +76,6 @@ def distinct_sums(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return order[first], *(np.add.reduceat(s[order], first) if len(key) else s[:0] for s in sums)
 
 
-def distinct_counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the first of each distinct key in sorted order, how often each occurs)."""
-    order = np.argsort(key)
-    ordered = key[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return order[first], np.diff(np.append(first, len(key))).astype(np.uint32)
-
-
 def packed(*arrays: np.ndarray) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [str(i) for i in range(len(arrays))])
@@ -164,8 +169,7 @@ def learn(train: DataFrame, text_col: str = "text") -> Model:
             starts = np.concatenate([[0], np.cumsum([len(h) for h in held])[:-1]]).astype(np.int64)
             held.clear()
             left = left_of(right, starts, start)
-            first, times = distinct_counts(pair_key(left, right))
-            left, right = left[first], right[first]
+            left, right, times = distinct_pairs(left, right)
             edge = np.searchsorted(bucket_of(left, bits), np.arange((1 << bits) + 1))
             used = [b for b in range(1 << bits) if edge[b] < edge[b + 1]]
             blobs = []
@@ -196,12 +200,11 @@ def learn(train: DataFrame, text_col: str = "text") -> Model:
             rights.append(w)
             counts.append(c)
         left, right, times = np.concatenate(lefts), np.concatenate(rights), np.concatenate(counts).astype(np.int64)
-        key = pair_key(left, right)
-        first, times = distinct_sums(key, times)
-        key, left, right = key[first], left[first], right[first]
-        folder = Folder(uri)
-        folder.put(f"pair-{bucket}", key)
-        folder.put(f"pair-count-{bucket}", times.astype(np.uint32))
+        left, right, times = distinct_pairs(left, right, times)
+        folder, key = Folder(uri), pair_key(left, right, bits)
+        order = np.argsort(key)
+        folder.put(f"pair-{bucket}", key[order])
+        folder.put(f"pair-count-{bucket}", times[order].astype(np.uint32))
         at, total, one, two, more = distinct_sums(left, times, *((times == k).astype(np.int64) for k in (1, 2)), (times > 2).astype(np.int64))
         folder.put(f"context-{bucket}", left[at])
         folder.put(f"context-count-{bucket}", total)
@@ -289,7 +292,7 @@ class Scorer:
         before = np.empty_like(at)
         before[1:] = at[:-1]
         before[starts] = inverse[-1]
-        key, back = np.unique(pair_key(word[before], right), return_inverse=True)
+        key, back = np.unique(pair_key(word[before], right, m.bits), return_inverse=True)
         (times,) = self.lookup("pair", key, ("pair-count", "<u4", 1))
         times = times[back]
         d = np.array([0.0, *m.pair_discounts])[np.minimum(times, 3)]

@@ -82,3 +82,16 @@ def test_probabilities_sum_to_one(spark):
         end = lm.token_hashes(first, hashes, scorer.end)
         total += 10 ** (scorer.score([end])[2][0] - scorer.score([end[:1]])[2][0])
         assert math.isclose(total, 1.0, rel_tol=1e-9)
+
+
+def test_words_whose_hashes_share_their_halves_stay_apart(spark):
+    """Real words whose 64-bit hashes agree in 32 bits: every count is still its own."""
+    halves, twins = {}, []
+    for i in range(200_000):
+        word = f"w{i}"
+        h = lm.WordHashes()[word.encode()] >> 32
+        twins += [(halves[h], word)] if h in halves else []
+        halves[h] = word
+    assert twins
+    docs = [(10 * k + j, f"{a} x {a} y {b} x {b} {a}" if j % 2 else f"{b} y {b} {b} z {a}") for k, (a, b) in enumerate(twins) for j in range(10)]
+    same(lm.fold_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
