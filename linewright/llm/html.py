@@ -4,15 +4,24 @@ Text is gathered by block, and each block has the path of block tags from the
 root. For each path of a page its text length and its punctuation, both per
 block, are aggregated; both ratios are smoothed over the neighbouring blocks in
 page order and fused into one score by their product. Paths that reach half the
-page's mean score are content; the element that holds most of their text is the
-article, and all of its blocks are kept but those within menus, forms, adverts
-and the like, which no path may select.
+page's mean score select their blocks.
+
+Names are priors of a score: an article or main element doubles it, a class, id or
+role of an advert, menu, comment and the like all but cancels it, so that such a
+path is content only if it holds long, punctuated text and nothing better does.
+Elements that by the language's own definition are no main text (nav, footer, aside,
+form, script ...) are left out before. The element that holds most of the selected
+text is the article: what is selected in it is kept, and so are its other blocks
+(headings, short items), if they do not stand apart.
+
+A step of a path is interned as a number, elements know their parents, and weights
+are added up the tree once, so time grows in proportion to the page.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,7 +32,7 @@ from pyspark.sql import functions as F
 _token = re.compile(
     r"""<!--.*?(?:-->|\Z)"""
     r"""|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|xmp|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)>"""
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
     r"""|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
@@ -32,7 +41,7 @@ _punctuation = re.compile(r"[.,;:!?…。，；：！？、]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-#: Elements that never hold main text, and words that say so in a class, an id or a role.
+#: Elements that never hold main text, and words of a class, an id or a role that speak against it.
 APART = frozenset("head nav footer aside form button select menu dialog object canvas audio video".split())
 APART_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer header masthead menu "
@@ -40,105 +49,160 @@ APART_WORDS = frozenset(
 )
 #: A start tag that ends an open element of the second set.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are one block each: the article is sought above them.
+SINGLE = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption".split())
 SMOOTH = 1
+#: Factors of a path's score by its elements' names, and what a path that stands apart must reach.
+ARTICLE, ASIDE, LEAST_ASIDE = 2.0, 0.001, 50.0
+
+
+class Page:
+    """Blocks of text and the elements that hold them."""
+
+    def __init__(self, page: str):
+        # element 0 is the root: parent, tag, path kind; 2 if it can't hold main text, 1 if its names speak against it
+        self.parent, self.tag, self.kind, self.apart, self.inside = [0], [""], [0], [0], [False]
+        self.kinds: dict[tuple[int, str, int], int] = {}
+        self.blocks: list[tuple[int, str]] = []
+        self._read(page)
+
+    def _apart(self, tag: str, attributes: str, parent: int) -> int:
+        if tag in APART or (tag == "header" and not self.inside[parent]):
+            return 2
+        for _, *values in _names.findall(attributes) if attributes else ():
+            hit = APART_WORDS.intersection(re.split(r"[^a-z]+", next((v for v in values if v), "").lower()))
+            if hit and tag not in ("html", "body", "article", "main") and not (self.inside[parent] and hit == {"header"}):
+                return 1
+        return 0
+
+    def _open(self, tag: str, attributes: str, parent: int) -> int:
+        apart = max(self.apart[parent], self._apart(tag, attributes, parent))
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.apart.append(apart)
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
+        self.kind.append(self.kinds.setdefault((self.kind[parent], tag, apart), len(self.kinds) + 1))
+        return len(self.parent) - 1
+
+    def _read(self, page: str) -> None:
+        stack, held, parts, at = [0], Counter(), [], 0
+
+        def close() -> None:
+            text = " ".join(unescape("".join(parts)).split())
+            parts.clear()
+            if text and self.apart[stack[-1]] < 2:
+                self.blocks.append((stack[-1], text))
+
+        def pop() -> None:
+            held[self.tag[stack.pop()]] -= 1
+
+        for m in _token.finditer(page):
+            if m.start() > at:
+                parts.append(page[at : m.start()])
+            at = m.end()
+            tag = (m["tag"] or "").lower()
+            if not tag or tag in INLINE:
+                continue
+            if tag == "br":
+                parts.append(" ")
+                continue
+            close()
+            if tag in VOID:
+                continue
+            if m["end"]:
+                if held[tag]:
+                    while self.tag[stack[-1]] != tag:
+                        pop()
+                    pop()
+                continue
+            if self.tag[stack[-1]] == "p":
+                pop()
+            ends = CLOSES.get(tag, ())
+            while self.tag[stack[-1]] in ends:
+                pop()
+            stack.append(self._open(tag, m["attributes"], stack[-1]))
+            held[tag] += 1
+        parts.append(page[at:])
+        close()
 
 
-def _apart(tag: str, attributes: str, stack: list) -> bool:
-    if tag in APART:
-        return True
-    inside = any(t in ("article", "main") for _, t, _ in stack)
-    if tag == "header":
-        return not inside
-    for name, *values in _names.findall(attributes):
-        words = set(re.split(r"[^a-z]+", next((v for v in values if v), "").lower()))
-        hit = words & APART_WORDS
-        if hit and tag not in ("html", "body", "article", "main") and not (inside and hit == {"header"}):
-            return True
-    return False
-
-
-def blocks_of(page: str) -> list[tuple[tuple, str, bool]]:
-    """(path of (number, tag) pairs, text, whether it stands apart) of each block with text."""
-    stack: list[tuple[int, str, bool]] = []
-    found, parts, number, at = [], [], 0, 0
-
-    def close() -> None:
-        text = " ".join(unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            found.append((tuple((n, t) for n, t, _ in stack), text, any(apart for _, _, apart in stack)))
-
-    for m in _token.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag or tag in INLINE:
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        close()
-        if tag in VOID:
-            continue
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1] == tag:
-                    del stack[k:]
-                    break
-            continue
-        if stack and stack[-1][1] == "p":
-            stack.pop()
-        ends = CLOSES.get(tag, ())
-        while stack and stack[-1][1] in ends:
-            stack.pop()
-        number += 1
-        stack.append((number, tag, _apart(tag, m["attributes"], stack)))
-    parts.append(page[at:])
-    close()
-    return found
-
-
-def main_text(page: str | None) -> str:
-    blocks = [(path, text) for path, text, apart in blocks_of(page or "") if not apart]
-    if not blocks:
-        return ""
-    kinds = [tuple(tag for _, tag in path) for path, _ in blocks]
-    held = defaultdict(lambda: [0, 0, 0])
-    for kind, (_, text) in zip(kinds, blocks):
+def scores(page: Page) -> dict[int, float]:
+    """Path kind -> fused, smoothed ratio of text, weighted by the priors of its names, and punctuation."""
+    kinds = [page.kind[node] for node, _ in page.blocks]
+    held: dict[int, list[float]] = defaultdict(lambda: [0.0, 0, 0])
+    for kind, (node, text) in zip(kinds, page.blocks):
         sums = held[kind]
-        sums[0] += len(text)
+        sums[0] += len(text) * (ASIDE if page.apart[node] else ARTICLE if page.inside[node] else 1.0)
         sums[1] += len(_punctuation.findall(text))
         sums[2] += 1
-    ratio = {k: (chars / n, (marks + 1) / n) for k, (chars, marks, n) in held.items()}
-    smooth = defaultdict(lambda: [0.0, 0])
-    for i, kind in enumerate(kinds):
-        near = [ratio[k] for k in kinds[max(0, i - SMOOTH) : i + SMOOTH + 1]]
-        mine = smooth[kind]
-        mine[0] += (ratio[kind][0] + sum(r[0] for r in near) / len(near)) * (ratio[kind][1] + sum(r[1] for r in near) / len(near))
-        mine[1] += 1
-    score = {k: total / n for k, (total, n) in smooth.items()}
+    ratio = {k: (chars / n, marks / n + 1) for k, (chars, marks, n) in held.items()}
+    smooth: dict[int, float] = defaultdict(float)
+    for i, (kind, (node, _)) in enumerate(zip(kinds, page.blocks)):
+        # a path that stands apart gains nothing from its neighbours
+        near = [ratio[kind]] if page.apart[node] else [ratio[k] for k in kinds[max(0, i - SMOOTH) : i + SMOOTH + 1]]
+        text, marks = (ratio[kind][j] + sum(r[j] for r in near) / len(near) for j in (0, 1))
+        smooth[kind] += text * marks
+    return {k: total / held[k][2] for k, total in smooth.items()}
+
+
+def chosen(score: dict[int, float]) -> set[int]:
+    """Path kinds that reach half the mean score."""
     limit = sum(score.values()) / len(score) / 2
-    content = [i for i, k in enumerate(kinds) if score[k] >= limit]
-    # the deepest element that holds nine tenths of the content's text; an article or main element before any other
-    total = sum(len(blocks[i][1]) for i in content)
-    weight: dict[tuple, int] = defaultdict(int)
+    return {k for k, x in score.items() if x >= limit}
+
+
+def article_of(page: Page, content: list[int]) -> int:
+    """The element that holds the content: an article or main with half of it, else down to where it divides."""
+    n = len(page.parent)
+    weight, most = [0] * n, [0] * n
     for i in content:
-        path = blocks[i][0]
-        for depth in range(len(path) + 1):
-            weight[path[:depth]] += len(blocks[i][1])
-    articles = [p for p, w in weight.items() if p and p[-1][1] in ("article", "main") and 2 * w >= total]
-    holders = [p for p, w in weight.items() if 10 * w >= 9 * total]
-    article = max(articles, key=lambda p: (len(p), weight[p])) if articles else max(holders, key=len)
-    if not articles and article and article[-1][1] in ("p", "h1", "h2", "h3", "li"):
-        article = article[:-1]
-    return "\n".join(text for path, text in blocks if path[: len(article)] == article)
+        node, text = page.blocks[i]
+        weight[node] += len(text)
+    for node in range(n - 1, 0, -1):
+        up = page.parent[node]
+        weight[up] += weight[node]
+        if page.tag[node] not in SINGLE and (not most[up] or weight[node] >= weight[most[up]]):
+            most[up] = node
+    named = [k for k in range(1, n) if page.tag[k] in ("article", "main") and 2 * weight[k] >= weight[0]]
+    if named:
+        return max(named)
+    node = 0
+    while most[node] and 4 * weight[most[node]] >= 3 * weight[node]:
+        node = most[node]
+    return node
+
+
+def main_text(html: str | None) -> str:
+    page = Page(html or "")
+    if not page.blocks:
+        return ""
+    score = scores(page)
+    kinds = chosen(score)
+    content = [i for i, (node, _) in enumerate(page.blocks) if page.kind[node] in kinds and (not page.apart[node] or score[page.kind[node]] >= LEAST_ASIDE)]
+    if not content:
+        return ""
+    article = article_of(page, content)
+    within = [False] * len(page.parent)
+    within[article] = True
+    for node in range(article + 1, len(within)):
+        within[node] = within[page.parent[node]]
+    taken, bare = set(content), page.tag[article] in ("", "html", "body")
+    kept = []
+    for i, (node, text) in enumerate(page.blocks):
+        # a page without a narrower element adds only headings of what is selected
+        fills = not page.apart[node] and (not bare or (page.tag[node] in HEADINGS and i + 1 in taken))
+        if within[node] and (i in taken or fills):
+            kept.append(text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars. A null html is empty; a page without main text has an empty text.
 
-    Cut-off markup at a page's end is dropped. Repeated rows each give a row.
+    Cut-off markup at a page's end is dropped. Repeated rows each give a row, and an
+    empty table none. Other columns are not read. Very long and very deep pages are
+    read whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

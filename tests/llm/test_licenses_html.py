@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from linewright.llm import html, licenses
@@ -55,6 +56,29 @@ def test_pages_without_an_article_element():
     assert html.main_text(page) == "\n".join(["A & B", " ".join([s] * 3), f"One two <3 {s}", s])
 
 
+def test_paths_decide_where_names_say_nothing(monkeypatch):
+    """No article element, no telling class: only tag paths tell the story from what surrounds it."""
+    story = [SENTENCE.strip() + " " + SENTENCE.strip() for _ in range(6)]
+    links = "".join(f"<li><a href=x>Another link number {i}</a></li>" for i in range(60))
+    page = f"""<body><div class="a1"><ul>{links}</ul></div><div class="b2"><div>Short offer</div><div>Another one</div></div>
+      <div class="c3"><div class="d4"><h2>Title of it</h2>{"".join(f"<p>{x}</p>" for x in story)}<ul><li>short item</li></ul></div></div>
+      <div class="e5"><span>Contact us</span></div><table><tr><td>1</td><td>2</td></tr></table></body>"""
+    want = "\n".join(["Title of it", *story, "short item"])
+    flat = f"<body><div>Menu here</div><h1>Title of it</h1>{''.join(f'<p>{x}</p>' for x in story)}<div>Buy now</div></body>"
+    assert html.main_text(page) == want and html.main_text(flat) == "\n".join(["Title of it", *story])
+    # names that speak against long, punctuated text do not outweigh it
+    assert html.main_text(f'<body><div class="share"><p>{SENTENCE * 40}</p></div><div>x</div></body>').startswith(SENTENCE.strip())
+    monkeypatch.setattr(html, "chosen", set)  # without the threshold
+    assert html.main_text(page) != want and "Contact us" in html.main_text(page) and "Buy now" in html.main_text(flat)
+
+
+def test_time_grows_with_the_page():
+    for page in ("<div>a" * 50_000, '<a "' * 50_000, "<div>" * 50_000 + "</span></p>" * 50_000, "<p>a" * 50_000):
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 5
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain text, no tags"), (4, "u", "<article>"), (5, "u", "<p>a<p"), (6, "u", "<nav>only</nav>"), (7, "u", "<p>" + "x " * 100_000), (7, "u", "<p>" * 5000 + "deep"), (None, None, "<article><p>b</p></article>")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
