@@ -19,8 +19,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewright.llm.common import BROADCAST_BYTES, apart, ascii_lower, bytes_of, columns_of, settle, small_side
+from linewright.llm.common import BROADCAST_BYTES, apart, ascii_lower, bytes_of, columns_of, let, settle, small_side
 
+#: Words of a text that a token's row carries, besides its neighbours.
+CHUNK = 64
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -57,6 +59,20 @@ def anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     return two.select("item", "need", first["at"].alias("j1"), first["term"].alias("t1"), second["at"].alias("j2"), second["term"].alias("t2")).distinct()
 
 
+def chunks(words: Column, reach: int) -> Column:
+    """Arrays of CHUNK words with ``reach`` more on both sides, so that a token's row is small however long its text.
+
+    struct(start, lead, words): the place of the first own word, and how many words stand before it.
+    """
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(CHUNK)))
+
+    def cut(start: Column) -> Column:
+        lead = F.least(start, F.lit(reach))
+        return F.struct(start.alias("start"), lead.alias("lead"), F.slice(words, start - lead + 1, lead + CHUNK + reach).alias("words"))
+
+    return F.transform(starts, cut)
+
+
 def postings(docs: DataFrame, marks: DataFrame, window: int, near: bool) -> DataFrame:
     """doc_id, h, at, hits, doc_words of the rarest terms' stored places, and n_words at each document's first word.
 
@@ -69,16 +85,17 @@ def postings(docs: DataFrame, marks: DataFrame, window: int, near: bool) -> Data
     for part in range(parts):
         held = marks.filter(F.pmod(F.xxhash64("t1"), F.lit(parts)) == part)
         places = held.groupBy(F.col("t1").alias("wanted")).agg(F.collect_list(F.struct("item", "need", "j1", "j2", "t2")).alias("places"))
-        tokens = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words")).select("doc_id", "h", "words", F.posexplode_outer("words").alias("at", "term"))
-        met = tokens.join(F.broadcast(places), F.col("term") == F.col("wanted"), "left")
-        words, at = F.col("words"), F.col("at")
+        cut = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), chunks(w, reach).alias("chunks")))
+        each = docs.select("doc_id", F.xxhash64("text").alias("h"), cut.alias("w")).select("doc_id", "h", "w.n", F.explode_outer("w.chunks").alias("c"))
+        tokens = each.select("doc_id", "h", "n", "c.start", "c.lead", F.col("c.words").alias("near"), F.posexplode_outer(F.slice("c.words", F.col("c.lead") + 1, F.lit(CHUNK))).alias("k", "term"))
+        first = F.coalesce(F.col("start") + F.col("k"), F.lit(0)) == 0
+        met = tokens.join(F.broadcast(places), F.col("term") == F.col("wanted"), "left").filter(F.col("wanted").isNotNull() | first)
+        words, at = F.col("near"), F.col("lead") + F.col("k")
         close = F.slice(words, F.greatest(at - reach, F.lit(0)) + 1, 2 * reach + 1 - F.greatest(reach - at, F.lit(0)))
         exact = lambda x: F.coalesce(F.get(words, at - x["j1"] + x["j2"]) == x["t2"], F.lit(False))
         fits = (lambda x: exact(x) | F.array_contains(close, x["t2"])) if near else exact
-        first = F.coalesce(at, F.lit(0)) == 0
-        kept = met.withColumn("hits", F.when(F.col("wanted").isNotNull(), F.filter("places", fits))).filter(first | (F.size("hits") > 0))
-        n_words = F.when(first, F.size(words).cast("long")) if part == 0 else F.lit(None).cast("long")
-        found.append(kept.select("doc_id", "h", "at", n_words.alias("n_words"), "hits", F.when(F.size("hits") > 0, around(words, at, reach)).alias("doc_words")))
+        judged = met.select("doc_id", "h", (F.col("start") + F.col("k")).alias("at"), (F.when(first, F.col("n")) if part == 0 else F.lit(None).cast("long")).alias("n_words"), F.filter("places", fits).alias("hits"), around(words, at, reach).alias("doc_words"))
+        found.append(judged.filter(F.col("n_words").isNotNull() | (F.size("hits") > 0)))
     return settle(reduce(DataFrame.unionByName, found), "postings")
 
 
