@@ -7,8 +7,18 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of group names, variants, markup and risk words.
-GROUP_PATTERN = r"(?i)^(chapter[0-9]*|companion[0-9]*|side[0-9]*)(?:_([0-9]+))?(?:_|$)"
+# Fixed values of the archives' naming scheme and of its checks: patterns of group names, variants, markup and risk words,
+# numerals by the number they write, package kinds and terms.
+ANECDOTE = r"(?i)^anecdote_([0-9]+)(?:_|$)"
+ARCHIVE = r"(?i)^(archive)(?:_|$)"
+FINALITY = r"(?i)^(chapterfinality[0-9]*|finality)(?:_|$)"
+CHAPTER = r"(?i)^(chapter[0-9]+)(?:_([0-9]+))?(?:_|$)"
+COMPANION = r"(?i)^(companion[0-9]*)(?:_([0-9]+))?(?:_|$)"
+SIDE = r"(?i)^(side(?:[0-9]+|x)?)(?:_|$)"
+VOICE_ANECDOTE = r"(?i)^vo_anecdote_([0-9]+)_[a-z0-9]+_[0-9]+$"
+FAMILY_HINT = r"(?i)^(?:archive(?:_vo_avatar)?|chapter[0-9]+(?:_[0-9]+)?|companion[0-9]+(?:_[0-9]+)?|side[0-9]+(?:_[A-Za-z0-9_]+)?)_"
+KINDS = ("genshin-impact", "honkai-star-rail", "generic")
+SAMPLE_TERMS = ("aeon", "stellaron", "path", "elation", "nameless", "stellar jade", "planarcadia", "phantasmoon", "wishpower", "fulwish", "supplicant", "graphia", "yao guang", "evanescia", "ambrosial arbor")
 VARIANT_PATTERN = r"(?i)^(.*)_([fm])$"
 MARKUP = r"<[^>]+>|\{[^}]+\}"
 EXPRESSIVE = r"(?i)\.\.\.|[!?~—]|\b(?:don't|isn't|aren't|can't|won't|wouldn't|couldn't|shouldn't)\b"
@@ -62,28 +72,70 @@ def variant(name: Column) -> Column:
 
 
 def known_group(name: Column) -> Column:
-    """struct(group, major) of a name that follows the naming scheme, else null."""
-    major, section = F.lower(F.regexp_extract(name, GROUP_PATTERN, 1)), F.regexp_extract(name, GROUP_PATTERN, 2)
-    return F.when(major != "", F.struct(F.concat(major, F.when(section != "", F.concat(F.lit("_"), section)).otherwise("")).alias("group"), major.alias("major")))
+    """struct(group, major) of a name that follows one of six naming schemes, else null."""
+    said = lambda pattern, k: F.lower(F.regexp_extract(name, pattern, k))
+    whole = lambda group, major: F.struct(group.alias("group"), major.alias("major"))
+
+    def family(pattern: str, sections: bool = False, prefix: str = "") -> Column:
+        major = F.concat(F.lit(prefix), said(pattern, 1))
+        section = said(pattern, 2) if sections else F.lit("")
+        group = F.concat(major, F.when(section != "", F.concat(F.lit("_"), section)).otherwise(""))
+        return F.when(said(pattern, 1) != "", whole(group, major))
+
+    return F.coalesce(family(ANECDOTE, prefix="anecdote_"), family(ARCHIVE), family(FINALITY), family(CHAPTER, True), family(COMPANION, True), family(SIDE))
+
+
+def inferred_group(name: Column) -> Column:
+    """The group that a stem tells, else what stands before its first underscore."""
+    own = F.coalesce(known_group(F.when(F.rlike(name, F.lit(VOICE_ANECDOTE)), F.substring(name, 4, 1 << 30))), known_group(bare(name)))
+    return F.coalesce(own["group"], F.substring_index(name, "_", 1))
 
 
 def classify_group(member: Column, declared: Column) -> Column:
     """struct(group, major, confidence, method) by the first evidence that holds.
 
-    A file name or a declared group that follows the scheme confirms a group; a
+    A file name or a declared group that follows a scheme confirms a group; a
     folder of the path, nearest first, or a group of its own name suggests one.
     """
     name = stem(member)
     said = F.coalesce(blank(declared), F.lit(""))
-    parts = F.reverse(F.slice(F.split(F.translate(member, "\\", "/"), "/"), 1, F.size(F.split(F.translate(member, "\\", "/"), "/")) - 1))
-    folder = F.get(F.filter(F.transform(parts, lambda p: known_group(bare(p))), lambda g: g.isNotNull()), F.lit(0))
-    own, told = known_group(bare(name)), known_group(bare(said))
-    automatic = F.coalesce(own["group"], F.substring_index(name, "_", 1))
-    custom = (said != "") & (F.lower(said) != "unknown") & (F.lower(said) != F.lower(automatic))
+    steps = F.split(F.translate(member, "\\", "/"), "/")
+    folders = F.reverse(F.slice(steps, 1, F.size(steps) - 1))
+    folder = F.get(F.filter(F.transform(folders, lambda p: known_group(bare(p))), lambda g: g.isNotNull()), F.lit(0))
+    voice, own, told = known_group(F.when(F.rlike(name, F.lit(VOICE_ANECDOTE)), F.substring(name, 4, 1 << 30))), known_group(bare(name)), known_group(bare(said))
+    custom = (said != "") & (F.lower(said) != "unknown") & (F.lower(said) != F.lower(inferred_group(name)))
     found = lambda g, confidence, method: F.struct(g["group"].alias("group"), g["major"].alias("major"), F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
     explicit = F.struct(F.lower(said).alias("group"), F.lower(said).alias("major"), F.lit("inferred").alias("confidence"), F.lit("explicit_index_group").alias("method"))
     unknown = F.struct(F.lit("").alias("group"), F.lit("").alias("major"), F.lit("unknown").alias("confidence"), F.lit("unrecognized").alias("method"))
-    return F.when(own.isNotNull(), found(own, "confirmed", "filename_schema")).when(told.isNotNull(), found(told, "confirmed", "declared_group_schema")).when(folder.isNotNull(), found(folder, "inferred", "package_path")).when(custom, explicit).otherwise(unknown)
+    return (
+        F.when(voice.isNotNull(), found(voice, "confirmed", "genshin_filename_schema"))
+        .when(own.isNotNull(), found(own, "confirmed", "filename_schema"))
+        .when(told.isNotNull(), found(told, "confirmed", "declared_group_schema"))
+        .when(folder.isNotNull(), found(folder, "inferred", "package_path"))
+        .when(custom, explicit)
+        .otherwise(unknown)
+    )
+
+
+def chapter_rank(major: Column) -> Column:
+    """struct(rank, number, name): archive, chapters, finality, companions, side stories, other groups, unknown ones last."""
+    name = F.lower(F.coalesce(major, F.lit("")))
+    number = lambda pattern, default: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(default).cast("long"))
+    place = lambda rank, n=F.lit(0): F.struct(F.lit(rank).alias("rank"), n.cast("long").alias("number"), name.alias("name"))
+    return (
+        F.when(name == "", place(6))
+        .when(name == "archive", place(0))
+        .when(F.rlike(name, F.lit("^chapter[0-9]+$")), place(1, number("^chapter([0-9]+)$", 0)))
+        .when(F.contains(name, F.lit("finality")), place(2))
+        .when(F.rlike(name, F.lit("^companion[0-9]*$")), place(3, number("^companion([0-9]*)$", 0)))
+        .when(F.rlike(name, F.lit("^side[A-Za-z0-9_]*$")), place(4, number("^side([0-9]+)$", 999)))
+        .otherwise(place(5))
+    )
+
+
+def compacted(text: Column) -> Column:
+    """Lower-cased letters and digits only: what a tolerant search compares."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}]", "")
 
 
 def cross_key(path: Column) -> Column:
@@ -175,15 +227,15 @@ def risk_tags(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(tag)) for tag, c in (("negation", has_negation(text)), ("quantity", F.rlike(text, F.lit(QUANTITY))), ("condition", F.rlike(text, F.lit(CONDITION))), ("person", persons >= 2)))))
 
 
-def sample_category(text: Column, terms: tuple[str, ...] = ()) -> Column:
+def sample_category(text: Column, terms: tuple[str, ...] = SAMPLE_TERMS) -> Column:
     """Class of a line for a balanced sample; the first that fits."""
     term = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(t)) for t in terms), F.lit(False))
     return (
-        F.when(F.rlike(text, F.lit(f"(?i){MARKUP}|RUBY")), "markup")
-        .when(term, "terms")
-        .when(F.length(text) >= 140, "long")
-        .when(F.length(text) <= 45, "short")
-        .when(F.rlike(text, F.lit(EXPRESSIVE)), "expressive")
+        F.when(F.rlike(text, F.lit(f"(?i){MARKUP}|RUBY")), "tags_placeholders")
+        .when(term, "hsr_terminology")
+        .when(F.length(text) >= 140, "long_complex")
+        .when(F.length(text) <= 45, "short_context_sensitive")
+        .when(F.rlike(text, F.lit(EXPRESSIVE)), "expressive_dialogue")
         .otherwise("general")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import first_filled
@@ -50,14 +50,19 @@ def group_coverage(lines: DataFrame, archive: list[str], group: str, ordinal: st
     return lines.groupBy(*archive, group).agg(F.count("*").alias("lines"), filled(source).alias("with_source"), filled(target).alias("with_target"), F.min(ordinal).alias("first"))
 
 
-def candidate_scores(records: DataFrame, voices: DataFrame, candidate: str, name: str, text: str, favoured: Column) -> DataFrame:
-    """Index candidates by how many voices they name: score = 1000 coverage + matched texts + 50 if favoured; rank 1 is best."""
+def candidate_scores(records: DataFrame, voices: DataFrame, candidate: str, name: str, text: str, bonus: Column) -> DataFrame:
+    """Index candidates by the voices they name: score = 1000 coverage + matched texts + bonus; rank 1 is best.
+
+    Ranks are over the candidates, a row each, with ties by the candidate's name.
+    """
     total = voices.agg(F.count_distinct(name).alias("_all"))
     known = voices.select(F.col(name).alias("_v")).distinct()
     matched = records.join(known, F.col(name) == F.col("_v"), "left")
     each = matched.groupBy(candidate).agg(F.count_distinct("_v").alias("covered"), F.count_if(F.col("_v").isNotNull() & (F.trim(text) != "")).alias("texts"))
     scored = each.join(F.broadcast(total), how="inner")
-    return scored.select(candidate, "covered", "texts", (F.floor(F.col("covered") * 1000 / F.greatest(F.col("_all"), F.lit(1))) + F.col("texts") + F.when(favoured, 50).otherwise(0)).cast("long").alias("score"))
+    score = F.col("covered") / F.greatest(F.col("_all"), F.lit(1)) * 1000 + F.col("texts") + bonus
+    ranked = scored.select(candidate, "covered", "texts", score.alias("score"))
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), candidate)).cast("long"))
 
 
 def reference_pairs(rows: DataFrame, locale: str, path: str, ordinal: str, base: str, other: str) -> DataFrame:
@@ -66,17 +71,19 @@ def reference_pairs(rows: DataFrame, locale: str, path: str, ordinal: str, base:
     return rows.filter(F.col(locale) == base).join(first, F.col(path) == F.col("_p"), "left").drop("_p")
 
 
-def training_rows(corrected: DataFrame, manifest: DataFrame, member: str, index: str, fields: list[str]) -> DataFrame:
+def training_rows(corrected: DataFrame, manifest: DataFrame, member: str, index: str, fields: list[str], order: str) -> DataFrame:
     """Corrected rows with the manifest's fields: by member, by index only if a row has no member.
 
-    A field the manifest has overwrites the corrected one, even if it is blank.
+    A field the manifest has overwrites the corrected one, even if it is blank. Of
+    manifest rows with one member or index the last in ``order`` holds.
     """
-    with_member = manifest.filter(F.coalesce(member, F.lit("")) != "").groupBy(member).agg(*(F.first(f).alias(f"m_{f}") for f in fields), F.lit(True).alias("_m")).withColumnRenamed(member, "_member")
-    by_index = manifest.groupBy(index).agg(*(F.first(f).alias(f"i_{f}") for f in fields), F.lit(True).alias("_i")).withColumnRenamed(index, "_index")
+    held = F.struct(*fields)
+    with_member = manifest.filter(F.coalesce(member, F.lit("")) != "").groupBy(F.col(member).alias("_member")).agg(F.max_by(held, order).alias("_m"), F.lit(True).alias("_by_member"))
+    by_index = manifest.groupBy(F.col(index).alias("_index")).agg(F.max_by(held, order).alias("_i"), F.lit(True).alias("_by_index"))
     blank = F.coalesce(F.col(member), F.lit("")) == ""
     joined = corrected.join(with_member, F.col(member) == F.col("_member"), "left").join(by_index, blank & (F.col(index) == F.col("_index")), "left")
-    picked = [F.when(F.col("_m"), F.col(f"m_{f}")).when(F.col("_i"), F.col(f"i_{f}")).otherwise(F.col(f) if f in corrected.columns else F.lit(None)).alias(f) for f in fields]
-    return joined.select(*(c for c in corrected.columns if c not in fields), *picked, F.when(F.col("_m"), "member").when(F.col("_i"), "index").otherwise("none").alias("route"))
+    picked = [F.when(F.col("_by_member"), F.col(f"_m.{f}")).when(F.col("_by_index"), F.col(f"_i.{f}")).otherwise(F.col(f) if f in corrected.columns else F.lit(None)).alias(f) for f in fields]
+    return joined.select(*(c for c in corrected.columns if c not in fields), *picked, F.when(F.col("_by_member"), "member").when(F.col("_by_index"), "index").otherwise("none").alias("route"))
 
 
 def page_buckets(rows: DataFrame, index: str, size: int = 100) -> DataFrame:
@@ -104,3 +111,85 @@ def normal_value(value: Column, legacy: dict[str, str], default: str) -> Column:
     x = F.lower(F.trim(first_filled(value)))
     known = F.create_map(*(F.lit(v) for pair in legacy.items() for v in pair))
     return F.when(x == "", default).otherwise(F.coalesce(known[x], x))
+
+
+# The codes of a structural audit.
+STRUCTURE_CODES = ("duplicate_entry_id", "duplicate_source_member", "source_member_missing", "source_text_missing", "target_text_missing", "source_audio_hash_missing", "invalid_source_timeline", "non_monotonic_timeline")
+
+
+def structure_issues(entries: DataFrame, archive: list[str], ordinal: list[str], id_: str, member: str, source: str, target: str, sha256: str, start: str, end: str, shown: str) -> DataFrame:
+    """A row for each of eight faults of an archive's entries: archive, ordinal, code.
+
+    An id or member is a duplicate from its second row on. Times must be numbers,
+    start at 0 or later and end after the start; a valid row that starts before the
+    last valid one is non_monotonic.
+    """
+    empty = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    again = lambda c: F.row_number().over(Window.partitionBy(*archive, c).orderBy(*ordinal)) > 1
+    a, b, c = (F.col(x).try_cast("double") for x in (start, end, shown))
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    until = F.coalesce(c, b)
+    valid = F.coalesce(number(a) & number(b) & number(until) & (a >= 0) & (b > a) & (until > a), F.lit(False))
+    order = Window.partitionBy(*archive).orderBy(*ordinal)
+    before = F.last(F.when(F.col("_valid"), a), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    seen = entries.withColumn("_valid", valid).withColumn("_before", before).withColumn("_id2", again(id_)).withColumn("_m2", again(member))
+    digest = F.rlike(F.trim(F.coalesce(F.col(sha256), F.lit(""))), F.lit("^[0-9a-fA-F]{64}$"))
+    failed = (F.col("_id2"), ~empty(member) & F.col("_m2"), empty(member), empty(source), empty(target), ~digest, ~F.col("_valid"), F.col("_valid") & (a < F.col("_before") - 0.000001))
+    codes = F.array_compact(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(code)) for code, x in zip(STRUCTURE_CODES, failed))))
+    return seen.select(*archive, *ordinal, F.explode(codes).alias("code"))
+
+
+def alignment_diagnostics(lines: DataFrame, by: list[str], available: Column, valid: Column, provider: Column) -> DataFrame:
+    """total, usable, invalid, missing, usable_percent, and a map of the usable lines' providers, by group."""
+    provided = lines.withColumn("_valid", F.coalesce(valid, F.lit(False))).withColumn("_there", F.coalesce(available, F.lit(False))).withColumn("_p", F.coalesce(F.nullif(provider, F.lit("")), F.lit("unknown")))
+    each = provided.groupBy(*by, "_p").agg(F.count("*").alias("_n"), F.count_if("_valid").alias("_u"), F.count_if(F.col("_there") & ~F.col("_valid")).alias("_i"))
+    held = F.filter(F.collect_list(F.when(F.col("_u") > 0, F.struct("_p", "_u"))), lambda x: x.isNotNull())  # a row a provider
+    sums = each.groupBy(*by).agg(F.sum("_n").alias("total"), F.sum("_u").alias("usable"), F.sum("_i").alias("invalid"), F.map_from_entries(F.array_sort(held)).alias("providers"))
+    return sums.select(*by, "total", "usable", "invalid", (F.col("total") - F.col("usable") - F.col("invalid")).alias("missing"), F.bround(F.col("usable") * 100.0 / F.col("total"), 2).alias("usable_percent"), "providers")
+
+
+def official_rows(lines: DataFrame, source: str, target: str, origin: str) -> DataFrame:
+    """Lines with both texts whose target did not come from a model's interface."""
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    return lines.filter(filled(source) & filled(target) & ~F.coalesce(F.col(origin), F.lit("")).startswith("api:"))
+
+
+#: Fixed value: the least share of an archive's voices that an index must name.
+LEAST_COVERAGE = 0.5
+
+
+def preflight(voices: DataFrame, index: DataFrame, archive: list[str], name: str, text: str, own_text: str) -> DataFrame:
+    """A row for each finding before a build: archive, level (blocker or warning), code, n.
+
+    ``voices``: a row a voice file, with the text packed beside it if any
+    (``own_text``). ``index``: archive, name and text. A name that several rows of the
+    index have counts as not named. Complete packed texts stand in for an index that
+    names too few voices; else that blocks the build.
+    """
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    keys = [*archive, name]
+    once = index.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("_rows"), F.max(filled(text)).alias("_text"))
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = voices.join(once, met, "left")
+    named = F.col("_rows") == 1
+    voice = F.col(name).isNotNull()
+    sums = joined.groupBy(*archive).agg(
+        F.count_if(voice).alias("total"), F.count_if(named).alias("named"), F.count_if(named & F.col("_text")).alias("texts"),
+        F.count_if(F.col("_rows") > 1).alias("shared"), F.count_if(voice & filled(own_text)).alias("packed"),
+    )
+    total, known = F.col("total"), F.col("named")
+    few = known / F.greatest(total, F.lit(1)) < LEAST_COVERAGE
+    packed = (total > 0) & (F.col("packed") == total)
+    finding = lambda when, level, code, n: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), n.alias("n")))
+    found = F.array_compact(F.array(
+        finding(total == 0, "blocker", "no_voices", total),
+        finding((total > 0) & (known == 0) & ~packed, "blocker", "no_index", known),
+        finding((known > 0) & few & ~packed, "blocker", "coverage_below_minimum", known),
+        finding(few & packed, "warning", "packed_texts_used", known),
+        finding(~few & (known < total), "warning", "voices_not_in_index", total - known),
+        finding(~few & (F.col("texts") < known), "warning", "no_source_text", known - F.col("texts")),
+        finding(~few & (F.col("shared") > 0), "warning", "shared_names", F.col("shared")),
+    ))
+    return sums.select(*archive, F.inline(found))

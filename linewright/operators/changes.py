@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def classify(existing: DataFrame, candidates: DataFrame, name: str, logical: str) -> DataFrame:
-    """Candidates, one row a name, with kind exact, variant, ambiguous or new.
+def classify(existing: DataFrame, candidates: DataFrame, name: str, logical: str, order: str, member: str | None = None) -> DataFrame:
+    """The first candidate in order of each name, with kind exact, variant, ambiguous, new or invalid.
 
-    exact: the name exists; variant: one logical line of another name has the
-    same logical id; ambiguous: several do.
+    A name without a folder is exact if one line has it, ambiguous if several have,
+    a variant if a line of another name has its logical id, else new. A name with a
+    folder is exact if it is a member of the archive (column ``member``), else new. A
+    name that is empty, absolute or has a step . or .. is invalid; each is kept.
     """
-    names = existing.select(F.col(name).alias("_n")).distinct()
-    lines = existing.groupBy(logical).agg(F.count_distinct(name).alias("_c")).withColumnRenamed(logical, "_l")
-    one = candidates.dropDuplicates([name])
+    names = existing.groupBy(F.col(name).alias("_n")).agg(F.count("*").alias("_c"))
+    lines = existing.select(F.col(logical).alias("_l")).distinct()
+    path = F.trim(F.translate(F.coalesce(F.col(name).cast("string"), F.lit("")), "\\", "/"))
+    cleaned = candidates.withColumn(name, path).withColumn("_bad", (path == "") | F.rlike(path, F.lit(r"^/|(^|/)\.\.?(/|$)")))
+    one = cleaned.filter("not _bad").groupBy(name).agg(F.min_by(F.struct(*(c for c in cleaned.columns if c != name)), order).alias("_x")).select(name, "_x.*").select(*cleaned.columns)
     joined = one.join(names, F.col(name) == F.col("_n"), "left").join(lines, F.col(logical) == F.col("_l"), "left")
-    return joined.withColumn("kind", F.when(F.col("_n").isNotNull(), "exact").when(F.col("_c") == 1, "variant").when(F.col("_c") > 1, "ambiguous").otherwise("new")).drop("_n", "_l", "_c")
+    folder = F.contains(F.col(name), F.lit("/"))
+    if member is None:
+        held = F.lit(False)
+    else:
+        members = existing.select(F.translate(member, "\\", "/").alias("_m")).filter("_m <> ''").distinct()
+        joined, held = joined.join(members, F.col(name) == F.col("_m"), "left"), F.col("_m").isNotNull()
+    kind = F.when(folder & held, "exact").when(folder, "new").when(F.col("_c") > 1, "ambiguous").when(F.col("_c") == 1, "exact").when(F.col("_l").isNotNull(), "variant").otherwise("new")
+    return joined.withColumn("kind", kind).select(*candidates.columns, "kind").unionByName(cleaned.filter("_bad").withColumn("kind", F.lit("invalid")).select(*candidates.columns, "kind"))
 
 
 def update_plan(existing: DataFrame, incoming: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
@@ -58,14 +71,41 @@ def first_of_equal(rows: DataFrame, value: list[str], order: str) -> DataFrame:
     return rows.groupBy(*value).agg(F.min(order).alias(order), F.count("*").alias("copies"))
 
 
-def upsert(old: DataFrame, new: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
-    """New rows over old ones; a deleted key stays deleted."""
+def upsert(old: DataFrame, new: DataFrame, deleted: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """New rows over old ones, one row a key; a deleted key stays deleted.
+
+    Of several rows of a key on one side the last in ``order`` holds (without an
+    order the greatest). The order's column stays as it is.
+    """
     gone = deleted.select(F.col(key).alias("_d")).distinct()
-    fresh = new.join(old.select(F.col(key).alias("_o")), F.col(key) == F.col("_o"), "left").withColumn("origin", F.when(F.col("_o").isNull(), "inserted").otherwise("updated")).drop("_o")
-    kept = old.join(new.select(F.col(key).alias("_n")), F.col(key) == F.col("_n"), "left_anti").withColumn("origin", F.lit("kept"))
+
+    def last(rows: DataFrame) -> DataFrame:
+        row = F.struct(*rows.columns)
+        return rows.groupBy(F.col(key).alias("_g")).agg((F.max_by(row, order) if order else F.max(row)).alias("_r")).select("_r.*")
+
+    before, after = last(old), last(new)
+    fresh = after.join(before.select(F.col(key).alias("_o")), F.col(key) == F.col("_o"), "left").withColumn("origin", F.when(F.col("_o").isNull(), "inserted").otherwise("updated")).drop("_o")
+    kept = before.join(after.select(F.col(key).alias("_n")), F.col(key) == F.col("_n"), "left_anti").withColumn("origin", F.lit("kept"))
     return kept.unionByName(fresh).join(gone, F.col(key) == F.col("_d"), "left_anti")
 
 
+def edit_overrides(base: DataFrame, overrides: DataFrame, edits: DataFrame, key: str, value: str, expected: str | None = None) -> DataFrame:
+    """key, value, state of the overrides after edits: kept, set, or removed where an edit says what the base says.
+
+    Edits of unknown keys are left out. With ``expected``, a column of the edits,
+    the run fails where the value in force (override, else base) is another one.
+    """
+    text = base.select(F.col(key).alias("_b"), F.col(value).alias("_base"))
+    now = overrides.select(F.col(key).alias("_k"), F.col(value).alias("_over"))
+    wanted = edits.select(key, F.col(value).alias("_new"), (F.col(expected) if expected else F.lit(None).cast("string")).alias("_was"), F.lit(True).alias("_edit")).join(text, F.col(key) == F.col("_b")).drop("_b")
+    both = now.join(wanted, F.col("_k") == F.col(key), "full")
+    force = F.coalesce("_over", "_base")
+    stale = F.col("_was").isNotNull() & ~F.col("_was").eqNullSafe(force)
+    id_ = F.coalesce(F.col("_k"), F.col(key))
+    state = F.when(F.col("_edit").isNull(), "kept").when(stale, F.raise_error(F.concat(F.lit("text changed since it was read: "), id_.cast("string")))).when(F.col("_new").eqNullSafe(F.col("_base")), "removed").otherwise("set")
+    return both.select(id_.alias(key), F.when(F.col("_edit").isNull(), F.col("_over")).otherwise(F.col("_new")).alias(value), state.alias("state"))
+
+
 def fill_only(existing: DataFrame, recovered: DataFrame, key: str, value: str) -> DataFrame:
     """Recovered values where the existing one is blank, never over another."""
     other = recovered.groupBy(key).agg(F.min(value).alias("_v")).withColumnRenamed(key, "_k")
@@ -74,22 +114,38 @@ def fill_only(existing: DataFrame, recovered: DataFrame, key: str, value: str) -
     return joined.withColumn("recovered", filled).withColumn(value, F.when(filled, F.col("_v")).otherwise(F.col(value))).drop("_k", "_v")
 
 
-def append_numbered(existing: DataFrame, incoming: DataFrame, key: str, index: str, order: str, buckets: int = 64) -> DataFrame:
-    """Incoming rows of unknown keys, numbered on from the existing rows' greatest index.
+def append_numbered(existing: DataFrame, incoming: DataFrame, key: str, index: str, order: str) -> DataFrame:
+    """Incoming rows of unknown keys, numbered on from the existing rows' greatest index."""
+    fresh = incoming.join(existing.select(F.col(key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    return numbered(fresh, order, index).join(F.broadcast(existing.agg(F.coalesce(F.max(index), F.lit(0)).alias("_top"))), how="inner").withColumn(index, F.col(index) + F.col("_top")).drop("_top")
+
+
+#: Rows that one task ranks, and the most ranges of an order.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
 
-    Ranks are counted within ranges of the order and the ranges' sizes added up,
-    so no single task sorts everything.
-    """
-    fresh = incoming.join(existing.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
-    return numbered(fresh, order, index, buckets).join(F.broadcast(existing.agg(F.coalesce(F.max(index), F.lit(0)).alias("_top"))), how="inner").withColumn(index, F.col(index) + F.col("_top")).drop("_top")
 
+def range_of(value: Column, bounds: list) -> Column:
+    """The number of bounds at or below a value, found in two steps; nulls come after all ranges."""
+    if not bounds:
+        return F.when(value.isNull(), 1).otherwise(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    parts = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    array = lambda xs: F.array(*map(F.lit, xs))
+    coarse = F.size(F.filter(array([p[0] for p in parts]), lambda b: b <= value))
+    fine = F.get(F.array(*map(array, parts)), coarse - 1)
+    return F.when(value.isNull(), len(bounds) + 1).when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda b: b <= value)))
 
-def numbered(rows: DataFrame, order: str, index: str, buckets: int = 64) -> DataFrame:
-    """Add index 1, 2, ... in the order of a numeric column without a global sort."""
-    ends = rows.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    wide = F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / buckets)
-    placed = rows.join(F.broadcast(ends), how="inner").withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / wide)).drop("_lo", "_hi")
-    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))  # at most ``buckets`` + 1 rows
+
+def numbered(rows: DataFrame, order: str, index: str) -> DataFrame:
+    """Add index 1, 2, ... in the order of a numeric column, nulls last, without a global sort.
+
+    Ranks are counted within ranges between the order's quantiles, as many as the
+    rows ask for, and the ranges' sizes added up.
+    """
+    ranges = min(MOST_RANGES, rows.count() // RANGE_ROWS + 8)
+    cuts = rows.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
+    placed = rows.withColumn("_b", range_of(F.col(order), sorted(set(cuts or []))))
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))  # at most MOST_RANGES + 1 rows
     before = sizes.select(F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     ranked = placed.withColumn(index, F.row_number().over(Window.partitionBy("_b").orderBy(order)))
     return ranked.join(F.broadcast(before), F.col("_b") == F.col("_c")).withColumn(index, (F.col(index) + F.col("_before")).cast("long")).drop("_b", "_c", "_before")

@@ -12,20 +12,79 @@ def alone(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(single, F.col(key) == F.col("_k"), "left_semi")
 
 
-def cascade(left: DataFrame, right: DataFrame, left_id: str, exact: tuple[str, str], structural: tuple[str, str], value: str, reduce_right: bool = True) -> DataFrame:
+def unique_join_problems(full: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """(key, problem) of what forbids a row-for-row join: duplicate, missing or surplus keys, and unequal counts (a null key)."""
+    counted = other.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    duplicate = counted.filter("_n > 1").select(F.col("_k").alias(key), F.lit("duplicate").alias("problem"))
+    met = full.select(key).join(counted, F.col(key) == F.col("_k"), "left")
+    missing = met.filter("_k is null").select(key, F.lit("missing").alias("problem")).distinct()
+    size = lambda rows, name: rows.agg(F.count("*").alias(name))
+    unequal = size(full, "_a").join(F.broadcast(size(other, "_b")), how="inner").filter("_a <> _b").select(F.lit(None).cast(full.schema[key].dataType).alias(key), F.lit("unequal_counts").alias("problem"))
+    return duplicate.unionByName(missing).unionByName(unequal)
+
+
+def unique_join(full: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Each row of ``full`` with its one row of ``other``; the run fails on a duplicate or missing key or unequal counts.
+
+    Keys are counted before the join, so a hot key fails without being multiplied.
+    """
+    clashing = [c for c in other.columns if c != key and c in full.columns]
+    if clashing:
+        raise ValueError(f"both sides have {clashing}")
+    columns = [c for c in other.columns if c != key]
+    single = other.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.min_by(F.struct(*columns), F.lit(0)).alias("_row"))
+    sizes = full.agg(F.count("*").alias("_a")).join(F.broadcast(other.agg(F.count("*").alias("_b"))), how="inner")
+    met = full.join(single, F.col(key) == F.col("_k"), "left").join(F.broadcast(sizes), how="inner")
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    checked = (
+        F.when(F.col("_a") != F.col("_b"), F.raise_error(F.concat(F.lit("row count differs: "), F.col("_a").cast("string"), F.lit(" and "), F.col("_b").cast("string"))))
+        .when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate key: "), name)))
+        .when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("missing row: "), name)))
+        .otherwise(F.col("_row"))
+    )
+    return met.withColumn("_row", checked).select(*full.columns, *(F.col(f"_row.{c}").alias(c) for c in columns))
+
+
+def _texts(right: DataFrame, value: str) -> DataFrame:
+    """A blank text is none."""
+    return right.filter(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))) != "")
+
+
+def cascade(left: DataFrame, right: DataFrame, left_id: str, exact: tuple[str, str], structural: tuple[str, str], value: str, order: str, reduce_right: bool = True) -> DataFrame:
     """left_id, value, tier of the lines that find a text: by exact name, else by a structural key.
 
-    The structural key counts only if it is alone on both sides among what is
-    left. With ``reduce_right`` a text taken by name is out of the second pass;
-    without it all texts stay in, and of equal names the greatest ``value`` holds.
+    Of texts with one name the last in ``order`` holds; blank texts are none. The
+    structural key counts only if it is alone on both sides among what is left.
+    With ``reduce_right`` a text taken by name is out of the second pass; without
+    it all texts stay in.
     """
-    named = right.groupBy(exact[1]).agg(F.max(value).alias("_v")).withColumnRenamed(exact[1], "_name")
+    first, a, b = _cascade_sides(left, right, left_id, exact, structural, value, order, reduce_right)
+    a = alone(a, structural[0]).select(left_id, F.col(structural[0]).alias("_a"))
+    b = alone(b, structural[1]).select(F.col(structural[1]).alias("_b"), value)
+    return first.unionByName(a.join(b, F.col("_a") == F.col("_b")).select(left_id, value, F.lit("structural").alias("tier")))
+
+
+def _cascade_sides(left: DataFrame, right: DataFrame, left_id: str, exact: tuple[str, str], structural: tuple[str, str], value: str, order: str, reduce_right: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    texts = _texts(right, value)
+    named = texts.groupBy(exact[1]).agg(F.max_by(value, order).alias("_v")).withColumnRenamed(exact[1], "_name")
     first = left.join(named, F.col(exact[0]) == F.col("_name")).select(left_id, F.col("_v").alias(value), F.lit("exact").alias("tier"))
     rest = left.join(first.select(F.col(left_id).alias("_id")), F.col(left_id) == F.col("_id"), "left_anti")
-    pool = right.join(left.select(F.col(exact[0]).alias("_taken")), F.col(exact[1]) == F.col("_taken"), "left_anti") if reduce_right else right
-    a = alone(rest, structural[0]).select(left_id, F.col(structural[0]).alias("_a"))
-    b = alone(pool, structural[1]).select(F.col(structural[1]).alias("_b"), value)
-    return first.unionByName(a.join(b, F.col("_a") == F.col("_b")).select(left_id, value, F.lit("structural").alias("tier")))
+    if reduce_right:
+        # one text a name, as an index by name holds it; those taken are out
+        single = texts.groupBy(exact[1]).agg(F.max_by(F.struct(*texts.columns), order).alias("_r")).select("_r.*")
+        texts = single.join(left.select(F.col(exact[0]).alias("_taken")), F.col(exact[1]) == F.col("_taken"), "left_anti")
+    return first, rest, texts
+
+
+def cascade_report(left: DataFrame, right: DataFrame, left_id: str, exact: tuple[str, str], structural: tuple[str, str], value: str, order: str) -> DataFrame:
+    """One row: exact, structural, total, unmatched, and conflicts (left keys that meet texts but not one to one)."""
+    first, a, b = _cascade_sides(left, right, left_id, exact, structural, value, order, True)
+    count = lambda rows, key, name: rows.filter(F.col(key) != "").groupBy(F.col(key).alias(f"_{name}k")).agg(F.count("*").alias(name))
+    met = count(a, structural[0], "_l").join(count(b, structural[1], "_r"), F.col("__lk") == F.col("__rk"))
+    single = (F.col("_l") == 1) & (F.col("_r") == 1)
+    tiers = met.agg(F.count_if(single).alias("structural"), F.count_if(~single).alias("conflicts"))
+    sums = first.agg(F.count("*").alias("exact")).join(F.broadcast(tiers), how="inner").join(F.broadcast(left.agg(F.count("*").alias("_all"))), how="inner")
+    return sums.select("exact", "structural", (F.col("exact") + F.col("structural")).alias("total"), (F.col("_all") - F.col("exact") - F.col("structural")).alias("unmatched"), "conflicts")
 
 
 def member_or_name(rows: DataFrame, members: DataFrame, member: str, name: str, member_col: str, name_col: str) -> DataFrame:
@@ -76,6 +135,40 @@ def layered(base: DataFrame, layers: DataFrame, key: str, order: str, value: str
     return base.join(last, F.col(key) == F.col("_k"), "left").withColumn("resolved", F.coalesce("_v", value)).withColumn("overridden", F.col("_v").isNotNull()).drop("_v", "_k")
 
 
+def guarded_overrides(entries: DataFrame, overrides: DataFrame, value: str, order: str) -> DataFrame:
+    """Add the column ``value`` of the override that an entry takes, null if none, and its tier.
+
+    Entries have id, filename, logical_id, member, of one row an id; overrides have
+    the same, value and an order. Tier 0: the override of the entry's id, unless
+    one of its names is another. Tier 1: the first in order of those that share the
+    file name, where the members agree, or neither side has one and no other entry
+    has the file name; or, of another file name, the logical id, if no other entry
+    has the file name. Each tier is looked up by key, so no two groups are multiplied.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    names = ("filename", "logical_id", "member")
+    held = entries.select("id", *(text(c).alias(c) for c in names))
+    over = overrides.select(F.col("id").alias("o_id"), *(text(c).alias(f"o_{c}") for c in names), F.col(order).alias("_o"), F.col(value).alias("_v"))
+    agree = lambda c: (F.col(c) == "") | (F.col(f"o_{c}") == "") | (F.col(c) == F.col(f"o_{c}"))
+    last = over.groupBy("o_id").agg(F.max_by(F.struct("o_filename", "o_logical_id", "o_member", "_o", "_v"), "_o").alias("x")).select("o_id", "x.*")
+    pick = lambda rows, tier: rows.select("id", F.struct(F.lit(tier).alias("tier"), F.col("_o").alias("o"), F.col("_v").alias("v")).alias("x"))
+    exact = pick(held.join(last, F.col("id") == F.col("o_id")).filter(agree("filename") & agree("logical_id") & agree("member")), 0)
+
+    many = held.groupBy("filename").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("filename").alias("_f"))
+    single = held.join(many, F.col("filename") == F.col("_f"), "left_anti")
+    first = lambda rows, *by: rows.groupBy(*by).agg(F.min(F.struct("_o", "_v")).alias("y")).select(*by, "y.*")
+    member = first(over.filter("o_filename <> '' and o_member <> ''"), "o_filename", "o_member")
+    by_member = pick(held.join(member, (F.col("filename") == F.col("o_filename")) & (F.col("member") == F.col("o_member"))), 1)
+    plain = first(over.filter("o_filename <> '' and o_member = ''"), "o_filename")
+    by_name = pick(single.filter("member = ''").join(plain, F.col("filename") == F.col("o_filename")), 1)
+    # of one logical id the first override of each file name; the first two serve every entry
+    each = first(over.filter("o_logical_id <> ''"), "o_logical_id", "o_filename")
+    two = each.withColumn("_r", F.row_number().over(Window.partitionBy("o_logical_id").orderBy("_o"))).filter("_r <= 2")
+    by_logical = pick(single.join(two, (F.col("logical_id") == F.col("o_logical_id")) & ((F.col("filename") != F.col("o_filename")) | (F.col("filename") == ""))), 1)
+    best = exact.unionByName(by_member).unionByName(by_name).unionByName(by_logical).groupBy(F.col("id").alias("_id")).agg(F.min("x").alias("x"))
+    return entries.join(best, F.col("id") == F.col("_id"), "left").select(*entries.columns, F.col("x.v").alias(value), F.col("x.tier").alias("tier"))
+
+
 def reuse(rows: DataFrame, stored: DataFrame, key: str, fingerprint: str) -> DataFrame:
     """Add reusable: a stored row of the same key has the same fingerprint."""
     held = stored.select(F.col(key).alias("_k"), F.col(fingerprint).alias("_f")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewright.functions.text import FAMILY_HINT, KINDS, VOICE_ANECDOTE, stem
+
 
 def counters(rows: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
@@ -59,10 +61,24 @@ def retain(rows: DataFrame, active: Column, newest: list[Column], n: int) -> Dat
 
 
 def capped(issues: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
-    """At most ``most`` issues of a group, each with the group's full count."""
-    group = Window.partitionBy(*by)
-    counted = issues.withColumn("_r", F.row_number().over(group.orderBy(*order))).withColumn("issue_count", F.count("*").over(group))
-    return counted.filter(F.col("_r") <= most).drop("_r")
+    """At most ``most`` issues of a group, each with the group's full count, which is an aggregate's and not a window's."""
+    counts = issues.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("issue_count"))
+    first = issues.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= most).drop("_r")
+    met = F.lit(True)
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return first.join(counts, met).drop(*(f"_{c}" for c in by))
+
+
+def package_kind(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """kind, confidence, matched, total of each package by its file names; one anecdote name outweighs the other families."""
+    given = F.trim(F.coalesce(F.col(name), F.lit(""))) != ""
+    fits = lambda pattern: F.count_if(given & F.rlike(stem(F.col(name)), F.lit(pattern)))
+    counted = rows.groupBy(*by).agg(F.count_if(given).alias("total"), fits(VOICE_ANECDOTE).alias("_a"), fits(FAMILY_HINT).alias("_b"))
+    matched = F.when(F.col("_a") > 0, F.col("_a")).otherwise(F.col("_b"))
+    kind = F.when(F.col("_a") > 0, KINDS[0]).when(F.col("_b") > 0, KINDS[1]).otherwise(KINDS[2])
+    confidence = F.when(F.col("total") == 0, "none").when(matched == 0, "low").when(matched * 4 >= F.col("total") * 3, "high").otherwise("medium")
+    return counted.select(*by, kind.alias("kind"), confidence.alias("confidence"), matched.alias("matched"), "total")
 
 
 def covering(rows: DataFrame, key: str, name: str, group: str, n: int) -> DataFrame:

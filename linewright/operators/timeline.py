@@ -19,16 +19,20 @@ def samples(seconds: float, rate: int) -> int:
     return round(seconds * rate)
 
 
-def resolve(lines: DataFrame, archive: list[str], ordinal: list[str], group: str, frames: Column, rate: int, intro: float = 10.0, same_gap: float = 2.5, group_gap: float = 5.0) -> DataFrame:
+def resolve(lines: DataFrame, archive: list[str], ordinal: list[str], group: str, frames: Column, rate: int, intro: float = 10.0, same_gap: float = 2.5, group_gap: float = 5.0, strict: bool = True) -> DataFrame:
     """Add start_sample, end_sample, gap_after, next_start.
 
+    A line without a positive number of frames fails the run; without ``strict`` it takes no time.
+
     The gap after a line depends on whether the next one changes group; the last
     line has none. Positions are running sums of whole samples.
     """
     by = _order(archive, ordinal)
     last = F.lead(F.lit(1)).over(by).isNull()
     gap = F.when(last, 0).when(F.lead(group).over(by).eqNullSafe(F.col(group)), samples(same_gap, rate)).otherwise(samples(group_gap, rate)).cast("long")
-    sized = lines.withColumn("_n", F.coalesce(frames, F.lit(0)).cast("long")).withColumn("gap_after", gap)
+    n = F.coalesce(frames, F.lit(0)).cast("long")
+    n = F.when(n <= 0, F.raise_error(F.lit("a line has no positive number of frames")).cast("long")).otherwise(n) if strict else F.greatest(n, F.lit(0).cast("long"))
+    sized = lines.withColumn("_n", n).withColumn("gap_after", gap)
     before = F.coalesce(F.sum(F.col("_n") + F.col("gap_after")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     timed = sized.withColumn("start_sample", (before + samples(intro, rate)).cast("long")).withColumn("end_sample", F.col("start_sample") + F.col("_n"))
     return timed.withColumn("next_start", F.col("end_sample") + F.col("gap_after")).drop("_n")

@@ -48,10 +48,11 @@ def group_coverage(t):
 
 
 @query("""WITH v AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 2 = 0), m AS (SELECT p_brand, part.p_name, p_type, v.p_name AS k FROM part LEFT JOIN v ON part.p_name = v.p_name),
-e AS (SELECT p_brand, count(DISTINCT k) AS covered, count(k) AS texts FROM m GROUP BY p_brand)
-SELECT p_brand, covered, texts, CAST(covered * 1000 // (SELECT count(*) FROM v) + texts + CASE WHEN p_brand LIKE '%1' THEN 50 ELSE 0 END AS BIGINT) AS score FROM e""")
+e AS (SELECT p_brand, count(DISTINCT k) AS covered, count(k) AS texts FROM m GROUP BY p_brand),
+s AS (SELECT p_brand, covered, texts, covered / (SELECT count(*) FROM v) * 1000 + texts + CASE WHEN p_brand LIKE '%1' THEN 5 ELSE 0 END AS score FROM e)
+SELECT *, row_number() OVER (ORDER BY score DESC, p_brand) AS rank FROM s""")
 def candidate_scores(t):
-    return audits.candidate_scores(t("part"), t("part").filter("p_partkey % 2 = 0").select("p_name"), "p_brand", "p_name", "p_type", F.col("p_brand").endswith("1"))
+    return audits.candidate_scores(t("part"), t("part").filter("p_partkey % 2 = 0").select("p_name"), "p_brand", "p_name", "p_type", F.when(F.col("p_brand").endswith("1"), 5).otherwise(0))
 
 
 @query("WITH r AS (SELECT doc_id, lang, md5(text) AS p FROM documents), f AS (SELECT source, lang, doc_id, CAST(n_chars % 500 AS VARCHAR) AS p FROM documents) SELECT doc_id, (SELECT min(g.doc_id) FROM f g WHERE g.lang = 'fr' AND g.p = f.p) AS pair FROM f WHERE lang = 'en'")
@@ -67,7 +68,7 @@ def training_rows(t):
     k, s = F.col("p_partkey"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     corrected = t("part").select("p_partkey", F.when(k % 3 == 0, "").otherwise(s).alias("member"), "p_name")
     manifest = t("part").filter("p_partkey % 7 <> 0").select("p_partkey", s.alias("member"), F.when(k % 5 == 0, "").otherwise(F.col("p_type")).alias("p_name"))
-    return audits.training_rows(corrected, manifest, "member", "p_partkey", ["p_name"]).select("p_partkey", "p_name", "route")
+    return audits.training_rows(corrected, manifest, "member", "p_partkey", ["p_name"], "p_partkey").select("p_partkey", "p_name", "route")
 
 
 @query("SELECT o_orderkey // 100 * 100 AS page, string_agg(DISTINCT o_orderkey, ',' ORDER BY o_orderkey) AS positions FROM orders WHERE o_orderstatus = 'P' GROUP BY 1")
@@ -134,11 +135,11 @@ def review_blocks(t):
     return t("conversations").select("conv_id", "turn", review_block(key, F.col("text"), F.col("role")).alias("block"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, base64(encode(text)) AS data FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, sha256(text) AS sha256, base64(encode(text)) AS data FROM documents")
 def recovery_package(t):
     from linewright.sources.exports import recovery_package as package
 
-    rows = package(t("documents").filter("lang = 'de'").select("doc_id", F.encode("text", "UTF-8").alias("c")), "doc_id", "c")
+    rows = package(t("documents").select("doc_id", F.encode("text", "UTF-8").alias("c")), "doc_id", "c")
     return rows.withColumn("data", F.regexp_replace("data", r"\s", ""))
 
 
@@ -180,6 +181,48 @@ def evidence_reconciled(t):
     return rows.select("user_id", F.col("total").alias("n"), "v", tx.reconciled(present, F.lit(0.9), F.col("v"), F.col("total")).alias("confidence"))
 
 
+STRUCTURE = """r AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 AS id, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'm' || o_orderkey % 11 END AS member, CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE o_orderstatus END AS src, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE 't' END AS tgt,
+CASE WHEN o_orderkey % 4 = 0 THEN 'abc' ELSE sha256(CAST(o_orderkey AS VARCHAR)) END AS sha, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS a, o_totalprice + o_orderkey % 10 - 1 AS b, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 2 END AS c FROM orders),
+v AS (SELECT *, a IS NOT NULL AND a >= 0 AND b > a AND coalesce(c, b) > a AS ok, row_number() OVER (PARTITION BY o_custkey, id ORDER BY o_orderkey) AS ni, row_number() OVER (PARTITION BY o_custkey, member ORDER BY o_orderkey) AS nm FROM r),
+w AS (SELECT *, last_value(CASE WHEN ok THEN a END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM v)"""
+
+
+@query(f"""WITH {STRUCTURE} SELECT o_custkey, o_orderkey, unnest(list_filter([CASE WHEN ni > 1 THEN 'duplicate_entry_id' END, CASE WHEN member <> '' AND nm > 1 THEN 'duplicate_source_member' END, CASE WHEN member = '' THEN 'source_member_missing' END,
+CASE WHEN src = ' ' THEN 'source_text_missing' END, CASE WHEN tgt IS NULL THEN 'target_text_missing' END, CASE WHEN sha = 'abc' THEN 'source_audio_hash_missing' END, CASE WHEN NOT ok THEN 'invalid_source_timeline' END, CASE WHEN ok AND a < p - 0.000001 THEN 'non_monotonic_timeline' END], lambda x: x IS NOT NULL)) AS code FROM w""")
+def structure_issues(t):
+    k = F.col("o_orderkey")
+    rows = t("orders").select(
+        "o_custkey", "o_orderkey", (k % 5).alias("id"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("m"), (k % 11).cast("string"))).alias("member"), F.when(k % 6 == 0, " ").otherwise(F.col("o_orderstatus")).alias("src"), F.when(k % 8 != 0, "t").alias("tgt"),
+        F.when(k % 4 == 0, "abc").otherwise(F.sha2(k.cast("string"), 256)).alias("sha"), F.when(k % 13 != 0, F.col("o_totalprice")).alias("a"), (F.col("o_totalprice") + k % 10 - 1).alias("b"), F.when(k % 3 == 0, F.col("o_totalprice") + 2).alias("c"),
+    )
+    return audits.structure_issues(rows, ["o_custkey"], ["o_orderkey"], "id", "member", "src", "tgt", "sha", "a", "b", "c")
+
+
+@query("""WITH d AS (SELECT lang, source, quality FROM documents LEFT JOIN labels USING (doc_id)), p AS (SELECT lang, source, count(*) FILTER (WHERE quality = 1) AS u FROM d GROUP BY ALL)
+SELECT lang, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS usable, count(*) FILTER (WHERE quality = 0) AS invalid, count(*) FILTER (WHERE quality IS NULL) AS missing, CAST(round_even(count(*) FILTER (WHERE quality = 1) * 100.0 / count(*), 2) AS DOUBLE) AS usable_percent,
+(SELECT string_agg(source || ':' || u, ',' ORDER BY source) FROM p WHERE p.lang = d.lang AND u > 0) AS providers FROM d GROUP BY lang""")
+def alignment_diagnostics(t):
+    lines = t("documents").join(t("labels"), "doc_id", "left")
+    found = audits.alignment_diagnostics(lines, ["lang"], F.col("quality").isNotNull(), F.col("quality") == 1, F.col("source"))
+    return found.withColumn("providers", F.nullif(F.array_join(F.transform(F.array_sort(F.map_entries("providers")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ","), F.lit(""))).withColumn("usable_percent", F.col("usable_percent").cast("double"))
+
+
+@query("""WITH v AS (SELECT p_brand, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_name END AS n, CASE WHEN p_brand LIKE '%3' OR p_partkey % 5 = 0 THEN 'lab' ELSE '' END AS own FROM part),
+i AS (SELECT p_brand, p_name AS n, count(*) AS c, bool_or(trim(t) <> '') AS t FROM (SELECT p_brand, p_name, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_type END AS t FROM part WHERE p_partkey % 3 > 0 OR p_brand LIKE '%2' UNION ALL SELECT p_brand, p_name, '' FROM part WHERE p_partkey % 31 = 0) WHERE p_brand NOT LIKE '%4' AND NOT (p_brand LIKE '%3' AND p_name NOT LIKE 'a%') GROUP BY ALL),
+s AS (SELECT v.p_brand, count(v.n) AS total, count(*) FILTER (WHERE c = 1) AS known, count(*) FILTER (WHERE c = 1 AND t) AS texts, count(*) FILTER (WHERE c > 1) AS shared, count(*) FILTER (WHERE v.n IS NOT NULL AND own <> '') AS packed FROM v LEFT JOIN i ON i.p_brand = v.p_brand AND i.n = v.n GROUP BY v.p_brand),
+f AS (SELECT *, known < 0.5 * greatest(total, 1) AS few, total > 0 AND packed = total AS whole FROM s)
+SELECT p_brand, 'blocker' AS level, 'no_voices' AS code, total AS n FROM f WHERE total = 0 UNION ALL SELECT p_brand, 'blocker', 'no_index', known FROM f WHERE total > 0 AND known = 0 AND NOT whole
+UNION ALL SELECT p_brand, 'blocker', 'coverage_below_minimum', known FROM f WHERE known > 0 AND few AND NOT whole UNION ALL SELECT p_brand, 'warning', 'packed_texts_used', known FROM f WHERE few AND whole
+UNION ALL SELECT p_brand, 'warning', 'voices_not_in_index', total - known FROM f WHERE NOT few AND known < total UNION ALL SELECT p_brand, 'warning', 'no_source_text', known - texts FROM f WHERE NOT few AND texts < known
+UNION ALL SELECT p_brand, 'warning', 'shared_names', shared FROM f WHERE NOT few AND shared > 0""")
+def preflight(t):
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    voices = t("part").select("p_brand", F.when(k % 97 != 0, F.col("p_name")).alias("n"), F.when(brand.endswith("3") | (k % 5 == 0), "lab").otherwise("").alias("own"))
+    index = t("part").filter((k % 3 > 0) | brand.endswith("2")).select("p_brand", F.col("p_name").alias("n"), F.when(k % 7 == 0, " ").otherwise(F.col("p_type")).alias("text"))
+    index = index.unionByName(t("part").filter(k % 31 == 0).select("p_brand", F.col("p_name").alias("n"), F.lit("").alias("text"))).filter(~brand.endswith("4") & ~(brand.endswith("3") & ~F.col("n").startswith("a")))
+    return audits.preflight(voices, index, ["p_brand"], "n", "text", "own")
+
+
 def ass_scripts(t):
     """Conversations as ASS scripts, texts broken to lines. Rows only: the breaking is Python's."""
     from linewright.functions.layout import broken_lines

@@ -17,7 +17,7 @@ tl AS (SELECT *, CAST(80000 + coalesce(sum(n + gap_after) OVER (PARTITION BY con
 
 def timed(t):
     """Conversations as archives: a turn is a line of as many frames as characters, a role is a group."""
-    return timeline.resolve(t("conversations"), ["conv_id"], ["turn"], "role", F.length("text"), 8000)
+    return timeline.resolve(t("conversations"), ["conv_id"], ["turn"], "role", F.length("text"), 8000, strict=False)
 
 
 @query(f"WITH {TIMED} SELECT conv_id, turn, start_sample, start_sample + n AS end_sample, CAST(gap_after AS BIGINT) AS gap_after, start_sample + n + gap_after AS next_start FROM tl")
@@ -116,8 +116,8 @@ def largest_remainder(t):
     return timeline.apportion(counted, ["n_regionkey"], ["n_nationkey"], "w", 10000).select("n_regionkey", "n_nationkey", "units")
 
 
-CATEGORY = r"""CASE WHEN regexp_matches(text, '(?i)<[^>]+>|\{[^}]+\}|RUBY') THEN 'markup' WHEN contains(lower(text), 'theabout') THEN 'terms' WHEN length(text) >= 140 THEN 'long' WHEN length(text) <= 45 THEN 'short'
-WHEN regexp_matches(text, '(?i)\.\.\.|[!?~—]|\b(?:don''t|isn''t|aren''t|can''t|won''t|wouldn''t|couldn''t|shouldn''t)\b') THEN 'expressive' ELSE 'general' END"""
+CATEGORY = r"""CASE WHEN regexp_matches(text, '(?i)<[^>]+>|\{[^}]+\}|RUBY') THEN 'tags_placeholders' WHEN contains(lower(text), 'theabout') THEN 'hsr_terminology' WHEN length(text) >= 140 THEN 'long_complex' WHEN length(text) <= 45 THEN 'short_context_sensitive'
+WHEN regexp_matches(text, '(?i)\.\.\.|[!?~—]|\b(?:don''t|isn''t|aren''t|can''t|won''t|wouldn''t|couldn''t|shouldn''t)\b') THEN 'expressive_dialogue' ELSE 'general' END"""
 
 
 @query(f"""WITH s AS (SELECT conv_id, turn, {CATEGORY} AS stratum, sha256('seed-1' || chr(0) || conv_id || '/' || turn || chr(0) || text) AS h FROM conversations),
@@ -148,12 +148,17 @@ def natural_sort_rank(t):
     return summary.placed(pages, "host", ["key", "page_id"]).select("page_id", "place")
 
 
-@query("""SELECT p_partkey, CAST(CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 0 WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 9 END AS INT) AS family,
-row_number() OVER (PARTITION BY CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 0 WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 9 END, p_size ORDER BY p_name, p_partkey) AS place FROM part""")
+@query("""WITH f AS (SELECT c_custkey, c_custkey % 9 AS f FROM customer),
+m AS (SELECT c_custkey, CASE WHEN f = 1 THEN 0 WHEN f = 0 OR (f = 4 AND c_custkey % 5 = 0) OR (f = 7 AND c_custkey % 2 = 0) THEN 1 WHEN f = 2 THEN 2 WHEN f = 3 THEN 3 WHEN f IN (4, 5) THEN 4 WHEN f = 6 OR (f = 8 AND c_custkey % 2 = 0) THEN 5 ELSE 6 END AS rank,
+CASE WHEN f = 0 THEN c_custkey % 7 WHEN f = 4 AND c_custkey % 5 = 0 THEN 3 WHEN f = 7 AND c_custkey % 2 = 0 THEN 3 WHEN f = 3 THEN c_custkey % 4 WHEN f = 4 THEN 999 WHEN f = 5 THEN c_custkey % 6 ELSE 0 END AS number,
+CASE WHEN f = 2 THEN 'chapterfinality' || c_custkey % 3 WHEN f = 6 THEN 'anecdote_' || c_custkey % 50 ELSE '' END AS name FROM f)
+SELECT c_custkey, CAST(rank AS INT) AS rank, CAST(number AS BIGINT) AS number, row_number() OVER (PARTITION BY rank, number, name ORDER BY c_custkey) AS place FROM m""")
 def chapter_order(t):
-    family = F.coalesce(F.create_map(F.lit("STANDARD"), F.lit(0), F.lit("SMALL"), F.lit(1), F.lit("MEDIUM"), F.lit(2))[F.substring_index("p_type", " ", 1)], F.lit(9))
-    rows = timeline.occurrences(t("part").withColumn("family", family), ["family", "p_size"], ["p_name", "p_partkey"])
-    return rows.select("p_partkey", "family", F.col("occurrence").cast("long").alias("place"))
+    """Lines in the order of their stories: family, number, name, then index."""
+    from linewright.plans.records import families
+
+    lines = families(t).withColumn("r", tx.chapter_rank(tx.classify_group(F.col("member"), F.col("declared"))["major"])).select("c_custkey", "r.*")
+    return timeline.occurrences(lines, ["rank", "number", "name"], ["c_custkey"]).select("c_custkey", "rank", "number", F.col("occurrence").cast("long").alias("place"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus <> 'P') WHERE r <= greatest(0, 6000 - (SELECT count(*) FROM orders WHERE o_orderstatus = 'P'))")

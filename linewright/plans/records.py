@@ -48,10 +48,37 @@ def cross_key(t):
     return named(t).select("c_custkey", tx.cross_key(F.col("path")).alias("cross_key"))
 
 
-@query("""SELECT source, lang, count(*) AS total, count(*) FILTER (WHERE contains(text, '|')) AS family, CASE WHEN count(*) FILTER (WHERE contains(text, '|')) * 4 >= count(*) * 3 THEN 'high' WHEN count(*) FILTER (WHERE contains(text, '|')) > 0 THEN 'low' ELSE 'none' END AS confidence FROM documents GROUP BY ALL""")
+# Customers as voice files of all families: the path and the declared group, in SQL that both engines read.
+FAMILY_MEMBER = """CASE WHEN c_custkey % 9 = 0 THEN concat('Chapter', c_custkey % 7, '_', c_custkey % 13, '_mira_', c_custkey, '.wav') WHEN c_custkey % 9 = 1 THEN concat('Ev_archive_vo_', c_custkey, '.wav')
+WHEN c_custkey % 9 = 2 THEN concat('vo_ChapterFinality', c_custkey % 3, '_', c_custkey, '.wav') WHEN c_custkey % 9 = 3 THEN concat('companion', c_custkey % 4, '_', c_custkey % 5, '_', c_custkey, '.wav')
+WHEN c_custkey % 45 = 40 THEN concat('opaque', c_custkey, '.wav') WHEN c_custkey % 9 = 4 THEN concat('sideX_', c_custkey, '.wav') WHEN c_custkey % 9 = 5 THEN concat('side', c_custkey % 6, '_5_', c_custkey, '.wav')
+WHEN c_custkey % 9 = 6 THEN concat('vo_anecdote_', c_custkey % 50, '_mira_', c_custkey, '.wav') WHEN c_custkey % 9 = 7 THEN concat(CASE WHEN c_custkey % 2 = 0 THEN 'chapter3_7' ELSE 'a' END, '/vo_', c_custkey, '_01.wav')
+WHEN c_custkey % 2 = 0 THEN concat('mystery_', c_custkey, '.wav') ELSE concat('chapter_x_', c_custkey, '.wav') END"""
+FAMILY_DECLARED = "CASE WHEN c_custkey % 45 = 40 THEN 'Chapter3' WHEN c_custkey % 9 = 7 THEN 'vo' WHEN c_custkey % 9 = 8 AND c_custkey % 2 = 0 THEN 'Event_Special' ELSE '' END"
+
+
+def families(t):
+    return t("customer").withColumn("member", F.expr(FAMILY_MEMBER)).withColumn("declared", F.expr(FAMILY_DECLARED))
+
+
+@query("""WITH f AS (SELECT c_custkey, c_custkey % 9 AS f, c_custkey AS k FROM customer)
+SELECT c_custkey, CASE WHEN f = 0 THEN 'chapter' || k % 7 || '_' || k % 13 WHEN f = 1 THEN 'archive' WHEN f = 2 THEN 'chapterfinality' || k % 3 WHEN f = 3 THEN 'companion' || k % 4 || '_' || k % 5 WHEN f = 4 AND k % 5 = 0 THEN 'chapter3' WHEN f = 4 THEN 'sidex'
+WHEN f = 5 THEN 'side' || k % 6 WHEN f = 6 THEN 'anecdote_' || k % 50 WHEN f = 7 AND k % 2 = 0 THEN 'chapter3_7' WHEN f = 8 AND k % 2 = 0 THEN 'event_special' ELSE '' END AS grp,
+CASE WHEN f = 0 THEN 'chapter' || k % 7 WHEN f = 1 THEN 'archive' WHEN f = 2 THEN 'chapterfinality' || k % 3 WHEN f = 3 THEN 'companion' || k % 4 WHEN f = 4 AND k % 5 = 0 THEN 'chapter3' WHEN f = 4 THEN 'sidex'
+WHEN f = 5 THEN 'side' || k % 6 WHEN f = 6 THEN 'anecdote_' || k % 50 WHEN f = 7 AND k % 2 = 0 THEN 'chapter3' WHEN f = 8 AND k % 2 = 0 THEN 'event_special' ELSE '' END AS major,
+CASE WHEN f < 7 THEN 'confirmed' WHEN k % 2 = 0 THEN 'inferred' ELSE 'unknown' END AS confidence,
+CASE WHEN f = 6 THEN 'genshin_filename_schema' WHEN f = 4 AND k % 5 = 0 THEN 'declared_group_schema' WHEN f < 7 THEN 'filename_schema' WHEN f = 7 AND k % 2 = 0 THEN 'package_path' WHEN k % 2 = 0 THEN 'explicit_index_group' ELSE 'unrecognized' END AS method FROM f""")
+def group_families(t):
+    found = families(t).withColumn("g", tx.classify_group(F.col("member"), F.col("declared")))
+    return found.select("c_custkey", F.col("g.group").alias("grp"), "g.major", "g.confidence", "g.method")
+
+
+@query("""WITH n AS (SELECT c_nationkey, count(*) FILTER (WHERE NOT (c_custkey % 9 = 6 AND c_nationkey % 2 = 0)) AS total, count(*) FILTER (WHERE c_custkey % 9 = 6 AND c_nationkey % 2 = 1) AS a, count(*) FILTER (WHERE c_custkey % 9 IN (0, 3, 5)) AS b FROM customer GROUP BY c_nationkey),
+m AS (SELECT *, CASE WHEN a > 0 THEN a ELSE b END AS matched FROM n)
+SELECT c_nationkey, CASE WHEN a > 0 THEN 'genshin-impact' WHEN b > 0 THEN 'honkai-star-rail' ELSE 'generic' END AS kind, CASE WHEN total = 0 THEN 'none' WHEN matched = 0 THEN 'low' WHEN matched >= 0.75 * total THEN 'high' ELSE 'medium' END AS confidence, matched, total FROM m""")
 def kind_detect(t):
-    n = F.count_if(F.contains("text", F.lit("|")))
-    return t("documents").groupBy("source", "lang").agg(F.count("*").alias("total"), n.alias("family"), F.when(n * 4 >= F.count("*") * 3, "high").when(n > 0, "low").otherwise("none").alias("confidence"))
+    named = families(t).withColumn("name", F.when((F.col("c_custkey") % 9 == 6) & (F.col("c_nationkey") % 2 == 0), " ").otherwise(F.col("member")))
+    return summary.package_kind(named, ["c_nationkey"], "name")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, turn * 5.0 AS a, turn * 5.0 + length(text) / 100.0 AS b FROM conversations) WHERE (contains(lower(text), 'the') OR contains(lower(role), 'the')) AND b >= 4.0 AND a <= 15.0")
@@ -62,25 +89,88 @@ def cue_search(t):
 
 
 CASCADE = """l AS (SELECT c_custkey, c_name, CAST(c_custkey % 700 AS VARCHAR) AS k FROM customer),
-r AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') ELSE s_name END AS name, CAST(s_suppkey * 7 % 900 AS VARCHAR) AS k, s_name AS v FROM supplier),
-e AS (SELECT c_custkey, max(v) AS v FROM l JOIN r ON c_name = name GROUP BY c_custkey),
-lr AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM l WHERE c_custkey NOT IN (SELECT c_custkey FROM e)) WHERE n = 1)"""
+r AS (SELECT s_suppkey AS o, CASE WHEN s_suppkey % 2 = 0 THEN 'Customer#' || lpad(CAST(s_suppkey % 80 + 1 AS VARCHAR), 9, '0') ELSE s_name END AS name, CAST(s_suppkey * 7 % 900 AS VARCHAR) AS k, s_name AS v FROM supplier WHERE s_suppkey % 9 > 0),
+e AS (SELECT c_custkey, arg_max(v, o) AS v FROM l JOIN r ON c_name = name GROUP BY c_custkey),
+lr AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM l WHERE c_custkey NOT IN (SELECT c_custkey FROM e)),
+rn AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM (SELECT name, arg_max(k, o) AS k, arg_max(v, o) AS v FROM r GROUP BY name) WHERE name NOT IN (SELECT c_name FROM l)),
+ra AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM r)"""
 
 
 def sides(t):
+    """Repeated names and blank texts on the right."""
+    key = F.col("s_suppkey")
     left = t("customer").select("c_custkey", "c_name", (F.col("c_custkey") % 700).cast("string").alias("k"))
-    right = t("supplier").select(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))).otherwise(F.col("s_name")).alias("name"), (F.col("s_suppkey") * 7 % 900).cast("string").alias("rk"), F.col("s_name").alias("v"))
+    name = F.when(key % 2 == 0, F.concat(F.lit("Customer#"), F.lpad((key % 80 + 1).cast("string"), 9, "0"))).otherwise(F.col("s_name"))
+    right = t("supplier").select("s_suppkey", name.alias("name"), (key * 7 % 900).cast("string").alias("rk"), F.when(key % 9 == 0, " ").otherwise(F.col("s_name")).alias("v"))
     return left, right
 
 
-@query(f"WITH {CASCADE}, rr AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM r WHERE name NOT IN (SELECT c_name FROM l)) WHERE n = 1) SELECT c_custkey, v, 'exact' AS tier FROM e UNION ALL SELECT c_custkey, v, 'structural' FROM lr JOIN rr USING (k)")
+@query(f"WITH {CASCADE} SELECT c_custkey, v, 'exact' AS tier FROM e UNION ALL SELECT c_custkey, rn.v, 'structural' FROM lr JOIN rn USING (k) WHERE lr.n = 1 AND rn.n = 1")
 def cascade_join(t):
-    return matching.cascade(*sides(t), "c_custkey", ("c_name", "name"), ("k", "rk"), "v")
+    return matching.cascade(*sides(t), "c_custkey", ("c_name", "name"), ("k", "rk"), "v", "s_suppkey")
 
 
-@query(f"WITH {CASCADE}, rr AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM r) WHERE n = 1) SELECT c_custkey, v, 'exact' AS tier FROM e UNION ALL SELECT c_custkey, v, 'structural' FROM lr JOIN rr USING (k)")
+@query(f"WITH {CASCADE} SELECT c_custkey, v, 'exact' AS tier FROM e UNION ALL SELECT c_custkey, ra.v, 'structural' FROM lr JOIN ra USING (k) WHERE lr.n = 1 AND ra.n = 1")
 def cascade_join_lastwins(t):
-    return matching.cascade(*sides(t), "c_custkey", ("c_name", "name"), ("k", "rk"), "v", reduce_right=False)
+    return matching.cascade(*sides(t), "c_custkey", ("c_name", "name"), ("k", "rk"), "v", "s_suppkey", reduce_right=False)
+
+
+@query(f"""WITH {CASCADE}, k AS (SELECT k, any_value(lr.n) AS a, any_value(rn.n) AS b FROM lr JOIN rn USING (k) GROUP BY k), s AS (SELECT count(*) FILTER (WHERE a = 1 AND b = 1) AS structural, count(*) FILTER (WHERE a > 1 OR b > 1) AS conflicts FROM k), x AS (SELECT count(*) AS exact FROM e)
+SELECT exact, structural, exact + structural AS total, (SELECT count(*) FROM l) - exact - structural AS unmatched, conflicts FROM x, s""")
+def cascade_counts(t):
+    return matching.cascade_report(*sides(t), "c_custkey", ("c_name", "name"), ("k", "rk"), "v", "s_suppkey")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey)
+SELECT k AS o_orderkey, 'duplicate' AS problem FROM g WHERE n > 1 UNION ALL SELECT o_orderkey, 'missing' FROM orders WHERE o_orderkey NOT IN (SELECT k FROM g)
+UNION ALL SELECT NULL, 'unequal_counts' WHERE (SELECT count(*) FROM orders) <> (SELECT sum(n) FROM g)""")
+def unique_join_problems(t):
+    other = t("lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))
+    return matching.unique_join_problems(t("orders").select("o_orderkey"), other, "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus, n FROM orders JOIN (SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) USING (o_orderkey)")
+def unique_join(t):
+    counted = t("orders").select("o_orderkey").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_linenumber").alias("n"))
+    return matching.unique_join(t("orders").select("o_orderkey", "o_orderstatus"), counted, "o_orderkey")
+
+
+OVERRIDES = """e AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS filename, p_brand || p_size AS logical_id, CASE WHEN p_partkey % 4 = 0 THEN 'm' || p_partkey % 40 ELSE '' END AS member FROM part),
+o AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE -p_partkey END AS id, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'other' ELSE p_name END AS filename, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand || p_size END AS logical_id,
+  CASE p_partkey % 8 WHEN 0 THEN 'm' || p_partkey % 40 WHEN 4 THEN 'm1' ELSE '' END AS member, p_partkey * 7919 % 100003 AS ord, 'v' || p_partkey AS v FROM part WHERE p_partkey % 6 < 2 OR p_partkey % 8 = 0)"""
+
+
+@query(f"""WITH {OVERRIDES}, n AS (SELECT filename FROM e GROUP BY filename HAVING count(*) > 1),
+x AS (SELECT e.id, 0 AS tier, ord, v FROM e JOIN o ON e.id = o.id AND (e.filename = '' OR o.filename = '' OR e.filename = o.filename) AND (e.logical_id = '' OR o.logical_id = '' OR e.logical_id = o.logical_id) AND (e.member = '' OR o.member = '' OR e.member = o.member)
+UNION ALL SELECT e.id, 1, ord, v FROM e JOIN o ON e.filename = o.filename AND e.filename <> '' AND ((e.member <> '' AND e.member = o.member) OR (e.member = '' AND o.member = '' AND e.filename NOT IN (SELECT filename FROM n)))
+UNION ALL SELECT e.id, 1, ord, v FROM e JOIN o ON e.logical_id = o.logical_id AND e.logical_id <> '' AND (e.filename = '' OR e.filename <> o.filename) AND e.filename NOT IN (SELECT filename FROM n))
+SELECT e.id, w.v AS value, CAST(w.tier AS INT) AS tier FROM e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, ord) AS r FROM x) w ON w.id = e.id AND w.r = 1""")
+def guarded_overrides(t):
+    k, line = F.col("p_partkey"), F.concat("p_brand", F.col("p_size").cast("string"))
+    clip = F.concat(F.lit("m"), (k % 40).cast("string"))
+    entries = t("part").select(k.alias("id"), F.when(k % 11 == 0, "").otherwise(F.col("p_name")).alias("filename"), line.alias("logical_id"), F.when(k % 4 == 0, clip).otherwise("").alias("member"))
+    overrides = t("part").filter("p_partkey % 6 < 2 or p_partkey % 8 = 0").select(
+        F.when(k % 2 == 0, k).otherwise(-k).alias("id"), F.when(k % 5 == 0, "").when(k % 5 == 1, "other").otherwise(F.col("p_name")).alias("filename"), F.when(k % 3 == 0, "").otherwise(line).alias("logical_id"),
+        F.when(k % 8 == 0, clip).when(k % 8 == 4, "m1").otherwise("").alias("member"), (k * 7919 % 100003).alias("ord"), F.concat(F.lit("v"), k.cast("string")).alias("value"),
+    )
+    return matching.guarded_overrides(entries, overrides, "value", "ord").select("id", "value", "tier")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'E' END ELSE 'V' END AS status, CASE WHEN o_orderkey % 7 > 0 THEN 'kept' WHEN o_orderkey % 2 = 0 THEN 'removed' ELSE 'set' END AS state
+FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 3 = 0""")
+def edit_overrides(t):
+    rows, k = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), F.col("o_orderkey")
+    edits = rows.filter(k % 7 == 0).select("o_orderkey", F.when(k % 2 == 0, F.col("status")).otherwise("E").alias("status"), F.when(k % 3 == 0, "V").otherwise(F.col("status")).alias("was"))
+    return changes.edit_overrides(rows, rows.filter(k % 3 == 0).withColumn("status", F.lit("V")), edits, "o_orderkey", "status", "was")
+
+
+@query("SELECT d.doc_id, lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE trim(text) <> '' AND CASE WHEN quality = 1 THEN 'ok' ELSE ' ' END <> ' ' AND d.doc_id % 4 > 0")
+def official_rows(t):
+    from linewright.operators.audits import official_rows as official
+
+    k = F.col("doc_id") % 4
+    lines = t("documents").join(t("labels"), "doc_id", "left").withColumn("target", F.when(F.col("quality") == 1, "ok").otherwise(" ")).withColumn("origin", F.when(k == 0, "api:some-model").when(k == 1, "package").when(k == 2, ""))
+    return official(lines, "text", "target", "origin").select("doc_id", "lang")
 
 
 @query("""WITH m AS (SELECT p_brand || '/' || p_partkey AS member, p_name FROM part WHERE p_partkey % 3 > 0), w AS (SELECT p_partkey, p_brand || '/' || p_partkey AS want, p_name FROM part),
@@ -201,14 +291,17 @@ def capped_issues(t):
     return summary.capped(found, ["code"], ["conv_id", "turn"], 100).select("code", "conv_id", "turn", "issue_count")
 
 
-@query("""WITH e AS (SELECT p_name, p_brand || p_size AS l FROM part WHERE p_partkey % 3 = 0), c AS (SELECT p_name, min(p_brand || p_size) AS l FROM part WHERE p_partkey % 3 = 1 OR p_partkey % 50 = 0 GROUP BY p_name HAVING count(DISTINCT p_brand || p_size) = 1),
-k AS (SELECT l, count(DISTINCT p_name) AS n FROM e GROUP BY l)
-SELECT p_name, CASE WHEN p_name IN (SELECT p_name FROM e) THEN 'exact' WHEN n = 1 THEN 'variant' WHEN n > 1 THEN 'ambiguous' ELSE 'new' END AS kind FROM c LEFT JOIN k USING (l)""")
+@query("""WITH e AS (SELECT p_name, p_brand || p_size AS l, CASE WHEN p_partkey % 2 = 0 THEN 'dir/' || p_name ELSE '' END AS member FROM part WHERE p_partkey % 3 = 0),
+c AS (SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'dir/' || p_name WHEN 5 THEN '../' || p_name WHEN 6 THEN '' ELSE p_name END AS name, p_brand || p_size AS l FROM part WHERE p_partkey % 3 = 1 OR p_partkey % 50 = 0),
+d AS (SELECT name, min(p_partkey) AS p_partkey, arg_min(l, p_partkey) AS l FROM c WHERE name <> '' AND NOT starts_with(name, '../') GROUP BY name), n AS (SELECT p_name, count(*) AS k FROM e GROUP BY p_name)
+SELECT p_partkey, name, CASE WHEN starts_with(name, 'dir/') THEN CASE WHEN name IN (SELECT member FROM e) THEN 'exact' ELSE 'new' END WHEN k > 1 THEN 'ambiguous' WHEN k = 1 THEN 'exact' WHEN l IN (SELECT l FROM e) THEN 'variant' ELSE 'new' END AS kind FROM d LEFT JOIN n ON n.p_name = d.name
+UNION ALL SELECT p_partkey, name, 'invalid' FROM c WHERE name = '' OR starts_with(name, '../')""")
 def update_classify(t):
-    line = F.concat("p_brand", F.col("p_size").cast("string"))
-    existing = t("part").filter("p_partkey % 3 = 0").select("p_name", line.alias("l"))
-    candidates = t("part").filter("p_partkey % 3 = 1 or p_partkey % 50 = 0").select("p_name", line.alias("l")).groupBy("p_name").agg(F.count_distinct("l").alias("n"), F.min("l").alias("l")).filter("n = 1").drop("n")
-    return changes.classify(existing, candidates, "p_name", "l").select("p_name", "kind")
+    k, line = F.col("p_partkey"), F.concat("p_brand", F.col("p_size").cast("string"))
+    existing = t("part").filter("p_partkey % 3 = 0").select(F.col("p_name").alias("name"), line.alias("l"), F.when(k % 2 == 0, F.concat(F.lit("dir\\"), "p_name")).otherwise("").alias("member"))
+    name = F.when(k % 10 == 0, F.concat(F.lit("dir/"), "p_name")).when(k % 10 == 5, F.concat(F.lit("..\\"), "p_name")).when(k % 10 == 6, "").otherwise(F.col("p_name"))
+    candidates = t("part").filter("p_partkey % 3 = 1 or p_partkey % 50 = 0").select("p_partkey", name.alias("name"), line.alias("l"))
+    return changes.classify(existing, candidates, "name", "l", "p_partkey", "member").select("p_partkey", "name", "kind")
 
 
 @query("""WITH o AS (SELECT p_name, min(p_type) AS ot, min(p_size) AS os FROM part WHERE p_partkey % 4 < 2 GROUP BY p_name),
@@ -240,8 +333,9 @@ def first_of_equal_texts(t):
 FROM orders WHERE o_orderkey % 11 <> 0 AND (o_orderkey % 10 = 3 OR o_orderkey % 4 <> 1)""")
 def upsert_tombstone(t):
     key = F.col("o_orderkey")
-    rows = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return changes.upsert(rows.filter(key % 4 != 1), rows.filter(key % 10 == 3).withColumn("status", F.lit("X")), rows.filter(key % 11 == 0), "o_orderkey")
+    rows = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(0).alias("ord"))
+    new = lambda status, ord_: rows.filter(key % 10 == 3).withColumn("status", F.lit(status)).withColumn("ord", F.lit(ord_))
+    return changes.upsert(rows.filter(key % 4 != 1), new("X", 2).unionByName(new("Z", 1)), rows.filter(key % 11 == 0), "o_orderkey", "ord").select("o_orderkey", "status", "origin")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'R' || o_orderstatus WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS status, o_orderkey % 6 = 0 AS recovered FROM orders")
@@ -329,11 +423,11 @@ def text_width(t):
     return t("part").select("p_partkey", tx.width(F.concat("p_name", "p_type")).alias("width"))
 
 
-@query("""SELECT doc_id, CASE WHEN r IS NULL THEN doc_id || '.wav|speaker|' || lang || '|' || replace(text, chr(10), ' ') END AS line, r AS reason FROM (SELECT d.*, CASE WHEN trim(text) = '' THEN 'blank' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' WHEN n_chars > 5000 THEN 'too_long' END AS r FROM documents d LEFT JOIN labels USING (doc_id))""")
+@query("""SELECT doc_id, CASE WHEN r IS NULL THEN row_number() OVER (PARTITION BY r IS NULL ORDER BY doc_id) END AS number, CASE WHEN r IS NULL THEN doc_id || '.wav|speaker|' || lang || '|' || replace(text, chr(10), ' ') END AS line, r AS reason FROM (SELECT d.*, CASE WHEN trim(text) = '' THEN 'blank' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' WHEN n_chars > 5000 THEN 'too_long' END AS r FROM documents d LEFT JOIN labels USING (doc_id))""")
 def training_export(t):
     rows = t("documents").join(t("labels"), "doc_id", "left")
     checks = [("blank", F.trim("text") == ""), ("toxic", F.col("toxic") == 1), ("quality", F.col("quality") == 0), ("too_long", F.col("n_chars") > 5000)]
-    return training_list(rows, checks, ["doc_id"], "speaker", F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".wav")), F.replace("text", F.lit("\n"), F.lit(" "))).select("doc_id", "line", "reason")
+    return training_list(rows, checks, "doc_id", "speaker", F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".wav")), F.replace("text", F.lit("\n"), F.lit(" "))).select("doc_id", "number", "line", "reason")
 
 
 @query("SELECT p_partkey, regexp_matches(p, '^/|(^|/)\\.\\.(/|$)|^[^/]*:') AS unsafe FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '/' || p_name WHEN 1 THEN 'a/../' || p_name WHEN 2 THEN 'C:/' || p_name ELSE 'a/' || p_name END AS p FROM part)")

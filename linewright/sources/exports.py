@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import clock
+from linewright.operators.changes import numbered
 
 
 def render_srt(lines: DataFrame, archive: str, ordinal: str, text: str, start: Column, end: Column) -> DataFrame:
@@ -17,13 +18,14 @@ def render_srt(lines: DataFrame, archive: str, ordinal: str, text: str, start: C
     return spoken.groupBy(archive).agg(F.array_join(F.transform(listed, lambda x: x["block"]), "\n").alias("srt"))
 
 
-def training_list(rows: DataFrame, checks: list[tuple[str, Column]], order: list[str], speaker: str, language: Column, path: Column, text: Column) -> DataFrame:
-    """Add reason (the first failed check, null if accepted) and line (path|speaker|language|text)."""
+def training_list(rows: DataFrame, checks: list[tuple[str, Column]], order: str, speaker: str, language: Column, path: Column, text: Column) -> DataFrame:
+    """Add reason (the first failed check, null if accepted), number (1, 2, ... of the accepted rows by a numeric order) and line (path|speaker|language|text)."""
     reason = F.lit(None).cast("string")
     for code, failed in reversed(checks):
         reason = F.when(failed, F.lit(code)).otherwise(reason)
-    judged = rows.withColumn("reason", reason)
-    return judged.withColumn("line", F.when(F.col("reason").isNull(), F.concat_ws("|", path, F.lit(speaker), language, text)))
+    judged = rows.withColumn("reason", reason).withColumn("line", F.when(F.col("reason").isNull(), F.concat_ws("|", path, F.lit(speaker), language, text)))
+    accepted = numbered(judged.filter("reason is null"), order, "number")
+    return accepted.unionByName(judged.filter("reason is not null").withColumn("number", F.lit(None).cast("long")))
 
 
 def write_training_set(judged: DataFrame, folder: str) -> None:

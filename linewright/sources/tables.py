@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linewright.functions.text import basename, blank, classify_group, first_filled, stem
+from linewright.functions.text import basename, blank, compacted, first_filled, inferred_group, stem
 
-# Header names under which a field may stand.
+# Header names under which a field may stand, in order of precedence.
 ALIASES = {
-    "index": ["index", "序号", "no", "id"],
-    "group": ["group", "分组", "chapter"],
-    "filename": ["filename", "文件名", "file", "name"],
+    "index": ["index", "序号", "编号"],
+    "group": ["group", "分组", "major_group"],
+    "filename": ["filename", "文件名", "file", "wav", "wav_filename"],
     "source": ["source", "来源"],
     "source_detail": ["source_detail", "来源细分"],
-    "english": ["english", "ENGLISH", "英文文本", "英文", "text"],
-    "chinese": ["chinese", "中文", "translation"],
-    "sha256": ["sha256", "SHA-256", "hash"],
-    "source_member_id": ["source_member_id", "member"],
+    "english": ["english", "ENGLISH", "英文", "英文文本", "lab_text_escaped", "语音文本"],
+    "sha256": ["sha256", "SHA-256", "sha-256"],
+    "reference_text": ["reference_text", "REFERENCE_TEXT", "参考文本"],
+    "reference_language": ["reference_language", "REFERENCE_LANGUAGE", "参考语言"],
+    "official_target_text": ["official_target_text", "OFFICIAL_TARGET_TEXT", "官方目标文本"],
+    "official_target_language": ["official_target_language", "OFFICIAL_TARGET_LANGUAGE", "官方目标语言"],
+    "official_target_source": ["official_target_source", "OFFICIAL_TARGET_SOURCE", "官方目标来源"],
+    "source_member_id": ["source_member_id", "SOURCE_MEMBER_ID", "来源成员路径", "member_path"],
+}
+SIDE_ALIASES = {
+    "filename": ALIASES["filename"],
+    "english": ALIASES["english"],
+    "chinese": ["chinese", "CHINESE", "中文", "中文文本", "translation"],
+    "source_member_id": ALIASES["source_member_id"],
 }
 
 
@@ -33,24 +43,46 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return strings.withColumn("_file", F.input_file_name()).withColumn("_id", F.monotonically_increasing_id()).withColumn("ordinal", F.row_number().over(Window.partitionBy("_file").orderBy("_id")).cast("long")).drop("_id", "_file")
 
 
-def pick(rows: DataFrame, field: str) -> Column:
-    """The first non-blank value among a field's aliases, row by row."""
-    held = [F.col(f"`{a}`") for a in ALIASES[field] if a in rows.columns]
+def pick(rows: DataFrame, field: str, aliases: dict[str, list[str]] = ALIASES) -> Column:
+    """The first non-blank value among a field's aliases, row by row. Headers count as they are spelled."""
+    held = [F.col(f"`{a}`") for a in aliases[field] if a in rows.columns]
     return first_filled(*held) if held else F.lit("")
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Add key (the member, else the file name) and problems (no_filename, repeated_key)."""
+    named = rows.withColumn("key", first_filled(F.col("source_member_id"), F.col("filename")))
+    again = named.groupBy("key").agg(F.count("*").alias("_n")).withColumnRenamed("key", "_k")
+    return named.join(again, F.col("key") == F.col("_k")).withColumn("problems", F.array_compact(F.array(F.when(F.col("filename") == "", "no_filename"), F.when(F.col("_n") > 1, "repeated_key")))).drop("_k", "_n")
+
+
 def normal_index(rows: DataFrame) -> DataFrame:
-    """Index rows of fixed columns and a key: the member, else the file name.
+    """Index rows of thirteen fixed columns and a key: the member, else the file name.
 
     A missing index is the row's place, a missing group the one its name tells,
     hashes are lower-cased. ``problems`` says what is wrong, empty if nothing.
     """
     read = rows.select("ordinal", *(pick(rows, f).alias(f) for f in ALIASES))
-    own = classify_group(F.col("filename"), F.lit(None).cast("string"))["group"]
-    automatic = F.when(own != "", own).otherwise(F.substring_index(stem(F.col("filename")), "_", 1))
-    filled = read.withColumn("index", F.coalesce(blank(F.col("index")), F.col("ordinal").cast("string"))).withColumn("group", F.coalesce(blank(F.col("group")), automatic)).withColumn("sha256", F.lower("sha256")).withColumn("key", first_filled(F.col("source_member_id"), F.col("filename")))
-    again = filled.groupBy("key").agg(F.count("*").alias("_n")).withColumnRenamed("key", "_k")
-    return filled.join(again, F.col("key") == F.col("_k")).withColumn("problems", F.array_compact(F.array(F.when(F.col("filename") == "", "no_filename"), F.when(F.col("_n") > 1, "repeated_key")))).drop("_k", "_n")
+    group = F.coalesce(blank(F.col("group")), inferred_group(stem(F.col("filename"))))
+    return _keyed(read.withColumn("index", F.coalesce(blank(F.col("index")), F.col("ordinal").cast("string"))).withColumn("group", group).withColumn("sha256", F.lower("sha256")))
+
+
+def side_table(rows: DataFrame) -> DataFrame:
+    """key, english, chinese of a bilingual table; the run fails on a row without a file name or a repeated key."""
+    read = _keyed(rows.select("ordinal", *(pick(rows, f, SIDE_ALIASES).alias(f) for f in SIDE_ALIASES)))
+    wrong = F.concat(F.array_join("problems", ", "), F.lit(": row "), F.col("ordinal").cast("string"), F.lit(" "), F.col("key"))
+    return read.select(F.when(F.size("problems") > 0, F.raise_error(wrong)).otherwise(F.col("key")).alias("key"), "english", "chinese")
+
+
+def search_compacted(rows: DataFrame, needle: str, columns: list[str]) -> DataFrame:
+    """Rows of which a column holds the needle, comparing only letters and digits whatever their case."""
+    wanted = "".join(c for c in needle.casefold() if c.isalnum())
+    if not wanted:
+        raise ValueError("a search needs a letter or digit")
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.contains(compacted(F.col(c)), F.lit(wanted))
+    return rows.filter(hit)
 
 
 def read_object_map(spark: SparkSession, path: str, fields: str, filenames: DataFrame | None = None, name: Column | None = None) -> DataFrame:

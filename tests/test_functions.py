@@ -70,3 +70,15 @@ def test_apportionment(spark, weights):
     rows = spark.createDataFrame([(0, i, w) for i, w in enumerate(weights)], "g int, i int, w long")
     units = [r.units for r in timeline.apportion(rows, ["g"], ["i"], "w", 100).orderBy("i").collect()]
     assert sum(units) == (100 if sum(weights) else 0)
+
+
+def test_families_of_names(spark):
+    rows = spark.createDataFrame([("vo_chapter5_13_evanescia_104.wav", ""), ("Ev_archive_vo_avatar_cast_hero_98765.wav", ""), ("vo_100101_01.wav", "vo"), ("chapter3_7/vo_100101_01.wav", "vo"), ("mystery_001.wav", "event_special"), ("vo_anecdote_106701_hutao_01.wav", ""), ("side2_5_x.wav", ""), ("sidex_1.wav", ""), ("chapter_x.wav", ""), ("ChapterFinality2_x.wav", "")], "m string, g string")
+    got = [tuple(r[0])[:3] for r in rows.select(tx.classify_group(F.col("m"), F.col("g"))).collect()]
+    assert got == [("chapter5_13", "chapter5", "confirmed"), ("archive", "archive", "confirmed"), ("", "", "unknown"), ("chapter3_7", "chapter3", "inferred"), ("event_special", "event_special", "inferred"), ("anecdote_106701",) * 2 + ("confirmed",), ("side2", "side2", "confirmed"), ("sidex", "sidex", "confirmed"), ("", "", "unknown"), ("chapterfinality2",) * 2 + ("confirmed",)]
+    ranks = values(spark, tx.chapter_rank(F.col("x")), "archive", "chapter10", "chapterfinality", "companion2", "companion", "side3", "sidex", "event", "")
+    assert [(r.rank, r.number) for r in ranks] == [(0, 0), (1, 10), (2, 0), (3, 2), (3, 0), (4, 3), (4, 999), (5, 0), (6, 0)]
+
+
+def test_sample_categories(spark):
+    assert values(spark, tx.sample_category(F.col("x")), "<color=#fff>Hello</color>", "The Aeon has never answered us.", "Short line.", "Really? You don't believe me!", "This sentence is deliberately long " * 8) == ["tags_placeholders", "hsr_terminology", "short_context_sensitive", "short_context_sensitive", "long_complex"]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from linewright.operators import audits, batches, changes, matching, summary
@@ -50,6 +51,9 @@ def test_hot_keys_and_nulls(spark):
     numbered = changes.numbered(hot, "i", "n").collect()
     assert sorted((r.i, r.n) for r in numbered) == [(i, i + 1) for i in range(503)]
     assert changes.numbered(hot.filter("i < 0"), "i", "n").count() == 0
+    nulls = spark.createDataFrame([(None, "x"), (5, "y"), (None, "z"), (1 << 40, "w")], "i long, k string")
+    assert sorted((r.n, r.i) for r in changes.numbered(nulls, "i", "n").collect() if r.i) == [(1, 5), (2, 1 << 40)] and changes.numbered(nulls, "i", "n").count() == 4
+    assert sorted(r.n for r in changes.numbered(nulls.filter("i is null"), "i", "n").collect()) == [1, 2]
     assert summary.majority(hot.withColumn("g", F.lit(1)), ["g"], ["k"], "i").first().votes == 500
 
 
@@ -57,3 +61,36 @@ def test_word_timing(spark):
     rows = spark.createDataFrame([([("Hello", 0.0, 0.4), ("there", 0.5, 0.9)], "Hello there!"), ([("a", 0.5, 0.7), ("b", 0.6, 0.8)], "ab cd"), ([("a", 0.0, 9.0)], ""), ([("a", None, 1.0), ("b", -1.0, 1.0)], "x"), ([], "x")], "w array<struct<word:string,start:double,end:double>>, t string")
     got = rows.select(audits.word_timing_problem(F.col("w"), F.lit(1.0)), audits.word_coverage(F.col("t"), F.col("w"))).collect()
     assert [r[0] for r in got] == [None, "non_monotonic", "outside", "no_number", None] and [r[1] for r in got] == [100.0, 50.0, 0.0, 100.0, 0.0]
+
+
+def test_unique_join_fails_on_what_it_forbids(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "k string, v long")
+    full, other = frame(("a", 1), ("b", 2)).withColumnRenamed("v", "x"), frame(("a", 10), ("b", 20))
+    assert sorted(map(tuple, matching.unique_join(full, other, "k").collect())) == [("a", 1, 10), ("b", 2, 20)]
+    for wrong, message in ((frame(("a", 1), ("a", 2)), "duplicate key: a"), (frame(("a", 1), ("c", 2)), "missing row: b"), (frame(("a", 1)), "row count differs")):
+        with pytest.raises(Exception, match=message):
+            matching.unique_join(full, wrong, "k").collect()
+
+
+def test_ranges_in_two_steps(spark):
+    bounds = list(range(0, 1000, 3))
+    rows = spark.createDataFrame([(v,) for v in [*range(-5, 1005), None]], "v long").withColumn("b", changes.range_of(F.col("v"), bounds)).collect()
+    assert all(r.b == (len(bounds) + 1 if r.v is None else sum(b <= r.v for b in bounds)) for r in rows)
+
+
+def test_edits_of_what_has_changed_fail(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(rows, schema)
+    base, over = frame("k long, v string", (1, "a"), (2, "b")), frame("k long, v string", (1, "c"))
+    edit = lambda was: changes.edit_overrides(base, over, frame("k long, v string, was string", (1, "d", was), (9, "x", "x")), "k", "v", "was")
+    assert [tuple(r) for r in edit("c").collect()] == [(1, "d", "set")]
+    with pytest.raises(Exception, match="changed since"):
+        edit("a").collect()
+
+
+def test_lines_without_frames_fail(spark):
+    from linewright.operators import timeline
+
+    rows = spark.createDataFrame([(1, 1, "g", 5), (1, 2, "g", None)], "a int, i int, g string, n long")
+    with pytest.raises(Exception, match="frames"):
+        timeline.resolve(rows, ["a"], ["i"], "g", F.col("n"), 8000).collect()
+    assert timeline.resolve(rows, ["a"], ["i"], "g", F.col("n"), 8000, strict=False).count() == 2

@@ -78,7 +78,7 @@ def test_folder_audit(spark, tmp_path):
 
 def test_training_set(spark, tmp_path):
     rows = spark.createDataFrame([(1, "hello"), (2, " ")], "id long, text string")
-    judged = exports.training_list(rows, [("blank", F.trim("text") == "")], ["id"], "s", F.lit("en"), F.concat("id", F.lit(".wav")), F.col("text"))
+    judged = exports.training_list(rows, [("blank", F.trim("text") == "")], "id", "s", F.lit("en"), F.concat("id", F.lit(".wav")), F.col("text"))
     exports.write_training_set(judged, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.id, r.line, r.reason, r.accepted in (True, "true")) for r in back.collect()) == [(1, "1.wav|s|en|hello", None, True), (2, None, "blank", False)]
@@ -93,3 +93,16 @@ def test_stream_of_updates(spark, tmp_path):
         stream = spark.readStream.schema("name string, at long").parquet(str(tmp_path / "in"))
         apply_updates(stream, str(tmp_path / "archive"), str(tmp_path / "check"), "name", "idx", "at").awaitTermination()
     assert sorted((r.name, r.idx) for r in spark.read.parquet(str(tmp_path / "archive")).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_side_tables_and_search(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("文件名,英文,中文文本,来源成员路径,name\na.wav,hello,你好,,no alias\na.wav,again,再见,x/a.wav,\n")
+    rows = tables.read_rows(spark, str(tmp_path / "s.csv"))
+    assert sorted(map(tuple, tables.side_table(rows).collect())) == [("a.wav", "hello", "你好"), ("x/a.wav", "again", "再见")]
+    (tmp_path / "d.csv").write_text("filename,chinese\na.wav,1\na.wav,2\n")
+    with pytest.raises(Exception, match="repeated_key"):
+        tables.side_table(tables.read_rows(spark, str(tmp_path / "d.csv"))).collect()
+    found = spark.createDataFrame([("Hu_Tao-01", ""), ("x", "HU TAO!"), ("hut ao", None), ("other", "tao hu")], "a string, b string")
+    assert tables.search_compacted(found, "Hu Tao", ["a", "b"]).count() == 3
+    with pytest.raises(ValueError):
+        tables.search_compacted(found, " - ", ["a"])
