@@ -2,16 +2,21 @@
 
 Words are runs of ASCII letters and digits (lower-cased) and non-ASCII characters.
 Every three words are hashed, and the least hash of each window of three is a
-fingerprint, so any five words shared with a template share a fingerprint. An
-inverted index of the templates' fingerprints (a fixed table of this file) gives
-candidate places; around each one a banded alignment matches the template's
-words against the text's, and places that cover enough of it are reported.
+fingerprint, so any five words shared with a template share a fingerprint; of
+templates too short for that every hash counts. An inverted index of the templates'
+fingerprints (a fixed table, ``license_texts``) gives candidate places; around each
+one a banded alignment matches the template's words against the text's.
+
+A place is reported if the matched words are four fifths of the template's words and
+of the words put in between. Words that tell one license from another, and numbers
+in lines and identifiers, must all be matched and none may be put in; a line just
+after a word that denies it is none.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,52 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.llm.common import WordHashes
+from linewright.llm.license_texts import DENYING, TELLING, TEMPLATES
 
-# License, form, text.
-TEMPLATES = [
-    ("MIT", "line", "Released under the MIT License."),
-    ("MIT", "line", "This project is licensed under the terms of the MIT license."),
-    (
-        "MIT",
-        "grant",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
-        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
-        "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    ("ISC", "grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    (
-        "BSD",
-        "grant",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
-        "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ),
-    ("Apache-2.0", "line", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0",
-        "notice",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
-        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ),
-    ("GPL-3.0", "line", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "notice",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
-        "License, or (at your option) any later version.",
-    ),
-    ("GPL-2.0", "notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("CC-BY-NC-4.0", "line", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "line", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "line", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "line", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "line", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "line", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("Unlicense", "grant", "This is free and unencumbered software released into the public domain."),
-]
 SHINGLE, WINDOW, BAND, LEAST_COVERAGE = 3, 3, 8, 0.8
+#: Words before a line in which one may deny it.
+BEFORE = 3
 #: Words hashed at a time.
 BLOCK = 1_000_000
 
@@ -115,16 +79,34 @@ class Index:
     def __init__(self, templates: list[tuple[str, str, str]]):
         self.templates = [(name, form, words_of(text)) for name, form, text in templates]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        short = set()
         for t, (_, _, words) in enumerate(self.templates):
             hashed = shingles(np.array([_words[w] for w in words], dtype=np.uint64), np.array([len(words)]))
-            for at in winnow(hashed):
+            brief = len(words) < SHINGLE + WINDOW - 1
+            for at in np.flatnonzero(hashed != _far) if brief else winnow(hashed):
                 self.places[int(hashed[at])].append((t, int(at)))
-        self.keys = np.array(sorted(self.places), dtype=np.uint64)
+                short |= {int(hashed[at])} if brief else set()
+        self.keys, self.short = (np.array(sorted(k), dtype=np.uint64) for k in (self.places, short))
 
     def hits(self, hashed: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Those of the chosen positions whose fingerprint the index holds."""
-        at = np.minimum(np.searchsorted(self.keys, hashed[chosen]), len(self.keys) - 1)
-        return chosen[self.keys[at] == hashed[chosen]]
+        """Those of the chosen positions whose fingerprint the index holds, and all with one of a short template."""
+        held = lambda keys, at: at[keys[np.minimum(np.searchsorted(keys, hashed[at]), len(keys) - 1)] == hashed[at]] if len(keys) else at[:0]
+        return np.union1d(held(self.keys, chosen), held(self.short, np.arange(len(hashed))))
+
+    def fits(self, t: int, words: list[bytes], first: int, end: int, matched: int) -> bool:
+        """Whether enough of a template stands in words[first:end], with all that tells it from others."""
+        _, form, template = self.templates[t]
+        if matched < LEAST_COVERAGE * (len(template) + end - first - matched):
+            return False
+        brief = form in ("line", "identifier")
+        here, want = Counter(words[first:end]), Counter(template)
+        telling = lambda w: w.decode(errors="replace") in TELLING or (brief and any(c in b"0123456789" for c in w))
+        if any(map(telling, (here - want) + (want - here))):
+            return False
+        if brief and any(w.decode(errors="replace") in DENYING for w in words[max(0, first - BEFORE) : first]):
+            return False
+        # an identifier or version may go on behind its last word: 2.0-only, 2.1
+        return not (brief and end < len(words) and form == "identifier" and words[end] in (b"only", b"or") and (b"only" not in template and b"or" not in template))
 
 
 def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -171,7 +153,7 @@ def places_in(words: list[bytes], at: list[int], hashed: np.ndarray, index: Inde
                 continue
             last = d
             matched, first, end = align(template, words, d)
-            if matched >= LEAST_COVERAGE * len(template):
+            if matched and index.fits(t, words, first, end, matched):
                 found.append((-matched, len(template), first, end, t))
     kept: list[tuple[int, int, int, int]] = []
     for less, _, first, end, t in sorted(found):
@@ -184,8 +166,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, id_
     """A row for each license found in a text.
 
     id, license, form, start and end (code points, end exclusive), matched_words,
-    template_words, coverage. Null and empty texts give no row; repeated rows each
-    give theirs; of overlapping places that with most matched words is reported.
+    template_words, coverage. Null and empty texts and an empty table give no row;
+    repeated rows each give theirs; of overlapping places that with most matched
+    words is reported, of equal ones the shorter template. Columns but the id and the
+    text are not read; very long texts are hashed in blocks and read whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,12 @@
+import functools
+import random
 import re
 import time
 from html import unescape
 
+import numpy as np
+import pytest
+
 from linewright.llm import html, licenses
 from linewright.llm.queries import op1_license_scans, op5_html_extraction
 
@@ -29,6 +34,71 @@ def test_licenses_in_odd_places(spark, odd_docs, no_docs):
     assert any(r.doc_id == 1 and 0.9 < r.coverage < 1 for r in got)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 4.", []),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1"]),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["AGPL-3.0"]),
+        ("Licensed under the Apache License, Version 2.1.", []),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+        ("It is not licensed under the terms of the MIT license. It is not released under the MIT License.", []),
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("code // SPDX-License-Identifier: GPL-2.0-or-later and more words here to follow", ["GPL-2.0"]),
+        ("# SPDX-License-Identifier: GPL-3.0-only", ["GPL-3.0"]),
+        ("SPDX-License-Identifier: Apache-2.0\nSPDX-License-Identifier: BSD-3-Clause", ["Apache-2.0", "BSD-3-Clause"]),
+        ("Licensed under the BSD 2-Clause License.", ["BSD-2-Clause"]),
+    ],
+)
+def test_neighbouring_licenses_are_told_apart(text, want):
+    words, index = licenses.words_of(f"some words before {text}"), licenses.Index(licenses.TEMPLATES)
+    hashed = licenses.shingles(np.array([licenses._words[w] for w in words], dtype=np.uint64), np.array([len(words)]))
+    found = licenses.places_in(words, list(map(int, index.hits(hashed, licenses.winnow(hashed)))), hashed, index)
+    assert [index.templates[t][0] for t, *_ in found] == want
+
+
+def test_every_template_finds_itself():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, form, text in licenses.TEMPLATES:
+        words = licenses.words_of(f"one two three {text} four five six")
+        hashed = licenses.shingles(np.array([licenses._words[w] for w in words], dtype=np.uint64), np.array([len(words)]))
+        found = licenses.places_in(words, list(map(int, index.hits(hashed, licenses.winnow(hashed)))), hashed, index)
+        assert [(index.templates[t][0], a, b) for t, a, b, _ in found] == [(name, 3, len(words) - 3)], (name, form)
+
+
+def test_alignment_equals_brute_force():
+    """With a band as wide as the texts the alignment is the best of all; a narrow one finds what lies in it."""
+
+    def brute(template, text):
+        @functools.cache
+        def best(i, j, started):
+            if i == len(template):
+                return 0, 0
+            found = [(-1, 0, best(i + 1, j, started))]
+            if j < len(text):
+                hit = template[i] == text[j]
+                found.append((2, 1, best(i + 1, j + 1, True)) if hit else (-1, 0, best(i + 1, j + 1, started)))
+                found.append((-1 if started else 0, 0, best(i, j + 1, started)))
+            return max((s + r[0], n + r[1]) for s, n, r in found)
+
+        return best(0, 0, False)
+
+    rng = random.Random(4)
+    for _ in range(300):
+        template, text = (["abcd"[rng.randrange(4)].encode() for _ in range(rng.randrange(1, 9))] for _ in range(2))
+        score, matched = brute(tuple(template), tuple(text))
+        n, first, end = licenses.align(template, text, 0, band=20)
+        assert n == matched, (template, text)
+        assert not n or 0 <= first < end <= len(text)
+    words = [b"%d" % k for k in range(60)]
+    changed = [*(b"x" for _ in range(7)), *words[:20], b"y", b"z", *words[23:40], *words[42:]]
+    assert licenses.align(words, changed, 7) == (55, 7, len(changed))
+
+
 def plain(page):
     article = re.search(r"<article>(.*?)(?:</article>|\Z)", page or "", re.S)
     if not article:
