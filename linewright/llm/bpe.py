@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
+#: Bytes of ids in a batch that goes back to the JVM.
+BATCH_BYTES = 4 << 20
 #: Longer chunks are encoded each time: they rarely come back.
 CACHE_CHARS = 64
 
@@ -192,27 +194,34 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, with_
     ids_crc32, and the ids themselves as little-endian bytes if asked for.
     """
 
+    names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = id_encoder(vocabulary, ranks, pattern)
         closing = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, text in enumerate(texts_of(batch, "text")):
-                stream = encode(text) + closing
+            found: list[tuple] = []
+            held = 0
+
+            def flush() -> pa.RecordBatch:
+                row, *columns = zip(*found) if found else [()] * len(names)
+                found.clear()
+                return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns, kinds))], names)
+
+            for k, text in enumerate(batch.column("text")):
+                stream = encode(text.as_py() or "") + closing
                 n, at, p = len(stream) // 4, 0, 0
                 step = (n - 1) % size + 1
                 while at < n:
                     part = stream[4 * at : 4 * (at + step)]
-                    row.append(k)
-                    piece.append(p)
-                    start.append(at)
-                    length.append(step)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(part)
+                    found.append((k, p, at, step, zlib.crc32(part)) + (part,) * with_ids)
                     at, p, step = at + step, p + 1, size
-            columns = [batch.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                held += len(stream)
+                if held >= BATCH_BYTES:
+                    yield flush()
+                    held = 0
+            yield flush()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
