@@ -32,6 +32,7 @@ PERSONS = (
 )
 NUMERALS = {0: "零〇", 1: "一壹", 2: "二两兩貳", 3: "三", 4: "四", 5: "五", 6: "六", 7: "七", 8: "八", 9: "九", 10: "十"}
 NEGATION_ZH = "不|没|無|无|未|别|別|非|勿|莫|甭|缺乏|免得"
+NEGATION_JA, NEGATION_KO = "ない|ません|ぬ|ず|なく|できない", "않|없|못|아니|말고"
 PARTICLES_ZH = "吗|嗎|呢|么|麼|吧|谁|誰|什么|什麼"
 WIDTHS = (("iI1l!|;,.'\"", 35), ("fjt()[]{}", 45), ("mwMW@#%&", 80))
 
@@ -195,7 +196,9 @@ def number_present(value: Column, text: Column) -> Column:
 
 
 def has_negation(text: Column, language: str = "en") -> Column:
-    return F.rlike(text, F.lit(NEGATION if language.startswith("en") else NEGATION_ZH if language.startswith("zh") else "(?!)"))
+    """An explicit negation; languages other than these four have none."""
+    patterns = {"en": NEGATION, "zh": NEGATION_ZH, "ja": NEGATION_JA, "ko": NEGATION_KO}
+    return F.rlike(text, F.lit(next((p for k, p in patterns.items() if language.lower().startswith(k)), "(?!)")))
 
 
 def alignment_signals(source: Column, official: Column, terms: dict[str, str] | None = None, source_language: str = "en", target_language: str = "zh-CN") -> Column:
@@ -310,3 +313,18 @@ def reconciled(confidence: Column, dominance: Column, matched: Column, total: Co
     rank = F.when(confidence == "high", 3).when(confidence == "medium", 2).when(confidence == "low", 1).otherwise(0)
     names = F.array(*map(F.lit, ("none", "low", "medium", "high")))
     return F.when(matched <= 0, F.get(names, rank)).otherwise(F.get(names, F.greatest(found, rank)))
+
+
+def review_gate(zone: Column, revised: Column, issues: Column) -> Column:
+    """What becomes of an official text: adopted if green, revised if a revision passes its checks, else for review."""
+    return F.when(zone == "green", "adopted").when(blank(revised).isNotNull() & ~F.coalesce(hard(issues), F.lit(False)), "revised").otherwise("review")
+
+
+def canonical_json(names: list[str]) -> Column:
+    """Columns as JSON with sorted keys, no spaces, and nulls written."""
+    return F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
+
+
+def bare_hash(text: Column) -> Column:
+    """SHA-256 of a text without its white space."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", ""), 256)

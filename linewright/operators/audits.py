@@ -30,6 +30,12 @@ def word_coverage(text: Column, words: Column) -> Column:
     return F.when(letters(text) == 0, 0.0).otherwise(F.least(F.lit(100.0), F.bround(spoken * 100.0 / letters(text), 2)))
 
 
+def mean_confidence(words: Column) -> Column:
+    """Mean of the words' confidences that are numbers from 0 to 1, to four places; null if there are none."""
+    known = F.filter(F.transform(words, lambda w: w["confidence"].cast("double")), lambda c: c.isNotNull() & ~F.isnan(c) & c.between(0, 1))
+    return F.when(F.size(known) > 0, F.bround(F.aggregate(known, F.lit(0.0), lambda a, c: a + c) / F.size(known), 4))
+
+
 def review_rollup(answers: DataFrame, line: str, verdict: str) -> DataFrame:
     """One verdict a line: no over unclear over missing over yes; anything else is missing."""
     v = F.lower(F.coalesce(F.trim(verdict), F.lit("")))
@@ -99,6 +105,13 @@ def usage_ledger(calls: DataFrame, by: list[str], usage: str) -> DataFrame:
     return read.groupBy(*by).agg(F.coalesce(F.sum("_in"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("_out"), F.lit(0)).alias("output_tokens"), F.bool_or(F.col("_in").isNull() | F.col("_out").isNull()).alias("incomplete"), F.count("*").alias("calls"))
 
 
+def cost(input_tokens: Column, output_tokens: Column, input_price: float | None, output_price: float | None) -> Column:
+    """Dollars of a ledger's tokens at prices a million tokens; null without prices."""
+    if input_price is None or output_price is None:
+        return F.lit(None).cast("double")
+    return (input_tokens * F.lit(float(input_price)) + output_tokens * F.lit(float(output_price))) / 1_000_000.0
+
+
 def duration_of(start: Column, end: Column, samples: Column, rate: Column) -> Column:
     """The first finite, positive one of end - start and samples / rate."""
     a, b = end.try_cast("double") - start.try_cast("double"), samples.try_cast("double") / F.nullif(rate.try_cast("double"), F.lit(0.0))
@@ -193,3 +206,14 @@ def preflight(voices: DataFrame, index: DataFrame, archive: list[str], name: str
         finding(~few & (F.col("shared") > 0), "warning", "shared_names", F.col("shared")),
     ))
     return sums.select(*archive, F.inline(found))
+
+
+# Reference qualities by their present and earlier spellings.
+QUALITIES = {"": "unrated", "unrated": "unrated", "good": "A", "ok": "B", "poor": "C", "a": "A", "b": "B", "c": "C"}
+
+
+def normal_quality(value: Column) -> Column:
+    """A reference's quality in its present spelling; the run fails on any other value."""
+    x = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    known = F.create_map(*(F.lit(v) for pair in QUALITIES.items() for v in pair))[x]
+    return F.when(known.isNull(), F.raise_error(F.concat(F.lit("no such quality: "), x)).cast("string")).otherwise(known)

@@ -59,6 +59,14 @@ def set_difference(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFr
     return x.join(y, "id", "left_anti").withColumn("side", F.lit("left")).unionByName(y.join(x, "id", "left_anti").withColumn("side", F.lit("right")))
 
 
+def disjoint_union(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Both sides' rows; the run fails on a new row whose key an old one has."""
+    held = old.select(F.col(key).alias("_k")).distinct()
+    met = new.join(held, F.col(key) == F.col("_k"), "left")
+    checked = F.when(F.col("_k").isNotNull(), F.raise_error(F.concat(F.lit("already there: "), F.col(key).cast("string")))).otherwise(F.col(key))
+    return old.unionByName(met.withColumn(key, checked).select(*old.columns))
+
+
 def drop_ambiguous(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key occurs once, keys that occur more often with their counts)."""
     counted = rows.groupBy(key).agg(F.count("*").alias("n"))
@@ -136,25 +144,41 @@ def range_of(value: Column, bounds: list) -> Column:
     return F.when(value.isNull(), len(bounds) + 1).when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda b: b <= value)))
 
 
-def numbered(rows: DataFrame, order: str, index: str) -> DataFrame:
-    """Add index 1, 2, ... in the order of a numeric column, nulls last, without a global sort.
+def ranked(rows: DataFrame, by: list[str], order: list[str], index: str) -> DataFrame:
+    """Add index 1, 2, ... in each group, nulls last, without sorting a group in one task; the first of ``order`` is numeric.
 
     Ranks are counted within ranges between the order's quantiles, as many as the
-    rows ask for, and the ranges' sizes added up.
+    rows ask for, and the sizes of a group's ranges added up.
     """
     ranges = min(MOST_RANGES, rows.count() // RANGE_ROWS + 8)
-    cuts = rows.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-    placed = rows.withColumn("_b", range_of(F.col(order), sorted(set(cuts or []))))
-    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))  # at most MOST_RANGES + 1 rows
-    before = sizes.select(F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = placed.withColumn(index, F.row_number().over(Window.partitionBy("_b").orderBy(order)))
-    return ranked.join(F.broadcast(before), F.col("_b") == F.col("_c")).withColumn(index, (F.col(index) + F.col("_before")).cast("long")).drop("_b", "_c", "_before")
-
-
-def freshness(inputs: DataFrame, receipts: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """Add state: never, stale or fresh, by the last receipt's fingerprint."""
-    held = receipts.select(F.col(key).alias("_k"), F.col(fingerprint).alias("_f"))
-    return inputs.join(held, F.col(key) == F.col("_k"), "left").withColumn("state", F.when(F.col("_k").isNull(), "never").when(F.col("_f") == F.col(fingerprint), "fresh").otherwise("stale")).drop("_k", "_f")
+    cuts = rows.agg(F.percentile_approx(order[0], [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
+    placed = rows.withColumn("_b", range_of(F.col(order[0]), sorted(set(cuts or []))))
+    sizes = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))  # at most MOST_RANGES + 1 rows a group
+    earlier = Window.partitionBy(*(f"_{c}" for c in by)).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inner = placed.withColumn(index, F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)))
+    met = F.col("_b") == F.col("_c")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return inner.join(before if by else F.broadcast(before), met).withColumn(index, (F.col(index) + F.col("_before")).cast("long")).select(*rows.columns, index)
+
+
+def numbered(rows: DataFrame, order: str, index: str) -> DataFrame:
+    """Add index 1, 2, ... in the order of a numeric column, nulls last."""
+    return ranked(rows, [], [order], index)
+
+
+def freshness(inputs: DataFrame, receipts: DataFrame, key: str, fingerprint: str, state: str = "state", output: str | None = None, recorded: str | None = None) -> DataFrame:
+    """Add state: unverified without a receipt, stale where its inputs are others or its output is not the recorded one, else pending, failed or current as it says.
+
+    ``output``, a column of the inputs, is the hash of what is there now, ``recorded``
+    that of the receipts.
+    """
+    held = receipts.select(F.col(key).alias("_k"), F.col(fingerprint).alias("_f"), F.lower(state).alias("_s"), (F.col(recorded) if recorded else F.lit(None).cast("string")).alias("_o"))
+    changed = ~F.col("_o").eqNullSafe(F.col(output)) if output else F.lit(False)
+    known = F.col("_s").isin("pending", "failed", "current")
+    said = F.when(F.col("_k").isNull() | ~F.coalesce(known, F.lit(False)), "unverified").when(~F.col("_f").eqNullSafe(F.col(fingerprint)), "stale").when((F.col("_s") == "current") & changed, "stale").otherwise(F.col("_s"))
+    return inputs.join(held, F.col(key) == F.col("_k"), "left").withColumn("state", said).drop("_k", "_f", "_s", "_o")
 
 
 def violations(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:

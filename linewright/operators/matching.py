@@ -99,18 +99,30 @@ def member_or_name(rows: DataFrame, members: DataFrame, member: str, name: str,
     return joined.withColumn("outcome", outcome).withColumn("resolved", F.when(F.col("outcome") == "member", F.col("_m")).when(F.col("outcome") == "name", F.col("_only"))).drop("_m", "_name", "_n", "_only")
 
 
-def assign(rows: DataFrame, members: DataFrame, row_id: str, member_id: str, name: str, score: Column) -> tuple[DataFrame, DataFrame]:
+def assign(rows: DataFrame, members: DataFrame, row_id: str, member_id: str, name: str, traits: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
     """(assigned row and member pairs, members left over).
 
-    Rows and members meet by name; a pair holds if its score is the name's best
-    for both and no other pair of either has it. ``score`` may use both sides.
+    Rows and members meet by name. A pair's score is the place, from the end, of the
+    first of ``traits`` (row column, member column) in which both agree; names with
+    no agreement score 1 less. A pair holds if its score is the best of both sides and
+    no other pair of either has it. Values are counted within a name before they are
+    joined, and a pair is made only where it is the one of its value, so a name that
+    many rows share is not multiplied.
     """
-    pairs = rows.join(members, name).select(row_id, member_id, score.alias("_s")).filter("_s > 0")
-    rank = lambda side: pairs.groupBy(side).agg(F.max("_s").alias("_best")).withColumnRenamed(side, f"_{side}")
-    best = pairs.join(rank(row_id), F.col(row_id) == F.col(f"_{row_id}")).filter("_s = _best").select(row_id, member_id, "_s")
-    best = best.join(rank(member_id), F.col(member_id) == F.col(f"_{member_id}")).filter("_s = _best").select(row_id, member_id)
-    single = lambda side: best.groupBy(side).agg(F.count("*").alias("_n")).filter("_n = 1").select(F.col(side).alias(f"_1{side}"))
-    held = best.join(single(row_id), F.col(row_id) == F.col(f"_1{row_id}"), "left_semi").join(single(member_id), F.col(member_id) == F.col(f"_1{member_id}"), "left_semi")
+    # a trait per tier, none in the last; within a tier only single values can be single pairs
+    free_rows, free_members = rows, members
+    held = None
+    for a, b in [*traits, (None, None)]:
+        keys_a, keys_b = [name, *([a] if a else [])], [name, *([b] if b else [])]
+        filled = lambda df, c: df if c is None else df.filter(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+        count = lambda df, keys, c, side: filled(df, c).groupBy(*(F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.count("*").alias(f"_{side}"), F.min(row_id if side == "r" else member_id).alias(f"_id{side}"))
+        on = [f"_k{i}" for i in range(len(keys_a))]
+        met = count(free_rows, keys_a, a, "r").join(count(free_members, keys_b, b, "m"), on)
+        one = met.filter("_r = 1 and _m = 1").select(F.col("_idr").alias(row_id), F.col("_idm").alias(member_id))
+        held = one if held is None else held.unionByName(one)
+        # rows and members that meet in this tier are settled by it, one pair or none
+        drop = lambda df, keys: df.join(met.select(*(F.col(o).alias(f"_d{i}") for i, o in enumerate(on))), [F.col(k).cast("string") == F.col(f"_d{i}") for i, k in enumerate(keys)], "left_anti")
+        free_rows, free_members = drop(free_rows, keys_a), drop(free_members, keys_b)
     taken = held.select(F.col(member_id).alias("_t"))
     return held, members.join(taken, F.col(member_id) == F.col("_t"), "left_anti")
 
@@ -169,15 +181,33 @@ def guarded_overrides(entries: DataFrame, overrides: DataFrame, value: str, orde
     return entries.join(best, F.col("id") == F.col("_id"), "left").select(*entries.columns, F.col("x.v").alias(value), F.col("x.tier").alias("tier"))
 
 
-def reuse(rows: DataFrame, stored: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """Add reusable: a stored row of the same key has the same fingerprint."""
-    held = stored.select(F.col(key).alias("_k"), F.col(fingerprint).alias("_f")).distinct()
-    return rows.join(held, (F.col(key) == F.col("_k")) & (F.col(fingerprint) == F.col("_f")), "left").withColumn("reusable", F.col("_k").isNotNull()).drop("_k", "_f")
+def reuse(rows: DataFrame, stored: DataFrame, key: str, fingerprints: list[str], passes: Column | None = None) -> DataFrame:
+    """Add reusable: a stored row of the same key has the same fingerprints (input, glossary ...) and passes its checks again.
 
-
-def within_tolerance(left: DataFrame, right: DataFrame, on: Column, a: Column, b: Column, least: float, share: float) -> DataFrame:
-    """Inner join of rows whose values differ by at most max(least, share of the first)."""
-    return left.join(right, on).filter(F.abs(a - b) <= F.greatest(F.lit(least), a * share))
+    ``passes`` is a condition over the stored row's columns.
+    """
+    kept = stored if passes is None else stored.filter(F.coalesce(passes, F.lit(False)))
+    held = kept.select(F.col(key).alias("_k"), *(F.col(f).alias(f"_{f}") for f in fingerprints)).distinct()
+    met = F.col(key) == F.col("_k")
+    for f in fingerprints:
+        met = met & (F.col(f) == F.col(f"_{f}"))
+    return rows.join(held, met, "left").withColumn("reusable", F.col("_k").isNotNull()).drop("_k", *(f"_{f}" for f in fingerprints))
+
+
+def within_tolerance(left: DataFrame, right: DataFrame, on: Column, a: Column, b: Column, least: float, share: float, texts: tuple[Column, Column] | None = None) -> DataFrame:
+    """Inner join of rows whose values differ by at most max(least, share of the first), and whose texts' hashes are equal."""
+    same = F.lit(True) if texts is None else F.sha2(F.coalesce(texts[0], F.lit("")), 256) == F.sha2(F.coalesce(texts[1], F.lit("")), 256)
+    return left.join(right, on & same).filter(F.abs(a - b) <= F.greatest(F.lit(least), a * share))
+
+
+def dedupe_answers(answers: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """Answers without whole repeats (the first in order stays), and without blank ones of a key that has one answer with a text."""
+    columns = [c for c in answers.columns if c != order]
+    once = answers.groupBy(*columns).agg(F.min(order).alias(order))
+    filled = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
+    single = once.groupBy(F.col(key).alias("_k")).agg(F.count_if(filled).alias("_n")).filter("_n = 1")
+    joined = once.join(single, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return joined.filter(filled | F.col("_n").isNull()).select(*answers.columns)
 
 
 def strict_response(wanted: DataFrame, got: DataFrame, key: str, value: str) -> DataFrame:

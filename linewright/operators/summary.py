@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import FAMILY_HINT, KINDS, VOICE_ANECDOTE, stem
+from linewright.operators.changes import ranked
 
 
 def counters(rows: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
@@ -33,9 +36,12 @@ def pivot(rows: DataFrame, by: str, value: str, values: list[str]) -> DataFrame:
 
 
 def batch_estimate(rows: DataFrame, by: list[str], order: list[str], chars: Column, size: int, overhead: int) -> DataFrame:
-    """Batches of ``size`` rows in order: batches, and tokens = sum of ceil((characters + overhead) / 4)."""
-    batch = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size)
-    each = rows.withColumn("_b", batch).groupBy(*by, "_b").agg(F.ceil((F.sum(chars) + overhead) / 4).alias("_t"))
+    """Batches of ``size`` rows in order: batches, and tokens = sum of ceil((characters + overhead) / 4).
+
+    The first of ``order`` is numeric; a group of any size is ranked in ranges.
+    """
+    sized = ranked(rows.select(*by, *order, chars.alias("_n")), by, order, "_r")
+    each = sized.groupBy(*by, F.floor((F.col("_r") - 1) / size).alias("_b")).agg(F.ceil((F.sum("_n") + overhead) / 4).alias("_t"))
     return each.groupBy(*by).agg(F.count("*").alias("batches"), F.sum("_t").cast("long").alias("tokens"))
 
 
@@ -87,14 +93,12 @@ def covering(rows: DataFrame, key: str, name: str, group: str, n: int) -> DataFr
     Tier 1: two rows of each repeated name; 2: one row of each group without any
     of those; 3: rows spread over the order at 3 n even places; 4: the rest in order.
     """
-    from linewright.operators.changes import numbered
-
     repeated = rows.groupBy(name).agg(F.count("*").alias("_c")).filter("_c > 1").select(F.col(name).alias("_n"))
     first = rows.join(repeated, F.col(name) == F.col("_n"), "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy(key))).filter("_r <= 2")
     covered = first.select(F.col(group).alias("_g")).distinct()
     second = rows.join(covered, F.col(group) == F.col("_g"), "left_anti").groupBy(group).agg(F.min(key).alias(key))
     total = rows.agg(F.count("*").alias("_all"))
-    placed = numbered(rows, key, "_i").join(F.broadcast(total), how="inner").withColumn("_i", F.col("_i") - 1)
+    placed = ranked(rows, [], [key], "_i").join(F.broadcast(total), how="inner").withColumn("_i", F.col("_i") - 1)
     # place i is one of floor(k * all / 3n) if the next k reaches it
     k = F.ceil(F.col("_i") * (3 * n) / F.col("_all"))
     third = placed.filter((k < 3 * n) & (F.floor(k * F.col("_all") / (3 * n)) == F.col("_i")))
@@ -115,3 +119,43 @@ def placed(rows: DataFrame, outer: str, inner: list[str]) -> DataFrame:
     before = sizes.select(F.col(outer).alias("_o"), F.coalesce(F.sum("_n").over(Window.orderBy(outer).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(outer).orderBy(*inner)))
     return ranked.join(before, F.col(outer) == F.col("_o")).withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_o", "_before", "_r")
+
+
+def classification_summary(rows: DataFrame, value: dict[str, str], total_if: Column, key: str, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(dimension, value, n, share) of each column in ``value`` (dimension -> column), and (dimension, value, key) of up to ``most`` examples in order.
+
+    ``share`` is over the rows for which ``total_if`` holds, to four places.
+    """
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("value")) for d, c in value.items()))
+    long = rows.select(F.col(key), total_if.alias("_in"), F.inline(each))
+    total = rows.agg(F.count_if(total_if).alias("_all"))
+    counted = long.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.count_if("_in").alias("_k"))
+    counts = counted.join(F.broadcast(total), how="inner").select("dimension", "value", "n", F.bround(F.col("_k") / F.greatest(F.col("_all"), F.lit(1)), 4).alias("share"))
+    place = F.row_number().over(Window.partitionBy("dimension", "value").orderBy(key))
+    return counts, long.withColumn("_r", place).filter(F.col("_r") <= most).select("dimension", "value", key)
+
+
+#: Names of a cue search's selectors, and what they ask of a cue's flags.
+SELECTORS = {
+    "modified": "modified", "modified_subtitles": "modified", "official": "official <> ''", "official_chinese": "official <> ''", "official_chs": "official <> ''",
+    "api": "api <> ''", "api_translated": "api <> ''", "api_chs": "api <> ''", "overflow": "overflow", "layout_overflow": "overflow",
+    "karaoke_ready": "aligned", "aligned": "aligned", "word_aligned": "aligned", "karaoke_missing": "not aligned", "unaligned": "not aligned", "word_alignment_missing": "not aligned",
+    "unreviewed": "not confirmed", "needs_review": "not confirmed", "confirmed": "confirmed", "reviewed": "confirmed",
+}
+
+
+def search_cues(cues: DataFrame, needle: str = "", at: float | None = None, until: float | None = None, selector: str = "") -> DataFrame:
+    """Cues (id, source, official, api, final, start, end, modified, overflow, aligned, confirmed) that a search asks for.
+
+    The needle may stand in any of the four texts or the id, whatever its case; the
+    interval is closed; a selector of an unknown name selects all.
+    """
+    found = cues
+    if (condition := SELECTORS.get(selector.strip().lower())) is not None:
+        found = found.filter(F.coalesce(F.expr(condition), F.lit("not" in condition)))
+    if needle.strip():
+        held = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(needle.strip().casefold())) for c in ("source", "official", "api", "final", "id")]
+        found = found.filter(reduce(lambda a, b: a | b, held))
+    if at is not None:
+        found = found.filter(F.col("end") >= at)
+    return found if until is None else found.filter(F.col("start") <= until)

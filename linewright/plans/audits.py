@@ -76,11 +76,12 @@ def page_buckets(t):
     return audits.page_buckets(t("orders").filter("o_orderstatus = 'P'"), "o_orderkey").select("page", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
-@query("""SELECT event_type, CAST(coalesce(sum(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 1000 END), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 77 END), 0) AS BIGINT) AS output_tokens, bool_or(event_id % 4 = 0) AS incomplete, count(*) AS calls FROM events GROUP BY event_type""")
+@query("""SELECT event_type, CAST(coalesce(sum(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 1000 END), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 77 END), 0) AS BIGINT) AS output_tokens, bool_or(event_id % 4 = 0) AS incomplete, count(*) AS calls, (input_tokens * 2.5 + output_tokens * 10.0) / 1000000.0 AS cost FROM events GROUP BY event_type""")
 def usage_ledger(t):
     k, s = F.col("event_id") % 4, lambda n: (F.col("event_id") % n).cast("string")
     usage = F.when(k == 0, F.lit('{"other": 1}')).when(k == 1, F.concat(F.lit('{"prompt_tokens": '), s(1000), F.lit(', "completion_tokens": '), s(77), F.lit("}"))).when(k == 2, F.concat(F.lit('{"input_tokens": '), s(1000), F.lit(', "output_tokens": "'), s(77), F.lit('"}')))
-    return audits.usage_ledger(t("events").withColumn("u", usage.otherwise(F.concat(F.lit('{"usage": {"input": '), s(1000), F.lit(', "output": '), s(77), F.lit("}}")))), ["event_type"], "u")
+    ledger = audits.usage_ledger(t("events").withColumn("u", usage.otherwise(F.concat(F.lit('{"usage": {"input": '), s(1000), F.lit(', "output": '), s(77), F.lit("}}")))), ["event_type"], "u")
+    return ledger.withColumn("cost", audits.cost(F.col("input_tokens"), F.col("output_tokens"), 2.5, 10.0))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE l_linenumber % 3 WHEN 0 THEN CASE WHEN l_quantity - 10 > 0 THEN l_quantity - 10 ELSE nullif(l_partkey / 8000.0, 0) END WHEN 1 THEN nullif(l_partkey / 8000.0, 0) END AS duration FROM lineitem")

@@ -81,11 +81,24 @@ def kind_detect(t):
     return summary.package_kind(named, ["c_nationkey"], "name")
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, turn * 5.0 AS a, turn * 5.0 + length(text) / 100.0 AS b FROM conversations) WHERE (contains(lower(text), 'the') OR contains(lower(role), 'the')) AND b >= 4.0 AND a <= 15.0")
+CUES = """c AS (SELECT conv_id, turn, conv_id || '.' || turn AS id, text AS source, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS official, CASE WHEN turn % 3 = 0 THEN 'draft' ELSE '' END AS api, turn * 5.0 AS a, turn * 5.0 + length(text) / 100.0 AS b, turn % 4 = 0 AS modified, turn % 5 = 0 AS confirmed FROM conversations)"""
+
+
+def cues(t):
+    turn = F.col("turn")
+    return t("conversations").select(
+        "conv_id", "turn", F.concat_ws(".", F.col("conv_id").cast("string"), turn.cast("string")).alias("id"), F.col("text").alias("source"), F.when(turn % 2 == 0, F.col("role")).otherwise("").alias("official"),
+        F.when(turn % 3 == 0, "draft").otherwise("").alias("api"), F.lit("").alias("final"), (turn * 5.0).alias("start"), (turn * 5.0 + F.length("text") / 100.0).alias("end"), (turn % 4 == 0).alias("modified"),
+        F.lit(False).alias("overflow"), F.lit(None).cast("boolean").alias("aligned"), (turn % 5 == 0).alias("confirmed"),
+    )
+
+
+@query(f"""WITH {CUES} SELECT 'text' AS search, conv_id, turn FROM c WHERE (contains(lower(source), 'the') OR contains(lower(official), 'the')) AND b >= 4.0 AND a <= 15.0
+UNION ALL SELECT 'role', conv_id, turn FROM c WHERE contains(official, 'assistant') AND NOT confirmed UNION ALL SELECT 'draft', conv_id, turn FROM c WHERE api <> '' AND contains(id, '1') UNION ALL SELECT 'modified', conv_id, turn FROM c WHERE modified AND a <= 30""")
 def cue_search(t):
-    a = F.col("turn") * 5.0
-    hit = F.contains(F.lower("text"), F.lit("the")) | F.contains(F.lower("role"), F.lit("the"))
-    return t("conversations").filter(hit & (a + F.length("text") / 100.0 >= 4.0) & (a <= 15.0)).select("conv_id", "turn", "role")
+    asked = [("text", summary.search_cues(cues(t), " The ", 4.0, 15.0)), ("role", summary.search_cues(cues(t), "ASSISTANT", selector="Needs_Review")), ("draft", summary.search_cues(cues(t), "1", selector="api").filter("id like '%1%'")), ("modified", summary.search_cues(cues(t), until=30, selector="modified"))]
+    parts = [found.select(F.lit(name).alias("search"), "conv_id", "turn") for name, found in asked]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 CASCADE = """l AS (SELECT c_custkey, c_name, CAST(c_custkey % 700 AS VARCHAR) AS k FROM customer),
@@ -192,7 +205,7 @@ SELECT NULL, member_id, (SELECT max(p_partkey) FROM part) + row_number() OVER (O
 def assign_and_appendix(t):
     rows = t("part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("row_id"), "p_name", F.col("p_size").alias("want"))
     members = t("part").filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("member_id"), "p_name", "p_size")
-    held, rest = matching.assign(rows, members, "row_id", "member_id", "p_name", F.when(F.col("p_size") == F.col("want"), 2).otherwise(1))
+    held, rest = matching.assign(rows, members, "row_id", "member_id", "p_name", [("want", "p_size")])
     top = t("part").agg(F.max("p_partkey").alias("top"))
     appendix = changes.numbered(rest, "member_id", "line").join(F.broadcast(top), how="inner").select(F.lit(None).cast("long").alias("row_id"), "member_id", (F.col("line") + F.col("top")).alias("line"))
     return held.select("row_id", "member_id", F.col("row_id").alias("line")).unionByName(appendix)
@@ -220,11 +233,12 @@ def decorate_defaults(t):
     return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("quality"), F.when(F.col("toxic") == 1, "marked").when(F.col("toxic") == 0, "clear").otherwise("unrated").alias("rating"))
 
 
-@query("SELECT doc_id, doc_id % 7 <> 0 AS reusable FROM documents")
+@query("SELECT doc_id, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 11 <> 0 AS reusable FROM documents")
 def checkpoint_reuse(t):
-    docs = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    stored = t("documents").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
-    return matching.reuse(docs, stored, "doc_id", "h").select("doc_id", "reusable")
+    k = F.col("doc_id")
+    docs = t("documents").select("doc_id", F.sha2("text", 256).alias("h"), F.lit("g2").alias("glossary"))
+    stored = t("documents").select("doc_id", F.sha2(F.when(k % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"), F.when(k % 5 == 0, "g1").otherwise("g2").alias("glossary"), (k % 11).alias("faults"))
+    return matching.reuse(docs, stored, "doc_id", ["h", "glossary"], F.col("faults") > 0).select("doc_id", "reusable")
 
 
 @query("WITH s AS (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey, q FROM orders JOIN s ON l_orderkey = o_orderkey WHERE abs(q - n * 25) <= greatest(0.10, q * 0.02)")
@@ -350,11 +364,42 @@ def append_numbered(t):
     return changes.append_numbered(existing, t("customer").filter("c_custkey % 4 <> 0 or c_custkey % 8 = 0").select("c_custkey"), "c_custkey", "idx", "c_custkey").select("c_custkey", "idx")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'never' WHEN doc_id % 7 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unverified' WHEN doc_id % 7 = 0 THEN 'stale' WHEN doc_id % 3 = 0 THEN 'pending' WHEN doc_id % 4 = 0 THEN 'failed' WHEN doc_id % 11 = 0 THEN 'stale' WHEN doc_id % 13 = 0 THEN 'unverified' ELSE 'current' END AS state FROM documents""")
 def export_freshness(t):
-    docs = t("documents").select("doc_id", F.md5("text").alias("h"))
-    receipts = t("documents").filter("doc_id % 5 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("+"))).otherwise(F.col("text"))).alias("h"))
-    return changes.freshness(docs, receipts, "doc_id", "h").select("doc_id", "state")
+    k = F.col("doc_id")
+    docs = t("documents").select("doc_id", F.md5("text").alias("h"), F.when(k % 11 == 0, "other").otherwise("srt").alias("now"))
+    said = F.when(k % 3 == 0, "pending").when(k % 4 == 0, "failed").when((k % 13 == 0) & (k % 11 > 0), "unheard of").otherwise("current")
+    receipts = t("documents").filter(k % 5 != 0).select("doc_id", F.md5(F.when(k % 7 == 0, F.concat("text", F.lit("+"))).otherwise(F.col("text"))).alias("h"), F.when((k % 7 == 0) & (k % 13 == 0), "current").otherwise(said).alias("state"), F.lit("srt").alias("made"))
+    return changes.freshness(docs, receipts, "doc_id", "h", output="now", recorded="made").select("doc_id", "state")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE l_shipdate::DATE::VARCHAR END AS txt, l_partkey * 7919 % 100003 * 1000 + l_suppkey AS o FROM lineitem),
+b AS (SELECT l_orderkey, txt, min(o) AS o FROM a GROUP BY ALL), c AS (SELECT *, count(*) FILTER (WHERE txt <> '') OVER (PARTITION BY l_orderkey) AS n FROM b) SELECT l_orderkey, txt, CAST(o AS BIGINT) AS o FROM c WHERE n <> 1 OR txt <> ''""")
+def dedupe_answers(t):
+    text = F.when(F.col("l_partkey") % 2 == 0, "").otherwise(F.col("l_shipdate").cast("date").cast("string"))
+    rows = t("lineitem").select("l_orderkey", text.alias("txt"), (F.col("l_partkey") * 7919 % 100003 * 1000 + F.col("l_suppkey")).cast("long").alias("o"))
+    return matching.dedupe_answers(rows, "l_orderkey", "txt", "o").select("l_orderkey", "txt", "o")
+
+
+@query("""WITH m AS (SELECT c_custkey, c_custkey % 9 AS f FROM customer), g AS (SELECT c_custkey, CASE WHEN f < 7 THEN 'confirmed' WHEN c_custkey % 2 = 0 THEN 'inferred' ELSE 'unknown' END AS v, f FROM m), e AS (SELECT 'confidence' AS dimension, v AS value, c_custkey, v <> 'unknown' AS i FROM g UNION ALL SELECT 'family', CAST(f AS VARCHAR), c_custkey, v <> 'unknown' FROM g)
+SELECT dimension, value, count(*) AS n, CAST(round_even(count(*) FILTER (WHERE i) / (SELECT count(*) FILTER (WHERE v <> 'unknown') FROM g), 4) AS DOUBLE) AS share, string_agg(c_custkey, ',' ORDER BY c_custkey) FILTER (WHERE r <= 20) AS examples
+FROM (SELECT *, row_number() OVER (PARTITION BY dimension, value ORDER BY c_custkey) AS r FROM e) GROUP BY dimension, value""")
+def classification_summary(t):
+    rows = families(t).withColumn("confidence", tx.classify_group(F.col("member"), F.col("declared"))["confidence"]).withColumn("family", F.col("c_custkey") % 9)
+    counts, examples = summary.classification_summary(rows, {"confidence": "confidence", "family": "family"}, F.col("confidence") != "unknown", "c_custkey")
+    listed = examples.groupBy("dimension", "value").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",").alias("examples"))
+    return counts.join(listed, ["dimension", "value"])
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'adopted' WHEN turn % 5 = 0 OR turn % 2 = 0 THEN 'review' ELSE 'revised' END AS outcome, CASE WHEN turn % 2 = 0 THEN role WHEN turn % 5 = 0 THEN text ELSE text || chr(10) || role END AS stacked FROM (SELECT conv_id, turn, role, trim(text) AS text FROM conversations WHERE trim(text) <> '')""")
+def review_gate(t):
+    from linewright.sources.exports import stacked
+
+    turn = F.col("turn")
+    issues = F.when(turn % 2 == 0, F.array(F.struct(F.lit("x").alias("code"), F.lit("major").alias("severity")))).otherwise(F.array(F.struct(F.lit("y").alias("code"), F.lit("minor").alias("severity"))))
+    gate = tx.review_gate(F.when(turn % 3 == 0, "green").otherwise("red"), F.when(turn % 5 != 0, F.col("role")), issues)
+    source, target = F.when(turn % 2 != 0, F.col("text")), F.when((turn % 5 != 0) | (turn % 2 == 0), F.col("role"))
+    return t("conversations").filter("trim(text) <> ''").select("conv_id", "turn", gate.alias("outcome"), stacked(source, target).alias("stacked"))
 
 
 VISIBLE = r"regexp_replace(regexp_replace({}, '<[^>]+>|\{{[^}}]+\}}', '', 'g'), '^\s+|\s+$', '', 'g')"

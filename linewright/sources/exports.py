@@ -9,6 +9,13 @@ from linewright.functions.text import clock
 from linewright.operators.changes import numbered
 
 
+def stacked(source: Column, target: Column, one_language: bool = False) -> Column:
+    """A cue's text: the source over the target; in one language, or where one is blank, only the target or else the source."""
+    a, b = F.coalesce(F.trim(source), F.lit("")), F.coalesce(F.trim(target), F.lit(""))
+    single = F.when(b != "", b).otherwise(a)
+    return single if one_language else F.when((a != "") & (b != ""), F.concat(a, F.lit("\n"), b)).otherwise(single)
+
+
 def render_srt(lines: DataFrame, archive: str, ordinal: str, text: str, start: Column, end: Column) -> DataFrame:
     """One row an archive: its cues as SRT text. Blank cues are left out before numbering."""
     spoken = lines.withColumn("_a", start).withColumn("_b", end).filter(F.trim(text) != "")
@@ -84,6 +91,14 @@ def read_review(blocks: DataFrame, text: str) -> DataFrame:
     return found.select(F.regexp_extract("block", grammar, 1).alias("line_id"), F.regexp_extract("block", grammar, 2).alias("source_hash"), F.regexp_extract("block", grammar, 3).alias("target"))
 
 
+def import_review(lines: DataFrame, answers: DataFrame, line_id: str, source: str) -> DataFrame:
+    """line_id, target, outcome of imported answers: ok, stale (given for another source), blank or unknown."""
+    held = lines.select(F.col(line_id).cast("string").alias("_l"), F.sha2(F.coalesce(F.col(source), F.lit("")), 256).alias("_h"))
+    met = answers.join(held, F.col("line_id") == F.col("_l"), "left")
+    outcome = F.when(F.col("_l").isNull(), "unknown").when(F.col("_h") != F.col("source_hash"), "stale").when(F.trim("target") == "", "blank").otherwise("ok")
+    return met.select("line_id", "target", outcome.alias("outcome"))
+
+
 def recovery_package(files: DataFrame, name: str, content: str) -> DataFrame:
     """name, sha256 and base64 of each file: a package that text channels carry."""
     return files.select(name, F.sha2(content, 256).alias("sha256"), F.base64(content).alias("data"))

@@ -100,9 +100,35 @@ def read_object_map(spark: SparkSession, path: str, fields: str, filenames: Data
 
 
 def candidate_names(spark: SparkSession, path: str) -> DataFrame:
-    """Names of WAV files in free text, one row a line that has one."""
+    """WAV names that a file lists: a JSON array or object with entries, a CSV with a file name column, else one in each line of free text."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    slashed = lambda c: F.translate(c, "\\", "/")
+    if kind == "json":
+        text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("v"))
+        whole = F.when(F.rlike("v", F.lit(r"^\s*\[")), F.col("v")).otherwise(F.get_json_object("v", "$.entries"))
+        items = text.select(F.explode(F.from_json(whole, "array<string>")).alias("x"))
+        return items.select(F.coalesce(F.get_json_object("x", "$.filename"), "x").alias("name"))
+    if kind == "csv":
+        rows = read_rows(spark, path)
+        held = [c for c in ALIASES["filename"] if c in rows.columns]
+        if held:
+            name = F.trim(F.col(f"`{held[0]}`"))
+            ended = F.when(F.lower(name).endswith(".wav"), name).otherwise(F.concat(name, F.lit(".wav")))
+            return rows.filter(name != "").select(slashed(ended).alias("name"))
     lines = spark.read.text(path)
-    return lines.select(F.regexp_extract("value", r"(?iu)[^|\s]+\.wav", 0).alias("name")).filter("name <> ''").distinct()
+    return lines.select(slashed(F.regexp_extract("value", r"(?iu)[^|\s]+\.wav", 0)).alias("name")).filter("name <> ''")
+
+
+def read_labs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(member, text) of the LAB files below a folder, and (stem, text) of the stems whose texts agree."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[lL][aA][bB]").load(folder)
+    text = F.trim(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""))
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    plain = lambda p: F.regexp_replace(p, "^([a-z]+):/+", "$1:/")
+    members = files.select(F.replace(plain(F.col("path")), plain(F.lit(root)), F.lit("")).alias("member"), text.alias("text"))
+    single = members.groupBy(stem(F.col("member")).alias("stem")).agg(F.count_distinct("text").alias("n"), F.min("text").alias("text")).filter("n = 1")
+    return members, single.select("stem", "text")
 
 
 def overlay(base: DataFrame, over: DataFrame) -> DataFrame:

@@ -94,3 +94,40 @@ def test_lines_without_frames_fail(spark):
     with pytest.raises(Exception, match="frames"):
         timeline.resolve(rows, ["a"], ["i"], "g", F.col("n"), 8000).collect()
     assert timeline.resolve(rows, ["a"], ["i"], "g", F.col("n"), 8000, strict=False).count() == 2
+
+
+def test_disjoint_union_and_qualities(spark):
+    frame = lambda *rows: spark.createDataFrame([(r,) for r in rows], "k string")
+    assert changes.disjoint_union(frame("a"), frame("b", "c"), "k").count() == 3
+    with pytest.raises(Exception, match="already there: a"):
+        changes.disjoint_union(frame("a"), frame("b", "a"), "k").collect()
+    assert [r[0] for r in frame("Good", "", "b").select(audits.normal_quality(F.col("k"))).collect()] == ["A", "unrated", "B"]
+    with pytest.raises(Exception, match="no such quality"):
+        frame("D").select(audits.normal_quality(F.col("k"))).collect()
+
+
+def test_a_hot_name_is_not_multiplied(spark):
+    rows = spark.createDataFrame([(i, "same", f"h{i}") for i in range(300)] + [(900, "one", None), (901, "two", "x"), (902, "two", "y")], "r long, n string, h string")
+    members = spark.createDataFrame([(i, "same", f"h{i % 290}") for i in range(300)] + [(900, "one", "z"), (901, "two", "x"), (902, "two", "q")], "m long, n string, g string")
+    held, rest = matching.assign(rows, members, "r", "m", "n", [("h", "g")])
+    got = {(r.r, r.m) for r in held.collect()}
+    assert got == {(i, i) for i in range(10, 290)} | {(900, 900), (901, 901), (902, 902)}
+    assert {r.m for r in rest.collect()} == set(range(10)) | set(range(290, 300))
+
+
+def test_reviews_are_guarded_by_their_source(spark):
+    lines = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "three")], "id string, s string")
+    text = lines.withColumn("s", F.when(F.col("id") == "b", "changed").otherwise(F.col("s"))).select(exports.review_block(F.col("id"), F.col("s"), F.when(F.col("id") == "c", "").otherwise("t")).alias("x"))
+    answers = exports.read_review(text, "x").unionByName(spark.createDataFrame([("z", "0" * 64, "t")], "line_id string, source_hash string, target string"))
+    assert {r.line_id: r.outcome for r in exports.import_review(lines, answers, "id", "s").collect()} == {"a": "ok", "b": "stale", "c": "blank", "z": "unknown"}
+
+
+def test_confidence_and_hashes(spark):
+    from linewright.functions import text as tx
+
+    rows = spark.createDataFrame([([(0.5,), (None,), (2.0,), (1.0,)], "a b\n"), ([], None)], "w array<struct<confidence:double>>, t string")
+    assert [r[0] for r in rows.select(audits.mean_confidence(F.col("w"))).collect()] == [0.75, None]
+    one = spark.createDataFrame([(1, None, "é")], "b int, a string, c string").select(tx.canonical_json(["c", "b", "a"])).first()[0]
+    assert one == '{"a":null,"b":1,"c":"é"}'
+    got = [r[0] for r in rows.select(tx.bare_hash(F.col("t")) == F.sha2(F.lit("ab"), 256)).collect()]
+    assert got == [True, False]

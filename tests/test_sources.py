@@ -106,3 +106,17 @@ def test_side_tables_and_search(spark, tmp_path):
     assert tables.search_compacted(found, "Hu Tao", ["a", "b"]).count() == 3
     with pytest.raises(ValueError):
         tables.search_compacted(found, " - ", ["a"])
+
+
+def test_names_and_labs(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"entries": [{"filename": "x.wav"}, {"filename": "y.wav"}]}')
+    (tmp_path / "b.json").write_text('["x.wav", {"filename": "z.wav"}]')
+    (tmp_path / "c.csv").write_text("wav,other\nd\\e,1\nf.WAV,2\n,3\n")
+    names = lambda f: sorted(r[0] for r in tables.candidate_names(spark, str(tmp_path / f)).collect())
+    assert (names("a.json"), names("b.json"), names("c.csv")) == (["x.wav", "y.wav"], ["x.wav", "z.wav"], ["d/e.wav", "f.WAV"])
+    for name, text in (("p/one.lab", "hello "), ("q/one.LAB", "hello"), ("p/two.lab", "a"), ("q/two.lab", "b"), ("q/no.txt", "c")):
+        (tmp_path / "labs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "labs" / name).write_text(text)
+    members, stems = tables.read_labs(spark, str(tmp_path / "labs"))
+    assert sorted(map(tuple, members.collect())) == [("p/one.lab", "hello"), ("p/two.lab", "a"), ("q/one.LAB", "hello"), ("q/two.lab", "b")]
+    assert [tuple(r) for r in stems.collect()] == [("one", "hello")]
