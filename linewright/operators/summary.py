@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import FAMILY_HINT, KINDS, VOICE_ANECDOTE, stem
-from linewright.operators.changes import ranked
+from linewright.operators.changes import range_of, ranked
 
 
 def counters(rows: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
@@ -110,15 +110,25 @@ def covering(rows: DataFrame, key: str, name: str, group: str, n: int) -> DataFr
     return every.groupBy(key).agg(F.min("tier").alias("tier")).orderBy("tier", key).limit(n)
 
 
+def leading_number(text: Column) -> Column:
+    """The first seven bytes of a text as a number: texts in order have numbers in order."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def placed(rows: DataFrame, outer: str, inner: list[str]) -> DataFrame:
-    """Add place: 1, 2, ... by ``outer`` and then ``inner``, ranked within each outer value.
+    """Add place: 1, 2, ... by ``outer``, a text, and then ``inner``, whose first is numeric.
 
-    Only the outer values' counts pass one task.
+    Neither the rows of one outer value nor the outer values pass one task: both are
+    ranked in ranges whose sizes are added up.
     """
-    sizes = rows.groupBy(outer).agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col(outer).alias("_o"), F.coalesce(F.sum("_n").over(Window.orderBy(outer).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(outer).orderBy(*inner)))
-    return ranked.join(before, F.col(outer) == F.col("_o")).withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_o", "_before", "_r")
+    inside = ranked(rows, [outer], inner, "_r")
+    sizes = rows.groupBy(outer).agg(F.count("*").alias("_n")).withColumn("_p", leading_number(F.col(outer)))
+    cuts = sizes.agg(F.percentile_approx("_p", [k / 64 for k in range(1, 64)], 1000)).first()[0]
+    dealt = sizes.withColumn("_b", range_of(F.col("_p"), sorted(set(cuts or []))))
+    earlier = lambda window: F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy(F.col("_b").alias("_c")).agg(F.sum("_n").alias("_n")).select("_c", earlier(Window.orderBy("_c")).alias("_first"))  # 65 rows
+    offsets = dealt.withColumn("_before", earlier(Window.partitionBy("_b").orderBy(outer))).join(F.broadcast(ranges), F.col("_b") == F.col("_c")).select(F.col(outer).alias("_o"), (F.col("_before") + F.col("_first")).alias("_before"))
+    return inside.join(offsets, F.col(outer).eqNullSafe(F.col("_o"))).withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_o", "_before", "_r")
 
 
 def classification_summary(rows: DataFrame, value: dict[str, str], total_if: Column, key: str, most: int = 20) -> tuple[DataFrame, DataFrame]:

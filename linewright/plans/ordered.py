@@ -144,8 +144,8 @@ def priority_sample(t):
 def natural_sort_rank(t):
     """Paths of one host stand in the order of their numbers; places are counted within hosts and added up."""
     host, number = F.regexp_extract("url", "://([^/?#0-9]*)", 1), F.regexp_extract("url", "(/[a-z]+/[0-9]+)", 1)
-    pages = t("pages").select("page_id", host.alias("host"), tx.natural_key(F.regexp_replace(number, "^/[a-z]+", "")).alias("key"))
-    return summary.placed(pages, "host", ["key", "page_id"]).select("page_id", "place")
+    pages = t("pages").select("page_id", host.alias("host"), tx.natural_key(F.regexp_replace(number, "^/[a-z]+", "")).alias("key"), F.regexp_extract("url", "/[a-z]+/([0-9]+)", 1).try_cast("long").alias("number"))
+    return summary.placed(pages, "host", ["number", "key", "page_id"]).select("page_id", "place")
 
 
 @query("""WITH f AS (SELECT c_custkey, c_custkey % 9 AS f FROM customer),
