@@ -110,15 +110,18 @@ def subtract_applied(t):
     return rest.select("o_orderkey", F.lit("open").alias("state")).unionByName(done.select("o_orderkey", F.lit("applied").alias("state")))
 
 
-@query("""WITH s AS (SELECT doc_id, lang, CASE WHEN doc_id % 9 = 0 THEN 'missing_file' WHEN doc_id % 8 = 0 THEN 'hash_missing' WHEN text = '' THEN 'empty_file' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'verified' END AS o FROM documents)
-SELECT lang, count(*) FILTER (WHERE o = 'verified') AS verified, count(*) FILTER (WHERE o = 'changed') AS changed, count(*) FILTER (WHERE o = 'missing_file') AS missing_file, count(*) FILTER (WHERE o = 'hash_missing') AS hash_missing, count(*) FILTER (WHERE o = 'empty_file') AS empty_file, count(*) AS total FROM s GROUP BY ROLLUP (lang)""")
+OUTCOMES = ["verified", "mismatch", "missing", "unverifiable", "ambiguous", "changed_during_verify", "normalization_ambiguous"]
+
+
+@query(f"""WITH s AS (SELECT lang, CASE WHEN doc_id % 8 = 0 THEN 'unverifiable' WHEN doc_id % 13 = 0 THEN 'ambiguous' WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'changed_during_verify' WHEN doc_id % 7 > 0 THEN 'verified' WHEN doc_id % 3 = 0 THEN 'normalization_ambiguous' ELSE 'mismatch' END AS o FROM documents)
+SELECT lang, {', '.join(f"count(*) FILTER (WHERE o = '{o}') AS {o}" for o in OUTCOMES)}, count(*) AS total FROM s GROUP BY ROLLUP (lang)""")
 def source_audit(t):
     from linewright.sources.archives import source_outcome
 
     k, data = F.col("doc_id"), F.encode("text", "UTF-8")
-    expected = F.when(k % 8 == 0, "").when(k % 7 == 0, F.sha2(F.concat("text", F.lit("?")), 256)).otherwise(F.upper(F.sha2("text", 256)))
-    rows = t("documents").withColumn("o", source_outcome(expected, F.when(k % 9 != 0, data)))
-    return summary.pivot(rows, "lang", "o", ["verified", "changed", "missing_file", "hash_missing", "empty_file"])
+    expected = F.when(k % 8 == 0, "abc").when(k % 7 == 0, F.sha2(F.concat("text", F.lit("?")), 256)).otherwise(F.upper(F.sha2("text", 256)))
+    rows = t("documents").withColumn("o", source_outcome(expected, F.when(k % 9 != 0, data), k % 13 == 0, k % 11 == 0, k % 3 == 0))
+    return summary.pivot(rows, "lang", "o", OUTCOMES)
 
 
 @query("""SELECT doc_id, row_number() OVER (PARTITION BY lang, b ORDER BY doc_id) * CASE WHEN b THEN 1 END AS number, b AS in_band FROM (SELECT doc_id, lang, n_chars / 100.0 BETWEEN 3 AND 10 AS b FROM documents WHERE doc_id % 3 = 0)""")

@@ -211,16 +211,46 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inventory(members: DataFrame, member: str = "member", size: str = "size") -> tuple[DataFrame, DataFrame]:
-    """(one row of counts, names that several voice files share with their members)."""
-    kind = F.lower(F.substring_index(member, ".", -1))
-    folder_stem = F.concat(F.substring(F.col(member), F.lit(1), F.length(member) - F.length(basename(F.col(member)))), stem(F.col(member)))
-    rows = members.withColumn("_kind", kind).withColumn("_path", folder_stem)
-    paired = rows.groupBy("_path").agg(F.bool_or(F.col("_kind") == "wav").alias("w"), F.bool_or(F.col("_kind") == "lab").alias("l")).agg(F.count_if(F.col("w") & F.col("l")).alias("pairs"))
-    counts = rows.agg(F.count("*").alias("members"), F.count_if(F.col("_kind") == "wav").alias("voices"), F.count_if(F.col("_kind") == "lab").alias("labels"), F.sum(size).alias("bytes"))
-    shared = rows.filter("_kind = 'wav'").groupBy(F.lower(basename(F.col(member))).alias("name")).agg(F.array_sort(F.collect_list(member)).alias("members")).filter(F.size("members") > 1)
-    return counts.join(F.broadcast(paired), how="inner"), shared
-
-
-def source_outcome(expected: Column, content: Column) -> Column:
-    """What a byte audit says of a file against its recorded SHA-256."""
-    return F.when(content.isNull(), "missing_file").when(F.coalesce(expected, F.lit("")) == "", "hash_missing").when(F.length(content) == 0, "empty_file").when(F.sha2(content, 256) == F.lower(expected), "verified").otherwise("changed")
+    """(one row of counts, a row for each voice file whose name others share: name, member).
+
+    pairs: voices with a label of their own path; member_pairs: those, and voices whose
+    stem only one label has; stem_pairs and unlabelled: stems of voices with and without
+    a label. digest does not depend on the order of the members.
+    """
+    kind, path = F.lower(F.substring_index(member, ".", -1)), F.col(member)
+    own = F.lower(F.concat(F.substring(path, F.lit(1), F.length(member) - F.length(basename(path))), stem(path)))
+    rows = members.withColumn("_kind", kind).withColumn("_path", own).withColumn("_stem", stem(path))
+    both = lambda by: rows.groupBy(by).agg(F.count_if(F.col("_kind") == "wav").alias("w"), F.count_if(F.col("_kind") == "lab").alias("l"))
+    at, stems = both("_path"), both("_stem")
+    paired = at.agg(F.count_if((F.col("w") > 0) & (F.col("l") > 0)).alias("pairs"))
+    single = stems.filter("l = 1").select(F.col("_stem").alias("_s"))
+    voices = rows.filter("_kind = 'wav'").join(at.filter("l > 0").select(F.col("_path").alias("_p"), F.lit(True).alias("_own")), F.col("_path") == F.col("_p"), "left").join(single, F.col("_stem") == F.col("_s"), "left")
+    by_member = voices.agg(F.count_if(F.col("_own").isNotNull() | F.col("_s").isNotNull()).alias("member_pairs"))
+    by_stem = stems.agg(F.count_if((F.col("w") > 0) & (F.col("l") > 0)).alias("stem_pairs"), F.count_if((F.col("w") > 0) & (F.col("l") == 0)).alias("unlabelled"))
+    each = F.conv(F.substring(F.sha2(F.concat_ws("\n", path, F.col(size).cast("string")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    counts = rows.agg(F.count("*").alias("members"), F.count_if(F.col("_kind") == "wav").alias("voices"), F.count_if(F.col("_kind") == "lab").alias("labels"), F.sum(size).alias("bytes"), F.sha2(F.coalesce(F.sum(each), F.lit(0)).cast("string"), 256).alias("digest"))
+    for one in (paired, by_member, by_stem):
+        counts = counts.join(F.broadcast(one), how="inner")  # one row each
+    name = F.lower(basename(path))
+    repeated = rows.filter("_kind = 'wav'").groupBy(name.alias("name")).agg(F.count("*").alias("_n")).filter("_n > 1").select("name")
+    return counts, rows.filter("_kind = 'wav'").select(name.alias("_name"), path.alias("member")).join(repeated, F.col("_name") == F.col("name")).select("name", "member")
+
+
+def source_outcome(expected: Column, content: Column, ambiguous: Column | None = None, moved: Column | None = None, normalized: Column | None = None) -> Column:
+    """What a byte audit says of a file against its recorded SHA-256.
+
+    unverifiable without a proper hash, ambiguous where several files could be meant,
+    missing, changed_during_verify where it moved while it was read, verified, and of
+    other bytes mismatch, or normalization_ambiguous in archives whose audio was converted.
+    """
+    no = F.lit(False)
+    fits = F.rlike(F.trim(F.coalesce(expected, F.lit(""))), F.lit("^[0-9a-fA-F]{64}$"))
+    return (
+        F.when(~fits, "unverifiable")
+        .when(no if ambiguous is None else ambiguous, "ambiguous")
+        .when(content.isNull(), "missing")
+        .when(no if moved is None else moved, "changed_during_verify")
+        .when(F.sha2(content, 256) == F.lower(F.trim(expected)), "verified")
+        .when(no if normalized is None else normalized, "normalization_ambiguous")
+        .otherwise("mismatch")
+    )

@@ -43,8 +43,10 @@ def test_zip_members_headers_and_inventory(spark, tmp_path):
     archives.register(spark)
     members = spark.read.format("zip_members").option("content", "true").load(str(tmp_path / "p.zip"))
     counts, shared = archives.inventory(members)
-    assert counts.first()[:3] == (5, 4, 1) and counts.first()["pairs"] == 1
-    assert [tuple(r) for r in shared.collect()] == [("dup.wav", ["one/dup.wav", "two/dup.wav"])]
+    row = counts.first()
+    assert row[:3] == (5, 4, 1) and (row.pairs, row.member_pairs, row.stem_pairs, row.unlabelled) == (1, 2, 1, 2)
+    assert archives.inventory(members.repartition(3))[0].first().digest == row.digest != archives.inventory(members.limit(4))[0].first().digest
+    assert sorted(tuple(r) for r in shared.collect()) == [("dup.wav", "one/dup.wav"), ("dup.wav", "two/dup.wav")]
     heads = {r.member: r.h for r in members.filter("member like '%.wav'").select("member", archives.wav_header_of("content").alias("h")).collect()}
     assert (heads["two/dup.wav"].frames, heads["two/dup.wav"].sample_rate, heads["two/dup.wav"].sample_bits) == (20, 8000, 16) and heads["bad.wav"].problem == "not_wave"
     assert members.filter(F.col("member").isin("one/dup.lab")).count() == 1
@@ -72,8 +74,8 @@ def test_folder_audit(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x/a.wav").write_bytes(b"abc")
     files = archives.read_folder(spark, str(tmp_path))
-    want = spark.createDataFrame([("x/a.wav", hashlib.sha256(b"abc").hexdigest().upper()), ("x/b.wav", "0"), ("x/a.wav", ""), ("x/a.wav", "0")], "member string, sha string")
-    assert sorted(r[0] for r in want.join(files, "member", "left").select(archives.source_outcome(F.col("sha"), F.col("content"))).collect()) == ["changed", "hash_missing", "missing_file", "verified"]
+    want = spark.createDataFrame([("x/a.wav", hashlib.sha256(b"abc").hexdigest().upper()), ("x/b.wav", "0" * 64), ("x/a.wav", ""), ("x/a.wav", "0" * 64)], "member string, sha string")
+    assert sorted(r[0] for r in want.join(files, "member", "left").select(archives.source_outcome(F.col("sha"), F.col("content"))).collect()) == ["mismatch", "missing", "unverifiable", "verified"]
 
 
 def test_training_set(spark, tmp_path):
