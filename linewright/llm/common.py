@@ -73,6 +73,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove this application's tables; results that still read them must have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def apart(*frames: DataFrame) -> str:
     """A prefix that no column of the frames has, whatever its case: names made with it clash with none."""
     names, prefix = [c.lower() for f in frames for c in f.columns], "_"

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from linewright.llm import decontam, quality, simhash
+from linewright.llm.common import own_folder
 from tests.llm.test_secrets import brute as brute_spans
 from tests.llm.test_simhash import brute, plain_fingerprint
 from tests.llm.test_tokens_packing import packed_right
@@ -59,3 +60,21 @@ def test_one_row_of_each_group_stays(spark):
     want = [(1, "a b c d", "x"), (5, other, "x"), (None, "third text of no id at all", "x"), (7, None, "x")]
     for n in (1, 3, 8):
         assert sorted(map(repr, map(tuple, simhash.first_of_each(docs.repartition(n)).collect()))) == sorted(map(repr, want))
+
+
+def test_tables_can_be_cleared(spark):
+    from linewright.llm import common
+
+    held = common.settle(spark.range(3).toDF("x"), "cleared")
+    assert held.count() == 3
+    before = common.own_folder(spark)
+    try:
+        common.own_folder = lambda s: before + "-other"
+        path = common.new_path(spark, "gone")
+        held.write.parquet(path)
+        common.clear(spark)
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path)
+    finally:
+        common.own_folder = own_folder
+    assert held.count() == 3
