@@ -6,6 +6,7 @@ and a filter on names reaches the reader.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zipfile
@@ -41,7 +42,10 @@ def _safe(name: str) -> str:
 
 
 class ZipMembers(DataSource):
-    """Members of ZIP archives: archive, member, size, content (null unless option content is true)."""
+    """Members of ZIP archives: archive, member, size, content (null unless option content is true).
+
+    Option ``members``, a JSON list of names, reads only those, whatever their case.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -80,13 +84,14 @@ class _ZipReader(_Wanted):
 
     def read(self, partition: _OneFile) -> Iterator[tuple]:
         with_content = self.options.get("content", "false").lower() == "true"
+        asked = {m.replace("\\", "/").casefold() for m in json.loads(self.options["members"])} if "members" in self.options else None
         with zipfile.ZipFile(partition.path) as z:
             members = [m for m in z.infolist() if not m.is_dir()]
             if len(members) > MOST_MEMBERS or sum(m.file_size for m in members) > MOST_BYTES:
                 raise ValueError("the archive is larger than the limits")
             for k, m in enumerate(members):
                 name = _safe(m.filename)
-                if self.wanted is None or name in self.wanted:
+                if (self.wanted is None or name in self.wanted) and (asked is None or name.casefold() in asked):
                     yield partition.path, k, name, m.file_size, z.read(m) if with_content else None
 
 

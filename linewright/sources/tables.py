@@ -99,6 +99,53 @@ def read_object_map(spark: SparkSession, path: str, fields: str, filenames: Data
     return parsed.withColumn("_name", F.lower(F.regexp_replace(found, r"(?i)\.wem$", ".wav"))).join(asked, F.col("_name") == F.col("_want")).drop("_name", "_want")
 
 
+# The fields of a voice record in order of precedence, and the columns of a voice workbook.
+RECORD_FIELDS = {"source_path": ("sourceFileName", "fileName", "inGameFilename"), "character": ("talkName", "npcName", "speaker", "avatarName"), "english": ("voiceContent", "text", "transcription"), "avatar_name": ("avatarName",)}
+WORKBOOK = {"hash": "语音哈希", "filename": "语音文件名", "character": "角色", "english": "语音文本", "battle": "是否为战斗语音"}
+
+
+def _voice_name(path: Column) -> Column:
+    """The file's name as a WAV: .wem is replaced, a name without an ending gets one."""
+    name = basename(F.trim(path))
+    return F.when(name == "", "").when(F.rlike(name, F.lit(r"(?i)\.wem$")), F.regexp_replace(name, r"(?i)\.wem$", ".wav")).when(stem(name) == name, F.concat(name, F.lit(".wav"))).otherwise(name)
+
+
+def read_voice_map(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """A JSON object of voice records: ordinal, filename, hash, character, english, source_path, avatar_name.
+
+    Records whose key does not start with ``prefix``, a locale's folder, are dropped
+    before they are parsed; the ordinal counts all of them.
+    """
+    text = spark.read.option("wholetext", True).text(path)
+    each = text.select(F.posexplode(F.from_json("value", "map<string,string>")).alias("ordinal", "key", "raw")).filter(F.col("key").startswith(prefix) if prefix else F.lit(True))
+    parsed = each.withColumn("r", F.from_json("raw", "map<string,string>")).filter("r is not null")
+    first = lambda names: F.coalesce(*(F.nullif(F.col("r")[n], F.lit("")) for n in names), F.lit(""))
+    named = parsed.select("ordinal", F.trim("key").alias("hash"), *(first(names).alias(f) for f, names in RECORD_FIELDS.items()))
+    out = named.select("ordinal", _voice_name(F.col("source_path")).alias("filename"), "hash", F.trim("character").alias("character"), F.trim("english").alias("english"), "source_path", F.trim("avatar_name").alias("avatar_name"))
+    return out.filter("filename <> ''")
+
+
+def only_filenames(records: DataFrame, filenames: DataFrame) -> DataFrame:
+    """Records whose file is among those asked for (column filename), whatever the case, in the spelling asked for."""
+    asked = filenames.select(F.lower(basename(F.col("filename"))).alias("_want"), basename(F.col("filename")).alias("_as")).groupBy("_want").agg(F.max("_as").alias("_as"))
+    return records.join(asked, F.lower("filename") == F.col("_want")).withColumn("filename", F.col("_as")).drop("_want", "_as")
+
+
+def workbook_voices(sheet: DataFrame, character: str) -> DataFrame:
+    """Rows (workbook, ordinal, cells) of a voice workbook whose character holds a name: filename, hash, character, english, battle.
+
+    The run fails on a workbook without one of the four columns.
+    """
+    needle = character.strip().casefold()
+    if not needle:
+        raise ValueError("a character is asked for")
+    cell = lambda f: F.trim(F.coalesce(F.col("cells")[WORKBOOK[f]], F.lit("")))
+    missing = F.array_except(F.array(*(F.lit(WORKBOOK[f]) for f in ("hash", "filename", "character", "english"))), F.map_keys("cells"))
+    checked = sheet.withColumn("_role", F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing columns: "), F.array_join(missing, ", "))).cast("string")).otherwise(cell("character")))
+    name = F.when(F.lower(cell("filename")).endswith(".wav"), cell("filename")).otherwise(F.concat(cell("filename"), F.lit(".wav")))
+    return checked.filter(F.contains(F.lower("_role"), F.lit(needle)) & (cell("filename") != "")).select(name.alias("filename"), cell("hash").alias("hash"), F.col("_role").alias("character"), cell("english").alias("english"), cell("battle").alias("battle"))
+
+
 def candidate_names(spark: SparkSession, path: str) -> DataFrame:
     """WAV names that a file lists: a JSON array or object with entries, a CSV with a file name column, else one in each line of free text."""
     kind = path.rsplit(".", 1)[-1].lower()

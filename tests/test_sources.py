@@ -122,3 +122,27 @@ def test_names_and_labs(spark, tmp_path):
     members, stems = tables.read_labs(spark, str(tmp_path / "labs"))
     assert sorted(map(tuple, members.collect())) == [("p/one.lab", "hello"), ("p/two.lab", "a"), ("q/one.LAB", "hello"), ("q/two.lab", "b")]
     assert [tuple(r) for r in stems.collect()] == [("one", "hello")]
+
+
+def test_voice_maps_and_workbooks(spark, tmp_path):
+    record = {"fileName": "voice\\EN\\Take_1.wem", "npcName": "Ann", "text": " hello "}
+    (tmp_path / "m.json").write_text(json.dumps({"EN/1": record, "JP/2": {"sourceFileName": "x", "avatarName": "Bo"}, "EN/3": {"text": "no file"}, "EN/4": "no record"}))
+    rows = tables.read_voice_map(spark, str(tmp_path / "m.json"))
+    assert sorted(map(tuple, rows.collect())) == [(0, "Take_1.wav", "EN/1", "Ann", "hello", "voice\\EN\\Take_1.wem", ""), (1, "x.wav", "JP/2", "Bo", "", "x", "Bo")]
+    assert [r.ordinal for r in tables.read_voice_map(spark, str(tmp_path / "m.json"), "JP/").collect()] == [1]
+    wanted = spark.createDataFrame([("a/TAKE_1.WAV",)], "filename string")
+    assert [r.filename for r in tables.only_filenames(rows, wanted).collect()] == ["TAKE_1.WAV"]
+    cells = {"语音哈希": "h", "语音文件名": "a", "角色": "Big Ann", "语音文本": "t"}
+    sheet = spark.createDataFrame([("w", 0, cells), ("w", 1, {**cells, "角色": "Bo"})], "workbook string, ordinal long, cells map<string,string>")
+    assert [tuple(r) for r in tables.workbook_voices(sheet, " ann").collect()] == [("a.wav", "h", "Big Ann", "t", "")]
+    with pytest.raises(Exception, match="missing columns: 角色"):
+        tables.workbook_voices(spark.createDataFrame([("w", 0, {k: v for k, v in cells.items() if k != "角色"})], sheet.schema), "ann").collect()
+
+
+def test_members_are_read_whatever_their_case(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        for name in ("One/A.wav", "two/b.wav"):
+            z.writestr(name, b"x")
+    archives.register(spark)
+    got = spark.read.format("zip_members").option("members", json.dumps(["one\\a.WAV"])).load(str(tmp_path / "p.zip"))
+    assert [r.member for r in got.collect()] == ["One/A.wav"]
