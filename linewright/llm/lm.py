@@ -18,7 +18,6 @@ token. Counting is exact: numbers, not hashes, are compared.
 from __future__ import annotations
 
 import json
-import os
 import struct
 import tempfile
 import uuid
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import WordHashes, new_path
+from linewright.llm.common import WordHashes, new_path, settle
 
 #: Tokens counted or scored at a time; tokens of a bucket of triples; bytes of text a range of words; the most ranges.
 COUNT_BLOCK, SCORE_BLOCK, BUCKET_TOKENS, RANGE_BYTES, MOST_RANGE_BITS = 2_000_000, 500_000, 4_000_000, 64 << 20, 10
@@ -85,10 +84,37 @@ def lengths_of(first: np.ndarray, n: int) -> np.ndarray:
 
 def ordered(first: np.ndarray, second: np.ndarray, third: np.ndarray | None = None) -> np.ndarray:
     """Order by up to three number columns; two of 32 bits are sorted as one."""
-    if first.dtype == np.uint32:
-        pair = (first.astype(np.uint64) << np.uint64(32)) | second
-        return np.argsort(pair, kind="stable") if third is None else np.lexsort((third, pair))
-    return np.lexsort((second, first) if third is None else (third, second, first))
+    if first.dtype != np.uint32:
+        return np.lexsort((second, first) if third is None else (third, second, first))
+    pair = (first.astype(np.uint64) << np.uint64(32)) | second
+    order = np.argsort(pair)
+    if third is None:
+        return order
+    # equal pairs stand together now: their place and the third column make the second key
+    place = np.zeros(len(pair), dtype=np.uint64)
+    place[runs(pair[order])[1:]] = 1
+    return order[np.argsort((np.cumsum(place, dtype=np.uint64) << np.uint64(32)) | third[order])]
+
+
+def counted(u: np.ndarray, v: np.ndarray, w: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(left, middle, right, times) of each distinct triple by middle, left, right; the words are numbered below ``size``."""
+    bits = np.uint64(max(1, int(size - 1).bit_length()))
+    if 3 * bits <= 64:
+        key = np.sort((((v.astype(np.uint64) << bits) | u.astype(np.uint64)) << bits) | w.astype(np.uint64))
+        first = runs(key)
+        times, key, low = lengths_of(first, len(key)), key[first], np.uint64((1 << int(bits)) - 1)
+        return ((key >> bits) & low).astype(np.int64), (key >> (bits + bits)).astype(np.int64), (key & low).astype(np.int64), times
+    order = np.lexsort((w, u, v))
+    u, v, w = u[order], v[order], w[order]
+    first = runs(v, u, w)
+    return u[first], v[first], w[first], lengths_of(first, len(w))
+
+
+def by_number(small_numbers: np.ndarray) -> np.ndarray:
+    """Stable order of numbers that are mostly small: two bytes are sorted by counting."""
+    if len(small_numbers) and int(small_numbers.max()) < 1 << 16:
+        return np.argsort(small_numbers.astype(np.uint16), kind="stable")
+    return np.argsort(small_numbers, kind="stable")
 
 
 def small(a: np.ndarray) -> np.ndarray:
@@ -159,7 +185,7 @@ class Folder:
             self.open.move_to_end(name)
             return self.open[name]
         try:
-            held = self._map(name)
+            held = np.asarray(self._map(name))  # a plain view: it keeps the mapping
         except FileNotFoundError:
             self.open[name] = None
         else:
@@ -336,15 +362,9 @@ def learn(train: DataFrame, text_col: str = "text") -> Model:
             held.clear()
             number, count, before = vocabulary.numbers(word)
             # numbers follow the hashes' order, so sorting by places in ``word`` sorts by number
-            at = at.astype(np.uint32)
-            u, v, w = triples(at[:-1], starts, at[-1])
-            order = ordered(v, u, w)
-            u, v, w = u[order], v[order], w[order]
-            first = runs(v, u, w)
-            times = lengths_of(first, len(w))
-            u, v, w = u[first], v[first], w[first]
+            u, v, w, times = counted(*triples(at[:-1], starts, at[-1]), len(word))
             bucket = bucket_of(count[v], before[v], number[u], words.room)
-            order = np.argsort(bucket, kind="stable")
+            order = by_number(bucket)
             u, v, w, times, bucket = u[order], v[order], w[order], times[order], bucket[order]
             cut = np.append(runs(bucket), len(bucket))
             number, blobs = number.astype(kind), []
@@ -446,8 +466,6 @@ def learn(train: DataFrame, text_col: str = "text") -> Model:
         types = stats[:, 0]
         return table_of([(r, 4, None, [0] * 11 + [*count_of_counts(types), int((types > 2).sum()), 0])])
 
-    from linewright.llm.common import settle
-
     dealt = texts.mapInArrow(count, "bucket long, blob binary")
     first = settle(dealt.groupBy("bucket").applyInArrow(merge, schema), "followers")
     second = settle(first.filter("kind = 0").groupBy("bucket").applyInArrow(add_up, schema), "followers")
@@ -477,16 +495,18 @@ class Numbers(Vocabulary):
 def sought(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place of each wanted value in its own sorted stretch values[low:high], -1 if it is not there."""
     low, high = low.astype(np.int64), high.astype(np.int64)
-    top, at = high.copy(), np.flatnonzero(low < high)
+    found, at = np.full(len(wanted), -1, dtype=np.int64), np.flatnonzero(low < high)
+    low, high, wanted = low[at], high[at], wanted[at]
     while len(at):
-        middle = (low[at] + high[at]) >> 1
-        less = values[middle] < wanted[at]
-        low[at[less]] = middle[less] + 1
-        high[at[~less]] = middle[~less]
-        at = at[low[at] < high[at]]
-    found = low < top
-    found[found] = values[low[found]] == wanted[found]
-    return np.where(found, low, -1)
+        middle = (low + high) >> 1
+        here = values[middle]
+        hit, less = here == wanted, here < wanted
+        found[at[hit]] = middle[hit]
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        more = np.flatnonzero(~hit & (low < high))
+        if len(more) < len(at):
+            at, low, high, wanted = at[more], low[more], high[more], wanted[more]
+    return found
 
 
 class Scorer:
@@ -503,7 +523,7 @@ class Scorer:
 
     def by_bucket(self, prefix: str, bucket: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
         """(places, mapped file) of each bucket among the ``wanted`` places."""
-        order = wanted[np.argsort(bucket[wanted], kind="stable")]
+        order = wanted[by_number(bucket[wanted])]
         cut = np.append(runs(bucket[order]), len(order))
         for a, b in zip(cut, cut[1:]):
             held = self.vocabulary.folder.get(f"{prefix}-{bucket[order[a]]}")
@@ -527,7 +547,7 @@ class Scorer:
         stats = np.zeros((len(word), 5), dtype=np.int64)
         stats[known] = self.vocabulary.stats(number[known])
         base = np.log10((count + SMALLEST) / (m.words.tokens + SMALLEST * (m.words.words + 1)))
-        u, v, w = triples(at[:-1], starts, at[-1])
+        _, v, w = triples(at[:-1], starts, at[-1])
         size = np.int64(len(word))
 
         # two words: distinct (v, w)
@@ -546,13 +566,16 @@ class Scorer:
         uni = self.word_probability(stats[:, 0])[pw]
         two = np.divide(types - d[np.minimum(types, 3)], total, out=np.zeros(len(pair)), where=total > 0) + np.divide(kinds @ d[1:], total, out=np.ones(len(pair)), where=total > 0) * uni
 
-        # three words: distinct contexts (u, v), then each token in its context
-        context, of_context = np.unique(u * size + v, return_inverse=True)
-        cu, cv = context // size, context % size
+        # three words: distinct contexts (u, v), then each token in its context; a context is the pair that ends before it
+        of_context = np.empty_like(of_pair)
+        of_context[1:] = of_pair[:-1]
+        of_context[starts] = len(pair)
+        cu, cv = np.append(pv, at[-1]), np.append(pw, at[-1])
+        context = np.arange(len(pair) + 1)
         bucket = bucket_of(count[cv], before[cv], number[cu], m.words.room)
         sums = np.zeros((len(context), 4), dtype=np.int64)
         times = np.zeros(len(w), dtype=np.int64)
-        by_context = np.argsort(of_context, kind="stable")
+        by_context = np.argsort(of_context)
         edge = edges_of(of_context[by_context], len(context))
         for place, held in self.by_bucket("triple", bucket, np.flatnonzero((number[cu] >= 0) & (number[cv] >= 0))):
             found = sought(held["left"], *self.stretch(held, number[cv[place]]), number[cu[place]])
