@@ -192,8 +192,10 @@ def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_
     # a document is an id with a text; whole copies of one are counted
     keys = fps.groupBy("id", "h", "fp").agg(F.count("*").alias("n"))
     keys = settle(keys.join(roots_of(fps), F.col("fp") == F.col("node")).select("id", "h", "n", "root"), "keys")
-    best = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")).withColumnRenamed("root", "r")
-    judged = keys.join(best, F.col("root") == F.col("r")).withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))
+    # only groups of several documents have one to choose; they are few beside the documents
+    best = keys.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"), F.count("*").alias("k")).filter("k > 1")
+    judged = keys.join(small_side(settle(best.drop("k"), "best")), F.col("root") == F.col("r"), "left")
+    judged = judged.withColumn("stays", F.col("best").isNull() | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))))
     # the other documents, and those that stay once of several rows
     marks = settle(judged.filter("n > 1 or not stays").select(F.col("id").alias(f"{p}id"), F.col("h").alias(f"{p}h"), F.col("stays").alias(f"{p}stays")), "marks")
     hashed = docs.withColumn(f"{p}own", F.xxhash64(text_col))
