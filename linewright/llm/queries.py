@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import bpe, decontam, html, licenses, lm, packing, quality, secrets, simhash, urls
-from linewright.llm.common import read_table
+from linewright.llm import bpe, cluster, decontam, fim, frames, html, licenses, lm, packing, quality, secrets, simhash, urls
+from linewright.llm.common import new_path, read_table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -74,6 +74,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64, scale=256, seed=2)
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "token-ids")
+    frames.write_tokens(read_table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2, ranks=vocabulary("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return frames.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_secret_scans": op2_secret_scans,
@@ -85,8 +101,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_token_ids": op13_token_ids,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.RATE_SQL,
     "op7_benchmark_decontamination": decontam.CONTAMINATION_SQL,
+    "op11_fill_in_middle": fim.DIGESTS_SQL,
+    "op12_centroid_clustering": cluster.cluster_sql(),
 }

@@ -1,5 +1,7 @@
 """Every query that has SQL, against DuckDB: on the given tables and on odd rows."""
 
+import os
+
 import duckdb
 import pyarrow.parquet as pq
 import pytest
@@ -9,8 +11,9 @@ from linewright.llm.queries import ORACLES, QUERIES
 
 def same(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "labels"):
+    for table in ("documents", "benchmark", "pages", "labels", "embeddings"):
         path = f"{sf_dir}/{table}.parquet"
+        path += "/*.parquet" if os.path.isdir(path) else ""
         con.execute(f"create view {table} as select * from '{path}'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, sf_dir)
@@ -28,13 +31,17 @@ def odd_dir(spark, odd_docs, tmp_path_factory):
     bench.toPandas().to_parquet(root / "benchmark.parquet")
     spark.createDataFrame([(1, None, "x")], "page_id long, url string, html string").toPandas().to_parquet(root / "pages.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").toPandas().to_parquet(root / "labels.parquet")
+    vectors = [[0.25 * (i % 7) + 0.01 * j for j in range(64)] for i in range(60)]
+    odd = [None, [], [0.5] * 63, [0.5] * 65, [None] + [0.5] * 63, [float("nan")] + [0.5] * 63, [float("inf")] + [0.5] * 63]
+    rows = [(i, v, 0) for i, v in enumerate([*vectors, *odd])] + [(3, vectors[3], 0), (3, vectors[4], 1), (None, vectors[5], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as v", "2 as d", "'x' as cluster", "4 as id", "'dot' as `a.b`").write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("empty")
-    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("labels", "doc_id long, quality int, toxic int")):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, embedding array<float>, label int")):
         pq.write_table(spark.createDataFrame([], schema).toArrow(), f"{root}/{name}.parquet")
     return str(root)
 
