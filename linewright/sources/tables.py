@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import basename, blank, compacted, first_filled, inferred_group, stem
+from linewright.sources.objects import read_members
 
 # Header names under which a field may stand, in order of precedence.
 ALIASES = {
@@ -85,13 +86,14 @@ def search_compacted(rows: DataFrame, needle: str, columns: list[str]) -> DataFr
     return rows.filter(hit)
 
 
-def read_object_map(spark: SparkSession, path: str, fields: str, filenames: DataFrame | None = None, name: Column | None = None) -> DataFrame:
+def read_object_map(spark: SparkSession, path: str, fields: str, filenames: DataFrame | None = None, name: Column | None = None, prefix: str = "") -> DataFrame:
     """A JSON object of records: ordinal, key and the fields of ``fields`` (a schema).
 
+    Large files are read in ranges; keys that do not start with ``prefix`` are dropped before their records are parsed.
     With ``filenames`` (column filename) only records of those names stay, whatever their case.
     """
-    text = spark.read.option("wholetext", True).text(path)
-    parsed = text.select(F.posexplode(F.from_json("value", f"map<string,struct<{fields}>>")).alias("ordinal", "key", "record")).select("ordinal", "key", "record.*")
+    members = read_members(spark, path).filter(F.col("key").startswith(prefix) if prefix else F.lit(True))
+    parsed = members.select("ordinal", "key", F.from_json("value", f"struct<{fields}>").alias("record")).select("ordinal", "key", "record.*")
     if filenames is None:
         return parsed
     asked = filenames.select(F.lower("filename").alias("_want"), F.col("filename").alias("asked")).dropDuplicates(["_want"])
@@ -116,9 +118,8 @@ def read_voice_map(spark: SparkSession, path: str, prefix: str = "") -> DataFram
     Records whose key does not start with ``prefix``, a locale's folder, are dropped
     before they are parsed; the ordinal counts all of them.
     """
-    text = spark.read.option("wholetext", True).text(path)
-    each = text.select(F.posexplode(F.from_json("value", "map<string,string>")).alias("ordinal", "key", "raw")).filter(F.col("key").startswith(prefix) if prefix else F.lit(True))
-    parsed = each.withColumn("r", F.from_json("raw", "map<string,string>")).filter("r is not null")
+    each = read_members(spark, path).filter(F.col("key").startswith(prefix) if prefix else F.lit(True))
+    parsed = each.withColumn("r", F.from_json("value", "map<string,string>")).filter("r is not null")
     first = lambda names: F.coalesce(*(F.nullif(F.col("r")[n], F.lit("")) for n in names), F.lit(""))
     named = parsed.select("ordinal", F.trim("key").alias("hash"), *(first(names).alias(f) for f, names in RECORD_FIELDS.items()))
     out = named.select("ordinal", _voice_name(F.col("source_path")).alias("filename"), "hash", F.trim("character").alias("character"), F.trim("english").alias("english"), "source_path", F.trim("avatar_name").alias("avatar_name"))
