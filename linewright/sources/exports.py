@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewright.functions.text import clock
+from linewright.functions.text import MARKUP, ass_clock, clock, width
 from linewright.operators.changes import numbered
 
 
@@ -48,30 +48,98 @@ def write_index(rows: DataFrame, folder: str, order: list[str]) -> None:
 ASS_HEADER = "[Script Info]\nScriptType: v4.00+\nPlayResX: 1920\nPlayResY: 1080\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, Alignment\nStyle: Line,Arial,60,2\n\n[Events]\nFormat: Layer, Start, End, Style, Text\n"
 
 
-def ass_text(text: Column) -> Column:
-    """A text in which nothing reads as markup."""
-    return F.replace(F.regexp_replace(F.translate(text, "{}", "()"), r"\\", "/"), F.lit("\n"), F.lit("\\N"))
+def ass_text(text: Column, line_feeds: bool = True) -> Column:
+    """A text in which nothing reads as markup; line feeds are kept as line breaks, or become spaces too. Null is empty."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "\\{}\r", "\uff0f\uff5b\uff5d ")
+    return F.replace(plain, F.lit("\n"), F.lit("\\N" if line_feeds else " "))
 
 
-def render_ass(lines: DataFrame, archive: str, ordinal: str, broken: Column, start: Column, end: Column, fade_in: Column, fade_out: Column) -> DataFrame:
-    """One row an archive: its cues as ASS text. ``broken`` is an array of lines; fades are milliseconds outside the voice."""
-    from linewright.functions.text import ass_clock
+#: One visible character with the marks, joiners and variants that belong to it; a word with the spaces after it.
+KARAOKE_UNITS = {"character": r"(?s).(?:[\p{M}\x{200C}\x{200D}\x{FE00}-\x{FE0F}\x{1F3FB}-\x{1F3FF}]|(?<=\x{200D}).)*", "word": r"\S+\s*|\s+"}
 
+
+def _tagged(pieces: Column, tag: str) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("{\\" + tag), p["t"].cast("string"), F.lit("}"), p["w"])), "")
+
+
+def karaoke_aligned(text: Column, duration: Column, words: Column, tag: str = "k") -> Column:
+    """A line with the time of each word, array<struct<word,start,end>>, in centiseconds, at least 1.
+
+    The words must make up the text, white space aside, have positive times that do not
+    step back by more than 0.02 s, and end at most 0.25 s after the cue; otherwise the
+    text stays as it is: no timing is made up.
+    """
+    squeezed = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
+    start = F.struct(F.lit(0.0).alias("end"), F.lit(True).alias("fits"))
+
+    def step(acc: Column, w: Column) -> Column:
+        a, b = w["start"].cast("double"), w["end"].cast("double")
+        fits = (w["word"] != "") & (a >= -0.001) & (b > a) & (a + 0.02 >= acc["end"]) & (b <= duration + 0.25)
+        return F.struct(F.coalesce(b, acc["end"]).alias("end"), (acc["fits"] & F.coalesce(fits, F.lit(False))).alias("fits"))
+
+    fits = (duration > 0) & (F.size(words) > 0) & F.aggregate(words, start, step, lambda acc: acc["fits"]) & (squeezed(F.array_join(F.transform(words, lambda w: w["word"]), "")) == squeezed(text))
+    pieces = F.transform(words, lambda w: F.struct(F.greatest(F.lit(1).cast("long"), F.bround((w["end"].cast("double") - w["start"].cast("double")) * 100).cast("long")).alias("t"), w["word"].alias("w")))
+    return F.when(F.coalesce(fits, F.lit(False)), _tagged(pieces, tag)).otherwise(text)
+
+
+def karaoke_even(lines: Column, duration: Column, unit: str = "word", tag: str = "k") -> Column:
+    """Lines, joined by breaks, with the cue's centiseconds shared evenly over their units; the first ones take what is left over.
+
+    The times add up to the cue, so a unit of a crowded cue may get none. Lines without a unit stay as they are.
+    """
+    units = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(KARAOKE_UNITS[unit]), 0))
+    n = F.aggregate(units, F.lit(0).cast("long"), lambda a, u: a + F.size(u))
+    total = F.greatest(F.lit(0).cast("long"), F.bround(duration * 100).cast("long"))
+    before = lambda i: F.aggregate(F.slice(units, F.lit(1), i), F.lit(0).cast("long"), lambda a, u: a + F.size(u))
+    share = lambda k: F.floor(total / n) + (k < total % n).cast("long")
+    timed = F.transform(units, lambda us, i: _tagged(F.transform(us, lambda u, k: F.struct(share(before(i) + k).alias("t"), u.alias("w"))), tag))
+    return F.when(n > 0, F.array_join(timed, "\\N")).otherwise(F.array_join(lines, "\\N"))
+
+
+def karaoke_by_width(lines: Column, duration: Column, font_size: float = 42, tag: str = "k") -> Column:
+    """Lines with the cue's centiseconds shared over characters by their widths: whole shares, then the largest remainders, first of equals first."""
+    hundredth = lambda x: F.greatest(width(x) * font_size, F.lit(1.0)).cast("long")
+    pieces = F.flatten(F.transform(lines, lambda x, line: F.transform(F.regexp_extract_all(x, F.lit(KARAOKE_UNITS["character"]), 0), lambda u: F.struct(u.alias("w"), hundredth(u).alias("size"), line.alias("line")))))
+    whole = F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["size"])
+    cs = F.greatest(F.lit(0).cast("long"), F.bround(duration * 100).cast("long"))
+    quota = F.transform(pieces, lambda p, k: F.struct((-(p["size"] * cs % whole)).alias("rest"), k.alias("k"), F.floor(p["size"] * cs / whole).alias("t"), p["w"].alias("w"), p["line"].alias("line")))
+    left = cs - F.aggregate(quota, F.lit(0).cast("long"), lambda a, q: a + q["t"])
+    ranked = F.transform(F.array_sort(quota), lambda q, r: F.struct(q["k"].alias("k"), (q["t"] + (r < left).cast("long")).alias("t"), q["w"].alias("w"), q["line"].alias("line")))
+    placed = F.array_sort(ranked)
+    timed = F.transform(lines, lambda x, line: _tagged(F.filter(placed, lambda p: p["line"] == line), tag))
+    return F.when(F.size(pieces) > 0, F.array_join(timed, "\\N")).otherwise(F.array_join(lines, "\\N"))
+
+
+def overflow_problem(lines: Column, most: float, font_size: float, most_lines: int = 2) -> Column:
+    """Why a cue's lines do not fit the picture: too_many_lines, too_wide, else null."""
+    wide = F.exists(lines, lambda x: width(F.regexp_replace(x, MARKUP, "")) * font_size / 100 > most)
+    return F.when(F.size(lines) > most_lines, "too_many_lines").when(wide, "too_wide")
+
+
+def overflow_report(cues: DataFrame, key: list[str], lines: str, most: float, font_size: float, most_lines: int = 2) -> DataFrame:
+    """The cues that do not fit: key, problem, lines and the widest line's pixels."""
+    widest = F.array_max(F.transform(lines, lambda x: width(F.regexp_replace(x, MARKUP, "")) * font_size / 100))
+    return cues.withColumn("problem", overflow_problem(F.col(lines), most, font_size, most_lines)).filter("problem is not null").select(*key, "problem", F.size(lines).alias("n_lines"), widest.alias("widest"))
+
+
+def render_ass(lines: DataFrame, archive: str, ordinal: str, broken: Column, start: Column, end: Column, fade_in: Column, fade_out: Column, body: Column | None = None, problem: Column | None = None) -> DataFrame:
+    """One row an archive: its cues as ASS text. ``broken`` is an array of lines; fades are milliseconds outside the voice.
+
+    ``body`` is the marked text if it is not just the lines (karaoke). A cue with a
+    ``problem`` (``overflow_problem``) stops the run: nothing is rendered that does not fit.
+    """
+    shown = F.array_join(F.transform(broken, lambda x: ass_text(x)), "\\N") if body is None else body
+    if problem is not None:
+        shown = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("rendering blocked, see the overflow report: "), F.col(ordinal).cast("string"), F.lit(" "), problem)).cast("string")).otherwise(shown)
     cue = F.concat(
         F.lit("Dialogue: 0,"), ass_clock(F.greatest(F.lit(0.0), start - fade_in / 1000)), F.lit(","), ass_clock(end + fade_out / 1000), F.lit(",Line,{\\fad("),
-        fade_in.cast("string"), F.lit(","), fade_out.cast("string"), F.lit(")}"), F.array_join(F.transform(broken, ass_text), "\\N"),
+        fade_in.cast("string"), F.lit(","), fade_out.cast("string"), F.lit(")}"), shown,
     )
     listed = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), cue.alias("cue"))))
     spoken = lines.filter(F.size(broken) > 0)
     return spoken.groupBy(archive).agg(F.concat(F.lit(ASS_HEADER), F.array_join(F.transform(listed, lambda x: x["cue"]), "\n"), F.lit("\n")).alias("ass"))
 
 
-def write_manifest(entries: DataFrame, report: DataFrame, folder: str) -> None:
-    """Entries as Parquet and the report as JSON, each under its own folder of a new version."""
-    entries.write.mode("errorifexists").parquet(f"{folder}/entries")
-    report.write.mode("errorifexists").json(f"{folder}/report")
-
-
 def reference_pack(lines: DataFrame, key: str, selected: Column, duration: Column, order: list[str], least: float = 3.0, most: float = 10.0) -> DataFrame:
     """Selected lines with in_band (the duration fits) and, for those that do, number 1, 2, ... in each group."""
     chosen = lines.filter(selected).withColumn("in_band", F.coalesce(duration.between(least, most), F.lit(False)))
