@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from linewright.plans import audits, ordered, records  # noqa: F401
+from linewright.plans import audits, ordered, outputs, records  # noqa: F401
 from linewright.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
