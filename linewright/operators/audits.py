@@ -138,14 +138,15 @@ def structure_issues(entries: DataFrame, archive: list[str], ordinal: list[str],
     last valid one is non_monotonic.
     """
     empty = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
-    again = lambda c: F.row_number().over(Window.partitionBy(*archive, c).orderBy(*ordinal)) > 1
+    # a blank value repeats nothing: its rows are told apart by their place, so that they don't meet in one task
+    again = lambda c: F.row_number().over(Window.partitionBy(*archive, c, F.when(empty(c), F.struct(*ordinal))).orderBy(*ordinal)) > 1
     a, b, c = (F.col(x).try_cast("double") for x in (start, end, shown))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     until = F.coalesce(c, b)
     valid = F.coalesce(number(a) & number(b) & number(until) & (a >= 0) & (b > a) & (until > a), F.lit(False))
     order = Window.partitionBy(*archive).orderBy(*ordinal)
     before = F.last(F.when(F.col("_valid"), a), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    seen = entries.withColumn("_valid", valid).withColumn("_before", before).withColumn("_id2", again(id_)).withColumn("_m2", again(member))
+    seen = entries.withColumn("_valid", valid).withColumn("_before", before).withColumn("_id2", F.row_number().over(Window.partitionBy(*archive, id_).orderBy(*ordinal)) > 1).withColumn("_m2", again(member))
     digest = F.rlike(F.trim(F.coalesce(F.col(sha256), F.lit(""))), F.lit("^[0-9a-fA-F]{64}$"))
     failed = (F.col("_id2"), ~empty(member) & F.col("_m2"), empty(member), empty(source), empty(target), ~digest, ~F.col("_valid"), F.col("_valid") & (a < F.col("_before") - 0.000001))
     codes = F.array_compact(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(code)) for code, x in zip(STRUCTURE_CODES, failed))))

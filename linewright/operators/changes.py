@@ -6,6 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from linewright.operators.tables import apart, columns_of, stored
 
 
 def classify(existing: DataFrame, candidates: DataFrame, name: str, logical: str, order: str, member: str | None = None) -> DataFrame:
@@ -80,21 +83,23 @@ def first_of_equal(rows: DataFrame, value: list[str], order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, deleted: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """New rows over old ones, one row a key; a deleted key stays deleted.
+    """New rows over old ones, one row a key; a deleted key stays deleted. A null key is a key like any other.
 
     Of several rows of a key on one side the last in ``order`` holds (without an
-    order the greatest). The order's column stays as it is.
+    order the greatest). The order's column stays as it is; ``origin`` is added.
     """
-    gone = deleted.select(F.col(key).alias("_d")).distinct()
+    p = apart(old, new)
+    gone = deleted.select(F.col(key).alias(f"{p}d")).distinct()
 
     def last(rows: DataFrame) -> DataFrame:
-        row = F.struct(*rows.columns)
-        return rows.groupBy(F.col(key).alias("_g")).agg((F.max_by(row, order) if order else F.max(row)).alias("_r")).select("_r.*")
+        row = F.struct(*columns_of(rows))
+        return rows.groupBy(F.col(key).alias(f"{p}g")).agg((F.max_by(row, order) if order else F.max(row)).alias(f"{p}r")).select(f"{p}r.*")
 
     before, after = last(old), last(new)
-    fresh = after.join(before.select(F.col(key).alias("_o")), F.col(key) == F.col("_o"), "left").withColumn("origin", F.when(F.col("_o").isNull(), "inserted").otherwise("updated")).drop("_o")
-    kept = before.join(after.select(F.col(key).alias("_n")), F.col(key) == F.col("_n"), "left_anti").withColumn("origin", F.lit("kept"))
-    return kept.unionByName(fresh).join(gone, F.col(key) == F.col("_d"), "left_anti")
+    known = before.select(F.col(key).alias(f"{p}o"), F.lit(True).alias(f"{p}held"))
+    fresh = after.join(known, F.col(key).eqNullSafe(F.col(f"{p}o")), "left").withColumn("origin", F.when(F.col(f"{p}held"), "updated").otherwise("inserted")).drop(f"{p}o", f"{p}held")
+    kept = before.join(after.select(F.col(key).alias(f"{p}n")), F.col(key).eqNullSafe(F.col(f"{p}n")), "left_anti").withColumn("origin", F.lit("kept"))
+    return kept.unionByName(fresh).join(gone, F.col(key).eqNullSafe(F.col(f"{p}d")), "left_anti")
 
 
 def edit_overrides(base: DataFrame, overrides: DataFrame, edits: DataFrame, key: str, value: str, expected: str | None = None) -> DataFrame:
@@ -124,47 +129,59 @@ def fill_only(existing: DataFrame, recovered: DataFrame, key: str, value: str) -
 
 def append_numbered(existing: DataFrame, incoming: DataFrame, key: str, index: str, order: str) -> DataFrame:
     """Incoming rows of unknown keys, numbered on from the existing rows' greatest index."""
-    fresh = incoming.join(existing.select(F.col(key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_anti")
-    return numbered(fresh, order, index).join(F.broadcast(existing.agg(F.coalesce(F.max(index), F.lit(0)).alias("_top"))), how="inner").withColumn(index, F.col(index) + F.col("_top")).drop("_top")
+    p = apart(existing, incoming)
+    fresh = incoming.join(existing.select(F.col(key).alias(f"{p}k")), F.col(key).eqNullSafe(F.col(f"{p}k")), "left_anti")
+    top = existing.agg(F.coalesce(F.max(index), F.lit(0)).alias(f"{p}top"))
+    return numbered(fresh, order, f"{p}index").join(F.broadcast(top), how="inner").select(*columns_of(incoming), (F.col(f"{p}index") + F.col(f"{p}top")).alias(index))
 
 
-#: Rows that one task ranks, and the most ranges of an order.
-RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
+#: Rows that one task ranks, the most ranges of an order, and the keys sampled for each.
+RANGE_ROWS, MOST_RANGES, SAMPLED = 1_000_000, 4096, 32
 
 
-def range_of(value: Column, bounds: list) -> Column:
-    """The number of bounds at or below a value, found in two steps; nulls come after all ranges."""
-    if not bounds:
-        return F.when(value.isNull(), 1).otherwise(0)
-    step = math.isqrt(len(bounds) - 1) + 1
-    parts = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    array = lambda xs: F.array(*map(F.lit, xs))
-    coarse = F.size(F.filter(array([p[0] for p in parts]), lambda b: b <= value))
-    fine = F.get(F.array(*map(array, parts)), coarse - 1)
-    return F.when(value.isNull(), len(bounds) + 1).when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda b: b <= value)))
+def range_of(value: Column, firsts: Column, parts: Column, step: int) -> Column:
+    """The number of bounds at or below a value, found in two steps: among the parts' first bounds, then in one part of ``step`` bounds."""
+    at_or_below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= value))
+    coarse = at_or_below(firsts)
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + at_or_below(F.get(parts, coarse - 1)))
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[str], index: str) -> DataFrame:
-    """Add index 1, 2, ... in each group, nulls last, without sorting a group in one task; the first of ``order`` is numeric.
+def ranked(rows: DataFrame, by: list[str], order: list[str], index: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add index 1, 2, ... in each group, nulls last, without sorting a group in one task.
 
-    Ranks are counted within ranges between the order's quantiles, as many as the
-    rows ask for, and the sizes of a group's ranges added up.
+    The order's columns may be of any kind that sorts. The rows are stored once, each
+    with a number of its own as the last part of its key, so even rows that are
+    alike are told apart. Ranks are counted within ranges of about ``range_rows``
+    rows between sampled keys, and the sizes of a group's earlier ranges added.
     """
-    ranges = min(MOST_RANGES, rows.count() // RANGE_ROWS + 8)
-    cuts = rows.agg(F.percentile_approx(order[0], [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-    placed = rows.withColumn("_b", range_of(F.col(order[0]), sorted(set(cuts or []))))
-    sizes = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))  # at most MOST_RANGES + 1 rows a group
-    earlier = Window.partitionBy(*(f"_{c}" for c in by)).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inner = placed.withColumn(index, F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)))
-    met = F.col("_b") == F.col("_c")
-    for c in by:
-        met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return inner.join(before if by else F.broadcast(before), met).withColumn(index, (F.col(index) + F.col("_before")).cast("long")).select(*rows.columns, index)
+    p = apart(rows)
+    held = stored(rows.withColumn(f"{p}row", F.monotonically_increasing_id()), "ranked")
+    key = F.struct(*(x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{k}"), F.col(c).alias(f"c{k}"))), F.col(f"{p}row").alias("row"))
+    keyed = held.withColumn(f"{p}key", key)
+    n = held.count()
+    ranges = min(MOST_RANGES, n // range_rows + 1)
+    sample = keyed.select(f"{p}key").sample(min(1.0, SAMPLED * ranges / n), seed=1).orderBy(f"{p}key").collect() if ranges > 1 else []
+    bounds = [sample[k * len(sample) // ranges][0] for k in range(1, ranges)] if len(sample) >= ranges else []
+    place = lambda *groups: F.row_number().over(Window.partitionBy(*groups).orderBy(f"{p}key")).cast("long")
+    if not bounds:  # all rows are one task's
+        return keyed.withColumn(index, place(*by)).select(*columns_of(rows), F.col(index))
+    step = math.isqrt(len(bounds) - 1) + 1
+    parts = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    kind = keyed.schema[f"{p}key"].dataType
+    table = rows.sparkSession.createDataFrame([([b[0] for b in parts], parts)], T.StructType([T.StructField(f"{p}firsts", T.ArrayType(kind)), T.StructField(f"{p}parts", T.ArrayType(T.ArrayType(kind)))]))
+    dealt = keyed.join(F.broadcast(table), how="inner").withColumn(f"{p}range", range_of(F.col(f"{p}key"), F.col(f"{p}firsts"), F.col(f"{p}parts"), step)).drop(f"{p}firsts", f"{p}parts")
+    sizes = dealt.groupBy(*(F.col(c).alias(f"{p}by{k}") for k, c in enumerate(by)), F.col(f"{p}range").alias(f"{p}of")).agg(F.count("*").alias(f"{p}n"))  # at most MOST_RANGES rows a group
+    earlier = Window.partitionBy(*(f"{p}by{k}" for k in range(len(by)))).orderBy(f"{p}of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn(f"{p}before", F.coalesce(F.sum(f"{p}n").over(earlier), F.lit(0))).drop(f"{p}n")
+    met = F.col(f"{p}range") == F.col(f"{p}of")
+    for k, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"{p}by{k}"))
+    inner = dealt.withColumn(f"{p}index", place(*by, f"{p}range"))
+    return inner.join(before if by else F.broadcast(before), met).select(*columns_of(rows), (F.col(f"{p}index") + F.col(f"{p}before")).cast("long").alias(index))
 
 
 def numbered(rows: DataFrame, order: str, index: str) -> DataFrame:
-    """Add index 1, 2, ... in the order of a numeric column, nulls last."""
+    """Add index 1, 2, ... in the order of a column, nulls last."""
     return ranked(rows, [], [order], index)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import FAMILY_HINT, KINDS, VOICE_ANECDOTE, stem
-from linewright.operators.changes import range_of, ranked
+from linewright.operators.changes import RANGE_ROWS, ranked
+from linewright.operators.tables import apart, columns_of
 
 
 def counters(rows: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
@@ -38,11 +39,12 @@ def pivot(rows: DataFrame, by: str, value: str, values: list[str]) -> DataFrame:
 def batch_estimate(rows: DataFrame, by: list[str], order: list[str], chars: Column, size: int, overhead: int) -> DataFrame:
     """Batches of ``size`` rows in order: batches, and tokens = sum of ceil((characters + overhead) / 4).
 
-    The first of ``order`` is numeric; a group of any size is ranked in ranges.
+    A group of any size is ranked in ranges.
     """
-    sized = ranked(rows.select(*by, *order, chars.alias("_n")), by, order, "_r")
-    each = sized.groupBy(*by, F.floor((F.col("_r") - 1) / size).alias("_b")).agg(F.ceil((F.sum("_n") + overhead) / 4).alias("_t"))
-    return each.groupBy(*by).agg(F.count("*").alias("batches"), F.sum("_t").cast("long").alias("tokens"))
+    p = apart(rows)
+    sized = ranked(rows.select(*dict.fromkeys([*by, *order]), chars.alias(f"{p}n")), by, order, f"{p}r")
+    each = sized.groupBy(*by, F.floor((F.col(f"{p}r") - 1) / size).alias(f"{p}b")).agg(F.ceil((F.sum(f"{p}n") + overhead) / 4).alias(f"{p}t"))
+    return each.groupBy(*by).agg(F.count("*").alias("batches"), F.sum(f"{p}t").cast("long").alias("tokens"))
 
 
 def ordered_digest(rows: DataFrame, by: list[str], order: str, value: Column) -> DataFrame:
@@ -68,12 +70,13 @@ def retain(rows: DataFrame, active: Column, newest: list[Column], n: int) -> Dat
 
 def capped(issues: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
     """At most ``most`` issues of a group, each with the group's full count, which is an aggregate's and not a window's."""
-    counts = issues.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("issue_count"))
-    first = issues.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= most).drop("_r")
+    p = apart(issues)
+    counts = issues.groupBy(*(F.col(c).alias(f"{p}{c}") for c in by)).agg(F.count("*").alias("issue_count"))
+    first = issues.withColumn(f"{p}r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(f"{p}r") <= most)
     met = F.lit(True)
     for c in by:
-        met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return first.join(counts, met).drop(*(f"_{c}" for c in by))
+        met = met & F.col(c).eqNullSafe(F.col(f"{p}{c}"))
+    return first.join(counts, met).select(*columns_of(issues), "issue_count")
 
 
 def package_kind(rows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -110,25 +113,9 @@ def covering(rows: DataFrame, key: str, name: str, group: str, n: int) -> DataFr
     return every.groupBy(key).agg(F.min("tier").alias("tier")).orderBy("tier", key).limit(n)
 
 
-def leading_number(text: Column) -> Column:
-    """The first seven bytes of a text as a number: texts in order have numbers in order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
-def placed(rows: DataFrame, outer: str, inner: list[str]) -> DataFrame:
-    """Add place: 1, 2, ... by ``outer``, a text, and then ``inner``, whose first is numeric.
-
-    Neither the rows of one outer value nor the outer values pass one task: both are
-    ranked in ranges whose sizes are added up.
-    """
-    inside = ranked(rows, [outer], inner, "_r")
-    sizes = rows.groupBy(outer).agg(F.count("*").alias("_n")).withColumn("_p", leading_number(F.col(outer)))
-    cuts = sizes.agg(F.percentile_approx("_p", [k / 64 for k in range(1, 64)], 1000)).first()[0]
-    dealt = sizes.withColumn("_b", range_of(F.col("_p"), sorted(set(cuts or []))))
-    earlier = lambda window: F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = dealt.groupBy(F.col("_b").alias("_c")).agg(F.sum("_n").alias("_n")).select("_c", earlier(Window.orderBy("_c")).alias("_first"))  # 65 rows
-    offsets = dealt.withColumn("_before", earlier(Window.partitionBy("_b").orderBy(outer))).join(F.broadcast(ranges), F.col("_b") == F.col("_c")).select(F.col(outer).alias("_o"), (F.col("_before") + F.col("_first")).alias("_before"))
-    return inside.join(offsets, F.col(outer).eqNullSafe(F.col("_o"))).withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_o", "_before", "_r")
+def placed(rows: DataFrame, outer: str, inner: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add place: 1, 2, ... by ``outer`` and then ``inner``; neither the rows of one outer value nor values with a common beginning pass one task."""
+    return ranked(rows, [], [outer, *inner], "place", range_rows)
 
 
 def classification_summary(rows: DataFrame, value: dict[str, str], total_if: Column, key: str, most: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -16,9 +16,11 @@ def alias_pick(t):
     return t("customer").select("c_custkey", tx.first_filled(a, b).alias("picked"))
 
 
-@query("SELECT p_name, min(p_type) AS agreed FROM part GROUP BY p_name HAVING count(DISTINCT p_type) = 1")
+@query("SELECT p_brand || p_name || p_size % 5 AS stem, min(p_type) AS agreed FROM part GROUP BY stem HAVING count(DISTINCT p_type) = 1")
 def unique_stem_text(t):
-    return t("part").groupBy("p_name").agg(F.count_distinct("p_type").alias("n"), F.min("p_type").alias("agreed")).filter("n = 1").select("p_name", "agreed")
+    """Some stems have one text, some several that agree, and some several that don't."""
+    stem = F.concat("p_brand", "p_name", (F.col("p_size") % 5).cast("string"))
+    return t("part").groupBy(stem.alias("stem")).agg(F.count_distinct("p_type").alias("n"), F.min("p_type").alias("agreed")).filter("n = 1").select("stem", "agreed")
 
 
 NAMES = "'pack\\' || CASE c_custkey % 5 WHEN 0 THEN 'Chapter' || c_custkey % 7 || '_' || c_custkey % 13 || '_' ELSE '' END || CASE c_custkey % 3 WHEN 0 THEN 'vo_' ELSE '' END || lower(c_mktsegment) || '_' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '_f' WHEN 1 THEN '_M' ELSE '' END || '.wav'"

@@ -73,9 +73,42 @@ def test_unique_join_fails_on_what_it_forbids(spark):
 
 
 def test_ranges_in_two_steps(spark):
-    bounds = list(range(0, 1000, 3))
-    rows = spark.createDataFrame([(v,) for v in [*range(-5, 1005), None]], "v long").withColumn("b", changes.range_of(F.col("v"), bounds)).collect()
-    assert all(r.b == (len(bounds) + 1 if r.v is None else sum(b <= r.v for b in bounds)) for r in rows)
+    bounds, step = list(range(0, 1000, 3)), 19
+    parts = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    arrays = lambda xs: F.array(*map(F.lit, xs))
+    number = changes.range_of(F.col("v"), arrays([x[0] for x in parts]), F.array(*map(arrays, parts)), step)
+    rows = spark.range(-5, 1005).withColumnRenamed("id", "v").withColumn("b", number).collect()
+    assert all(r.b == sum(b <= r.v for b in bounds) for r in rows)
+
+
+def test_ranks_in_many_ranges(spark):
+    """Long common beginnings, ties, nulls, a hot value, rows that are alike, and columns with the names of helpers."""
+    rows = [(f"voices/chapter_{i % 997:04d}/line.wav" if i % 3 else "voices/chapter_hot", None if i % 50 == 0 else i % 7, "b", i % 2) for i in range(3000)]
+    df = spark.createDataFrame([(p, v, b, g, "r", 1.5) for p, v, b, g in rows], "path string, v int, _b string, g int, _r string, `a.b` double").repartition(3)
+    got = changes.ranked(df, ["g"], ["path", "v"], "n", range_rows=100)
+    assert got.columns == [*df.columns, "n"]
+    held = got.collect()
+    last = lambda x: (x[0], x[1] is None, x[1] or 0)
+    for g in (0, 1):
+        mine = sorted((r for r in held if r.g == g), key=lambda r: r.n)
+        assert [r.n for r in mine] == list(range(1, 1501)) and [last((r.path, r.v)) for r in mine] == sorted(last(x) for x in rows if x[3] == g)
+    assert {r["_b"] for r in held} == {"b"} and {r["_r"] for r in held} == {"r"}
+    place = summary.placed(df, "path", ["v"], range_rows=100).collect()
+    assert sorted(r.place for r in place) == list(range(1, 3001)) and [last((r.path, r.v)) for r in sorted(place, key=lambda r: r.place)] == sorted(map(last, rows))
+    # many tasks ranked them, none more than a few ranges' rows
+    most = changes.ranked(df.withColumn("one", F.lit(1)), [], ["one"], "n", range_rows=100).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 3000
+
+
+def test_names_of_helpers_and_null_keys(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "k long, _o string, _g int, _r int")
+    got = changes.upsert(frame((1, "a", 1, 1), (None, "old", 1, 1), (3, "gone", 1, 1)), frame((None, "new", 2, 2), (2, "b", 2, 2), (None, "newer", 3, 2)), frame((3, "", 0, 0)), "k", "_g")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a", 1, 1, "kept"), (2, "b", 2, 2, "inserted"), (None, "newer", 3, 2, "updated")], key=repr)
+    assert changes.upsert(frame((None, "x", 1, 1)), frame(), frame((None, "", 0, 0)), "k").count() == 0
+    more = changes.append_numbered(frame((1, "a", 5, 1)).withColumn("_k", F.lit(1)).withColumn("_top", F.lit(7)), frame((1, "a", 0, 1), (9, "z", 0, 1), (4, "y", 0, 1)).drop("_g"), "k", "_g", "k")
+    assert sorted((r.k, r["_g"], r["_o"]) for r in more.collect()) == [(4, 6, "y"), (9, 7, "z")]
+    capped = summary.capped(frame((1, "a", 1, 4), (1, "b", 2, 5), (None, "c", 3, 6)), ["k"], ["_g"], 1).collect()
+    assert sorted(((r.k, r["_o"], r["_r"], r.issue_count) for r in capped), key=repr) == [(1, "a", 4, 2), (None, "c", 6, 1)]
 
 
 def test_edits_of_what_has_changed_fail(spark):
