@@ -2,22 +2,26 @@
 
 Candidates are runs of letters, digits and ``+/_-`` of 20 characters or more, long
 ones in even pieces of 128 to 255, in which an encoding can be inferred:
-hexadecimal, base32, digits with letters of one case, or base64. Words (letters of
-one case only) are no candidates. Three tests look for signs that a candidate is
-not random: chi-squared uniformity of its alphabet (in cells of at least five
-expected symbols), runs above and below the alphabet's middle, and serial
-correlation. The least p-value, times three, is the candidate's.
-
-What is reported must look random where ordinary identifiers do not. The null is
-a model of ordinary identifiers: the plain words of texts with candidates, joined
-with a digit after every third, brought into the candidates' encodings and cut to
-their lengths, go through the same battery. A candidate's q is the share of those of its encoding
-and length class that look as random, and Benjamini and Hochberg's procedure at
-``RATE`` on the q of a class bounds the share of ordinary strings among its
-reported spans: short classes, in which the tests tell little, report little. A
-candidate that the battery itself rejects at ``LEAST_P`` is never reported. Both
-distributions are histograms of a few hundred bins a class, so only bounded counts
-are gathered. Reported pieces that touch make one span.
+hexadecimal, base32, digits with letters of one case, base64, or letters alone. Three
+tests look for signs that a candidate is not random: chi-squared uniformity of its
+alphabet (in cells of at least five expected symbols, letters in the order of their
+frequency in texts, where texts crowd the first cells), the number of runs of
+characters of one kind (digits, upper, lower case; in letters of one case vowels and
+consonants) against its mean and variance at random, and serial correlation; outside
+hexadecimal, where letters are no text's, a second chi-squared test compares vowels
+and consonants alone. Fisher's method combines the p-values to the candidate's.
+
+What is reported must look random where ordinary strings do not. The null is a model
+of ordinary strings: the plain words of texts with candidates (a list of common ones
+where a text has none), joined, half of them with a digit after every third and half
+cut short with numbers after every second, for hexadecimal as dumps of their bytes and
+zero-padded numbers, and cut to the candidates' lengths, go through the same battery. A candidate's q is the share of
+those of its encoding and length class that look as random, and Benjamini and
+Hochberg's procedure at ``RATE`` on the q of a class bounds the share of ordinary
+strings among its reported spans: short classes, in which the tests tell little,
+report less. A candidate that the battery itself rejects at ``LEAST_P`` is never
+reported. Both distributions are histograms of a few hundred bins a class, so only
+bounded counts are gathered. Reported pieces that touch make one span.
 
 Only built-in expressions and aggregates run.
 """
@@ -42,19 +46,27 @@ RATE, LEAST_P = 0.05, 0.001
 ORDINARY = 20
 #: Bins of -20 log10(p); the last random enough to be reported.
 BINS, LAST_BIN = 400, 60
-#: A word of letters that stands alone.
-WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z]+(?![A-Za-z0-9+/_-])"
-#: encoding -> its alphabet in order
+#: A word of letters that stands alone and is no candidate itself.
+WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z]{1,19}(?![A-Za-z0-9+/_-])"
+#: Letters: vowels, then consonants, each by their frequency in texts.
+LETTERS = "eaoiutnsrhldcmfgpwybvkxjqz"
+DIGITS, CAPITALS = "0123456789", LETTERS.upper()
+#: encoding -> its alphabet, texts' characters of a kind first, and how many symbols each of its kinds has.
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "hex_upper": "0123456789ABCDEF",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
+    "hex": (DIGITS + "abcdef", (10, 6)),
+    "hex_upper": (DIGITS + "ABCDEF", (10, 6)),
+    "base32": (CAPITALS + "234567", (26, 6)),
+    "lower36": (DIGITS + LETTERS, (10, 26)),
+    "upper36": (DIGITS + CAPITALS, (10, 26)),
+    "base64": (DIGITS + CAPITALS + LETTERS + "+/", (10, 26, 26, 2)),
+    "lower26": (LETTERS, (5, 21)),
+    "upper26": (CAPITALS, (5, 21)),
+    "mixed52": (CAPITALS + LETTERS, (26, 26)),
 }
-#: What stands for the letters g to z in hexadecimal ordinary strings, and for 0, 1, 8 and 9 in base32.
-AS_HEX, AS_BASE32 = ("ghijklmnopqrstuvwxyz", "0123456789abcdef0123"), ("0189", "2345")
+#: Words of ordinary strings where a text has none.
+COMMON = "the value of this setting name and index file path from server user data list item time order number first last current default result message table column state type size count start end with all other for new old main test config version update read write open close view page text line word part group key code".split()
+#: What stands for 0, 1, 8 and 9 in ordinary strings of base32.
+AS_BASE32 = ("0189", "2345")
 SPAN = "struct<start:long,end:long,hit:string>"
 
 
@@ -91,7 +103,8 @@ def _normal_tail(z: Column) -> Column:
 def encoding(token: Column) -> Column:
     has = lambda p: F.rlike(token, F.lit(p))
     return (
-        F.when(~(has("[0-9]") & has("[A-Za-z]")), None)
+        F.when(~has("[A-Za-z]"), None)
+        .when(~has("[0-9]"), F.when(has("^[a-z]+$"), "lower26").when(has("^[A-Z]+$"), "upper26").when(has("^[A-Za-z]+$"), "mixed52"))
         .when(has("^[0-9a-f]+$"), "hex")
         .when(has("^[0-9A-F]+$"), "hex_upper")
         .when(has("^[A-Z2-7]+$"), "base32")
@@ -101,41 +114,55 @@ def encoding(token: Column) -> Column:
     )
 
 
-def battery(token: Column, alphabet: Column) -> Column:
-    """p-value of a token against randomness over an alphabet, never null.
+def runs_of(token: Column, kind: Column) -> Column:
+    """How many runs of characters of one kind a token has."""
+    cases = F.translate(token, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_", "0" * 10 + "A" * 26 + "a" * 26 + "+" * 4)
+    vowels = F.translate(F.lower(token), "aeioubcdfghjklmnpqrstvwxyz", "0" * 5 + "1" * 21)
+    return F.regexp_count(F.when(kind.isin("lower26", "upper26"), vowels).otherwise(cases), F.lit(r"(.)\1*"))
 
-    The alphabet is a column, so one expression serves all encodings.
+
+def battery(token: Column, kind: Column) -> Column:
+    """p-value of a token against randomness over its encoding's alphabet, never null.
+
+    The encoding is a column, so one expression serves all of them.
     """
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    of_kind = lambda make: F.element_at(F.create_map(*(F.lit(x) for name, (alphabet, kinds) in ALPHABETS.items() for x in (name, make(alphabet, kinds)))), kind)
+    power = lambda e: of_kind(lambda alphabet, kinds: float(sum((k / len(alphabet)) ** e for k in kinds)))
 
     def of(x: Column) -> Column:
-        v, size = x["v"], x["size"]
-        n = F.size(v).cast("double")
-        above = F.transform(v, lambda y: (y * 2 >= size).cast("double"))
+        n, size = F.size(x["v"]).cast("double"), x["size"]
         cells = F.least(size, F.greatest(F.lit(2.0), F.floor(n / 5).cast("double")))
-        known = F.struct(v.alias("v"), size.alias("size"), n.alias("n"), cells.alias("cells"), above.alias("above"), (total(v) / n).alias("mean"), total(above).alias("ones"))
+        known = F.struct(x["v"].alias("v"), size.alias("size"), n.alias("n"), cells.alias("cells"), (total(x["v"]) / n).alias("mean"), *(x[k].alias(k) for k in ("runs", "a", "b", "letters", "vowels")))
         return let(known, tests)
 
     def tests(x: Column) -> Column:
-        v, size, n, cells, above, mean, ones = (x[k] for k in ("v", "size", "n", "cells", "above", "mean", "ones"))
+        v, size, n, cells, mean, runs, a, b, letters, vowels = (x[k] for k in ("v", "size", "n", "cells", "mean", "runs", "a", "b", "letters", "vowels"))
         # cells need not hold equally many symbols, so each has its own expectation
         wide = lambda k: F.ceil((k + 1) * size / cells) - F.ceil(k * size / cells)
         held = lambda k: F.size(F.filter(v, lambda y: F.floor(y * cells / size) == k))
         counts = F.transform(F.sequence(F.lit(0), cells.cast("int") - 1), lambda k: F.struct((wide(k) * n / size).cast("double").alias("e"), held(k).cast("double").alias("o")))
         chi, df = total(F.transform(counts, lambda c: (c["o"] - c["e"]) * (c["o"] - c["e"]) / c["e"])), cells - 1
         z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        runs = 1 + total(F.transform(above, lambda y, i: F.when(i > 0, (y != F.get(above, i - 1)).cast("double")).otherwise(0.0)))
-        expected = 2 * ones * (n - ones) / n + 1
-        var_runs = (expected - 1) * (expected - 2) / (n - 1)
-        z_runs = F.when(var_runs > 0, (runs - expected) / F.sqrt(var_runs)).otherwise(30.0)
+        # a and b: chances that two and that three characters are of one kind
+        z_runs = (runs - 1 - (n - 1) * (1 - a)) / F.sqrt((n - 1) * a * (1 - a) + 2 * (n - 2) * (b - a * a))
         var = total(F.transform(v, lambda y: (y - mean) * (y - mean)))
         lag = total(F.transform(v, lambda y, i: F.when(i > 0, (y - mean) * (F.get(v, i - 1) - mean)).otherwise(0.0)))
         z_serial = F.when(var > 0, lag / var * F.sqrt(n)).otherwise(30.0)
-        least = F.least(_normal_tail(z_chi), 2 * _normal_tail(F.abs(z_runs)), 2 * _normal_tail(F.abs(z_serial)))
-        return F.least(F.lit(1.0), least * 3)
+        z_vowels = (vowels - letters * 5 / 26) / F.sqrt(letters * 105 / 676)
+        two_sided = lambda z: F.least(F.lit(1.0), 2 * _normal_tail(F.abs(z)))
+        ps = F.array(_normal_tail(z_chi), two_sided(z_runs), two_sided(z_serial), F.when(letters > 0, two_sided(z_vowels)))
+        return let(F.struct(total(F.transform(F.filter(ps, lambda p: p.isNotNull()), lambda p: -F.log(F.greatest(p, F.lit(1e-30))))).alias("x"), letters.alias("letters")), fisher)
+
+    def fisher(f: Column) -> Column:
+        """The upper tail of chi-squared at twice x, with two degrees of freedom for each p-value: three, or four."""
+        x = f["x"]
+        return F.exp(-x) * (1 + x + x * x / 2 + F.when(f["letters"] > 0, x * x * x / 6).otherwise(0.0))
 
-    values = F.transform(F.split(F.translate(token, "-_", "+/"), ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    return let(F.struct(values.alias("v"), F.length(alphabet).cast("double").alias("size")), of)
+    values = lambda alphabet: F.transform(F.split(F.translate(token, "-_", "+/"), ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
+    count = lambda pattern: F.when(kind.startswith("hex"), 0.0).otherwise(F.regexp_count(token, F.lit(pattern)).cast("double"))
+    of_token = lambda alphabet: F.struct(values(alphabet).alias("v"), F.length(alphabet).cast("double").alias("size"), runs_of(token, kind).cast("double").alias("runs"), power(2).alias("a"), power(3).alias("b"), count("[A-Za-z]").alias("letters"), count("[AEIOUaeiou]").alias("vowels"))
+    return let(of_kind(lambda alphabet, _: alphabet), lambda alphabet: let(of_token(alphabet), of))
 
 
 def _class_of(kind: Column, n: Column) -> Column:
@@ -145,9 +172,7 @@ def _class_of(kind: Column, n: Column) -> Column:
 
 def bin_of(token: Column, kind: Column) -> Column:
     """The battery's bin of a token in an encoding: 0 looks most random."""
-    alphabets = F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair))
-    p = let(F.element_at(alphabets, kind), lambda alphabet: battery(token, alphabet))
-    return F.least(F.lit(BINS), F.floor(-F.log10(p) * 20)).cast("int")
+    return F.least(F.lit(BINS), F.floor(-F.log10(battery(token, kind)) * 20)).cast("int")
 
 
 def candidates(found: Column) -> Column:
@@ -167,37 +192,39 @@ def candidates(found: Column) -> Column:
 
 def ordinary(text: Column, tried: Column) -> Column:
     """struct(class, bin) of ordinary strings made of a text's words, ORDINARY for each class tried."""
-    named = F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w, i: F.concat(F.initcap(w), F.when(i % 3 == 2, (F.length(w) % 10).cast("string")).otherwise("")))
+    found = F.regexp_extract_all(text, F.lit(WORD), 0)
+    words = F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, COMMON)))
+    made = {
+        "named": lambda w, i: F.concat(F.initcap(w), F.when(i % 3 == 2, (F.length(w) % 10).cast("string")).otherwise("")),
+        "short": lambda w, i: F.concat(F.initcap(F.substring(w, 1, 5)), F.when(i % 2 == 1, (F.length(w) * (i + 3) % 100).cast("string")).otherwise("")),
+        "letters": lambda w, i: F.initcap(w),
+        "dumped": lambda w, i: F.when(i % 2 == 0, F.lower(F.hex(w))).otherwise(F.lpad(F.lower(F.hex((F.length(w) * (i + 1)).cast("long"))), 8, "0")),
+    }
+    strings = lambda ws: F.struct(*(F.array_join(F.transform(ws, make), "").alias(name) for name, make in made.items()), F.crc32(text).alias("from"))
 
     def spell(x: Column, kind: Column) -> Column:
-        low, high = F.lower(x), F.upper(x)
-        return (
-            F.when(kind == "hex", F.translate(low, *AS_HEX))
-            .when(kind == "hex_upper", F.upper(F.translate(low, *AS_HEX)))
-            .when(kind == "base32", F.translate(high, *AS_BASE32))
-            .when(kind == "lower36", low)
-            .when(kind == "upper36", high)
-            .otherwise(x)
-        )
-
-    def of_class(base: Column, like: Column) -> Column:
-        size = F.length(base)
+        return F.when(kind.isin("lower36", "lower26"), F.lower(x)).when(kind.isin("hex_upper", "upper36", "upper26"), F.upper(x)).when(kind == "base32", F.translate(F.upper(x), *AS_BASE32)).otherwise(x)
 
+    def of_class(x: Column, like: Column) -> Column:
         def one(r: Column) -> Column:
             model = F.get(like, (r % F.size(like)).cast("int"))
-            n = (model["end"] - model["start"]).cast("int")
-            at = ((model["start"] + F.floor(r * size / ORDINARY)) % size).cast("int")
-            whole = F.repeat(base, (F.floor((at + n) / size) + 1).cast("int"))
-            return F.struct(model["class"].alias("class"), bin_of(spell(F.substring(whole, at + 1, n), model["kind"]), model["kind"]).alias("bin"))
+            kind, n = model["kind"], (model["end"] - model["start"]).cast("int")
+            base = F.when(kind.startswith("hex"), x["dumped"]).when(kind.isin("lower26", "upper26", "mixed52"), x["letters"]).when(r % 2 == 1, x["short"]).otherwise(x["named"])
+            return let(base, lambda b: F.struct(model["class"].alias("class"), bin_of(spell(piece(b, n, model["start"], r), kind), kind).alias("bin")))
+
+        def piece(base: Column, n: Column, start: Column, r: Column) -> Column:
+            size = F.length(base)
+            at = ((start + x["from"] + F.floor(r * size / ORDINARY)) % size).cast("int")
+            return F.substring(F.repeat(base, (F.floor((at + n) / size) + 1).cast("int")), at + 1, n)
 
         return F.transform(F.sequence(F.lit(0), F.lit(ORDINARY - 1)), one)
 
-    def of(base: Column) -> Column:
-        classes = F.array_distinct(F.transform(tried, lambda x: x["class"]))
-        return F.flatten(F.transform(classes, lambda c: let(F.filter(tried, lambda x: x["class"] == c), lambda like: of_class(base, like))))
+    def of(x: Column) -> Column:
+        classes = F.array_distinct(F.transform(tried, lambda t: t["class"]))
+        return F.flatten(F.transform(classes, lambda c: let(F.filter(tried, lambda t: t["class"] == c), lambda like: of_class(x, like))))
 
     none = F.array().cast("array<struct<class:string,bin:int>>")
-    return F.when(F.size(tried) > 0, let(F.array_join(named, ""), lambda base: F.when(base == "", none).otherwise(of(base)))).otherwise(none)
+    return F.when(F.size(tried) > 0, let(words, lambda ws: let(strings(ws), of))).otherwise(none)
 
 
 def scan(docs: DataFrame, to: str) -> DataFrame:
@@ -266,7 +293,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and have no spans. Repeated rows each give a row;
     an empty table gives none. Columns but doc_id and text are not read. A very
-    long run is tested in pieces, to its end.
+    long run is tested in pieces, to its end. In a class of candidates of which no
+    bin holds few enough ordinary strings, only the fixed patterns find anything.
     """
     held = settle(scan(docs.select("doc_id", "text"), "_s").drop("text"), "secrets")
     out = report(held, "_s", discoveries(held, "_s"), "_found")
@@ -279,8 +307,9 @@ def mask(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans are masked as one. Null texts and texts without spans stay as
     they are, repeated rows are masked alike, an empty table stays empty, and other
-    columns are kept whatever they are called. The documents are written once
-    beside their spans, so that they are scanned once.
+    columns are kept whatever they are called. A text of any length is masked to
+    its end. The documents are written once beside their spans, so that they are
+    scanned once.
     """
     p = apart(docs)
     held = settle(scan(docs, f"{p}s"), "secrets")
