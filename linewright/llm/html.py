@@ -8,7 +8,11 @@ page's mean score select their blocks.
 
 Names are priors of a score: an article or main element doubles it, a class, id or
 role of an advert, menu, comment and the like all but cancels it, so that such a
-path is content only if it holds long, punctuated text and nothing better does.
+path is content only if it holds long, punctuated text and nothing better does. A
+name counts as a whole, or as a compound that ends in such a word (user-comments) or
+joins it to a word for a container (comment-list); an element with most of the page's
+text and a main heading or article in it is the page's frame, whatever it is called.
+Text of links counts for nothing, so lists of links are content nowhere.
 Elements that by the language's own definition are no main text (nav, footer, aside,
 form, script ...) are left out before. The element that holds most of the selected
 text is the article: what is selected in it is kept, and so are its other blocks
@@ -45,8 +49,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 APART = frozenset("head nav footer aside form button select menu dialog object canvas audio video".split())
 APART_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer header masthead menu "
-    "modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "modal nav navbar navigation newsletter notice notices pagination popup promo promoted related remark remarks replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that make a compound with one of those the name of its container.
+HOLDERS = frozenset("area bar block body box button buttons container content form group icons inner item items left link links list menu panel right row section slot thread unit wrap wrapper".split())
+_compound = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
+#: Share of a path's text in links from which it is a list of links.
+LINKS = 0.8
 #: A start tag that ends an open element of the second set.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,42 +66,67 @@ SMOOTH = 1
 ARTICLE, ASIDE, LEAST_ASIDE = 2.0, 0.001, 50.0
 
 
+def stands_apart(name: str) -> bool:
+    """Whether one class, id or role speaks against an element."""
+    parts = [x.lower() for x in _compound.split(name) if x]
+    if not parts:
+        return False
+    return parts[-1] in APART_WORDS or "".join(parts) in APART_WORDS or (parts[0] in APART_WORDS and parts[-1] in HOLDERS)
+
+
 class Page:
-    """Blocks of text and the elements that hold them."""
+    """Blocks of text, the characters of each that are links', and the elements that hold them."""
 
     def __init__(self, page: str):
         # element 0 is the root: parent, tag, path kind; 2 if it can't hold main text, 1 if its names speak against it
         self.parent, self.tag, self.kind, self.apart, self.inside = [0], [""], [0], [0], [False]
-        self.kinds: dict[tuple[int, str, int], int] = {}
         self.blocks: list[tuple[int, str]] = []
+        self.links: list[int] = []
         self._read(page)
+        self._settle()
 
     def _apart(self, tag: str, attributes: str, parent: int) -> int:
         if tag in APART or (tag == "header" and not self.inside[parent]):
             return 2
-        for _, *values in _names.findall(attributes) if attributes else ():
-            hit = APART_WORDS.intersection(re.split(r"[^a-z]+", next((v for v in values if v), "").lower()))
-            if hit and tag not in ("html", "body", "article", "main") and not (self.inside[parent] and hit == {"header"}):
-                return 1
-        return 0
+        if not attributes or tag in ("html", "body", "article", "main"):
+            return 0
+        names = [n for _, *values in _names.findall(attributes) for n in next((v for v in values if v), "").split()]
+        return int(any(stands_apart(n) and not (self.inside[parent] and n.lower() == "header") for n in names))
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
-        apart = max(self.apart[parent], self._apart(tag, attributes, parent))
         self.parent.append(parent)
         self.tag.append(tag)
-        self.apart.append(apart)
+        self.apart.append(2 if self.apart[parent] == 2 else self._apart(tag, attributes, parent))
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
-        self.kind.append(self.kinds.setdefault((self.kind[parent], tag, apart), len(self.kinds) + 1))
         return len(self.parent) - 1
 
+    def _settle(self) -> None:
+        """Clear the page's frame of what its names say, hand on what names say to what is within, and number the paths."""
+        n = len(self.parent)
+        weight, holds = [0] * n, [tag in ("article", "main", "h1") for tag in self.tag]
+        for node, text in self.blocks:
+            weight[node] += len(text)
+        for node in range(n - 1, 0, -1):
+            weight[self.parent[node]] += weight[node]
+            holds[self.parent[node]] |= holds[node]
+        kinds: dict[tuple[int, str, int], int] = {}
+        for node in range(1, n):
+            if self.apart[node] == 1 and holds[node] and 2 * weight[node] > weight[0]:
+                self.apart[node] = 0
+            self.apart[node] = max(self.apart[node], self.apart[self.parent[node]])
+            self.kind.append(kinds.setdefault((self.kind[self.parent[node]], self.tag[node], self.apart[node]), len(kinds) + 1))
+
     def _read(self, page: str) -> None:
         stack, held, parts, at = [0], Counter(), [], 0
+        linked, link = [], False  # the parts in links
 
         def close() -> None:
             text = " ".join(unescape("".join(parts)).split())
-            parts.clear()
             if text and self.apart[stack[-1]] < 2:
                 self.blocks.append((stack[-1], text))
+                self.links.append(min(len(text), sum(len(" ".join(unescape(x).split())) for x in linked)))
+            parts.clear()
+            linked.clear()
 
         def pop() -> None:
             held[self.tag[stack.pop()]] -= 1
@@ -100,8 +134,12 @@ class Page:
         for m in _token.finditer(page):
             if m.start() > at:
                 parts.append(page[at : m.start()])
+                if link:
+                    linked.append(parts[-1])
             at = m.end()
             tag = (m["tag"] or "").lower()
+            if tag == "a":
+                link = not m["end"]
             if not tag or tag in INLINE:
                 continue
             if tag == "br":
@@ -127,13 +165,22 @@ class Page:
         close()
 
 
+def link_lists(page: Page) -> set[int]:
+    """Path kinds whose text is mostly links'."""
+    text, links = Counter(), Counter()
+    for (node, words), n in zip(page.blocks, page.links):
+        text[page.kind[node]] += len(words)
+        links[page.kind[node]] += n
+    return {k for k, n in text.items() if links[k] >= LINKS * n}
+
+
 def scores(page: Page) -> dict[int, float]:
-    """Path kind -> fused, smoothed ratio of text, weighted by the priors of its names, and punctuation."""
+    """Path kind -> fused, smoothed ratio of text outside links, weighted by the priors of its names, and punctuation."""
     kinds = [page.kind[node] for node, _ in page.blocks]
     held: dict[int, list[float]] = defaultdict(lambda: [0.0, 0, 0])
-    for kind, (node, text) in zip(kinds, page.blocks):
+    for kind, links, (node, text) in zip(kinds, page.links, page.blocks):
         sums = held[kind]
-        sums[0] += len(text) * (ASIDE if page.apart[node] else ARTICLE if page.inside[node] else 1.0)
+        sums[0] += (len(text) - links) * (ASIDE if page.apart[node] else ARTICLE if page.inside[node] else 1.0)
         sums[1] += len(_punctuation.findall(text))
         sums[2] += 1
     ratio = {k: (chars / n, marks / n + 1) for k, (chars, marks, n) in held.items()}
@@ -178,7 +225,10 @@ def main_text(html: str | None) -> str:
     if not page.blocks:
         return ""
     score = scores(page)
-    kinds = chosen(score)
+    links = link_lists(page)
+    if page.blocks and len(links) == len(score):
+        links = set()  # nothing but links: they are the text
+    kinds = chosen(score) - links
     content = [i for i, (node, _) in enumerate(page.blocks) if page.kind[node] in kinds and (not page.apart[node] or score[page.kind[node]] >= LEAST_ASIDE)]
     if not content:
         return ""
@@ -191,7 +241,7 @@ def main_text(html: str | None) -> str:
     kept = []
     for i, (node, text) in enumerate(page.blocks):
         # a page without a narrower element adds only headings of what is selected
-        fills = not page.apart[node] and (not bare or (page.tag[node] in HEADINGS and i + 1 in taken))
+        fills = not page.apart[node] and (page.kind[node] not in links or page.tag[node] in HEADINGS) and (not bare or (page.tag[node] in HEADINGS and i + 1 in taken))
         if within[node] and (i in taken or fills):
             kept.append(text)
     return "\n".join(kept)

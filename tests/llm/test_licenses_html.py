@@ -129,7 +129,7 @@ def test_pages_without_an_article_element():
 def test_paths_decide_where_names_say_nothing(monkeypatch):
     """No article element, no telling class: only tag paths tell the story from what surrounds it."""
     story = [SENTENCE.strip() + " " + SENTENCE.strip() for _ in range(6)]
-    links = "".join(f"<li><a href=x>Another link number {i}</a></li>" for i in range(60))
+    links = "".join(f"<li>Another item number {i}</li>" for i in range(60))
     page = f"""<body><div class="a1"><ul>{links}</ul></div><div class="b2"><div>Short offer</div><div>Another one</div></div>
       <div class="c3"><div class="d4"><h2>Title of it</h2>{"".join(f"<p>{x}</p>" for x in story)}<ul><li>short item</li></ul></div></div>
       <div class="e5"><span>Contact us</span></div><table><tr><td>1</td><td>2</td></tr></table></body>"""
@@ -154,3 +154,54 @@ def test_odd_pages(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.text for r in got][:6] == ["", "", "plain text, no tags", "", "a", ""] and got[8].text == "b"
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+STORY = f"<article><h1>Title of it</h1>{'<p>This is a long paragraph, with words and marks; it goes on.</p>' * 6}</article>"
+WANT = "\n".join(["Title of it"] + ["This is a long paragraph, with words and marks; it goes on."] * 6)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="content share-enabled">{STORY}</div><footer>f</footer></body>',
+        f'<body class="nav"><div class="page sidebar">{STORY}</div><div class="sidebar">x y z</div></body>',  # the frame is not what its class says
+        STORY.replace("</article>", '<div class="user-remarks"><p>Nice text, really, I like it a lot; thanks!</p></div></article>'),
+        STORY.replace("</article>", '<div class="commentList"><p>Nice text, really, I like it a lot; thanks!</p></div></article>'),
+        STORY.replace("</article>", "<ul><li><a href=x>Read this next story</a></li><li><a href=y>And that one</a></li></ul></article>"),
+        f'<body><div id="cookie-box"><p>We use them, as all do; agree.</p></div>{STORY}<div class="ad_slot">Buy now.</div></body>',
+    ],
+)
+def test_names_count_as_a_whole_and_links_for_nothing(page):
+    assert html.main_text(page) == WANT
+
+
+def test_paragraphs_with_links_stay():
+    page = STORY.replace("</article>", '<p>See <a href="x">the other story</a> for more of it.</p></article>')
+    assert html.main_text(page) == WANT + "\nSee the other story for more of it."
+    assert html.main_text("<body><ul><li><a href=x>One story, told</a></li><li><a href=y>Two stories, told</a></li></ul></body>") == "One story, told\nTwo stories, told"
+
+
+def plain_scores(page):
+    """The score of each path from its definition: ratios of text and punctuation to blocks, smoothed, multiplied."""
+    blocks = [(page.kind[node], len(text) - links, len(html._punctuation.findall(text)), page.apart[node], page.inside[node]) for (node, text), links in zip(page.blocks, page.links)]
+    ratios = {}
+    for kind in {b[0] for b in blocks}:
+        mine = [b for b in blocks if b[0] == kind]
+        weight = html.ASIDE if mine[0][3] else html.ARTICLE if mine[0][4] else 1.0
+        ratios[kind] = (sum(b[1] for b in mine) * weight / len(mine), sum(b[2] for b in mine) / len(mine) + 1)
+    found = {}
+    for kind in ratios:
+        total = 0.0
+        for i, b in enumerate(blocks):
+            if b[0] == kind:
+                near = [ratios[kind]] if b[3] else [ratios[x[0]] for x in blocks[max(0, i - 1) : i + 2]]
+                total += (ratios[kind][0] + sum(r[0] for r in near) / len(near)) * (ratios[kind][1] + sum(r[1] for r in near) / len(near))
+        found[kind] = total / sum(b[0] == kind for b in blocks)
+    return found
+
+
+def test_scores_equal_their_definition(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(200).collect():
+        page = html.Page(r.html or "")
+        got, want = html.scores(page), plain_scores(page)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in want)
