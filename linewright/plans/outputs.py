@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import breaking
 from linewright.functions import text as tx
-from linewright.operators import resolution
+from linewright.operators import batches, resolution
 from linewright.operators.tables import shared_path
 from linewright.plans.records import NAMES, named
 from linewright.plans.registry import query
@@ -145,3 +145,23 @@ def karaoke_scripts(t):
 @query("SELECT doc_id, md5(replace(translate(coalesce(text, ''), '\\{}' || chr(13), '／｛｝ '), chr(10), '\\N')) AS event, md5(replace(translate(coalesce(text, ''), '\\{}' || chr(13), '／｛｝ '), chr(10), ' ')) AS line FROM documents")
 def ass_escapes(t):
     return t("documents").select("doc_id", F.md5(exports.ass_text(F.col("text"))).alias("event"), F.md5(exports.ass_text(F.col("text"), line_feeds=False)).alias("line"))
+
+
+def stub_model(records):
+    """Stands for a model: spoils every third answer, mends it when told so, except every ninth; leaves out every eleventh."""
+    out = []
+    for r in records:
+        k = r["c_custkey"]
+        if k % 11 != 0:
+            mended = r["problem"] is not None and k % 9 != 0
+            out.append({"c_custkey": k, "value": f"{r['c_name']}!" if k % 3 or mended else "?"})
+    return out
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 9 = 0 THEN '?' ELSE c_name || '!' END AS value, CASE WHEN c_custkey % 11 = 0 THEN 'missing' WHEN c_custkey % 9 = 0 THEN 'no_name' END AS problem,
+CASE WHEN c_custkey % 11 = 0 OR c_custkey % 9 = 0 OR c_custkey % 3 = 0 THEN 2 ELSE 1 END AS asked, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 9 = 0 THEN 'review' ELSE 'ok' END AS outcome FROM customer""")
+def repair_rounds(t):
+    """Customers' names answered by a stand-in for a model, checked, and asked for again until nothing changes."""
+    rows = t("customer").select("c_custkey", "c_name")
+    check = F.when(~F.contains("value", F.col("c_name")), "no_name")
+    return batches.answered_in_rounds(rows, "c_custkey", ["c_name"], stub_model, check, shared_path(rows.sparkSession, "rounds"), rounds=5)
