@@ -8,9 +8,12 @@ an inverted index on each rule's rarest token.
 
 Mining is bounded. No rule of fewer than ``LEAST_ROWS`` rows can pass the lower
 bound, so none is mined. Tokens of exactly the same rows are mined as one; each of
-them then stands for it in the rules. FP-growth lists combinations of any size, so
-where a row still has more than ``MOST_ITEMS`` items, combinations are counted level
-by level instead, up to the size that is used: the same rules, in polynomial time.
+them then stands for it in the rules. FP-growth lists combinations of any size, so a
+row that still has more than ``MOST_ITEMS`` items is mined as several: its items are
+dealt into groups of ``GROUP``, and each union of as many groups as a rule has tokens
+is a row. Every combination of that many items lies in one of them, so none that is
+frequent is missed; as some are counted more than once, all that are found are
+counted again in the rows as they are.
 
 Only DataFrame operations and the FP-growth of Spark's own ML library run.
 """
@@ -29,7 +32,7 @@ BAD = "label=bad"
 #: Square of the normal quantile of the confidence's lower bound, and the least such bound.
 Z2, LEAST_BOUND = 1.96**2, 0.5
 #: Z2 / (1 / LEAST_BOUND - 1) rows at least: fewer cannot reach the bound even if all are bad.
-LEAST_ROWS, MOST_ITEMS = 4, 16
+LEAST_ROWS, MOST_ITEMS, GROUP = 4, 16, 5
 
 
 def host_of(url: Column) -> Column:
@@ -68,23 +71,32 @@ def subsets(items: Column, most: int) -> Column:
     return every
 
 
-def by_levels(rows: DataFrame, least: int, most: int) -> DataFrame:
-    """(items, n, bad) of the combinations of up to ``most`` items in ``least`` bad rows or more, level by level.
-
-    A combination is counted only if all its parts one item smaller are frequent.
-    """
-    found = None
-    grown = rows.select("row", "bad", F.explode("items").alias("x")).select("row", "bad", F.array("x").alias("c"))
-    single = None
-    for size in range(1, most + 1):
-        level = settle(grown.groupBy("c").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).filter(F.col("b") >= least), "level")
-        found = level if found is None else found.unionByName(level)
-        if size == most:
-            break
-        kept = settle(grown.join(small_side(level.select(F.col("c").alias("k"))), F.col("c") == F.col("k"), "left_semi"), "grown")
-        single = kept.select(F.col("row").alias("r"), F.col("c")[0].alias("x")) if single is None else single
-        grown = kept.join(single, (F.col("row") == F.col("r")) & (F.col("x") > F.element_at("c", -1))).select("row", "bad", F.array_append("c", F.col("x")).alias("c"))
-    return found.select(F.col("c").alias("items"), "n", F.col("b").alias("bad"))
+def covering_rows(held: DataFrame, most: int) -> DataFrame:
+    """(bad, items) rows of at most MOST_ITEMS or most x GROUP items: each combination of up to ``most`` items of a row lies in one of its own."""
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size("items") / GROUP).cast("int") - 1), lambda k: F.slice("items", k * GROUP + 1, F.lit(GROUP)))
+    # sorted by group, so that a part begins with its first group: one group's parts are made at a time
+    rest = lambda k: F.sequence(k + 1, F.size("groups") - 1)
+    several = held.filter(F.size("items") > MOST_ITEMS).withColumn("groups", groups)
+    single = several.filter(F.size("groups") < most).select("bad", "items")
+    first = several.filter(F.size("groups") >= most).select("bad", "groups", F.explode(F.sequence(F.lit(0), F.size("groups") - most)).alias("k"))
+    others = subsets(rest(F.col("k")), most - 1) if most > 1 else F.array(F.array().cast("array<int>"))
+    chosen = first.select("bad", "groups", "k", F.explode(F.filter(others, lambda c: F.size(c) == most - 1)).alias("others"))
+    parts = chosen.select("bad", F.flatten(F.transform(F.concat(F.array("k"), "others"), lambda k: F.get("groups", k))).alias("items"))
+    return held.filter(F.size("items") <= MOST_ITEMS).select("bad", "items").unionByName(single).unionByName(parts)
+
+
+def frequent(held: DataFrame, least: int, most: int) -> DataFrame:
+    """(items, n, bad) of the combinations of up to ``most`` items in ``least`` bad rows or more, by FP-growth."""
+    mined = settle(covering_rows(held, most).select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "mined")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, mined.count()))).fit(mined)
+    said = F.array_contains("items", BAD) & F.size("items").between(2, most + 1)
+    sets = settle(model.freqItemsets.filter(said).select(F.array_sort(F.array_remove("items", BAD)).alias("c")), "sets")
+    # counted in the rows as they are: a combination meets the rows of its rarest item
+    often = held.select(F.explode("items").alias("x")).groupBy("x").agg(F.count("*").alias("often"))
+    key = sets.select("c", F.explode("c").alias("x")).join(often, "x").groupBy("c").agg(F.min(F.struct("often", "x"))["x"].alias("key"))
+    met = held.select("bad", "items", F.explode("items").alias("x")).join(small_side(settle(key, "keys")), F.col("x") == F.col("key"))
+    counted = met.filter(F.size(F.array_except("c", "items")) == 0).groupBy("c").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"))
+    return counted.filter(F.col("b") >= least).select(F.col("c").alias("items"), "n", F.col("b").alias("bad"))
 
 
 def mine(labelled: DataFrame, support: float, confidence: float, lift: float, most_tokens: int) -> DataFrame:
@@ -102,14 +114,7 @@ def mine(labelled: DataFrame, support: float, confidence: float, lift: float, mo
     tokens = settle(tokens.withColumn("item", F.min("t").over(Window.partitionBy("n", "s1", "s2"))).select("t", "item"), "tokens")
     held = rows.select("row", "bad", F.explode("tokens").alias("t")).join(small_side(tokens.filter("t = item")), "t").groupBy("row", "bad").agg(F.sort_array(F.collect_set("item")).alias("items"))
     held = settle(held, "items")
-    if (held.agg(F.max(F.size("items"))).first()[0] or 0) > MOST_ITEMS:
-        sets = by_levels(held, least, most_tokens)
-    else:
-        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=confidence)
-        model = model.fit(rows.select("row", "bad").join(held.drop("bad"), "row", "left").select(F.when(F.col("bad"), F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.lit(BAD))).otherwise(F.coalesce("items", F.array().cast("array<string>"))).alias("items")))
-        p, s = F.col("confidence"), F.col("support")
-        rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= most_tokens))
-        sets = rules.select(F.array_sort("antecedent").alias("items"), F.round(s * total / p).cast("long").alias("n"), F.round(s * total).cast("long").alias("bad"))
+    sets = frequent(held, least, most_tokens)
     n, p = F.col("n"), F.col("bad") / F.col("n")
     bound = (p + Z2 / (2 * n) - F.sqrt(Z2 * (p * (1 - p) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n)
     good = sets.filter((p >= confidence) & (p / (bad / total) >= lift) & (bound >= LEAST_BOUND))

@@ -95,10 +95,26 @@ def test_long_urls_are_mined_in_bounded_time(spark):
     check(got.collect(), pages, mined([x for x in labelled if x[0] != long] + [("x", True)], 0.002, 0.8, 2.0, 3))
 
 
-def test_levels_equal_growth(spark, monkeypatch):
+def test_long_rows_are_mined_as_several(spark, monkeypatch):
     rows = [(f"http://{'abc'[i % 3]}.x{'yz'[i % 2]}.example.org/{'klm'[i % 5 % 3]}/{'pq'[i % 7 % 2]}", i % 3 == 0) for i in range(60)]
     pages = spark.createDataFrame(list(enumerate(u for u, _ in rows)), "page_id long, url string")
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
     grown = sorted(map(tuple, urls.filter_urls(pages, labelled, URL_RULES).collect()))
-    monkeypatch.setattr(urls, "MOST_ITEMS", 1)
-    assert sorted(map(tuple, urls.filter_urls(pages, labelled, URL_RULES).collect())) == grown and any(r[-1] for r in grown)
+    for most, group in ((1, 1), (1, 2), (3, 5)):
+        monkeypatch.setattr(urls, "MOST_ITEMS", most)
+        monkeypatch.setattr(urls, "GROUP", group)
+        assert sorted(map(tuple, urls.filter_urls(pages, labelled, URL_RULES).collect())) == grown and any(r[-1] for r in grown)
+
+
+def test_growth_is_used_whatever_the_longest_row(spark, monkeypatch):
+    """One row of 40 frequent items among ordinary ones: FP-growth still runs, and the rules are those of every combination counted."""
+    word = lambda i: f"w{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    long = "http://long.example.org/" + "/".join(map(word, range(40)))
+    labelled = [(long, True)] + [(f"http://s{i % 9}.example.org/{word(i % 40)}/{word((i * 7 + i // 40) % 40)}/{word((i * 3 + 1) % 40)}", i % 40 < 14) for i in range(400)] + [("http://fine.example.org/a", False)] * 600
+    fits, fit = [], urls.FPGrowth.fit
+    monkeypatch.setattr(urls.FPGrowth, "fit", lambda self, df: fits.append(df.count()) or fit(self, df))
+    pages = list(enumerate(u for u, _ in labelled[:200]))
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labelled, "url string, bad boolean"), URL_RULES)
+    rules = mined(labelled, 0.002, 0.8, 2.0, 3)
+    check(got.collect(), pages, rules)
+    assert len(fits) == 1 and fits[0] > 400 and rules
