@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Bytes of ids in a batch that goes back to the JVM.
 BATCH_BYTES = 4 << 20
 #: Longer chunks are encoded each time: they rarely come back.
