@@ -171,7 +171,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit. Null texts count as empty.
 
     An empty text has no tokens. Repeated rows, ties and null ids give one row
-    each; other columns are ignored, so their names cannot clash.
+    each, an empty table none; other columns are ignored, so their names cannot
+    clash. A text of any length is counted whole, in memory in proportion to its
+    longest word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -161,7 +161,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, near_
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without an exact benchmark window, columns unchanged, whatever they are called.
 
-    Null texts stay; repeated rows stay or go together; with an empty benchmark all stay.
+    Null texts stay; repeated rows stay or go together; with an empty benchmark all stay,
+    an empty table stays empty. Texts of any length are searched whole.
     """
     p = apart(docs)
     _, places = matches(docs, benchmark, window)

@@ -148,7 +148,8 @@ def keep(docs: DataFrame) -> DataFrame:
 
     The documents are written once beside their features, so that features are
     found once. Null texts go, null languages and sources are groups of their own,
-    repeated rows stay or go together, an empty table stays empty.
+    repeated rows stay or go together, an empty table stays empty. Texts of any length
+    are judged whole.
     """
     p = apart(docs)
     held = settle(features(docs, f"{p}q"), "features")
