@@ -170,7 +170,11 @@ class _File(WriterCommitMessage):
 
 
 class TokenFrames(DataSource):
-    """(doc_id, ids) written as files of frames; read as (doc_id, start, n_tokens, ids)."""
+    """(doc_id, text) or (doc_id, ids) written as files of frames; read as (doc_id, start, n_tokens, ids).
+
+    Texts are encoded as they are written, by the options vocabulary, end_id and, if
+    given, ranks and pattern.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -183,24 +187,33 @@ class TokenFrames(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool):
-        if [(f.name, f.dataType.simpleString()) for f in schema] != [("doc_id", "bigint"), ("ids", "binary")]:
-            raise ValueError("write doc_id long, ids binary")
-        return _Writer(self.options["path"], overwrite)
+        kinds = [(f.name, f.dataType.simpleString()) for f in schema]
+        if kinds not in ([("doc_id", "bigint"), ("ids", "binary")], [("doc_id", "bigint"), ("text", "string")]):
+            raise ValueError("write doc_id long and ids binary or text string")
+        return _Writer(dict(self.options), kinds[1][0], overwrite)
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, options: dict, column: str, overwrite: bool):
+        self.path, self.options, self.column, self.overwrite = options["path"], options, column, overwrite
+
+    def _ids(self):
+        """What makes ids, as bytes, of a value that is written."""
+        if self.column == "ids":
+            return lambda ids: ids
+        encode = id_encoder(self.options["vocabulary"], self.options.get("ranks"), self.options.get("pattern"))
+        closing = np.array([int(self.options["end_id"])], dtype="<u4").tobytes()
+        return lambda text: encode(text or "") + closing
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _File:
         fs, root = _file_system(self.path)
         fs.create_dir(root, recursive=True)
         part, name = TaskContext.get().partitionId(), f"ids-{uuid.uuid4().hex}.zst"  # its own name: a repeated task overwrites nothing
         with fs.open_output_stream(f"{root}/{name}", compression=None) as stream:
-            file = FrameWriter(stream)
+            file, ids = FrameWriter(stream), self._ids()
             for batch in iterator:
-                for number, ids in zip(batch.column("doc_id"), batch.column("ids")):
-                    file.append(number.as_py(), ids.as_py())
+                for number, value in zip(batch.column("doc_id"), batch.column(self.column)):
+                    file.append(number.as_py(), ids(value.as_py()))
             file.close()
         numbers = file.numbers
         return _File(part, name, file.nulls + len(numbers), file.tokens, numbers[0] if numbers else None, numbers[-1] if numbers else None, file.nulls)
@@ -289,24 +302,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenFrames)
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id, in the order of the rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = id_encoder(vocabulary, ranks, pattern), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            numbers, at, held, found = batch.column("doc_id"), 0, 0, []
-            for text in batch.column("text"):
-                found.append(encode(text.as_py() or "") + closing)
-                held += len(found[-1])
-                if held >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([numbers.slice(at, len(found)), pa.array(found, pa.binary())], ["doc_id", "ids"])
-                    at, held, found = at + len(found), 0, []
-            yield pa.RecordBatch.from_arrays([numbers.slice(at, len(found)), pa.array(found, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
-
-
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ranks: str | None = None, pattern: str | None = None, file_bytes: int = 256 << 20, mode: str = "append", id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts to ``path``, in ascending order of their numbers, a file for each ``file_bytes`` of text.
 
@@ -322,7 +317,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ranks
     files = max(size // file_bytes + 1, min(2 * spark.sparkContext.defaultParallelism, (size >> 20) + 1))
     order = [F.col("doc_id"), F.xxhash64("text")]
     ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    encoded(ranged, vocabulary, end_id, ranks, pattern).write.format("token_frames").mode(mode).save(path)
+    known = {k: v for k, v in {"vocabulary": vocabulary, "end_id": end_id, "ranks": ranks, "pattern": pattern}.items() if v is not None}
+    ranged.write.format("token_frames").options(**known).mode(mode).save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
