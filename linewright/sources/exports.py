@@ -58,6 +58,11 @@ def ass_text(text: Column, line_feeds: bool = True) -> Column:
 KARAOKE_UNITS = {"character": r"(?s).(?:[\p{M}\x{200C}\x{200D}\x{FE00}-\x{FE0F}\x{1F3FB}-\x{1F3FF}]|(?<=\x{200D}).)*", "word": r"\S+\s*|\s+"}
 
 
+def _let(value: Column, body) -> Column:
+    """Bind an expression, so that it is evaluated once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _tagged(pieces: Column, tag: str) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("{\\" + tag), p["t"].cast("string"), F.lit("}"), p["w"])), "")
 
@@ -87,27 +92,40 @@ def karaoke_even(lines: Column, duration: Column, unit: str = "word", tag: str =
 
     The times add up to the cue, so a unit of a crowded cue may get none. Lines without a unit stay as they are.
     """
-    units = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(KARAOKE_UNITS[unit]), 0))
-    n = F.aggregate(units, F.lit(0).cast("long"), lambda a, u: a + F.size(u))
+    count = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, us: a + F.size(us))
     total = F.greatest(F.lit(0).cast("long"), F.bround(duration * 100).cast("long"))
-    before = lambda i: F.aggregate(F.slice(units, F.lit(1), i), F.lit(0).cast("long"), lambda a, u: a + F.size(u))
-    share = lambda k: F.floor(total / n) + (k < total % n).cast("long")
-    timed = F.transform(units, lambda us, i: _tagged(F.transform(us, lambda u, k: F.struct(share(before(i) + k).alias("t"), u.alias("w"))), tag))
-    return F.when(n > 0, F.array_join(timed, "\\N")).otherwise(F.array_join(lines, "\\N"))
+    plain = F.array_join(lines, "\\N")
+
+    def shared(x: Column) -> Column:
+        share = lambda k: F.floor(x["total"] / x["n"]) + (k < x["total"] % x["n"]).cast("long")
+        placed = F.transform(x["units"], lambda us, i: F.struct(us.alias("us"), count(F.slice(x["units"], F.lit(1), i)).alias("first")))
+        timed = F.transform(placed, lambda line: _tagged(F.transform(line["us"], lambda u, k: F.struct(share(line["first"] + k).alias("t"), u.alias("w"))), tag))
+        return F.when(x["n"] > 0, F.array_join(timed, "\\N")).otherwise(plain)
+
+    units = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(KARAOKE_UNITS[unit]), 0))
+    return _let(units, lambda us: _let(F.struct(us.alias("units"), count(us).alias("n"), total.alias("total")), shared))
 
 
 def karaoke_by_width(lines: Column, duration: Column, font_size: float = 42, tag: str = "k") -> Column:
     """Lines with the cue's centiseconds shared over characters by their widths: whole shares, then the largest remainders, first of equals first."""
     hundredth = lambda x: F.greatest(width(x) * font_size, F.lit(1.0)).cast("long")
     pieces = F.flatten(F.transform(lines, lambda x, line: F.transform(F.regexp_extract_all(x, F.lit(KARAOKE_UNITS["character"]), 0), lambda u: F.struct(u.alias("w"), hundredth(u).alias("size"), line.alias("line")))))
-    whole = F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["size"])
     cs = F.greatest(F.lit(0).cast("long"), F.bround(duration * 100).cast("long"))
-    quota = F.transform(pieces, lambda p, k: F.struct((-(p["size"] * cs % whole)).alias("rest"), k.alias("k"), F.floor(p["size"] * cs / whole).alias("t"), p["w"].alias("w"), p["line"].alias("line")))
-    left = cs - F.aggregate(quota, F.lit(0).cast("long"), lambda a, q: a + q["t"])
-    ranked = F.transform(F.array_sort(quota), lambda q, r: F.struct(q["k"].alias("k"), (q["t"] + (r < left).cast("long")).alias("t"), q["w"].alias("w"), q["line"].alias("line")))
-    placed = F.array_sort(ranked)
-    timed = F.transform(lines, lambda x, line: _tagged(F.filter(placed, lambda p: p["line"] == line), tag))
-    return F.when(F.size(pieces) > 0, F.array_join(timed, "\\N")).otherwise(F.array_join(lines, "\\N"))
+    summed = lambda xs, name: F.aggregate(xs, F.lit(0).cast("long"), lambda a, p: a + p[name])
+
+    def shared(x: Column) -> Column:
+        return F.transform(x["pieces"], lambda p, k: F.struct((-(p["size"] * x["cs"] % x["whole"])).alias("rest"), k.alias("k"), F.floor(p["size"] * x["cs"] / x["whole"]).alias("t"), p["w"].alias("w"), p["line"].alias("line")))
+
+    def placed(x: Column) -> Column:
+        ranked = F.transform(F.array_sort(x["quota"]), lambda q, r: F.struct(q["k"].alias("k"), (q["t"] + (r < x["left"]).cast("long")).alias("t"), q["w"].alias("w"), q["line"].alias("line")))
+        return _let(F.array_sort(ranked), lambda p: F.array_join(F.transform(lines, lambda _, line: _tagged(F.filter(p, lambda y: y["line"] == line), tag)), "\\N"))
+
+    def timed(ps: Column) -> Column:
+        quota = _let(F.struct(ps.alias("pieces"), summed(ps, "size").alias("whole"), cs.alias("cs")), shared)
+        rest = lambda q: F.struct(q.alias("quota"), (cs - summed(q, "t")).alias("left"))
+        return F.when(F.size(ps) > 0, _let(quota, lambda q: _let(rest(q), placed))).otherwise(F.array_join(lines, "\\N"))
+
+    return _let(pieces, timed)
 
 
 def overflow_problem(lines: Column, most: float, font_size: float, most_lines: int = 2) -> Column:
