@@ -34,6 +34,7 @@ NUMERALS = {0: "零〇", 1: "一壹", 2: "二两兩貳", 3: "三", 4: "四", 5:
 NEGATION_ZH = "不|没|無|无|未|别|別|非|勿|莫|甭|缺乏|免得"
 NEGATION_JA, NEGATION_KO = "ない|ません|ぬ|ず|なく|できない", "않|없|못|아니|말고"
 PARTICLES_ZH = "吗|嗎|呢|么|麼|吧|谁|誰|什么|什麼"
+ANY_BOUND, ASCII_BOUND = (rf"(?:(?<=[{w}])(?![{w}])|(?<![{w}])(?=[{w}]))" for w in (r"\p{L}\p{M}\p{N}_", "0-9A-Za-z_"))
 WIDTHS = (("iI1l!|;,.'\"", 35), ("fjt()[]{}", 45), ("mwMW@#%&", 80))
 
 
@@ -195,17 +196,25 @@ def number_present(value: Column, text: Column) -> Column:
     return F.contains(text, value) | forms
 
 
-def has_negation(text: Column, language: str = "en") -> Column:
+def word_bounds(pattern: str, ascii_words: bool) -> str:
+    r"""A pattern whose \b holds between ASCII word characters and all others, if asked; else letters of any script are word characters.
+
+    Java's own \b is the one or the other by its version.
+    """
+    return pattern.replace(r"\b", ASCII_BOUND if ascii_words else ANY_BOUND)
+
+
+def has_negation(text: Column, language: str = "en", ascii_words: bool = False) -> Column:
     """An explicit negation; languages other than these four have none."""
     patterns = {"en": NEGATION, "zh": NEGATION_ZH, "ja": NEGATION_JA, "ko": NEGATION_KO}
-    return F.rlike(text, F.lit(next((p for k, p in patterns.items() if language.lower().startswith(k)), "(?!)")))
+    return F.rlike(text, F.lit(word_bounds(next((p for k, p in patterns.items() if language.lower().startswith(k)), "(?!)"), ascii_words)))
 
 
-def alignment_signals(source: Column, official: Column, terms: dict[str, str] | None = None, source_language: str = "en", target_language: str = "zh-CN") -> Column:
+def alignment_signals(source: Column, official: Column, terms: dict[str, str] | None = None, source_language: str = "en", target_language: str = "zh-CN", ascii_words: bool = False) -> Column:
     """Array of (code, severity) of what a localisation may not or hardly change."""
     a, b = visible(source), visible(official)
     lost = F.exists(numbers(a), lambda x: ~number_present(x, b)) | F.exists(numbers(b), lambda x: ~number_present(x, a))
-    said, answered = has_negation(a, source_language), has_negation(b, target_language)
+    said, answered = has_negation(a, source_language, ascii_words), has_negation(b, target_language, ascii_words)
     n, m = F.length(a), F.length(b)
     found = [
         issue(markup_signature(source) != markup_signature(official), "placeholder_mismatch", "high"),
@@ -224,13 +233,13 @@ def alignment_zone(signals: Column) -> Column:
     return F.when(F.exists(signals, lambda x: x["severity"] == "high"), "red").when(F.size(signals) > 0, "yellow").otherwise("green")
 
 
-def risk_tags(text: Column) -> Column:
+def risk_tags(text: Column, ascii_words: bool = False) -> Column:
     """Negation, quantity, condition, and person where two grammatical persons meet."""
     persons = reduce(lambda a, b: a + b, (F.rlike(text, F.lit(p)).cast("int") for p in PERSONS))
-    return F.array_compact(F.array(*(F.when(c, F.lit(tag)) for tag, c in (("negation", has_negation(text)), ("quantity", F.rlike(text, F.lit(QUANTITY))), ("condition", F.rlike(text, F.lit(CONDITION))), ("person", persons >= 2)))))
+    return F.array_compact(F.array(*(F.when(c, F.lit(tag)) for tag, c in (("negation", has_negation(text, ascii_words=ascii_words)), ("quantity", F.rlike(text, F.lit(word_bounds(QUANTITY, ascii_words)))), ("condition", F.rlike(text, F.lit(word_bounds(CONDITION, ascii_words)))), ("person", persons >= 2)))))
 
 
-def sample_category(text: Column, terms: tuple[str, ...] = SAMPLE_TERMS) -> Column:
+def sample_category(text: Column, terms: tuple[str, ...] = SAMPLE_TERMS, ascii_words: bool = False) -> Column:
     """Class of a line for a balanced sample; the first that fits."""
     term = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(t)) for t in terms), F.lit(False))
     return (
@@ -238,7 +247,7 @@ def sample_category(text: Column, terms: tuple[str, ...] = SAMPLE_TERMS) -> Colu
         .when(term, "hsr_terminology")
         .when(F.length(text) >= 140, "long_complex")
         .when(F.length(text) <= 45, "short_context_sensitive")
-        .when(F.rlike(text, F.lit(EXPRESSIVE)), "expressive_dialogue")
+        .when(F.rlike(text, F.lit(word_bounds(EXPRESSIVE, ascii_words))), "expressive_dialogue")
         .otherwise("general")
     )
 

@@ -125,7 +125,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h) AS rn FROM s
 SELECT conv_id, turn, stratum, rn AS round FROM r ORDER BY rn, stratum LIMIT 50""")
 def stratified_sample(t):
     key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    rows = summary.stratified(t("conversations"), tx.sample_category(F.col("text"), ("theabout",)), F.concat(key, F.char(F.lit(0)), "text"), "seed-1", 50)
+    rows = summary.stratified(t("conversations"), tx.sample_category(F.col("text"), ("theabout",), ascii_words=True), F.concat(key, F.char(F.lit(0)), "text"), "seed-1", 50)
     return rows.select("conv_id", "turn", "stratum", "round")
 
 
