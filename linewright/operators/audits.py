@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import first_filled
+from linewright.operators.tables import apart
 
 
 def word_timing_problem(words: Column, duration: Column, slack: float = 0.05) -> Column:
@@ -44,9 +45,26 @@ def review_rollup(answers: DataFrame, line: str, verdict: str) -> DataFrame:
 
 
 def multiset_difference(rows: DataFrame, key: list[str], a: Column, b: Column) -> DataFrame:
-    """(key, token, missing, extra): how often each token is in one array more than in the other."""
-    side = lambda x, n: rows.select(*key, F.explode(x).alias("token"), F.lit(n).alias("s"))
-    both = side(a, 1).unionByName(side(b, -1)).groupBy(*key, "token").agg(F.sum("s").alias("d")).filter("d <> 0")
+    """(key, token, missing, extra): how often each token is in one array more than in the other.
+
+    A key's only row is settled within the row: its tokens are sorted and their runs
+    summed up, so no task holds a table of tokens. Keys of several rows are grouped.
+    """
+    p = apart(rows)
+    token = lambda x, n: F.transform(F.coalesce(x, F.array()), lambda t: F.struct(t.alias("token"), F.lit(n).alias("s")))
+    counted = rows.withColumn(f"{p}n", F.count("*").over(Window.partitionBy(*key))).select(*key, F.col(f"{p}n"), token(a, 1).alias(f"{p}a"), token(b, -1).alias(f"{p}b"))
+
+    def runs(ts: Column) -> Column:
+        first = F.transform(ts, lambda t, k: F.when((k == 0) | ~t["token"].eqNullSafe(F.get(ts, k - 1)["token"]), k))
+        return F.element_at(F.transform(F.array(F.array_compact(first)), lambda at: F.transform(at, lambda k, i: summed(ts, k, F.coalesce(F.get(at, i + 1), F.size(ts))))), 1)
+
+    def summed(ts: Column, k: Column, end: Column) -> Column:
+        return F.struct(F.get(ts, k)["token"].alias("token"), F.aggregate(F.slice(ts, k + 1, end - k), F.lit(0).cast("long"), lambda d, t: d + t["s"]).alias("d"))
+
+    tokens = F.concat(f"{p}a", f"{p}b")
+    alone = counted.filter(F.col(f"{p}n") == 1).select(*key, F.inline(F.element_at(F.transform(F.array(F.sort_array(tokens)), runs), 1)))
+    several = counted.filter(F.col(f"{p}n") > 1).select(*key, F.inline(tokens)).groupBy(*key, "token").agg(F.sum("s").alias("d"))
+    both = alone.unionByName(several).filter("d <> 0")
     return both.select(*key, "token", F.greatest("d", F.lit(0)).alias("missing"), F.greatest(-F.col("d"), F.lit(0)).alias("extra"))
 
 
