@@ -57,9 +57,14 @@ def subtract(plan: DataFrame, applied: DataFrame, key: str) -> tuple[DataFrame,
 
 
 def set_difference(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
-    """Ids on one side only: id, side."""
-    x, y = a.select(F.col(key_a).alias("id")).distinct(), b.select(F.col(key_b).alias("id")).distinct()
-    return x.join(y, "id", "left_anti").withColumn("side", F.lit("left")).unionByName(y.join(x, "id", "left_anti").withColumn("side", F.lit("right")))
+    """Ids on one side only: id, side. A null is on no other side.
+
+    Both sides are reduced together to a row an id, so nothing is joined or sorted.
+    """
+    one = lambda rows, key, n: rows.select(F.col(key).alias("id"), F.lit(n).alias("sides"))
+    met = one(a, key_a, 1).unionByName(one(b, key_b, 2)).groupBy("id").agg(F.bit_or("sides").alias("sides")).filter("sides < 3 or id is null")
+    there = lambda n, side: F.when(F.col("sides").bitwiseAND(n) > 0, F.lit(side))
+    return met.select("id", F.explode(F.array_compact(F.array(there(1, "left"), there(2, "right")))).alias("side"))
 
 
 def disjoint_union(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
