@@ -73,8 +73,17 @@ def variant(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, VARIANT_PATTERN, 2))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind an expression, so that it is evaluated once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def known_group(name: Column) -> Column:
     """struct(group, major) of a name that follows one of six naming schemes, else null."""
+    return _let(name, _known_group)
+
+
+def _known_group(name: Column) -> Column:
     said = lambda pattern, k: F.lower(F.regexp_extract(name, pattern, k))
     whole = lambda group, major: F.struct(group.alias("group"), major.alias("major"))
 
@@ -99,8 +108,11 @@ def classify_group(member: Column, declared: Column) -> Column:
     A file name or a declared group that follows a scheme confirms a group; a
     folder of the path, nearest first, or a group of its own name suggests one.
     """
-    name = stem(member)
-    said = F.coalesce(blank(declared), F.lit(""))
+    given = F.struct(stem(member).alias("name"), F.coalesce(blank(declared), F.lit("")).alias("said"), member.alias("member"))
+    return _let(given, lambda x: _classified(x["name"], x["said"], x["member"]))
+
+
+def _classified(name: Column, said: Column, member: Column) -> Column:
     steps = F.split(F.translate(member, "\\", "/"), "/")
     folders = F.reverse(F.slice(steps, 1, F.size(steps) - 1))
     folder = F.get(F.filter(F.transform(folders, lambda p: known_group(bare(p))), lambda g: g.isNotNull()), F.lit(0))
@@ -109,19 +121,24 @@ def classify_group(member: Column, declared: Column) -> Column:
     found = lambda g, confidence, method: F.struct(g["group"].alias("group"), g["major"].alias("major"), F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
     explicit = F.struct(F.lower(said).alias("group"), F.lower(said).alias("major"), F.lit("inferred").alias("confidence"), F.lit("explicit_index_group").alias("method"))
     unknown = F.struct(F.lit("").alias("group"), F.lit("").alias("major"), F.lit("unknown").alias("confidence"), F.lit("unrecognized").alias("method"))
-    return (
-        F.when(voice.isNotNull(), found(voice, "confirmed", "genshin_filename_schema"))
-        .when(own.isNotNull(), found(own, "confirmed", "filename_schema"))
-        .when(told.isNotNull(), found(told, "confirmed", "declared_group_schema"))
-        .when(folder.isNotNull(), found(folder, "inferred", "package_path"))
-        .when(custom, explicit)
-        .otherwise(unknown)
+    # the first evidence that is there; later ones are not looked for
+    known = lambda g, confidence, method: _let(g, lambda x: F.when(x.isNotNull(), found(x, confidence, method)))
+    return F.coalesce(
+        known(voice, "confirmed", "genshin_filename_schema"),
+        known(own, "confirmed", "filename_schema"),
+        known(told, "confirmed", "declared_group_schema"),
+        known(folder, "inferred", "package_path"),
+        F.when(custom, explicit),
+        unknown,
     )
 
 
 def chapter_rank(major: Column) -> Column:
     """struct(rank, number, name): archive, chapters, finality, companions, side stories, other groups, unknown ones last."""
-    name = F.lower(F.coalesce(major, F.lit("")))
+    return _let(F.lower(F.coalesce(major, F.lit(""))), _ranked_chapter)
+
+
+def _ranked_chapter(name: Column) -> Column:
     number = lambda pattern, default: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(default).cast("long"))
     place = lambda rank, n=F.lit(0): F.struct(F.lit(rank).alias("rank"), n.cast("long").alias("number"), name.alias("name"))
     return (
