@@ -140,8 +140,21 @@ def append_numbered(existing: DataFrame, incoming: DataFrame, key: str, index: s
     return numbered(fresh, order, f"{p}index").join(F.broadcast(top), how="inner").select(*columns_of(incoming), (F.col(f"{p}index") + F.col(f"{p}top")).alias(index))
 
 
-#: Rows that one task ranks, the most ranges of an order, and the keys sampled for each.
-RANGE_ROWS, MOST_RANGES, SAMPLED = 1_000_000, 4096, 32
+#: Rows and bytes that one task ranks, the most ranges of an order, and the keys sampled for each.
+RANGE_ROWS, RANGE_BYTES, MOST_RANGES, SAMPLED = 1_000_000, 64 << 20, 4096, 32
+
+
+def _row_bytes(rows: DataFrame) -> Column:
+    """About the bytes of a row: its texts as they are, nested values as text, 8 for any other."""
+
+    def size(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(column)
+        nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+        return F.octet_length(column.cast("string")) if nested else F.lit(8)
+
+    sizes = [F.coalesce(size(c, f.dataType), F.lit(0)).cast("long") for c, f in zip(columns_of(rows), rows.schema.fields)]
+    return sum(sizes, F.lit(8).cast("long"))
 
 
 def range_of(value: Column, firsts: Column, parts: Column, step: int) -> Column:
@@ -157,14 +170,15 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], index: str, range_r
     The order's columns may be of any kind that sorts. The rows are stored once, each
     with a number of its own as the last part of its key, so even rows that are
     alike are told apart. Ranks are counted within ranges of about ``range_rows``
-    rows between sampled keys, and the sizes of a group's earlier ranges added.
+    rows, or RANGE_BYTES if that is less, between sampled keys, and the sizes of a
+    group's earlier ranges added.
     """
     p = apart(rows)
     held = stored(rows.withColumn(f"{p}row", F.monotonically_increasing_id()), "ranked")
     key = F.struct(*(x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{k}"), F.col(c).alias(f"c{k}"))), F.col(f"{p}row").alias("row"))
     keyed = held.withColumn(f"{p}key", key)
-    n = held.count()
-    ranges = min(MOST_RANGES, n // range_rows + 1)
+    n, size = held.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(held)), F.lit(0))).first()
+    ranges = min(MOST_RANGES, max(n // range_rows, size // RANGE_BYTES) + 1, max(n, 1))
     sample = keyed.select(f"{p}key").sample(min(1.0, SAMPLED * ranges / n), seed=1).orderBy(f"{p}key").collect() if ranges > 1 else []
     bounds = [sample[k * len(sample) // ranges][0] for k in range(1, ranges)] if len(sample) >= ranges else []
     place = lambda *groups: F.row_number().over(Window.partitionBy(*groups).orderBy(f"{p}key")).cast("long")
@@ -175,13 +189,14 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], index: str, range_r
     kind = keyed.schema[f"{p}key"].dataType
     table = rows.sparkSession.createDataFrame([([b[0] for b in parts], parts)], T.StructType([T.StructField(f"{p}firsts", T.ArrayType(kind)), T.StructField(f"{p}parts", T.ArrayType(T.ArrayType(kind)))]))
     dealt = keyed.join(F.broadcast(table), how="inner").withColumn(f"{p}range", range_of(F.col(f"{p}key"), F.col(f"{p}firsts"), F.col(f"{p}parts"), step)).drop(f"{p}firsts", f"{p}parts")
+    spread = dealt.repartition(ranges, f"{p}range")  # as many tasks as ranges, however few the session's shuffles have
     sizes = dealt.groupBy(*(F.col(c).alias(f"{p}by{k}") for k, c in enumerate(by)), F.col(f"{p}range").alias(f"{p}of")).agg(F.count("*").alias(f"{p}n"))  # at most MOST_RANGES rows a group
     earlier = Window.partitionBy(*(f"{p}by{k}" for k in range(len(by)))).orderBy(f"{p}of").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn(f"{p}before", F.coalesce(F.sum(f"{p}n").over(earlier), F.lit(0))).drop(f"{p}n")
     met = F.col(f"{p}range") == F.col(f"{p}of")
     for k, c in enumerate(by):
         met = met & F.col(c).eqNullSafe(F.col(f"{p}by{k}"))
-    inner = dealt.withColumn(f"{p}index", place(*by, f"{p}range"))
+    inner = spread.withColumn(f"{p}index", place(*by, f"{p}range"))
     return inner.join(before if by else F.broadcast(before), met).select(*columns_of(rows), (F.col(f"{p}index") + F.col(f"{p}before")).cast("long").alias(index))
 
 
