@@ -45,6 +45,23 @@ def char_width(c: str) -> int:
     return 65 if c.isupper() else 52
 
 
+class _Cached(dict):
+    """A function's values by character."""
+
+    def __init__(self, f):
+        self.f = f
+
+    def __missing__(self, c: str):
+        self[c] = value = self.f(c)
+        return value
+
+
+_width_of = _Cached(lambda c: char_width(c))
+_wide = _Cached(lambda c: any(a <= ord(c) <= b for a, b in WIDE))
+#: Markup, white space, characters that break on their own, and runs of the others.
+_parts = re.compile(rf"{MARKUP}|\s+|[^\s<{{{''.join(f'{chr(a)}-{chr(b)}' for a, b in WIDE)}]+|.", re.S)
+
+
 def break_text(text: str, most: int) -> list[str]:
     """Lines of at most ``most`` width, as even as they can be.
 
@@ -54,35 +71,42 @@ def break_text(text: str, most: int) -> list[str]:
     than a line stands alone.
     """
     pieces: list[str] = []
-    for part in re.findall(rf"{MARKUP}|\s+|.", text.strip(), re.S):
-        wide = len(part) == 1 and any(a <= ord(part) <= b for a, b in WIDE)
+    gaps: list[str] = []  # what stands before each piece
+    gap = ""
+    for part in _parts.findall(text.strip()):
         if part.isspace():
-            pieces.append(" ")
-        elif pieces and pieces[-1] != " " and ((not wide and not (len(pieces[-1]) == 1 and any(a <= ord(pieces[-1]) <= b for a, b in WIDE))) or part in NO_START or pieces[-1][-1] in NO_END):
-            pieces[-1] += part
-        else:
-            pieces.append(part)
-    width = [sum(map(char_width, re.sub(MARKUP, "", p))) for p in pieces]
-    # best[k]: (lines, squared slack, where the last line starts) for the first k pieces
-    best: list[tuple] = [(0, 0, 0)] + [(float("inf"), 0, 0)] * len(pieces)
-    for k in range(1, len(pieces) + 1):
-        if k < len(pieces) and pieces[k] == " " and k - 1 >= 0 and pieces[k - 1] == " ":
+            gap = " "
             continue
-        total = 0
+        if pieces and not gap:
+            last = pieces[-1]
+            if (not (len(part) == 1 and _wide[part]) and not (len(last) == 1 and _wide[last])) or part[0] in NO_START or last[-1] in NO_END:
+                pieces[-1] = last + part
+                continue
+        pieces.append(part)
+        gaps.append(gap)
+        gap = ""
+    width = [sum(map(_width_of.__getitem__, re.sub(MARKUP, "", p) if "<" in p or "{" in p else p)) for p in pieces]
+    before = [30 if g else 0 for g in gaps]
+    # of the first k pieces: lines, squared slack, where the last line starts
+    lines, slack, first = [0], [0], [0]
+    for k in range(len(pieces)):
+        inner = width[k]
+        n, s, at = lines[k], slack[k] + (most - inner) ** 2 if inner < most else slack[k], k
         for j in range(k - 1, -1, -1):
-            total += width[j]
-            a, b = j + (pieces[j] == " "), k - (pieces[k - 1] == " ")
-            inner = total - (30 if pieces[j] == " " else 0) - (30 if pieces[k - 1] == " " and k - 1 > j else 0)
-            if inner > most and b - a > 1:
+            inner += width[j] + before[j + 1]
+            if inner > most:
                 break
-            lines, slack, _ = best[j]
-            best[k] = min(best[k], (lines + (b > a), slack + max(0, most - inner) ** 2 * (b > a), j))
+            if lines[j] <= n:
+                rest = slack[j] + (most - inner) ** 2
+                if lines[j] < n or rest <= s:
+                    n, s, at = lines[j], rest, j
+        lines.append(n + 1)
+        slack.append(s)
+        first.append(at)
     out, k = [], len(pieces)
     while k > 0:
-        j = best[k][2]
-        line = "".join(pieces[j:k]).strip()
-        if line:
-            out.append(line)
+        j = first[k]
+        out.append(pieces[j] + "".join(g + p for g, p in zip(gaps[j + 1 : k], pieces[j + 1 : k])))
         k = j
     return out[::-1]
 
