@@ -38,6 +38,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/linewright/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to many tasks: for rows of few bytes and much work, which files and merged shuffles leave to a few."""
+    return df.repartition(max(48, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written once and read back, so that it is computed once however often it is used, and alike each time."""
     path = shared_path(df.sparkSession, name)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import text as tx
 from linewright.operators import audits, changes, summary, timeline
+from linewright.operators.tables import spread
 from linewright.plans.registry import query
 from linewright.sources.tables import latest_snapshot
 
@@ -233,10 +234,7 @@ def ass_scripts(t):
     from linewright.plans.ordered import timed
     from linewright.sources.exports import render_ass
 
-    turns = t("conversations")
-    # texts are few bytes and much work: they are dealt out before they are broken, whatever the files' and the shuffles' sizes
-    tasks = max(48, 4 * turns.sparkSession.sparkContext.defaultParallelism)
-    broken = turns.repartition(tasks, "conv_id", "turn").withColumn("broken", broken_lines(2000)("text"))
+    broken = spread(t("conversations"), "conv_id", "turn").withColumn("broken", broken_lines(2000)("text"))
     lines = timed(lambda _: broken)
     start, end = F.col("start_sample") / 8000.0, F.col("end_sample") / 8000.0
     return render_ass(lines, "conv_id", "turn", F.col("broken"), start, end, F.lit(200), F.lit(300))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linewright.functions import breaking
 from linewright.functions import text as tx
 from linewright.operators import batches, resolution
-from linewright.operators.tables import shared_path
+from linewright.operators.tables import shared_path, spread
 from linewright.plans.records import NAMES, named
 from linewright.plans.registry import query
 from linewright.sources import exports, published
@@ -43,7 +43,8 @@ def corrected_index(t):
     """Customers' files as an archive: the index of 19 columns is published, read back, and synced with edits by member, name and number."""
     k = F.col("c_custkey")
     source = F.when(k % 4 == 0, published.FORMER_SOURCE).when(k % 4 != 1, "machine")
-    entries = named(t).select(
+    customers = spread(t("customer"), "c_custkey")
+    entries = named(lambda _: customers).select(
         k.alias("index"), tx.basename(F.col("path")).alias("filename"), F.when(k % 2 == 0, F.concat(F.lit("pack/"), k.cast("string"))).alias("source_member_id"), F.lower("c_mktsegment").alias("group"),
         (k * 137 / 1000.0).alias("start_seconds"), (k * 137 / 1000.0 + 1.5).alias("audio_end_seconds"), (k * 137 / 1000.0 - 1).alias("display_end_seconds"), F.concat("c_name", F.lit(', "said"')).alias("english"),
         F.when(k % 3 != 0, F.concat(F.lit("中文"), k.cast("string"))).alias("chinese"), source.alias("chinese_source"), F.when(k % 5 == 0, "ja").alias("reference_language"), F.lit(None).cast("string").alias("reference_text"),

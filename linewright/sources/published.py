@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.functions.text import logical_id, stem, variant
+from linewright.operators.tables import stored
 
 # The columns of the corrected index, as built, with identities, and what a sync of edits adds.
 CORRECTED = ("index", "start", "audio_end", "display_end", "group", "filename", "source_member_id", "target_text_source", "target_text", "source_text", "chinese_source", "chinese", "english", "reference_language", "reference_text", "source_duration_seconds", "sha256")
@@ -105,15 +106,16 @@ def _ordered(table: DataFrame, order: list[str]) -> DataFrame:
 def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], order: dict[str, list[str]], report: dict | None = None) -> str:
     """Write tables as one new version and point to it; the version's name.
 
-    A table is written as CSV with a header and as JSON lines, both in files that
-    follow its order. Nothing points to the version before all of it is there.
+    A table is computed once, and written as CSV with a header and as JSON lines, both
+    in files that follow its order. Nothing points to the version before all of it is there.
     """
     version = uuid.uuid4().hex
     for name, table in tables.items():
         at = f"{folder}/versions/{version}/{name}"
-        _ordered(table, order[name]).write.option("ignoreNullFields", False).json(f"{at}/json")
-        # the CSV is made from the JSON just written, so that a table that can't be computed twice alike has the same rows in both
-        texts = _ordered(spark.read.schema(table.schema).json(f"{at}/json"), order[name]).select(*(F.col(f"`{c}`").cast("string").alias(c) for c in table.columns))
+        # stored first: ranges are sampled by a run of their own, and a table that can't be computed twice alike has the same rows in both
+        held = stored(table, "publish")
+        _ordered(held, order[name]).write.option("ignoreNullFields", False).json(f"{at}/json")
+        texts = _ordered(held, order[name]).select(*(F.col(f"`{c}`").cast("string").alias(c) for c in table.columns))
         texts.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(f"{at}/csv")
     _replace(spark, f"{folder}/{POINTER}", json.dumps({"version": version, "tables": {name: table.schema.json() for name, table in tables.items()}, "report": report or {}}))
     return version
