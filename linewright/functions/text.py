@@ -284,11 +284,11 @@ def ass_clock(seconds: Column) -> Column:
 
 def width(text: Column) -> Column:
     """Hundredths of the font size that a text takes: wide scripts 100, classes of letters less."""
-    wide = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{FF00}-\x{FFEF}]"
+    wide = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{FF00}-\x{FFEF}"
     count = lambda p: F.regexp_count(text, F.lit(p))
     classes = {35: r"[iI1l!|;,.'\"]", 45: r"[fjt()\[\]{}]", 80: "[mwMW@#%&]"}
-    special = {100: count(wide), 30: count(" "), **{w: count(p) for w, p in classes.items()}}
-    upper = count(r"\p{Lu}") - count("[IMW]")
+    special = {100: count(f"[{wide}]"), 30: count(" "), **{w: count(p) for w, p in classes.items()}}
+    upper = count(rf"[\p{{Lu}}&&[^IMW{wide}]]")  # wide scripts have capitals too
     rest = F.length(text) - upper - reduce(lambda a, b: a + b, special.values())
     return (reduce(lambda a, b: a + b, (n * w for w, n in special.items())) + upper * 65 + rest * 52).cast("long")
 

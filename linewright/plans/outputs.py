@@ -118,11 +118,11 @@ def reference_catalog(t):
 
 @query("SELECT doc_id, md5(regexp_replace(text, '[\\s，,\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')) AS said, 0 AS overflowing FROM documents")
 def scored_breaks(t):
-    """Whole documents broken to 900 pixels: nothing is lost, nothing is wider."""
-    lines = t("documents").select("doc_id", breaking.scored(900.0, 42)("text").alias("lines"))
+    """Whole documents broken to 900 pixels: nothing is lost, nothing is wider. Of a null text nothing is said."""
+    lines = t("documents").select("doc_id", F.col("text").isNull().alias("none"), breaking.scored(900.0, 42, hard=True)("text").alias("lines"))
     wide = F.filter("lines", lambda x: tx.width(F.regexp_replace(x, tx.MARKUP, "")) * 0.42 > 900)
     said = F.regexp_replace(F.array_join("lines", ""), r"(?U)[\s，,\x1c-\x1f]", "")
-    return lines.select("doc_id", F.md5(said).alias("said"), F.size(wide).alias("overflowing"))
+    return lines.select("doc_id", F.when(~F.col("none"), F.md5(said)).alias("said"), F.size(wide).alias("overflowing"))
 
 
 KARAOKE_UNITS = "list_transform(lines, lambda x: regexp_extract_all(x, '\\S+\\s*|\\s+'))"
