@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions.text import basename, stem
+from linewright.operators.tables import spread
 
 # The dataset's first folders by locale, the reference locale's folder, prefixes before a voice path, and the ways in order.
 FOLDERS = {"en": ("english", "english(us)"), "zh-CN": ("chinese(prc)", "chinese"), "ja": ("japanese", "japanese(jp)"), "ko": ("korean", "korean(kr)")}
@@ -47,44 +49,52 @@ def resolve_voices(rows: DataFrame, targets: DataFrame, locale: str = "en", norm
     with ``retry`` takes the first row of those that came to it which does.
 
     Targets are reduced to one a key before they are joined, so a key that many rows
-    or targets share is not multiplied. Rows without any match are left alone.
+    or targets share is not multiplied. Rows without any match are left alone. A row
+    offers only keys that some target's can be equal to, and keys are joined by
+    sorting: a target has up to five, which the sizes that Spark plans by leave out, so
+    it would broadcast them all to every task.
     """
     if locale not in FOLDERS:
         raise ValueError(f"no such locale: {locale}")
     if normal is None:
         from linewright.functions.layout import normal_text as normal
     folder = F.lower(F.substring_index("key", "/", 1))
-    voice = voice_path(F.col("ingame_filename"))
-    held = F.struct("ordinal", "key", "speaker", "transcription", "ingame_filename", voice.alias("voice"), voice.endswith(".wem").alias("verified"))
+    held = F.struct("ordinal", "key", "speaker", "transcription", "ingame_filename")
+    voice = voice_path(F.col("row.ingame_filename"))
     own = rows.filter(folder.isin(*FOLDERS[locale]))
     key_stem, ingame = stem(_text("key")), _text("ingame_filename")
-    keys = [F.lower(ingame), F.lower(basename(ingame)), F.lower(key_stem), key_stem, _text("voice_id")]
+    path, last, number = F.lower(ingame), F.lower(basename(ingame)), "^[0-9]+$"
+    keys = [
+        F.when(path.endswith(".wem") & path.rlike("^(" + "|".join(map(re.escape, FOLDERS[locale])) + ")/voice/"), path), F.when(last.endswith(".wem"), last), F.lower(key_stem),
+        F.when(key_stem.rlike(number), key_stem), F.when(_text("voice_id").rlike(number), _text("voice_id")),
+    ]
     offered = own.select(held.alias("row"), F.posexplode(F.array(*keys)).alias("way", "match")).filter("match <> ''")
 
+    targets = spread(targets, "filename")
     name = stem(_text("filename"))
     media = F.when(F.lower(name).startswith("ev_archive_"), F.regexp_extract(name, r"_([0-9]+)$", 1)).otherwise("")
     wem = F.concat(F.lower(name), F.lit(".wem"))
     known = F.array(*(F.struct(F.lit(0).alias("way"), F.concat(F.lit(f"{f}/voice/"), wem).alias("match")) for f in FOLDERS[locale]), *(F.struct(F.lit(k).alias("way"), x.alias("match")) for k, x in ((1, F.lower(F.concat(stem(name), F.lit(".wem")))), (2, F.lower(_text("hash"))), (3, media), (4, media))))
     of_key = targets.select("filename", "order", F.inline(known)).filter("match <> '' and match <> '.wem'").groupBy("way", "match").agg(F.max_by("filename", "order").alias("filename"))
-    came = offered.join(of_key, ["way", "match"]).groupBy("row.ordinal").agg(F.min(F.struct("way", "filename", "row")).alias("x")).select("x.*")
-    first = came.filter("row.verified") if retry else came
+    came = offered.join(of_key.hint("merge"), ["way", "match"]).groupBy("row.ordinal").agg(F.min(F.struct("way", "filename", "row")).alias("x")).select("x.*")
+    first = came.filter(voice.endswith(".wem")) if retry else came
     taken = first.groupBy("filename").agg(F.min(F.struct("row.ordinal", "way", "row")).alias("x")).select("filename", "x.way", "x.row")
 
     wanted = targets.groupBy("filename").agg(F.max_by("english", "order").alias("english"))
     open_ = wanted.join(taken, "filename", "left_anti").select("filename", normal(F.col("english")).alias("said"))
     texts = own.filter(_text("transcription") != "").select(normal(F.col("transcription")).alias("said"), held.alias("row"))
     single = texts.groupBy("said").agg(F.count("*").alias("n"), F.min("row").alias("row")).filter("n = 1")
-    by_text = open_.join(single, "said").select("filename", F.lit(5).alias("way"), "row")
-    found = taken.unionByName(by_text)
+    by_text = open_.join(single.hint("merge"), "said").select("filename", F.lit(5).alias("way"), "row")
+    found = taken.unionByName(by_text).withColumn("voice", voice)
 
     none = F.lit(None).cast("long")
     if locale == REFERENCE_LOCALE:
         paired = found.withColumn("reference_ordinal", none)
     else:
-        reference = rows.filter(folder == REFERENCE_FOLDER).select(voice.alias("voice"), "ordinal").filter("voice <> ''").groupBy("voice").agg(F.min("ordinal").alias("reference_ordinal"))
-        paired = found.join(reference, found["row.voice"] == reference["voice"], "left").drop("voice")
+        reference = rows.filter(folder == REFERENCE_FOLDER).select(voice_path(F.col("ingame_filename")).alias("voice"), "ordinal").filter("voice <> ''").groupBy("voice").agg(F.min("ordinal").alias("reference_ordinal"))
+        paired = found.join(reference.hint("merge"), "voice", "left")
     methods = F.array(*map(F.lit, WAYS))
-    status = F.when(F.col("row").isNull(), "unresolved").when(F.col("row.verified"), "resolved").otherwise("identity_unverified")
+    status = F.when(F.col("row").isNull(), "unresolved").when(F.col("voice").endswith(".wem"), "resolved").otherwise("identity_unverified")
     out = wanted.select("filename").join(paired, "filename", "left").withColumn("status", status)
     kept = lambda c: F.when(F.col("status") == "resolved", c)
     return out.select("filename", "status", F.get(methods, F.col("way")).alias("method"), *(kept(F.col(f"row.{c}")).alias(c) for c in ("ordinal", "key", "speaker", "transcription")), kept(F.col("reference_ordinal")).alias("reference_ordinal"))
