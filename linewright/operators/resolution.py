@@ -91,8 +91,10 @@ def resolve_voices(rows: DataFrame, targets: DataFrame, locale: str = "en", norm
     if locale == REFERENCE_LOCALE:
         paired = found.withColumn("reference_ordinal", none)
     else:
-        reference = rows.filter(folder == REFERENCE_FOLDER).select(voice_path(F.col("ingame_filename")).alias("voice"), "ordinal").filter("voice <> ''").groupBy("voice").agg(F.min("ordinal").alias("reference_ordinal"))
-        paired = found.join(reference.hint("merge"), "voice", "left")
+        reference = rows.filter(folder == REFERENCE_FOLDER).select(voice_path(F.col("ingame_filename")).alias("met"), "ordinal").filter("met <> ''").groupBy("met").agg(F.min("ordinal").alias("reference_ordinal"))
+        # rows that tell no voice take no reference below; each has its own key, as they would meet in one task
+        met = F.when(F.col("voice").endswith(".wem"), F.col("voice")).otherwise(F.col("filename"))
+        paired = found.withColumn("met", met).join(reference.hint("merge"), "met", "left")
     methods = F.array(*map(F.lit, WAYS))
     status = F.when(F.col("row").isNull(), "unresolved").when(F.col("voice").endswith(".wem"), "resolved").otherwise("identity_unverified")
     out = wanted.select("filename").join(paired, "filename", "left").withColumn("status", status)
